@@ -128,7 +128,7 @@ BELIEF, BELIEF_WEIGHT = {-1: 0.9, 1: 0.6}, 0.5
 def fit(patterns: np.ndarray, weights: np.ndarray, rounds: int = 100, prior: float = 0.9) -> tuple[float, np.ndarray, np.ndarray]:
     """(share of good texts, rate[rule, bad or good vote, bad or good text], posterior of each pattern).
 
-    The E-step multiplies the prior odds by how much oftener good texts than bad ones get
+    The share of good texts is given, as rules that abstain on most texts can't tell it. The E-step multiplies the prior odds by how much oftener good texts than bad ones get
     each vote; an abstention says nothing. The M-step estimates these rates from the
     posterior, together with the belief that a vote is right as often as BELIEF says: rules
     that never meet on a text could not be told from noise otherwise.
@@ -136,11 +136,10 @@ def fit(patterns: np.ndarray, weights: np.ndarray, rounds: int = 100, prior: flo
     patterns = np.asarray(patterns, dtype=int).reshape(len(weights), -1)
     n_rules = patterns.shape[1]
     rate, share, total = np.full((n_rules, 2, 2), 0.5), prior, float(weights.sum())
+    size = np.array([total * (1 - share), total * share]) * (1 + BELIEF_WEIGHT)
     good = np.where((patterns < 0).any(1), 1 - BELIEF[-1], prior)
     for _ in range(rounds if total else 0):
         before = good
-        share = min(max((weights * good).sum() / total, 0.5), 0.99)
-        size = np.array([total * (1 - share), total * share]) * (1 + BELIEF_WEIGHT)
         odds = np.full(len(weights), np.log(share / (1 - share)))
         for r in range(n_rules):
             for k, v in enumerate((-1, 1)):
