@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language_id, line_dedup, matroska, mixing, packing, quality_rules
+from quarry.llm import language_id, line_dedup, matroska, mixing, packing, phrase_dedup, quality_rules, suffix_dedup
 from quarry.llm.common import documents
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = phrase_dedup.dedup_phrases(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -34,6 +39,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup_suffixes(documents(spark, sf_dir))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(documents(spark, sf_dir))
 
@@ -66,10 +76,12 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_phrase_dedup": op1_phrase_dedup,
         "op2_mixing": op2_mixing,
         "op3_quality_rules": op3_quality_rules,
         "op4_line_dedup": op4_line_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_matroska": op9_matroska,
         "op10_language_id": op10_language_id,
     }
