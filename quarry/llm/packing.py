@@ -179,6 +179,19 @@ def _packed(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return rows
 
 
+def _again(base: int, capacity: int, names: list[str]):
+    def again(rows: pd.DataFrame) -> pd.DataFrame:
+        """All documents of the group's partitions packed together, if that takes fewer bins."""
+        before = len(rows[["part", "bin"]].drop_duplicates())
+        new = _packed(rows.drop(columns=["bin", "offset", "gap"]), capacity)
+        if new["bin"].max() + 1 < before:
+            new["part"] = base + new["group"]
+            rows = new
+        return rows[names]
+
+    return again
+
+
 def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """parts (from `pieces`) with sequence_id and offset."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -187,10 +200,11 @@ def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, part_rows: int = PAR
     n_parts = max(1, -(-rest.count() // part_rows))
     kind = parts.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, gap long"
+    names_out = [x.split(" ")[0] for x in out.split(", ")]
     dealt = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_parts)))
 
     def first(rows: pd.DataFrame) -> pd.DataFrame:
-        return _packed(rows, capacity)[[x.split(" ")[0] for x in out.split(", ")]]
+        return _packed(rows, capacity)[names_out]
 
     packed = written(dealt.groupBy("part").applyInPandas(first, out), "packed")
     done, base = [], n_parts
@@ -204,16 +218,7 @@ def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, part_rows: int = PAR
         groups = max(1, gaps // 3)
         group = F.pmod(F.xxhash64(F.lit(k), "part"), F.lit(groups))
 
-        def again(rows: pd.DataFrame, base: int = base) -> pd.DataFrame:
-            """All documents of the group's partitions packed together, if that takes fewer bins."""
-            before = len(rows[["part", "bin"]].drop_duplicates())
-            new = _packed(rows.drop(columns=["bin", "offset", "gap"]), capacity)
-            if new["bin"].max() + 1 < before:
-                new["part"] = base + new["group"]
-                rows = new
-            return rows[[x.split(" ")[0] for x in out.split(", ")]]
-
-        packed = written(open_.withColumn("group", group).groupBy("group").applyInPandas(again, out), "repacked")
+        packed = written(open_.withColumn("group", group).groupBy("group").applyInPandas(_again(base, capacity, names_out), out), "repacked")
         base += groups
     else:
         done.append(packed)
