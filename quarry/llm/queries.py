@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language_id, line_dedup, matroska, mixing, packing, phrase_dedup, quality_rules, suffix_dedup
+from quarry.llm import language_id, line_dedup, matroska, mixing, near_dedup, packing, phrase_dedup, quality_rules, suffix_dedup
 from quarry.llm.common import documents
 
 
@@ -39,6 +39,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.dedup_suffixes(documents(spark, sf_dir))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_line_dedup": op4_line_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_near_dedup": op6_near_dedup,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_matroska": op9_matroska,
         "op10_language_id": op10_language_id,
