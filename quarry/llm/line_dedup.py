@@ -76,6 +76,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     return _applied(docs, lost_lines(docs, min_chars, min_docs), min_chars, digest=False)
 
 
+def with_length(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, where it is there, brought in line with text; null text keeps its n_chars."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = docs.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+
+
 def line_digest(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of the kept text."""
     return _applied(docs.select("doc_id", "text"), lost_lines(docs, min_chars, min_docs), min_chars, digest=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language_id, line_dedup, matroska, mixing, near_dedup, packing, phrase_dedup, quality_rules, suffix_dedup
+from quarry.llm import language_id, line_dedup, matroska, mixing, near_dedup, packing, phrase_dedup, quality_rules, rule_ensemble, suffix_dedup
 from quarry.llm.common import documents
 
 
@@ -43,6 +43,13 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir))
 
 
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    ensemble = rule_ensemble.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = rule_ensemble.score(docs, ensemble)
+    return scored.select("doc_id", (language_id.bucket(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.dedup_suffixes(documents(spark, sf_dir))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -86,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_near_dedup": op6_near_dedup,
+        "op7_rule_ensemble": op7_rule_ensemble,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_matroska": op9_matroska,
         "op10_language_id": op10_language_id,
