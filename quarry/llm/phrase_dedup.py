@@ -4,17 +4,18 @@ A window is WIDTH consecutive words of one text. Every word covered by a window
 also start earlier (in a smaller doc_id, or earlier in the same text) is removed; windows are
 judged on the input. The first occurrence stays.
 
-1. Confirm phrases. Each window names the least of its GRAM-word phrases by hash, so equal
-   windows name equal phrases and only about one phrase in eight is named. Phrases that two
-   documents name are confirmed; the count combines before its shuffle.
-2. Compile and stream. Confirmed phrases go to the documents that name them. Each shard, a
+1. Set copies aside. A text equal to one with a smaller doc_id goes whole; only the first of
+   its copies takes part in what follows.
+2. Confirm. Each window names the least of its GRAM-word phrases by hash, so equal windows
+   name equal phrases and only about one phrase in eight is named. Phrases that two documents
+   name lead to candidate windows, which are grouped by hash to find the least doc_id that
+   holds each. Both counts combine before their shuffle, so a passage in a third of all
+   documents is one row a task. Each document gets back the windows that it owns; its other
+   candidates stand in an earlier document. It shares no further window with another.
+3. Compile and stream. The phrases of confirmed passages go to the documents; each shard, a
    block of documents, compiles its phrases into an Aho-Corasick automaton over word numbers
-   and streams its documents through it; the windows around every occurrence are candidates.
-   A document with no confirmed phrase shares no window with another.
-3. Decide. Candidate windows are grouped by hash to find the least doc_id that holds each
-   (again combined before the shuffle, so a passage in a third of all documents is one row a
-   task), and each document gets back the windows that it owns. Other candidates go, as do
-   windows seen earlier in the same text.
+   and streams its documents through it. Windows around the occurrences go unless the
+   document owns them, as do windows seen earlier in the same text.
 
 Windows and phrases are compared by 64-bit hashes: for n candidate windows a wrong match is
 expected n**2 / 2**65 times, about 1e-5 for 2e7.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, blocks, doc_key, minimizers, rolling, texts
+from quarry.llm.common import NULL_ID, Words, blocks, doc_key, minimizers, mixed, rolling, texts
 
 WIDTH, GRAM = 20, 6
 _U = np.uint64
@@ -58,64 +59,49 @@ def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(_U).view(np.int64), pa.int64())
 
 
-def phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(key, gram): each phrase that each document names, once."""
+class _Block:
+    """The words of some texts, their windows and the phrase that each window names."""
+
+    def __init__(self, values: list[bytes], width: int, gram: int) -> None:
+        self.words = Words(values)
+        self.starts, self.grams, self.at = _named(self.words, width, gram)
+        self.owner = self.words.text[self.starts]
+        self.windows = rolling(self.words.hash, width)
+
+    def flagged(self, flags: list) -> np.ndarray:
+        """Which windows name a phrase that is among their text's flags (null: none)."""
+        sizes = [0 if f is None else len(f) for f in flags]
+        if not sum(sizes):
+            return np.zeros(len(self.starts), bool)
+        wanted = np.concatenate([np.asarray(f, dtype=np.int64) for f in flags if f is not None and len(f)]).view(_U)
+        own = mixed(np.repeat(np.arange(len(flags)), sizes).astype(_U) + _U(1))
+        return np.isin(mixed(self.owner.astype(_U) + _U(1)) ^ self.grams[self.at], own ^ wanted)
+
+
+def _flat(keys: np.ndarray, owner: np.ndarray, values: np.ndarray, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys[owner], pa.int64()), _longs(values)], ["key", name])
+
+
+def phrases(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """(key, gram): each phrase that each document names, once. rows has key and text."""
 
     def run(batches):
         for b in batches:
             keys, values = b.column(0).to_numpy(zero_copy_only=False), texts(b.column(1))
             for first, end in blocks(values):
-                words = Words(values[first:end])
-                starts, grams, at = _named(words, width, gram)
-                owner, found = _distinct(words.text[starts], grams[at])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first:end][owner], pa.int64()), _longs(found)], ["key", "gram"])
+                block = _Block(values[first:end], width, gram)
+                yield _flat(keys[first:end], *_distinct(block.owner, block.grams[block.at]), "gram")
 
-    return docs.select(doc_key().alias("key"), "text").mapInArrow(run, "key long, gram long")
+    return rows.select("key", "text").mapInArrow(run, "key long, gram long")
 
 
-def confirmed(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def confirmed(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(key, grams): for each document the phrases it names that another names too."""
-    named = phrases(docs, width, gram)
+    named = phrases(rows, width, gram)
     shared = named.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     return named.join(shared, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"))
 
 
-class _Shard:
-    """A block of documents with the automaton of its confirmed phrases."""
-
-    def __init__(self, values: list[bytes], flags: list, width: int, gram: int) -> None:
-        self.words = words = Words(values)
-        starts, grams, at = _named(words, width, gram)
-        self.width, self.starts = width, starts
-        self.windows = rolling(words.hash, width)
-        self.candidate = np.zeros(len(words.hash), bool)
-        at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-        bounds = np.searchsorted(words.text[at], np.arange(len(values) + 1))
-        self.lists: dict[int, list[bytes]] = {}
-        numbers: dict[bytes, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for d, own in enumerate(flags):
-            if own is None or not len(own):
-                continue
-            places = at[bounds[d] : bounds[d + 1]]
-            places = places[np.isin(grams[places], np.asarray(own, dtype=np.int64).view(_U))] - words.first[d]
-            text = self.lists[d] = values[d].split()
-            for p in places.tolist():
-                automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in text[p : p + gram]))
-        if not len(automaton):
-            return
-        automaton.make_automaton()
-        marks = np.zeros(len(words.hash) + 1, dtype=np.int32)
-        for d, text in self.lists.items():
-            ends = [e for e, _ in automaton.iter(tuple([numbers.get(w, 0) for w in text]))]
-            if ends:
-                place = np.array(ends) - gram + 1
-                np.add.at(marks, words.first[d] + np.maximum(place - (width - gram), 0), 1)
-                np.add.at(marks, words.first[d] + place + 1, -1)
-        inside = np.cumsum(marks[:-1]) > 0
-        self.candidate[starts] = inside[starts]
-
-
 def owned_windows(flagged: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(key, owned): the candidate windows of which each document is the least that holds them.
 
@@ -126,64 +112,120 @@ def owned_windows(flagged: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
         for b in batches:
             keys, values, flags = b.column(0).to_numpy(zero_copy_only=False), texts(b.column(1)), b.column(2).to_pylist()
             for first, end in blocks(values):
-                shard = _Shard(values[first:end], flags[first:end], width, gram)
-                at = np.flatnonzero(shard.candidate)
-                owner, found = _distinct(shard.words.text[at], shard.windows[at])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first:end][owner], pa.int64()), _longs(found)], ["key", "window"])
+                block = _Block(values[first:end], width, gram)
+                at = block.flagged(flags[first:end])
+                yield _flat(keys[first:end], *_distinct(block.owner[at], block.windows[block.starts[at]]), "window")
 
     held = flagged.filter(F.col("grams").isNotNull()).select("key", "text", "grams").mapInArrow(run, "key long, window long")
     first = held.groupBy("window").agg(F.min("key").alias("key"))
     return first.groupBy("key").agg(F.collect_list("window").alias("owned"))
 
 
-def _repeats(words: Words, starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Starts of windows that stand earlier in the same text."""
-    h, owner = windows[starts], words.text[starts]
-    order = np.lexsort((h, owner))
-    same = (h[order][1:] == h[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-    return starts[order[1:][same]]
+def _located(block: _Block, values: list[bytes], passages: np.ndarray, gram: int) -> np.ndarray:
+    """Word places at which a phrase of `passages` (windows, by number) begins, found by one automaton."""
+    words = block.words
+    hits = np.zeros(len(words.hash), bool)
+    at, owner = block.at[passages], block.owner[passages]
+    if not len(at):
+        return hits
+    new = np.concatenate([[True], at[1:] != at[:-1]])
+    at, owner = at[new], owner[new]
+    numbers: dict[bytes, int] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    streams: dict[int, list[bytes]] = {}
+    for d, p in zip(owner.tolist(), (at - words.first[owner]).tolist()):
+        if d not in streams:
+            streams[d] = values[d].split()
+        automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in streams[d][p : p + gram]]))
+    automaton.make_automaton()
+    for d, text in streams.items():
+        ends = [e for e, _ in automaton.iter(tuple([numbers.get(w, 0) for w in text]))]
+        hits[words.first[d] + np.array(ends, dtype=np.int64) - (gram - 1)] = True
+    return hits
+
+
+def _again(block: _Block) -> np.ndarray:
+    """Starts of windows that stand earlier in the same text.
+
+    Equal windows name equal phrases at two places, so only such windows are compared.
+    """
+    new = np.concatenate([[True], block.at[1:] != block.at[:-1]]) if len(block.at) else np.zeros(0, bool)
+    own = mixed(block.owner.astype(_U) + _U(1))
+    named = own ^ block.grams[block.at]
+    once = np.sort(named[new])
+    twice = once[1:][once[1:] == once[:-1]]
+    if not len(twice):
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(np.isin(named, twice))
+    h = own[at] ^ block.windows[block.starts[at]]
+    order = np.argsort(h, kind="stable")
+    return block.starts[at[order[1:][h[order][1:] == h[order][:-1]]]]
+
+
+def copies(rows: DataFrame) -> DataFrame:
+    """(key, copies): hashes of a document's texts (more than one only where rows share a doc_id) that a smaller doc_id holds too."""
+    held = rows.select("key", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    first = held.groupBy("h", "h2").agg(F.min("key").alias("first"))
+    return held.join(first, ["h", "h2"]).filter("key <> first").groupBy("key").agg(F.collect_set("h").alias("copies"))
 
 
 def dedup_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (first word and word after the last of each removed run) and kept_text."""
-    plain = docs.select("doc_id", "text", doc_key().alias("key"))
-    flagged = plain.join(confirmed(docs, width, gram), "key", "left")
-    both = flagged.join(owned_windows(flagged, width, gram), "key", "left").select("doc_id", "text", "grams", "owned")
+    """doc_id, n_words, n_removed, spans (first word and word after the last of each removed run) and kept_text.
+
+    The texts cross one shuffle, by doc_id; all later steps read it.
+    """
+    rows = docs.select(doc_key().alias("key"), "text")
+    rows = rows.join(copies(rows), "key", "left")
+    is_copy = F.coalesce(F.array_contains("copies", F.xxhash64("text")), F.lit(False))
+    rows = rows.select("key", "text", is_copy.alias("is_copy"))
+    first = rows.filter(~F.col("is_copy"))
+    flagged = rows.join(confirmed(first, width, gram), "key", "left")
+    owned = owned_windows(flagged.filter(~F.col("is_copy")), width, gram)
+    both = flagged.join(owned, "key", "left").select("key", "text", "is_copy", "grams", "owned")
 
     def run(batches):
         for b in batches:
-            values, flags, owned = texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()
+            values, whole, flags, owned = texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
             for first, end in blocks(values):
-                part = values[first:end]
-                shard = _Shard(part, flags[first:end], width, gram)
-                words = shard.words
+                part, copy = values[first:end], whole[first:end]
+                block = _Block(part, width, gram)
+                words = block.words
+                mine = block.flagged([None if c else f for f, c in zip(flags[first:end], copy)])
+                held = [np.zeros(0, np.int64), *(np.asarray(o, dtype=np.int64) for o in owned[first:end] if o is not None)]
+                sizes = [0 if o is None else len(o) for o in owned[first:end]]
+                own = mixed(np.repeat(np.arange(len(part)), sizes).astype(_U) + _U(1)) ^ np.concatenate(held).view(_U)
+                at = np.flatnonzero(mine)
+                named = mixed(block.owner[at].astype(_U) + _U(1)) ^ block.windows[block.starts[at]]
+                passages = at[~np.isin(named, own)]
+                hits = _located(block, part, passages, gram)
                 gone = np.zeros(len(words.hash) + 1, dtype=np.int32)
-                again = _repeats(words, shard.starts, shard.windows)
-                np.add.at(gone, again, 1)
-                np.add.at(gone, again + width, -1)
-                for d in shard.lists:
-                    a, z = words.first[d], words.first[d] + words.count[d]
-                    at = a + np.flatnonzero(shard.candidate[a:z])
-                    own = np.asarray(owned[first + d] or [], dtype=np.int64).view(_U)
-                    at = at[~np.isin(shard.windows[at], own)]
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + width, -1)
+                lost = np.concatenate([block.starts[passages[hits[block.at[passages]]]], _again(block)])
+                copied = np.array(copy, dtype=bool)[block.owner] if len(block.owner) else np.zeros(0, bool)
+                lost = np.unique(np.concatenate([lost, block.starts[copied]]))
+                gone[lost] += 1
+                gone[lost + width] -= 1
                 removed = np.cumsum(gone[:-1]) > 0
-                kept, lost, spans = [], [], []
+                total = np.concatenate([[0], np.cumsum(removed)])
+                n_lost = total[words.first + words.count] - total[words.first]
+                kept, spans = [], []
                 for d, v in enumerate(part):
-                    own = removed[words.first[d] : words.first[d] + words.count[d]]
-                    text = shard.lists.get(d) or v.split()
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).tolist()
+                    text = v.split()
+                    if not n_lost[d]:
+                        kept.append(b" ".join(text).decode())
+                        spans.append([])
+                        continue
+                    here = removed[words.first[d] : words.first[d] + words.count[d]]
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], here.astype(np.int8), [0]]))).tolist()
                     spans.append([{"first": x, "end": y} for x, y in zip(edge[::2], edge[1::2])])
-                    pieces, at = [], 0
+                    pieces, place = [], 0
                     for x, y in zip(edge[::2], edge[1::2]):
-                        pieces += text[at:x]
-                        at = y
-                    kept.append(b" ".join(pieces + text[at:] if at else text).decode())
-                    lost.append(int(own.sum()))
-                arrays = [b.column(0).slice(first, end - first), pa.array(words.count, pa.int64()), pa.array(lost, pa.int64())]
+                        pieces += text[place:x]
+                        place = y
+                    kept.append(b" ".join(pieces + text[place:]).decode())
+                arrays = [b.column(0).slice(first, end - first), pa.array(words.count, pa.int64()), pa.array(n_lost, pa.int64())]
                 arrays += [pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "spans", "kept_text"])
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "n_words", "n_removed", "spans", "kept_text"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, spans array<struct<first:long,end:long>>, kept_text string")
+    done = both.mapInArrow(run, "key long, n_words long, n_removed long, spans array<struct<first:long,end:long>>, kept_text string")
+    doc_id = F.when(F.col("key") != NULL_ID, F.col("key")).cast(docs.schema["doc_id"].dataType)
+    return done.select(doc_id.alias("doc_id"), "n_words", "n_removed", "spans", "kept_text")
