@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -35,8 +37,10 @@ END_ID = 2
 #: Pieces that a partition packs together, about; its memory and time are bounded by this.
 PART_ROWS = 20_000
 ROUNDS = 2
-_CACHE = 400_000
-_ODD = re.compile(r"[ \n]\s|\s[ \n]|^\s|\s$")
+_CACHE = 700_000
+#: White space other than blank and newline; a text with any goes through the tokenizer whole.
+_ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\0"
+_OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class CachedTokenizer:
@@ -47,6 +51,7 @@ class CachedTokenizer:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        assert sys.byteorder == "little" and array("I").itemsize == 4
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -62,38 +67,60 @@ class CachedTokenizer:
     def encode(self, values: list[str]) -> list[bytes]:
         if not values:
             return []
-        found = self.tokenizer.encode_batch(values, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        found = self.tokenizer.encode_batch_fast(values, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     @staticmethod
     def parts(text: str) -> list[str] | None:
-        """The parts of a text; None if white space stands next to white space or at an end."""
-        if not text or _ODD.search(text):
+        """The parts of a text; None if white space stands next to white space or at an end, or is of a rarer kind."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
             return None
-        lines = text.split("\n")
-        words = lines[0].split(" ")
-        out = [words[0], *[" " + w for w in words[1:]]]
-        for line in lines[1:]:
-            words = line.split(" ")
-            out.append("\n" + words[0])
-            out += [" " + w for w in words[1:]]
-        return out
+        if any(c in text for c in _ASCII_SPACE) or not text.isascii() and _OTHER_SPACE.search(text):
+            return None
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
+    def _learn(self, parts: set[str]) -> None:
+        """Puts parts into the table. A full stop or comma after a letter is a part of its own."""
+        new, old = self.new, self.old
+        cut: list[tuple[str, str, str]] = []
+        todo: set[str] = set()
+        for p in parts:
+            known = old.get(p)
+            if known is not None:
+                new[p] = known
+                continue
+            core = p.rstrip(".,")
+            if len(core) < len(p) and core[-1:].isalpha():
+                tail = p[len(core) :]
+                cut.append((p, core, tail))
+                for x in (core, tail):
+                    if x not in new:
+                        known = old.get(x)
+                        if known is None:
+                            todo.add(x)
+                        else:
+                            new[x] = known
+            else:
+                todo.add(p)
+        values = list(todo)
+        new.update(zip(values, self.encode(values)))
+        for p, core, tail in cut:
+            new[p] = new[core] + new[tail]
 
     def bytes_of(self, texts: list[str]) -> list[bytes]:
+        get = self.new.get
         cut = [self.parts(t) for t in texts]
-        for part in cut:
-            if part is None:
-                continue
-            missing = set(part).difference(self.new)
-            old = [p for p in missing if p in self.old]
-            for p in old:
-                self.new[p] = self.old[p]
-            missing.difference_update(old)
-            if missing:
-                todo = list(missing)
-                self.new.update(zip(todo, self.encode(todo)))
-        get = self.new.__getitem__
-        out = [b"".join(map(get, p)) if p is not None else self.encode([t])[0] if t else b"" for t, p in zip(texts, cut)]
+        found = [None if p is None else [*map(get, p)] for p in cut]
+        gaps = [() if p is None else [x for x, known in zip(p, ids) if known is None] for p, ids in zip(cut, found)]
+        missing = set().union(*gaps)
+        if missing:
+            self._learn(missing)
+        out = []
+        for t, p, ids, gap in zip(texts, cut, found, gaps):
+            if p is None:
+                out.append(self.encode([t])[0] if t else b"")
+            else:
+                out.append(b"".join([get(x) if known is None else known for x, known in zip(p, ids)] if gap else ids))
         if len(self.new) > _CACHE:
             self.old, self.new = self.new, {}
         return out
