@@ -112,6 +112,13 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
     return mixed((total[width:] - total[:n]) * down[:n])
 
 
+def span_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the values from each start to each stop."""
+    up, down = _POWERS.get(len(values) + 1)
+    total = np.concatenate([[_U(0)], np.cumsum(values * up[: len(values)], dtype=_U)])
+    return mixed((total[stop] - total[start]) * down[start] + (stop - start).astype(_U))
+
+
 class Words:
     """The words of some texts as arrays: hash of each, and where each text's words begin and end."""
 

@@ -6,7 +6,7 @@ else, in this or another text, is removed, in all places; strings are judged on
 A sparse suffix array is enough: each WIDTH-byte string names its least GRAM-byte gram (the
 leftmost of equals), so equal strings name equal grams at equal offsets. Windows that name one
 gram position form a segment, anchored there. Grams named at one position only can't repeat
-and drop out. For the others the contexts to the right of the anchors, and to the left read
+and drop out; where all segments of a gram are equal, by 64-bit hashes, all its windows repeat. For the others the contexts to the right of the anchors, and to the left read
 backwards, are sorted with their common prefix lengths: a multikey quicksort goes to a shallow depth
 by 8-byte characters, and the groups that still agree, with long common prefixes, are ordered
 by blind tries. A window at offset o before its anchor repeats when another anchor of its gram
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks, doc_key, minimizers, rolling, texts
+from quarry.llm.common import NULL_ID, blocks, doc_key, minimizers, rolling, span_hashes, texts
 
 WIDTH, GRAM = 200, 32
 #: Bytes that the multikey quicksort looks at before the blind tries take over.
@@ -60,6 +60,7 @@ class _Segments:
         self.first, self.anchor, self.text = starts[head], at[head], owner[head]
         self.count = np.diff(np.concatenate([head, [len(at)]]))
         self.gram = grams[self.anchor]
+        self.hash = span_hashes(codes, self.first, self.first + self.count - 1 + width)
         self.bounds = np.searchsorted(self.text, np.arange(len(values) + 1))
 
     def flagged(self, flags: list) -> np.ndarray:
@@ -72,32 +73,39 @@ class _Segments:
         return np.concatenate(found)
 
 
-def grams(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(key, gram, n): the grams that each text names, and at how many positions."""
+def grams(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """(key, gram, n, low, high): the grams that each text names, at how many positions, and the least and greatest hash of its segments there.
+
+    rows has key and text.
+    """
 
     def run(batches):
         for b in batches:
             keys, values = b.column(0).to_numpy(zero_copy_only=False), texts(b.column(1))
             for first, end in blocks(values, _BLOCK):
                 s = _Segments(values[first:end], width, gram)
-                order = np.lexsort((s.gram, s.text))
-                g, t = s.gram[order], s.text[order]
+                h = s.hash.view(np.int64)
+                order = np.lexsort((h, s.gram, s.text))
+                g, t, h = s.gram[order], s.text[order], h[order]
                 head = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (t[1:] != t[:-1])])) if len(g) else np.zeros(0, int)
                 n = np.diff(np.concatenate([head, [len(g)]]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first:end][t[head]], pa.int64()), pa.array(g[head].view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["key", "gram", "n"])
+                arrays = [keys[first:end][t[head]], g[head].view(np.int64), n, h[head], h[head + n - 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["key", "gram", "n", "low", "high"])
 
-    return docs.select(doc_key().alias("key"), "text").mapInArrow(run, "key long, gram long, n long")
+    return rows.select("key", "text").mapInArrow(run, "key long, gram long, n long, low long, high long")
 
 
-def repeated_grams(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(key, grams): for each document the grams that are named at two positions or more."""
-    named = grams(docs, width, gram)
-    shared = named.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram")
-    return named.select("key", "gram").join(shared, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"))
+def repeated_grams(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """(key, grams, mixed): for each document the grams that are named at two positions or more, and those among them whose segments differ."""
+    named = grams(rows, width, gram)
+    shared = named.groupBy("gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    shared = shared.filter("n > 1").select("gram", (F.col("low") != F.col("high")).alias("differ"))
+    both = named.select("key", "gram").join(shared, "gram")
+    return both.groupBy("key").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("differ"), F.col("gram"))).alias("mixed"))
 
 
 def segments(flagged: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(gram, anchor, bytes, n, key, first): different segments of repeated grams, how often each is there, and one place of it."""
+    """(gram, anchor, bytes, n, key, first): different segments of mixed grams, how often each is there, and one place of it."""
 
     def run(batches):
         for b in batches:
@@ -111,7 +119,7 @@ def segments(flagged: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
                 arrays = [pa.array(s.gram[at].view(np.int64), pa.int64()), pa.array(s.anchor[at] - a, pa.int32()), pa.array(pieces, pa.binary()), pa.array(keys[first:end][own], pa.int64()), pa.array(a - s.begin[own], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["gram", "anchor", "bytes", "key", "first"])
 
-    found = flagged.filter(F.col("grams").isNotNull()).select("key", "text", "grams")
+    found = flagged.filter(F.size("mixed") > 0).select("key", "text", "mixed")
     found = found.mapInArrow(run, "gram long, anchor int, bytes binary, key long, first long")
     return found.groupBy("gram", "anchor", "bytes").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("first").alias("first"))
 
@@ -290,10 +298,13 @@ def unique_ranges(found: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
 
 def dedup_suffixes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans (first byte and byte after the last) and kept (binary)."""
-    plain = docs.select("doc_id", "text", doc_key().alias("key"))
-    flagged = plain.join(repeated_grams(docs, width, gram), "key", "left")
-    both = flagged.join(unique_ranges(segments(flagged, width, gram), width, gram), "key", "left").select("doc_id", "text", "grams", "unique")
+    """doc_id, n_bytes, n_removed, n_spans, spans (first byte and byte after the last) and kept (binary).
+
+    The texts cross one shuffle, by doc_id; later steps read it.
+    """
+    rows = docs.select(doc_key().alias("key"), "text")
+    flagged = rows.join(repeated_grams(rows, width, gram), "key", "left")
+    both = flagged.join(unique_ranges(segments(flagged, width, gram), width, gram), "key", "left").select("key", "text", "grams", "unique")
 
     def run(batches):
         for b in batches:
@@ -327,7 +338,8 @@ def dedup_suffixes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
                     spans.append([{"first": x, "end": y} for x, y in zip(edge[::2], edge[1::2])])
                 arrays = [b.column(0).slice(first, end - first), pa.array([len(v) for v in part], pa.int64()), pa.array(lost, pa.int64()), pa.array([len(x) for x in spans], pa.int64())]
                 arrays += [pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<first:long,end:long>>, kept binary")
+    done = both.mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, spans array<struct<first:long,end:long>>, kept binary")
+    doc_id = F.when(F.col("key") != NULL_ID, F.col("key")).cast(docs.schema["doc_id"].dataType)
+    return done.select(doc_id.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", "kept")
