@@ -13,7 +13,11 @@ similarity; links make classes.
    original of a family. Members that are thereby in one class need no more comparing, so a
    family of n near copies costs n comparisons and not n squared.
 3. Members of a bucket that are in different classes still are compared with each other, all
-   of them. So every pair that shares a bucket is linked, compared, or in one class already.
+   of them: the buckets with one leader form a family, which is cut into blocks of FAMILY
+   members; two blocks meet in one task, where products of their shingle matrices tell all
+   overlaps, and only links that join classes leave it. So every pair that shares a bucket is
+   linked, compared, or in one class already, and rows grow with a family's size times its
+   number of blocks.
 
 At similarity 0.8 a pair shares one of 32 bands of 4 with probability 1 - 5e-8.
 
@@ -26,6 +30,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +40,9 @@ from quarry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
+#: Members of a family that are compared in one block.
+FAMILY = 512
+_COLUMNS = 4096
 SLOTS = BANDS * ROWS
 _U = np.uint64
 _BLOCK = 512 << 10
@@ -165,6 +173,71 @@ def verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def family_links(keys: np.ndarray, classes: np.ndarray, sides: np.ndarray, values: list[bytes], threshold: float) -> list[tuple[int, int]]:
+    """Links that join the classes of similar texts; sides (0, 1 or both alike) says who meets whom.
+
+    Overlaps come from matrix products over the shingles that two texts at least hold. Among
+    texts without repeated shingles they give the similarity itself; for others the share of
+    a text's weight that the overlap has bounds it from above, and what passes is computed.
+    """
+    n = len(keys)
+    owner, h, count = shingles(Words(values))
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    sets = [(h[bounds[i] : bounds[i + 1]], count[bounds[i] : bounds[i + 1]]) for i in range(n)]
+    size = np.bincount(owner, minlength=n).astype(float)
+    weight = np.bincount(owner, count, n)
+    _, column, held = np.unique(h, return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    row, col, w = owner[shared], column[shared], count[shared].astype(np.float32)
+    _, col = np.unique(col, return_inverse=True)
+    order = np.argsort(col, kind="stable")
+    row, col, w = row[order], col[order], w[order]
+    overlap = np.zeros((n, n))
+    for a in range(0, int(col.max(initial=-1)) + 1, _COLUMNS):
+        x, y = np.searchsorted(col, [a, a + _COLUMNS])
+        part = np.zeros((n, _COLUMNS), dtype=np.float32)
+        part[row[x:y], col[x:y] - a] = w[x:y]
+        overlap += part @ (part > 0).astype(np.float32).T
+    plain = size == weight
+    exact = overlap / np.maximum(size[:, None] + size[None, :] - overlap, 1)
+    bound = overlap / np.maximum(weight, 1)[:, None]
+    bound = np.minimum(bound, bound.T)
+    both = plain[:, None] & plain[None, :]
+    near = np.where(both, exact, bound) >= threshold - 1e-12
+    near &= classes[:, None] != classes[None, :]
+    if len(np.unique(sides)) > 1:
+        near &= sides[:, None] != sides[None, :]
+    leader = {c: c for c in classes.tolist()}
+
+    def top(c: int) -> int:
+        while leader[c] != c:
+            leader[c] = leader[leader[c]]
+            c = leader[c]
+        return c
+
+    links = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))):
+        a, b = top(int(classes[i])), top(int(classes[j]))
+        if a != b and (both[i, j] or similarity(sets[i], sets[j]) >= threshold - 1e-12):
+            leader[max(a, b)] = min(a, b)
+            links.append((int(keys[i]), int(keys[j])))
+    return links
+
+
+def compared(families: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between classes of each family; families has family, key and class."""
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("blocks"))
+    dealt = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "class")
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        found = family_links(rows["key"].to_numpy(), rows["class"].to_numpy(), rows["block"].to_numpy(), [t.encode() for t in rows["text"]], threshold)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.join(held, "key").groupBy("family", "low", "high").applyInPandas(meet, "a long, b long")
+
+
 def near_links(signs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): links between texts that differ, enough to connect every class.
 
@@ -184,10 +257,8 @@ def near_links(signs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
     classes = components(links)
     labelled = met.join(classes, met["key"] == classes["u"], "left").select("bucket", "key", "pivot", F.coalesce("root", "key").alias("class"))
     open_ = labelled.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("bucket")
-    rest = written(labelled.join(open_, "bucket").filter("key <> pivot"), "rest")
-    other = rest.select("bucket", F.col("key").alias("b"), F.col("class").alias("other"))
-    pairs = rest.withColumnRenamed("key", "a").join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("class") != F.col("other")))
-    return links.unionAll(written(verified(pairs.select("a", "b").distinct(), held, threshold), "links"))
+    rest = labelled.join(open_, "bucket").filter("key <> pivot").select(F.col("pivot").alias("family"), "key", "class").distinct()
+    return links.unionAll(written(compared(written(rest, "families"), held, threshold), "links"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
