@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = -(2**63)
 #: Bytes of text that the array functions take at once; a longer text is taken alone, whole.
 BLOCK_BYTES = 2 << 20
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -53,7 +55,23 @@ def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows and bytes that go to a Python worker at once, which bounds its memory.
+
+    Workers stay for later stages and keep what they once needed. A text longer than the
+    bound still goes whole.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    try:
+        spark.conf.set(size, str(BATCH_BYTES))
+    except Exception:  # noqa: BLE001 - a Spark without this setting has the row bound alone
+        pass
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -32,7 +32,8 @@ ALPHABET = 4096
 #: A text is rejected beyond so many deviations of the calibration rows, for its length, if it
 #: also lies so many nats a character above their median.
 REJECT_AT, REJECT_NATS = 10.0, 1.5
-_SCORE_CHARS = 1 << 19
+#: Characters scored at once, and positions looked up at once.
+_BATCH_CHARS, _SCORE_CHARS = 1 << 19, 1 << 17
 _U = np.uint64
 _letters: list[np.ndarray] = []
 
@@ -259,7 +260,7 @@ def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
             values = ["" if t is None else t for t in b.column(at).to_pylist()]
             parts, first, size = [], 0, 0
             for i, v in enumerate(values):
-                if size > 1 << 20:
+                if size > _BATCH_CHARS:
                     parts.append(own.predict(values[first:i]))
                     first, size = i, 0
                 size += len(v)
