@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import language_id, line_dedup, mixing, near_dedup, packing
-from quarry.llm.common import documents, written
+from quarry.llm.common import documents, small_batches, written
 from quarry.llm.queries import tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that language identification rejects."""
+    small_batches(spark)
     found = language_id.identify(docs, language_id.train(docs))
     return found.filter("NOT rejected").select(*docs.columns)
 
