@@ -18,6 +18,7 @@ leave the task, only lengths and checksums do.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import sys
@@ -37,8 +38,8 @@ END_ID = 2
 #: Pieces that a partition packs together, about; its memory and time are bounded by this.
 PART_ROWS = 20_000
 ROUNDS = 2
-#: Parts in each of the two generations of a worker's table, about 50 MB.
-_CACHE = 300_000
+#: Parts in each of the two generations of a worker's table, about 100 MB.
+_CACHE = 600_000
 #: White space other than blank and newline; a text with any goes through the tokenizer whole.
 _ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\0"
 _OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -133,6 +134,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches):
         own = CachedTokenizer.of(tokenizer)
+        gc.disable()  # millions of short-lived strings and lists, none in a cycle
         for b in batches:
             ids, rows = [], []
             keys, values = b.column(0).to_pylist(), ["" if t is None else t for t in b.column(1).to_pylist()]
@@ -147,6 +149,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         at, stop, k = stop, stop + capacity, k + 1
             columns = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64())))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        gc.enable()
         own.old = {}  # an idle worker keeps one generation at most
 
     kind = docs.schema["doc_id"].dataType.simpleString()
