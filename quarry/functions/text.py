@@ -104,14 +104,18 @@ def repaired(text: str | None) -> str | None:
     return unicodedata.normalize("NFKC", text)
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
+def nfkc(c: str | Column) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
 
+    return F.pandas_udf(run, "string")(c)
 
-@F.pandas_udf("string")
-def repair(s: pd.Series) -> pd.Series:
-    return s.map(repaired, na_action="ignore")
+
+def repair(c: str | Column) -> Column:
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(repaired, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(c)
 
 
 def response_text(c: Column) -> Column:

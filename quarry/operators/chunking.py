@@ -179,11 +179,11 @@ def child_chunks(parents: DataFrame, size: int = CHILD_SIZE, overlap: int = CHIL
     return found.select("doc_id", "parent_id", "ordinal", "category", "service_name", "header_path", F.lit("child").alias("chunk_type"), text.alias("text_content"))
 
 
-_NULL = F.lit(None).cast("string")
 CHUNK_COLUMNS = ["id", "text", "chunk_type", "category", "service_name", "concept_group", "page_start", "page_end", "source_urls"]
 
 
-def _chunk(rows: DataFrame, id_: Column, text: Column, kind: str, category: Column = _NULL, service: Column = _NULL, group: Column = _NULL, urls: Column | None = None) -> DataFrame:
+def _chunk(rows: DataFrame, id_: Column, text: Column, kind: str, category: Column | None = None, service: Column | None = None, group: Column | None = None, urls: Column | None = None) -> DataFrame:
+    category, service, group = (F.lit(None).cast("string") if c is None else c for c in (category, service, group))
     urls = F.coalesce(F.col("source_urls"), F.array().cast("array<string>")) if urls is None else urls
     return rows.select(id_.alias("id"), text.alias("text"), F.lit(kind).alias("chunk_type"), category.alias("category"), service.alias("service_name"), group.alias("concept_group"), F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"), urls.alias("source_urls"))
 

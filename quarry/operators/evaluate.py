@@ -54,7 +54,7 @@ def judged(replies: DataFrame, reply: str = "reply") -> DataFrame:
     number = r"([0-1]\.\d+|0|1)"
     named = F.regexp_extract(text, rf"(?i)SCORE:\s*{number}", 1)
     score = F.nullif(F.when(named != "", named).otherwise(F.regexp_extract(text, number, 1)), F.lit("")).cast("double")
-    score = F.bround(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 2)
+    score = F.when(score.isNotNull(), F.bround(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 2))
     reason = F.regexp_replace(F.btrim(F.nullif(F.regexp_extract(text, r"(?i)REASON:\s*(.+)", 1), F.lit(""))), "[.',\"]+$", "")
     reason = F.when(F.length(reason) > 120, F.concat(F.substring(reason, 1, 117), F.lit("..."))).otherwise(reason)
     return replies.withColumn("score", score).withColumn("reason", reason).withColumn("status", F.when(score.isNull(), "unparsed").otherwise("parsed"))
@@ -82,7 +82,7 @@ def scorecard_text(card: DataFrame) -> DataFrame:
 
 def expected_filled(questions: DataFrame, known: DataFrame) -> DataFrame:
     """questions (question, expected_parent_ids) with ids filled in from known where they are missing or empty, by question text but for blanks at the ends."""
-    ids = known.select(F.btrim("question").alias("known_question"), F.col("expected_parent_ids").alias("known_ids")).dropDuplicates(["known_question"])
+    ids = known.select(F.btrim("question").alias("known_question"), "expected_parent_ids").groupBy("known_question").agg(F.min("expected_parent_ids").alias("known_ids"))
     both = questions.join(ids, F.btrim("question") == F.col("known_question"), "left")
     missing = F.coalesce(F.size("expected_parent_ids"), F.lit(-1)) <= 0
     return both.withColumn("expected_parent_ids", F.when(missing, F.coalesce("known_ids", "expected_parent_ids")).otherwise(F.col("expected_parent_ids"))).drop("known_question", "known_ids")

@@ -18,7 +18,7 @@ def merged_variants(hits: DataFrame) -> DataFrame:
     hits has qid, variant, doc_id and rank; the new rank counts on through all variants, without the repeats.
     """
     first = first_occurrence(hits, ["qid", "doc_id"], ["variant", "rank"])
-    place = F.row_number().over(Window.partitionBy("qid").orderBy("variant", "rank"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("variant", "rank", "doc_id"))
     return first.select("qid", "doc_id", place.alias("rank"))
 
 

@@ -153,8 +153,7 @@ def stem(word: str) -> str:
     return word.lower()
 
 
-@F.pandas_udf("array<string>")
-def lexemes(words: pd.Series) -> pd.Series:
+def _lexemes(words: pd.Series) -> pd.Series:
     """Stems of an array of words; a stop word is null, so that places stay."""
     known: dict[str, str | None] = {}
 
@@ -166,8 +165,7 @@ def lexemes(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [one(w) for w in ws])
 
 
-@F.pandas_udf("double")
-def cover_density(places: pd.Series) -> pd.Series:
+def _cover_density(places: pd.Series) -> pd.Series:
     """Cover density of the places (sorted lists, one for each term) of a document's query terms.
 
     Each shortest stretch that holds all terms adds 1 / (1 + words in it that are no term).
@@ -188,6 +186,14 @@ def cover_density(places: pd.Series) -> pd.Series:
     return places.map(one)
 
 
+def lexemes(words: Column) -> Column:
+    return F.pandas_udf(_lexemes, "array<string>")(words)
+
+
+def cover_density(places: str | Column) -> Column:
+    return F.pandas_udf(_cover_density, "double")(places)
+
+
 def fulltext_search(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id", any_term: bool = False) -> DataFrame:
     """(qid, doc_id, score, rank): documents that hold all of a query's stems, by cover density.
 

@@ -1,15 +1,302 @@
-"""Every registered query of the retrieval engine and its SQL."""
+"""Every registered query of the retrieval engine; quarry.plans.sql has the SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarry.functions import text as X
+from quarry.operators import chunking, citations, evaluate, fusion, intent, layout, lexical, resolve, vector
+from quarry.operators import tables as T
+from quarry.plans import inputs as I
+from quarry.plans import retrieval
+from quarry.plans.sql import oracle_sql
+from quarry.sources import sinks
+from quarry.sources.readers import table
+from quarry.streaming import ingest
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+
+def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return lexical.Bm25Index(table(spark, sf_dir, "documents")).search(table(spark, sf_dir, "benchmark"), k)
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(spark, sf_dir, 10).select("qid", "doc_id", "score", "rank")
+
+
+def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    idf = lexical.Bm25Index(table(spark, sf_dir, "documents")).idf()
+    return idf.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    query = vectors.filter("vec_id = 0").select("embedding").first()
+    return vector.nearest(vectors, list(query[0]) if query else [1.0], 20)
+
+
+def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return vector.nearest_each(vectors, asked, 20).select("qid", "doc_id", "score", "rank")
+
+
+def dense_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector.nearest_hashed(vector.hashed(vectors), vectors.filter("vec_id % 100 = 0"), 10)
+
+
+def _arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Dense and sparse lists of the benchmark items; an item's vector is the one with its id."""
+    vectors = table(spark, sf_dir, "embeddings")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
+    asked = items.join(vectors, items["qid"] == vectors["vec_id"]).select("qid", "embedding")
+    return vector.nearest_each(vectors, asked, 20), _bm25(spark, sf_dir, 20)
+
+
+def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    technical = F.col("qid") % 2 == 0
+    fused = fusion.weighted_rrf(*_arms(spark, sf_dir), F.when(technical, 0.3).otherwise(0.5), F.when(technical, 0.7).otherwise(0.5))
+    return fused.select("qid", "doc_id", "dense_rank", "sparse_rank", F.round("rrf_score", 9).alias("rrf_score"), "rrf_rank")
+
+
+def interleave_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.interleaved(*_arms(spark, sf_dir)).select("qid", "doc_id", "arm", "position")
+
+
+def multi_query_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.merged_variants(I.rows(spark, sf_dir, I.VARIANTS))
+
+
+def fts_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 3), " "))
+    return lexical.fulltext_search(table(spark, sf_dir, "documents"), items, 20)
+
+
+def category_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter("source = 'src3'").select("doc_id", "lang")
+
+
+def category_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intent.asked_category(I.rows(spark, sf_dir, I.QUESTIONS)).select("qid", "category")
+
+
+def query_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intent.intent(I.rows(spark, sf_dir, I.QUESTIONS)).select("qid", "is_comparison", "is_technical", "is_summary", "bm25_weight", "vector_weight")
+
+
+def query_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = intent.intent(I.rows(spark, sf_dir, I.QUESTIONS))
+    return found.select("qid", F.posexplode("variations").alias("place", "variation"))
+
+
+def clean_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.rows(spark, sf_dir, I.MATTER)
+    return rows.select("doc_id", F.sha2(X.clean_page(F.col("text")), 256).alias("page_sha"), F.sha2(X.clean_markdown(F.col("text")), 256).alias("markdown_sha"))
+
+
+def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.substring("html", 1, 400)
+    return table(spark, sf_dir, "pages").select(
+        "page_id", X.slug(F.col("url")).alias("slug"), F.sha2(X.collapsed(head), 256).alias("collapsed_sha"), F.sha2(X.clean_cell(head), 256).alias("cell_sha"),
+        X.token_count(head).cast("bigint").alias("n_tokens"), X.approx_tokens(head).cast("bigint").alias("approx_tokens"), X.clean_header(F.concat(F.lit("**<u>"), "url", F.lit("</u>__ "))).alias("header"),
+        X.mime_type(F.element_at(F.split("url", "[./]"), -1)).alias("mime"))
+
+
+def header_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = lambda n: F.when(F.col("user_id") % n > 0, F.concat("event_type", F.lit(f" h{n}")))
+    category, service, path = X.header_metadata(F.lit("Title"), level(2), level(3), level(5), level(7))
+    return table(spark, sf_dir, "events").select("event_id", category.alias("category"), service.alias("service_name"), path.alias("header_path"))
+
+
+def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.repair("text").alias("text"))
+
+
+def merge_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", X.lowercase_runs(F.col("text")).alias("runs"))
+    return rows.filter(F.size("runs") > 0).select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.element_at("runs", 1).alias("first_run"))
+
+
+def chunk_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.parent_chunks(table(spark, sf_dir, "documents"))
+
+
+def chunk_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.child_chunks(chunk_parents(spark, sf_dir))
+
+
+def parent_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve.parents(I.rows(spark, sf_dir, I.CHILDREN), I.rows(spark, sf_dir, I.PARENTS))
+    return resolve.context(found)
+
+
+def sibling_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.with_siblings(I.rows(spark, sf_dir, I.FOUND), I.rows(spark, sf_dir, I.PARTS))
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.rows(spark, sf_dir, I.PAGE_TABLES).withColumn("headers", F.array("h1", "h2")).withColumn("rows", F.array(F.array("c1", "c2"), F.array("h1", "h2")))
+
+
+def table_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = T.continued(_tables(spark, sf_dir))
+    body = T.body_rows("rows", "headers")
+    return merged.select("document", "table_id", "page_start", "page_end", F.col("parts").cast("bigint").alias("parts"), F.size(body).cast("bigint").alias("n_rows"), T.shape("headers").alias("shape"), T.markdown(F.col("headers"), body).alias("markdown"))
+
+
+def table_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.row_groups(I.rows(spark, sf_dir, I.ROWS), 60).select("table_id", "row_no", "size", "group_no")
+
+
+def table_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = I.rows(spark, sf_dir, I.LINES).withColumn("text", F.when(F.col("line_id") % 9 == 0, F.concat(F.lit("Compare "), "text")).otherwise(F.col("text")))
+    found = I.rows(spark, sf_dir, I.IMAGES).select(F.col("image_id").alias("table_id"), "page", F.col("y").alias("y0"), F.array(F.lit("A"), F.col("image_id").cast("string")).alias("headers"))
+    return T.nearest_title(found, lines).select("table_id", "title")
+
+
+def asof_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headings = I.rows(spark, sf_dir, I.LINES).filter("size = 12").select("document", "page", F.col("y0").alias("y"), F.col("text").alias("category"))
+    return layout.nearest_heading(I.rows(spark, sf_dir, I.IMAGES), headings).select("image_id", "page", "category")
+
+
+def running_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.running_matter(I.rows(spark, sf_dir, I.LINES), 792.0).select("line_id", "is_running")
+
+
+def style_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.style_profile(I.rows(spark, sf_dir, I.LINES))
+
+
+def heading_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.heading_state(I.rows(spark, sf_dir, I.LINES), 18.0, 12.0).select("line_id", "kind", "category", "service")
+
+
+def service_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = layout.heading_state(I.rows(spark, sf_dir, I.LINES), 18.0, 12.0)
+    found = layout.concepts_and_services(layout.service_records(state), ["Category click"])
+    return found.select("document", "category", "name", "page_start", "page_end", F.sha2("description", 256).alias("description_sha"), "record_type", "concept_group")
+
+
+def matter_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = I.rows(spark, sf_dir, I.LINES)
+    found = lines.filter("size = 18 AND document % 5 < 4").select("document", F.col("page").alias("page_start"), (F.col("page") + 2).alias("page_end"))
+    return layout.matter_ranges(found, lines.groupBy("document").agg(F.max("page").alias("page_count")).withColumn("page_count", F.col("page_count") - F.col("document") * 10)).select("document", "kind", "page_start", "page_end")
+
+
+def link_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = I.rows(spark, sf_dir, I.LINES).select(F.floor(F.col("line_id") / 20).alias("owner"), "page", F.lit(50.0).alias("box_x0"), F.lit(500.0).alias("box_x1"), F.col("y0").alias("box_y0"), F.col("y1").alias("box_y1"))
+    return layout.overlapping_links(boxes, I.rows(spark, sf_dir, I.LINKS)).select("owner", F.array_join("source_urls", " ").alias("urls"))
+
+
+def outside_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = I.rows(spark, sf_dir, I.LINES).select("line_id", "page", F.lit(50.0).alias("line_x0"), F.lit(490.0).alias("line_x1"), F.col("y0").alias("line_y0"), F.col("y1").alias("line_y1"))
+    regions = I.rows(spark, sf_dir, I.LINKS).select("page", *(F.col(f"link_{c}").alias(f"region_{c}") for c in ("x0", "x1", "y0", "y1")))
+    return layout.outside_regions(lines, regions).select("line_id")
+
+
+def image_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = I.rows(spark, sf_dir, I.IMAGES)
+    return layout.image_routes(images, images.filter("image_id % 3 = 0").select("category", "page")).select("image_id", "route")
+
+
+def joined_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.joined_spans(I.rows(spark, sf_dir, I.SPANS))
+
+
+def notice_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    services = I.rows(spark, sf_dir, I.SERVICES).withColumn("source_urls", F.array("url"))
+    found = chunking.notice_context(I.rows(spark, sf_dir, I.NOTICES), services)
+    return found.select("notice_id", "category", "service_name", F.array_join("source_urls", " ").alias("urls"))
+
+
+def catalog_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Service and notice chunks in one table, notices outside the skipped pages 10 to 20."""
+    services = I.rows(spark, sf_dir, I.SERVICES).withColumn("source_urls", F.array("url"))
+    boxes = I.rows(spark, sf_dir, I.NOTICES).select(F.col("notice_id").alias("table_id"), F.lit(" | ").alias("title"), F.lit("unrecognized_table").alias("shape"), F.array(F.array("text")).alias("rows"), "page_start", F.col("page_start").alias("page_end"))
+    skipped = spark.range(1).select(F.lit(10).alias("page_start"), F.lit(20).alias("page_end"))
+    found = chunking.together(chunking.service_chunks(services), chunking.notice_chunks(boxes, skipped, services))
+    return found.select("id", "text", "chunk_type", "category", "service_name", "page_start", "page_end", F.array_join("source_urls", " ").alias("urls"), F.col("kind_no").cast("bigint").alias("kind_no"))
+
+
+def verify_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.verified(I.rows(spark, sf_dir, I.CHUNKS).withColumn("text", F.when(F.col("rank") % 13 == 0, " ").otherwise(F.col("answer"))))
+
+
+def index_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = I.rows(spark, sf_dir, I.FOUND)
+    return sinks.audit(I.rows(spark, sf_dir, I.PARTS), found)
+
+
+def gt_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.matched_questions(I.rows(spark, sf_dir, I.INPUTS), I.rows(spark, sf_dir, I.TRUTHS)).select("input_id", "matched_no", F.col("how").cast("bigint").alias("how"))
+
+
+def expected_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truths = I.rows(spark, sf_dir, I.TRUTHS)
+    known = truths.select("question", F.array(F.col("question_id")).alias("expected_parent_ids"))
+    ids = F.when(F.col("no") % 3 == 0, F.array().cast("array<string>")).when(F.col("no") % 3 == 1, F.array(F.lit("own")))
+    asked = truths.select("no", F.concat(F.lit(" "), "question").alias("question"), ids.alias("expected_parent_ids"))
+    found = evaluate.expected_filled(asked, known)
+    return found.select("no", F.array_join("expected_parent_ids", " ").alias("ids"))
+
+
+def service_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.rows(spark, sf_dir, I.NAMES)
+    return rows.select("pair_id", evaluate.service_matches(F.col("retrieved"), F.col("expected")).alias("matches"))
+
+
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MRR and NDCG@5 of BM25 for the benchmark items; a document that holds the item's text is relevant."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("asked"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = _bm25(spark, sf_dir, 10).join(items, "qid").join(docs, "doc_id").select("qid", "rank", F.col("text").contains(F.col("asked")).alias("relevant"))
+    return evaluate.first_match_metrics(hits, items.select("qid", (F.col("qid") % 10 < 9).alias("expects")))
+
+
+def batch_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.scorecard(I.rows(spark, sf_dir, I.METRICS))
+
+
+def query_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.scored(I.rows(spark, sf_dir, I.METRICS)).select("qid", "verdict")
+
+
+def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.judged(I.rows(spark, sf_dir, I.REPLIES)).select("reply_id", "score", "reason", "status")
+
+
+def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.rows(spark, sf_dir, I.CHUNKS).select("rank", citations.label().alias("citation_label"))
+
+
+def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.cited(I.rows(spark, sf_dir, I.CHUNKS)).select("qid", "rank", "id", "citation_label")
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ingest.windowed(table(spark, sf_dir, "events"))
+    return found.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ingest.sessions(table(spark, sf_dir, "events"))
+    return found.select("user_id", F.unix_timestamp("session_start").alias("session_start"), "n")
+
+
+def queries() -> dict[str, Query]:
+    found = [
+        bm25_topk, bm25_term_stats, dense_topk, dense_topk_batch, dense_hashed, hybrid_rrf, interleave_dedup, multi_query_union, fts_and_match,
+        category_scan, category_detect, query_intent, query_variations, clean_text_lines, text_scalars, header_metadata, nfkc_normalize, merge_suspects,
+        chunk_parents, chunk_children, parent_resolution, sibling_expansion, table_continuation, table_row_groups, table_titles, asof_heading,
+        running_matter, style_profile, heading_state, service_records, matter_ranges, link_overlap, outside_regions, image_routing, joined_spans,
+        notice_context, catalog_chunks, verify_chunks, index_audit, gt_match, expected_backfill, service_match, retrieval_metrics, batch_scorecard,
+        query_verdicts, judge_parse, citation_labels, citation_extract, event_windows, event_sessions,
+    ]
+    return {q.__name__: q for q in found} | {"answer_batch": retrieval.answer_batch, "retrieve_batch": retrieval.retrieve_batch}
