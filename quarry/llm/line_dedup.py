@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NULL_ID, doc_key
+from quarry.llm.common import NULL_ID, doc_key, written
 
 _ENDS = b" \t\n\x0b\x0c\r"
 
@@ -64,6 +64,8 @@ def lost_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .groupBy("line_hash").agg(F.count("*").alias("n"), F.max("key").alias("keeper"))
         .filter(F.col("n") >= min_docs).select("line_hash", "keeper")
     )
+    # Written, so that the join has a shuffle of its own on both sides, which Spark can split where a line is in many documents.
+    repeated = written(repeated, "lines")
     lost = held.join(repeated, "line_hash").filter(F.col("key") != F.col("keeper"))
     return lost.groupBy("key").agg(F.collect_set("line_hash").alias("lost"))
 
