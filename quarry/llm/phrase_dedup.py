@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NULL_ID, Words, blocks, doc_key, minimizers, mixed, rolling, texts
+from quarry.llm.common import NULL_ID, Words, blocks, doc_key, minimizers, mixed, rolling, texts, written
 
 WIDTH, GRAM = 20, 6
 _U = np.uint64
@@ -165,7 +165,9 @@ def _again(block: _Block) -> np.ndarray:
 def copies(rows: DataFrame) -> DataFrame:
     """(key, copies): hashes of a document's texts (more than one only where rows share a doc_id) that a smaller doc_id holds too."""
     held = rows.select("key", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    first = held.groupBy("h", "h2").agg(F.min("key").alias("first"))
+    first = held.groupBy("h", "h2").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Written, so that the join has a shuffle of its own on both sides, which Spark can split where a text has many copies.
+    first = written(first, "copies")
     return held.join(first, ["h", "h2"]).filter("key <> first").groupBy("key").agg(F.collect_set("h").alias("copies"))
 
 
