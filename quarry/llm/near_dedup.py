@@ -264,10 +264,12 @@ def near_links(signs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and copy_of (least doc_id with the same words)."""
     signs = written(signed(docs), "signs")
-    least = signs.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("key").alias("copy_of"))
+    # Written, as are the classes below: a join then has a shuffle of its own on both sides, which Spark can split where a text has many copies.
+    least = written(signs.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("key").alias("copy_of")), "copies")
     different = signs.join(least, (signs["digest"] == least["digest"]) & (signs["key"] == least["copy_of"]), "left_semi").dropDuplicates(["digest"])
     roots = components(near_links(different.select("key", "bands"), docs, threshold))
     least = least.join(roots, least["copy_of"] == roots["u"], "left").select("digest", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
+    least = written(least, "classes")
     out = signs.select("key", "digest").join(least, "digest", "left")
     null = F.lit(None).cast("long")
     out = out.select("key", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("copy_of", "key").alias("copy_of"))
