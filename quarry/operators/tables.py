@@ -86,7 +86,7 @@ def table_parts(tables: DataFrame, max_tokens: int) -> DataFrame:
     """(table_id, part, text): each table's title and Markdown, cut between rows so that a part has at most max_tokens tokens where its rows allow it; the header is repeated."""
     rows = tables.select("table_id", F.posexplode("rows").alias("row_no", "row"))
     rows = rows.withColumn("size", token_count(markdown_row(F.col("row"))))
-    head = tables.select("table_id", "title", "headers", (token_count(F.concat_ws("\n\n", "title", markdown("headers", F.array())))).alias("head"))
+    head = tables.select("table_id", "title", "headers", (token_count(F.concat_ws("\n\n", "title", markdown("headers", F.array().cast("array<array<string>>"))))).alias("head"))
     sized = rows.join(head.select("table_id", "head"), "table_id").withColumn("budget", F.lit(max_tokens) - F.col("head"))
     # The header's share is taken off the budget by counting it with the first row of each group.
     gathered = sized.groupBy("table_id", "budget").agg(F.array_sort(F.collect_list(F.struct("row_no", "row", "size"))).alias("r"))
