@@ -2,11 +2,11 @@
 
 Sources in code point order, null last, weigh 1, 2, 3 and so on, repeating, and share the
 size of the whole table by weight; a target stops at `max_repeats` times its source's size
-and the excess is shared again by weight among the others until none is above. A source is
-taken whole as often as its target holds it; for the remaining budget its documents are
-counted by exact length, each length gives its proportional part, and a bounded-knapsack
-dynamic programme over the counts that are left closes the gap to the word. Which documents
-of a length are taken follows a seeded hash, so reruns agree.
+and the excess is shared again by weight among the others until none is above. A source's
+documents are counted by exact length, each length gives its proportional part of the target,
+copies included, and a bounded-knapsack dynamic programme over the copies that are left closes
+the gap to the word. Which documents of a length are taken once more than the others follows
+a seeded hash, so reruns agree.
 
 Null text has size 0; null source is a source of its own, the last; a null doc_id is a
 document like others. Repeated rows are separate documents. An empty table gives an empty
@@ -68,28 +68,36 @@ def bounded_knapsack(lengths: list[int], counts: list[int], budget: int) -> list
     return taken
 
 
-def fit_budget(lengths: list[int], counts: list[int], budget: int, seed: int, exact: int = EXACT_WORDS) -> list[int]:
-    """Documents to take of each length, together as near to budget as can be found, not above it."""
+def fit_budget(lengths: list[int], counts: list[int], budget: int, seed: int, max_repeats: int = 1, exact: int = EXACT_WORDS) -> list[int]:
+    """Copies to take of the documents of each length, together as near to budget as can be found, not above it.
+
+    Each length first gives its proportional part. What is left is filled with one more of
+    each document at most and, where that does not do (one long document that is above the
+    budget by itself), with as many as max_repeats allows.
+    """
     total = sum(n * c for n, c in zip(lengths, counts))
-    if budget >= total:
-        return list(counts)
+    if budget >= total * max_repeats:
+        return [c * max_repeats for c in counts]
     if budget <= 0:
         return [0] * len(lengths)
-    taken = [c * budget // total if n else 0 for n, c in zip(lengths, counts)]
+    taken = [c * budget // total if n else c * (budget // total) for n, c in zip(lengths, counts)]
     left = budget - sum(n * k for n, k in zip(lengths, taken))
     order = list(range(len(lengths)))
     random.Random(seed).shuffle(order)
-    moved = True
-    while left > exact and moved:
-        moved = False
-        for i in order:
-            if left > exact and 0 < lengths[i] <= left and taken[i] < counts[i]:
-                taken[i] += 1
-                left -= lengths[i]
-                moved = True
-    more = bounded_knapsack([lengths[i] for i in order], [counts[i] - taken[i] for i in order], min(left, exact))
-    for i, k in zip(order, more):
-        taken[i] += k
+    for most in (1, max_repeats):
+        room = [min(c * max_repeats - k, c * most) if n else 0 for n, c, k in zip(lengths, counts, taken)]
+        moved = True
+        while left > exact and moved:
+            moved = False
+            for i in order:
+                if left > exact and room[i] and lengths[i] <= left:
+                    taken[i], room[i], left, moved = taken[i] + 1, room[i] - 1, left - lengths[i], True
+        more = bounded_knapsack([lengths[i] for i in order], [room[i] for i in order], min(left, exact))
+        for i, k in zip(order, more):
+            taken[i] += k
+            left -= k * lengths[i]
+        if not left:
+            break
     return taken
 
 
@@ -123,11 +131,9 @@ def plan(sizes: DataFrame, seed: int, max_repeats: int = 3) -> DataFrame:
 
     def one_source(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size", ignore_index=True)
-        whole, goal = int(rows["source_size"].iloc[0]), int(rows["target"].iloc[0] + 1e-6)
-        base = min(goal // whole, max_repeats) if whole else 0
-        left = goal - base * whole if base < max_repeats else 0
-        rows["base"] = base
-        rows["extra"] = fit_budget(rows["size"].tolist(), rows["n"].tolist(), left, seed)
+        goal = int(rows["target"].iloc[0] + 1e-6)
+        copies = np.array(fit_budget(rows["size"].tolist(), rows["n"].tolist(), goal, seed, max_repeats), dtype=np.int64)
+        rows["base"], rows["extra"] = copies // rows["n"], copies % rows["n"]
         return rows[["source", "size", "n", "base", "extra", "source_size", "target"]]
 
     kind = counts.schema["source"].dataType.simpleString()
