@@ -109,7 +109,7 @@ class Model:
         grams = [[_counts(codes, lengths, n) for n in range(1, order + 1)] for codes, lengths in spans]
         self.log: list[_Sorted] = []
         self.weight: list[_Sorted] = []
-        for n in range(1, order + 1):
+        for n in range(1, order + 1 if self.langs else 1):
             seen = np.unique(np.concatenate([g[n - 1][0] for g in grams]))
             heads, tails = np.zeros(len(seen), _U), np.zeros(len(seen), _U)
             for g in grams:
