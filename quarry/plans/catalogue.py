@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import chunking, citations, evaluate, fusion, intent, layout, lexical, resolve, vector
+from quarry.operators import chunking, citations, evaluate, fusion, intent, layout, lexical, models, resolve, sampling, vector
 from quarry.operators import tables as T
 from quarry.plans import inputs as I
 from quarry.plans import retrieval
@@ -290,6 +290,37 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.unix_timestamp("session_start").alias("session_start"), "n")
 
 
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.seeded_sample(table(spark, sf_dir, "documents"), 50, "doc_id").select("doc_id", "lang")
+
+
+def response_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.rows(spark, sf_dir, I.RESPONSES)
+    return rows.select("reply_id", X.response_text(F.col("reply")).alias("text"), citations.answer_text(X.response_text(F.col("reply"))).alias("answer"))
+
+
+def sources_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = I.rows(spark, sf_dir, I.CHUNKS).select("qid", "rank", F.when(F.col("rank") % 7 > 0, citations.label()).otherwise(" ").alias("label"))
+    rows = labelled.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "label"))).alias("p"))
+    return rows.select("qid", citations.sources_line(F.transform("p", lambda x: x["label"])).alias("sources"))
+
+
+def image_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = I.rows(spark, sf_dir, I.IMAGES)
+    names = images.filter("category IS NOT NULL").select(F.col("category").alias("name")).distinct()
+    captions = images.filter("image_id % 3 = 0").select("category", "page", F.concat(F.lit("p"), "image_id").alias("image_path"), F.concat(F.lit("caption "), "image_id").alias("caption"))
+    found = layout.with_captions(names, captions)
+    return found.select("name", F.size("image_captions").cast("bigint").alias("n"), F.sha2(F.array_join(F.transform("image_captions", lambda c: c["caption"]), "|"), 256).alias("captions_sha"))
+
+
+def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of BM25's 15 by shared words, the offline stand-in for a reranker."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    hits = _bm25(spark, sf_dir, 15).join(items, "qid").join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text_content")), "doc_id")
+    found = models.reranked(hits.withColumnRenamed("rank", "rrf_rank"))
+    return found.select("qid", "doc_id", "rank", F.col("cross_encoder_score").alias("score"))
+
+
 def queries() -> dict[str, Query]:
     found = [
         bm25_topk, bm25_term_stats, dense_topk, dense_topk_batch, dense_hashed, hybrid_rrf, interleave_dedup, multi_query_union, fts_and_match,
@@ -298,5 +329,6 @@ def queries() -> dict[str, Query]:
         running_matter, style_profile, heading_state, service_records, matter_ranges, link_overlap, outside_regions, image_routing, joined_spans,
         notice_context, catalog_chunks, verify_chunks, index_audit, gt_match, expected_backfill, service_match, retrieval_metrics, batch_scorecard,
         query_verdicts, judge_parse, citation_labels, citation_extract, event_windows, event_sessions,
+        seeded_sample, response_text, sources_line, image_captions, rerank_overlap,
     ]
     return {q.__name__: q for q in found} | {"answer_batch": retrieval.answer_batch, "retrieve_batch": retrieval.retrieve_batch}

@@ -152,3 +152,9 @@ SELECT doc_id, 'AWS Whitepaper' || chr(10) || text || chr(10) || '<u>Page</u> <!
   || 'Copyright © 2024 by Amazon Web Services, Inc.' || chr(10) || '© all' || chr(10) || 'Overview of Amazon Web Services  AWS Whitepaper' || chr(10) || 'end' AS text
 FROM documents
 """
+RESPONSES = """
+SELECT event_id AS reply_id, CASE event_id % 4 WHEN 0 THEN '  plain ' || event_type || ' '
+  WHEN 1 THEN '["one ", {"type": "text", "text": "' || event_type || '"}, {"other": 1}]'
+  WHEN 2 THEN '{"type": "text", "text": "block ' || CAST(user_id AS STRING) || '"}' ELSE 'Well, this isn''t covered in the document. Sorry' END AS reply
+FROM events
+"""

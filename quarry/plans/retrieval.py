@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.config import Config
@@ -24,7 +24,7 @@ class Retriever:
         c = self.config
         asked = intent.intent(questions, "question")
         variants = asked.select("qid", "is_comparison", F.posexplode(F.concat(F.array("question"), "variations")).alias("variant", "text"))
-        variants = variants.withColumn("vq", F.col("qid") * 4 + F.col("variant"))
+        variants = variants.withColumn("vq", F.xxhash64("qid", "variant"))
         depth = F.when(F.col("is_comparison"), c.comparison_depth).otherwise(c.dense_depth)
         vectors = models.embedded(variants.select("vq", "text"), self.embedder, prefix=self.prefix)
         dense = vector.nearest_each(self.children.select("child_no", "embedding"), vectors, c.comparison_depth, "child_no", query_key="vq")
@@ -38,8 +38,6 @@ class Retriever:
         d = joined[0].select("qid", "doc_id", F.col("rank").alias("dense_rank"), (F.col("vector_weight") / (c.rrf_constant + F.col("rank"))).alias("d"))
         s = joined[1].select("qid", "doc_id", F.col("rank").alias("sparse_rank"), (F.col("bm25_weight") / (c.rrf_constant + F.col("rank"))).alias("s"))
         both = d.join(s, ["qid", "doc_id"], "full").withColumn("rrf_score", F.coalesce("d", F.lit(0.0)) + F.coalesce("s", F.lit(0.0)))
-        from pyspark.sql import Window
-
         order = Window.partitionBy("qid").orderBy(F.desc("rrf_score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("sparse_rank"), "doc_id")
         fused = both.withColumn("rrf_rank", F.row_number().over(order)).filter(F.col("rrf_rank") <= c.rrf_keep).select("qid", F.col("doc_id").alias("child_no"), "rrf_score", "rrf_rank")
         texts = self.children.select("child_no", F.col("doc_id").alias("child_id"), "parent_id", "text_content")

@@ -214,6 +214,16 @@ raw AS (SELECT rank, unnest(list_concat(regexp_extract_all(answer, '\(([^)]+)\)'
 j AS (SELECT c.*, s.seg, (contains(s.seg, 'page ' || page_start::VARCHAR) OR contains(s.seg, 'pages ' || page_start::VARCHAR)) AS on_page FROM c JOIN segs s USING (rank) WHERE s.seg <> ''), hit AS (SELECT DISTINCT rank FROM j WHERE {_CITED}),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY rank) AS n FROM c WHERE trim(answer) <> {_q(C.REFUSAL)} AND (rank IN (SELECT rank FROM hit) OR contains(lower(answer), lower(citation_label))))
 SELECT qid, rank, id, citation_label FROM k WHERE n = 1""",
+    "seeded_sample": "SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id::VARCHAR), doc_id LIMIT 50",
+    "response_text": f"""WITH r AS ({I.RESPONSES}), t AS (SELECT reply_id, trim(CASE WHEN starts_with(reply, '[') THEN json_extract_string(reply, '$[0]') || coalesce(json_extract_string(reply, '$[1].text'), '') WHEN starts_with(reply, '{{') THEN json_extract_string(reply, '$.text') ELSE reply END) AS text FROM r)
+SELECT reply_id, text, CASE WHEN contains(lower(text), lower({_q(C.REFUSAL.rstrip('.'))})) THEN {_q(C.REFUSAL)} ELSE text END AS answer FROM t""",
+    "sources_line": f"""WITH c AS ({I.CHUNKS}), l AS (SELECT qid, rank, CASE WHEN rank % 7 > 0 THEN {_LABEL} ELSE ' ' END AS label FROM c)
+SELECT qid, CASE WHEN count(*) FILTER (trim(label) <> '') > 0 THEN 'Sources: ' || string_agg(trim(label), '; ' ORDER BY rank) FILTER (trim(label) <> '') ELSE '' END AS sources FROM l GROUP BY qid""",
+    "image_captions": f"""WITH i AS ({I.IMAGES}), n AS (SELECT DISTINCT category AS name FROM i WHERE category IS NOT NULL), c AS (SELECT category, count(*) AS n, sha256(string_agg('caption ' || image_id::VARCHAR, '|' ORDER BY page, 'p' || image_id::VARCHAR)) AS s FROM i WHERE image_id % 3 = 0 GROUP BY category)
+SELECT n.name, c.n, c.s AS captions_sha FROM n LEFT JOIN c ON n.name = c.category""",
+    "rerank_overlap": rf"""WITH {_bm25(15)}, w AS (SELECT s.qid, s.doc_id, s.rank AS r, list_distinct({TOKENS.format('b.text')}) AS q, list_distinct({TOKENS.format('d.text')}) AS t FROM sparse s JOIN benchmark b ON b.item_id = s.qid JOIN documents d ON d.doc_id = s.doc_id),
+k AS (SELECT qid, doc_id, r, round(len(list_intersect(q, t))::DOUBLE / greatest(len(q), 1), 6) AS score FROM w), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r) AS rank FROM k)
+SELECT qid, doc_id, rank, score FROM o WHERE rank <= 5""",
     "event_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL",
     "event_sessions": """WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events),
 s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM l) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS session_start, count(*) AS n FROM s GROUP BY user_id, g""",

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quarry import __main__ as cli
 from quarry.config import Config, load_config
 from quarry.functions import text as X
 from quarry.operators import chunking, citations, evaluate, fusion, intent, layout, lexical, models, resolve, vector
@@ -292,3 +293,16 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs"))
     ingest.ingest(stream, str(tmp_path / "index"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "index/parents")).filter("source = 2").count() == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    spark.createDataFrame([(i, f"### Topic {i}\nThe zebra{i} likes apple{i}.") for i in range(12)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    index = str(tmp_path / "index")
+    assert cli.main(["build", "--documents", str(tmp_path / "docs"), "--index", index]) == 0
+    assert cli.main(["ask", "--index", index, "zebra5 apple5", " "]) == 0
+    assert "Sources: Topic 5" in capsys.readouterr().out
+    parent = spark.read.parquet(f"{index}/parents").filter("category = 'Topic 3'").first()["doc_id"]
+    (tmp_path / "q.json").write_text(json.dumps([{"question": "zebra3 apple3", "expected_parent_ids": [parent]}, {"question": "none"}]))
+    assert "MRR: 1.0000" in cli.evaluated(spark, index, str(tmp_path / "q.json"))
+    with pytest.raises(SystemExit):
+        cli.main(["ask"])
