@@ -13,8 +13,10 @@ by blind tries. A window at offset o before its anchor repeats when another anch
 agrees on o bytes to the left and WIDTH - o to the right, which the two sorted orders tell for
 all offsets at once.
 
-Equal segments are counted before the sort and sorted once, combined before the shuffle. What returns to a document is
-the windows that are unique after all; the other windows of repeated grams are removed.
+Equal segments are counted before the sort and sorted once, combined before the shuffle. What
+returns to a document is the windows that are unique after all; the other windows of repeated
+grams are removed. The segments of a gram meet in one task; a gram named at more than BUSY
+positions takes another way: its windows are counted by 64-bit hash, combined before the shuffle.
 
 Null and empty texts are empty bytes. Rows that share a doc_id are separate texts, so equal
 rows lose what they share; a null doc_id is like another. An empty table gives an empty
@@ -36,6 +38,9 @@ WIDTH, GRAM = 200, 32
 SHALLOW = 32
 #: Segments whose contexts are compared at once, unless one gram has more.
 _ROWS = 4096
+#: Positions of one gram up to which its segments are sorted together.
+BUSY = 20_000
+_OFFSETS = 32
 _BLOCK = 1 << 20
 _U = np.uint64
 
@@ -96,32 +101,36 @@ def grams(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
 
 
 def repeated_grams(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(key, grams, mixed): for each document the grams that are named at two positions or more, and those among them whose segments differ."""
+    """(key, grams, mixed, busy): for each document the grams that are named at two positions or more, those among them whose segments differ, and of these those named at more than BUSY positions."""
     named = grams(rows, width, gram)
     shared = named.groupBy("gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    shared = shared.filter("n > 1").select("gram", (F.col("low") != F.col("high")).alias("differ"))
+    shared = shared.filter("n > 1").select("gram", (F.col("low") != F.col("high")).alias("differ"), (F.col("n") > BUSY).alias("much"))
     both = named.select("key", "gram").join(shared, "gram")
-    return both.groupBy("key").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("differ"), F.col("gram"))).alias("mixed"))
+    differs, much = F.col("differ"), F.col("differ") & F.col("much")
+    return both.groupBy("key").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(differs, F.col("gram"))).alias("mixed"), F.collect_set(F.when(much, F.col("gram"))).alias("busy"))
 
 
 def segments(flagged: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(gram, anchor, bytes, n, key, first): different segments of mixed grams, how often each is there, and one place of it."""
+    """(gram, anchor, bytes, n, key, first, busy): different segments of mixed grams, how often each is there, and one place of it."""
 
     def run(batches):
         for b in batches:
-            keys, values, flags = b.column(0).to_numpy(zero_copy_only=False), texts(b.column(1)), b.column(2).to_pylist()
+            keys, values = b.column(0).to_numpy(zero_copy_only=False), texts(b.column(1))
+            flags, much = b.column(2).to_pylist(), b.column(3).to_pylist()
             for first, end in blocks(values, _BLOCK):
                 s = _Segments(values[first:end], width, gram)
                 at = s.flagged(flags[first:end])
+                busy = np.isin(at, s.flagged(much[first:end]))
                 a, z = s.first[at], s.first[at] + s.count[at] - 1 + width
                 pieces = [s.data[x:y] for x, y in zip(a.tolist(), z.tolist())]
                 own = s.text[at]
-                arrays = [pa.array(s.gram[at].view(np.int64), pa.int64()), pa.array(s.anchor[at] - a, pa.int32()), pa.array(pieces, pa.binary()), pa.array(keys[first:end][own], pa.int64()), pa.array(a - s.begin[own], pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, ["gram", "anchor", "bytes", "key", "first"])
+                arrays = [pa.array(s.gram[at].view(np.int64), pa.int64()), pa.array(s.anchor[at] - a, pa.int32()), pa.array(pieces, pa.binary()), pa.array(keys[first:end][own], pa.int64()), pa.array(a - s.begin[own], pa.int64()), pa.array(busy, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(arrays, ["gram", "anchor", "bytes", "key", "first", "busy"])
 
-    found = flagged.filter(F.size("mixed") > 0).select("key", "text", "mixed")
-    found = found.mapInArrow(run, "gram long, anchor int, bytes binary, key long, first long")
-    return found.groupBy("gram", "anchor", "bytes").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("first").alias("first"))
+    found = flagged.filter(F.size("mixed") > 0).select("key", "text", "mixed", "busy")
+    found = found.mapInArrow(run, "gram long, anchor int, bytes binary, key long, first long, busy boolean")
+    # busy follows from gram; as an aggregate it keeps both ways below on one shuffle.
+    return found.groupBy("gram", "anchor", "bytes").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("first").alias("first"), F.max("busy").alias("busy"))
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -239,25 +248,45 @@ def unique_windows(heads: np.ndarray, anchors: np.ndarray, pieces: list[bytes],
     right = deep_shallow(heads, [p[a + gram :] for p, a in zip(pieces, anchors.tolist())])
     left = deep_shallow(heads, [p[:a][::-1] for p, a in zip(pieces, anchors.tolist())])
     windows = np.array([len(p) for p in pieces]) - width + 1
-    valid = (offsets[:, None] <= anchors[None, :]) & (offsets[:, None] > anchors[None, :] - windows[None, :])
     n = len(pieces)
-    both = _classes(*right, width - gram - offsets) * (n + 1) + _classes(*left, offsets)
-    both = np.where(valid, both, -1 - np.arange(n)[None, :])
-    by = np.argsort(both, axis=1, kind="stable")
-    ordered = np.take_along_axis(both, by, 1)
-    same = ordered[:, 1:] == ordered[:, :-1]
-    again = np.zeros(both.shape, bool)
-    again[:, 1:] |= same
-    again[:, :-1] |= same
-    out = np.zeros(both.shape, bool)
-    np.put_along_axis(out, by, ~again, 1)
-    return out & valid & (counts == 1)[None, :]
+    out = np.zeros((len(offsets), n), bool)
+    for k in range(0, len(offsets), _OFFSETS):
+        part = offsets[k : k + _OFFSETS]
+        valid = (part[:, None] <= anchors[None, :]) & (part[:, None] > anchors[None, :] - windows[None, :])
+        both = _classes(*right, width - gram - part) * (n + 1) + _classes(*left, part)
+        both = np.where(valid, both, -1 - np.arange(n)[None, :])
+        by = np.argsort(both, axis=1, kind="stable")
+        ordered = np.take_along_axis(both, by, 1)
+        same = ordered[:, 1:] == ordered[:, :-1]
+        again = np.zeros(both.shape, bool)
+        again[:, 1:] |= same
+        again[:, :-1] |= same
+        once = np.zeros(both.shape, bool)
+        np.put_along_axis(once, by, ~again, 1)
+        out[k : k + _OFFSETS] = once & valid & (counts == 1)[None, :]
+    return out
+
+
+def counted_windows(found: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(key, low, high): the windows of busy grams that are there once only, each a range of one, counted by hash of gram and window."""
+
+    def run(batches):
+        for b in batches:
+            for gram, piece, n, key, first in zip(*(c.to_pylist() for c in b.columns)):
+                h = rolling(np.frombuffer(piece, dtype=np.uint8).astype(_U) + _U(1), width).view(np.int64)
+                m = len(h)
+                arrays = [np.full(m, gram), h, np.full(m, n), np.full(m, key), first + np.arange(m)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["gram", "window", "n", "key", "low"])
+
+    rows = found.select("gram", "bytes", "n", "key", "first").mapInArrow(run, "gram long, window long, n long, key long, low long")
+    once = rows.groupBy("gram", "window").agg(F.sum("n").alias("n"), F.min("key").alias("key"), F.min("low").alias("low")).filter("n = 1")
+    return once.select("key", "low", (F.col("low") + 1).alias("high"))
 
 
 def unique_ranges(found: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(key, unique): ranges of window starts that name a repeated gram but are there once only.
 
-    found is from `segments`; a gram's segments meet in one task.
+    found is from `segments`; the segments of a gram that is not busy meet in one task.
     """
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
@@ -292,8 +321,9 @@ def unique_ranges(found: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         if waiting:
             yield settle(waiting)
 
-    met = found.repartition("gram").sortWithinPartitions("gram").select("gram", "anchor", "bytes", "n", "key", "first")
+    met = found.filter("NOT busy").repartition("gram").sortWithinPartitions("gram").select("gram", "anchor", "bytes", "n", "key", "first")
     ranges = met.mapInArrow(run, "key long, low long, high long")
+    ranges = ranges.unionAll(counted_windows(found.filter("busy"), width))
     return ranges.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("unique"))
 
 

@@ -102,6 +102,13 @@ def test_op8_matches_brute_force(spark):
     assert [found[i] for i, _ in again] == brute_suffixes([t for _, t in again], 40)
 
 
+def test_op8_busy_grams_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUSY", 3)
+    rows = [(i, r[1]) for i, r in enumerate(corpus(12, 40))]
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.dedup_suffixes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i] for i, _ in rows] == brute_suffixes([t for _, t in rows], 200)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.binary(max_size=60).map(lambda b: bytes(x % 3 for x in b))), min_size=1, max_size=30))
 def test_deep_shallow_orders_like_sorted(rows):
