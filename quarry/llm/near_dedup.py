@@ -41,7 +41,7 @@ from quarry.llm.components import components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Members of a family that are compared in one block.
-FAMILY = 512
+FAMILY = 160
 _COLUMNS = 4096
 SLOTS = BANDS * ROWS
 _U = np.uint64
