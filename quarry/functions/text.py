@@ -126,5 +126,5 @@ def response_text(c: Column) -> Column:
 
 
 def lowercase_runs(c: Column, least: int = 12) -> Column:
-    """Runs of at least `least` lower-case letters: words that may have been merged."""
-    return F.regexp_extract_all(c, F.lit(rf"\b([a-z]{{{least},}})\b"), F.lit(1))
+    """Words of at least `least` letters, all a to z: they may be several words run together."""
+    return F.filter(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(1)), lambda w: w.rlike(rf"^[a-z]{{{least},}}$"))

@@ -75,8 +75,7 @@ def multi_query_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 3), " "))
-    return lexical.fulltext_search(table(spark, sf_dir, "documents"), items, 20)
+    return lexical.fulltext_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
 
 
 def category_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,10 +101,10 @@ def clean_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("html", 1, 400)
+    html = F.col("html")
     return table(spark, sf_dir, "pages").select(
-        "page_id", X.slug(F.col("url")).alias("slug"), F.sha2(X.collapsed(head), 256).alias("collapsed_sha"), F.sha2(X.clean_cell(head), 256).alias("cell_sha"),
-        X.token_count(head).cast("bigint").alias("n_tokens"), X.approx_tokens(head).cast("bigint").alias("approx_tokens"), X.clean_header(F.concat(F.lit("**<u>"), "url", F.lit("</u>__ "))).alias("header"),
+        "page_id", X.slug(F.col("url")).alias("slug"), F.sha2(X.collapsed(html), 256).alias("collapsed_sha"), F.sha2(X.clean_cell(html), 256).alias("cell_sha"),
+        X.token_count(html).cast("bigint").alias("n_tokens"), X.approx_tokens(html).cast("bigint").alias("approx_tokens"), X.clean_header(F.concat(F.lit("**<u>"), "url", F.lit("</u>__ "))).alias("header"),
         X.mime_type(F.element_at(F.split("url", "[./]"), -1)).alias("mime"))
 
 
@@ -120,7 +119,7 @@ def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", X.lowercase_runs(F.col("text")).alias("runs"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.lowercase_runs(F.col("text")).alias("runs"))
     return rows.filter(F.size("runs") > 0).select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.element_at("runs", 1).alias("first_run"))
 
 
@@ -186,7 +185,7 @@ def service_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matter_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = I.rows(spark, sf_dir, I.LINES)
-    found = lines.filter("size = 18 AND document % 5 < 4").select("document", F.col("page").alias("page_start"), (F.col("page") + 2).alias("page_end"))
+    found = lines.filter("size = 18 AND text <> 'Category click'").select("document", F.col("page").alias("page_start"), (F.col("page") + 2).alias("page_end"))
     return layout.matter_ranges(found, lines.groupBy("document").agg(F.max("page").alias("page_count")).withColumn("page_count", F.col("page_count") - F.col("document") * 10)).select("document", "kind", "page_start", "page_end")
 
 
@@ -203,7 +202,7 @@ def outside_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = I.rows(spark, sf_dir, I.IMAGES)
-    return layout.image_routes(images, images.filter("image_id % 3 = 0").select("category", "page")).select("image_id", "route")
+    return layout.image_routes(images, images.filter("pixel_width > 300").select("category", "page")).select("image_id", "route")
 
 
 def joined_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +307,7 @@ def sources_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = I.rows(spark, sf_dir, I.IMAGES)
     names = images.filter("category IS NOT NULL").select(F.col("category").alias("name")).distinct()
-    captions = images.filter("image_id % 3 = 0").select("category", "page", F.concat(F.lit("p"), "image_id").alias("image_path"), F.concat(F.lit("caption "), "image_id").alias("caption"))
+    captions = images.select("category", "page", F.concat(F.lit("p"), "image_id").alias("image_path"), F.concat(F.lit("caption "), "image_id").alias("caption"))
     found = layout.with_captions(names, captions)
     return found.select("name", F.size("image_captions").cast("bigint").alias("n"), F.sha2(F.array_join(F.transform("image_captions", lambda c: c["caption"]), "|"), 256).alias("captions_sha"))
 

@@ -41,13 +41,13 @@ SELECT event_id AS image_id, CAST(floor(event_id / 400) AS BIGINT) AS document,
   CAST(61 + 15 * (event_id % 40) AS DOUBLE) AS y, CAST(100 + event_id % 300 AS INT) AS pixel_width, CAST(140 + user_id % 40 AS INT) AS pixel_height,
   CAST(145 + event_id % 90 AS DOUBLE) AS render_width, CAST(160 AS DOUBLE) AS render_height,
   CASE WHEN user_id % 5 > 0 THEN event_type END AS category
-FROM events WHERE event_id % 7 = 3
+FROM events
 """
 LINKS = """
 SELECT CAST(floor(event_id / 40) AS INT) + 1 AS page, 'https://example.org/' || CAST(user_id % 50 AS STRING) AS uri,
   CAST(480 + event_id % 60 AS DOUBLE) AS link_x0, CAST(500 + event_id % 60 AS DOUBLE) AS link_x1,
   CAST(65 + 15 * (event_id % 40) AS DOUBLE) AS link_y0, CAST(77 + 15 * (event_id % 40) AS DOUBLE) AS link_y1
-FROM events WHERE event_id % 11 = 5
+FROM events
 """
 PAGE_TABLES = """
 SELECT p_partkey AS table_id, CAST(floor(p_partkey / 50) AS BIGINT) AS document, p_name AS title, 2 * p_partkey AS page_start,
@@ -81,25 +81,25 @@ SELECT event_id AS qid,
     WHEN 7 THEN event_type || ' versus glued things'
     WHEN 8 THEN 'tell me which offerings exist for iot?'
     ELSE 'plain ' || event_type END AS text
-FROM events WHERE event_id < 2000
+FROM events
 """
 TRUTHS = """
-SELECT event_id AS no, 'Q' || CASE WHEN event_id % 2 = 0 THEN '0' ELSE '' END || CAST(event_id AS STRING) AS question_id,
-  'What does ' || event_type || ' cost in region ' || CAST(user_id AS STRING) || '?' AS question
-FROM events WHERE event_id BETWEEN 1 AND 40
+SELECT CAST(n_nationkey AS BIGINT) AS no, 'Q' || CASE WHEN n_nationkey % 2 = 0 THEN '0' ELSE '' END || CAST(n_nationkey AS STRING) AS question_id,
+  'What does ' || n_name || ' cost in region ' || CAST(n_regionkey AS STRING) || '?' AS question
+FROM nation
 """
 INPUTS = """
-SELECT event_id AS input_id,
-  CASE event_id % 5 WHEN 0 THEN 'q' || CAST(event_id % 60 AS STRING) WHEN 1 THEN ' what does ' || event_type || ' cost in region ' || CAST(user_id AS STRING) || '? '
-    WHEN 2 THEN 'cost in region' WHEN 3 THEN 'does the ' || event_type || ' cost in region' ELSE event_type || ' nothing else' END AS input
-FROM events WHERE event_id < 500
+SELECT c_custkey AS input_id,
+  CASE c_custkey % 5 WHEN 0 THEN 'q' || CAST(c_custkey % 60 AS STRING) WHEN 1 THEN ' what does ' || lower(n_name) || ' cost in region ' || CAST(n_regionkey AS STRING) || '? '
+    WHEN 2 THEN 'cost in region' WHEN 3 THEN 'does the ' || n_name || ' cost in region' ELSE n_name || ' nothing else' END AS input
+FROM customer JOIN nation ON c_nationkey = n_nationkey
 """
 REPLIES = """
 SELECT event_id AS reply_id,
   CASE event_id % 8 WHEN 0 THEN 'SCORE: 0.9' || CAST(user_id % 10 AS STRING) || chr(10) || 'REASON: fits well.'
     WHEN 1 THEN 'score: 1 reason: ' || repeat(event_type || ' ', 30) WHEN 2 THEN 'about 0.75, I think' WHEN 3 THEN 'SCORE: .9'
     WHEN 4 THEN 'no idea' WHEN 5 THEN 'SCORE: 0.5 REASON: fair.'', ''extras'': {''signature'': 9}' WHEN 6 THEN '' ELSE 'SCORE: 0 REASON: "bad".' END AS reply
-FROM events WHERE event_id < 1000
+FROM events
 """
 CHUNKS = """
 SELECT p_partkey % 100 AS qid, p_partkey AS rank,
@@ -113,7 +113,7 @@ SELECT p_partkey % 100 AS qid, p_partkey AS rank,
 FROM part
 """
 CHILDREN = """
-SELECT l_orderkey AS qid, CAST(l_partkey % 150 AS STRING) AS parent_id, l_linenumber AS rank FROM lineitem WHERE l_orderkey % 5 = 0
+SELECT l_orderkey AS qid, CAST(l_partkey % 150 AS STRING) AS parent_id, l_linenumber AS rank FROM lineitem
 """
 PARENTS = """
 SELECT CAST(s_suppkey AS STRING) AS doc_id, 'Nation ' || CAST(s_nationkey AS STRING) AS category, s_name AS service_name, '  About ' || s_name || ' ' AS text_content FROM supplier
@@ -121,18 +121,18 @@ SELECT CAST(s_suppkey AS STRING) AS doc_id, 'Nation ' || CAST(s_nationkey AS STR
 FOUND = """
 SELECT l_orderkey AS qid, l_linenumber AS rank, CASE WHEN l_partkey % 3 = 0 THEN 'concept:c' || CAST(l_partkey % 20 AS STRING)
   ELSE 'service:c:s' || CAST(l_partkey % 20 AS STRING) || ':part-' || CAST(l_suppkey % 11 AS STRING) END AS id
-FROM lineitem WHERE l_orderkey % 3 = 0
+FROM lineitem
 """
 PARTS = """
 SELECT DISTINCT 'service:c:s' || CAST(p_partkey % 20 AS STRING) || ':part-' || CAST(p_size % 12 AS STRING) AS id, CASE WHEN p_partkey % 20 < 15 THEN 'service' ELSE 'table' END AS chunk_type FROM part
 """
 VARIANTS = """
-SELECT l_orderkey AS qid, l_linenumber % 3 AS variant, l_linenumber AS rank, l_partkey % 4 AS doc_id FROM lineitem WHERE l_orderkey % 4 = 0
+SELECT l_orderkey AS qid, l_linenumber % 3 AS variant, l_linenumber AS rank, l_partkey % 4 AS doc_id FROM lineitem
 """
 SPANS = """
 SELECT l_orderkey AS line_id, place, CASE WHEN l_partkey % 6 = 0 THEN '' WHEN l_partkey % 5 = 0 THEN 'a ' ELSE 'w' || CAST(l_partkey % 9 AS STRING) END AS text,
   CAST(10 * place AS DOUBLE) AS x0, CAST(10 * place AS DOUBLE) + CASE WHEN l_suppkey % 2 = 0 THEN 9.0 ELSE 9.5 END AS x1
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem) WHERE l_orderkey % 4 = 1
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem) AS l
 """
 ROWS = """
 SELECT l_orderkey AS table_id, CAST(l_quantity AS BIGINT) AS size, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS BIGINT) AS row_no FROM lineitem

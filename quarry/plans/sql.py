@@ -129,15 +129,15 @@ SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY variant, rank,
   CASE WHEN is_comparison THEN {_q(N.COMPARISON_FORM)} WHEN is_summary THEN {_q(N.SUMMARY_FORM)} WHEN is_technical THEN {_q(N.TECHNICAL_FORM)} ELSE {_q(N.DEFAULT_FORM)} END || text AS v1 FROM x)
 SELECT qid, 0 AS place, v0 AS variation FROM v UNION ALL SELECT qid, 1, v1 FROM v WHERE v0 <> v1""",
     "clean_text_lines": f"WITH m AS ({I.MATTER}) SELECT doc_id, sha256({_clean('text', X.PAGE_TITLES)}) AS page_sha, sha256({_clean(_MARKDOWN, X.MARKDOWN_TITLES)}) AS markdown_sha FROM m",
-    "text_scalars": f"""SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug, sha256({_NORM.format('substr(html, 1, 400)')}) AS collapsed_sha, sha256({_CELL.format('substr(html, 1, 400)')}) AS cell_sha,
-  len(regexp_extract_all(substr(html, 1, 400), '\\S+')) AS n_tokens, greatest(1, length(substr(html, 1, 400)) // 4) AS approx_tokens,
+    "text_scalars": f"""SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug, sha256({_NORM.format('html')}) AS collapsed_sha, sha256({_CELL.format('html')}) AS cell_sha,
+  len(regexp_extract_all(html, '\\S+')) AS n_tokens, greatest(1, length(html) // 4) AS approx_tokens,
   regexp_replace(regexp_replace(regexp_replace('**<u>' || url || '</u>__ ', '</?u>', '', 'g'), '[*_]{{1,3}}', '', 'g'), '^\\s+|\\s+$', '', 'g') AS header, {_MIME} AS mime FROM pages""",
     "header_metadata": """WITH h AS (SELECT event_id, CASE WHEN user_id % 2 > 0 THEN event_type || ' h2' END AS h2, CASE WHEN user_id % 3 > 0 THEN event_type || ' h3' END AS h3,
   CASE WHEN user_id % 5 > 0 THEN event_type || ' h5' END AS h4, CASE WHEN user_id % 7 > 0 THEN event_type || ' h7' END AS h5 FROM events),
 c AS (SELECT *, coalesce(h3, h2, 'General') AS category FROM h),
 s AS (SELECT *, CASE WHEN h4 IS NOT NULL THEN CASE WHEN h5 IS NOT NULL THEN h4 || ' > ' || h5 ELSE h4 END ELSE coalesce(h5, category) END AS service_name FROM c)
 SELECT event_id, category, service_name, coalesce(nullif(concat_ws(' > ', CASE WHEN category <> 'General' THEN category END, CASE WHEN service_name <> category THEN service_name END), ''), h2, 'Title', 'General') AS header_path FROM s""",
-    "merge_suspects": r"""WITH r AS (SELECT doc_id, regexp_extract_all(text, '\b([a-z]{12,})\b', 1) AS runs FROM documents WHERE lang = 'en') SELECT doc_id, len(runs) AS n_runs, runs[1] AS first_run FROM r WHERE len(runs) > 0""",
+    "merge_suspects": r"""WITH r AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{12,}')) AS runs FROM documents) SELECT doc_id, len(runs) AS n_runs, runs[1] AS first_run FROM r WHERE len(runs) > 0""",
     "parent_resolution": f"""WITH c AS ({I.CHILDREN}), p AS ({I.PARENTS}), f AS (SELECT qid, parent_id, min(rank) AS rank FROM c GROUP BY ALL),
 m AS (SELECT f.qid, f.parent_id, f.rank, '--- CONTEXT BLOCK ---' || chr(10) || '[Category: ' || p.category || ']' || chr(10) || '[Service: ' || p.service_name || ']' || chr(10) || trim(p.text_content) || chr(10) || '--- END CONTEXT BLOCK ---' AS b FROM f JOIN p ON f.parent_id = p.doc_id)
 SELECT qid, count(*) AS n_parents, string_agg(b, chr(10) || chr(10) ORDER BY rank, parent_id) AS context FROM m GROUP BY qid""",
@@ -172,12 +172,12 @@ SELECT (SELECT min(size) FROM r WHERE size > (SELECT size FROM s) AND size >= 16
     "service_records": f"""WITH {_STATE}, n AS (SELECT *, sum((kind = 'service')::INT) OVER (PARTITION BY document, category_no ORDER BY line_id) AS service_no FROM kinds WHERE kind IN ('service', 'body')),
 g AS (SELECT document, category_no, service_no, any_value(category) AS category, any_value(service) AS name, min(page) AS page_start, max(page) AS page_end, trim(coalesce(string_agg(text, chr(10) ORDER BY line_id) FILTER (kind = 'body'), '')) AS description FROM n GROUP BY ALL)
 SELECT document, category, name, page_start, page_end, sha256(description) AS description_sha, CASE WHEN category = 'Category click' THEN 'concept' ELSE 'service' END AS record_type, CASE WHEN category = 'Category click' THEN category END AS concept_group FROM g WHERE description <> ''""",
-    "matter_ranges": f"""WITH l AS ({I.LINES}), d AS (SELECT document, max(page) - document * 10 AS page_count FROM l GROUP BY document), s AS (SELECT document, min(page) AS first, max(page + 2) AS last FROM l WHERE size = 18 AND document % 5 < 4 GROUP BY document), b AS (SELECT d.document, page_count, first, last FROM d LEFT JOIN s USING (document))
+    "matter_ranges": f"""WITH l AS ({I.LINES}), d AS (SELECT document, max(page) - document * 10 AS page_count FROM l GROUP BY document), s AS (SELECT document, min(page) AS first, max(page + 2) AS last FROM l WHERE size = 18 AND text <> 'Category click' GROUP BY document), b AS (SELECT d.document, page_count, first, last FROM d LEFT JOIN s USING (document))
 SELECT document, 'unparsed_document' AS kind, 1 AS page_start, page_count::INT AS page_end FROM b WHERE first IS NULL UNION ALL SELECT document, 'front_matter', 1, first - 1 FROM b WHERE first > 1 UNION ALL SELECT document, 'back_matter', last + 1, page_count::INT FROM b WHERE last < page_count""",
     "link_overlap": f"""WITH b AS (SELECT line_id // 20 AS owner, page, y0, y1 FROM ({I.LINES})), k AS ({I.LINKS})
 SELECT owner, string_agg(uri, ' ' ORDER BY uri) AS urls FROM (SELECT DISTINCT b.owner, k.uri FROM b JOIN k ON b.page = k.page AND 50 < k.link_x1 AND k.link_x0 < 500 AND b.y0 < k.link_y1 AND k.link_y0 < b.y1) GROUP BY owner""",
     "outside_regions": f"""WITH l AS ({I.LINES}), k AS ({I.LINKS}) SELECT line_id FROM l WHERE NOT EXISTS (SELECT 1 FROM k WHERE l.page = k.page AND 50 < k.link_x1 AND k.link_x0 < 490 AND l.y0 < k.link_y1 AND k.link_y0 < l.y1)""",
-    "image_routing": f"""WITH i AS ({I.IMAGES}), d AS (SELECT DISTINCT category, page FROM i WHERE image_id % 3 = 0)
+    "image_routing": f"""WITH i AS ({I.IMAGES}), d AS (SELECT DISTINCT category, page FROM i WHERE pixel_width > 300)
 SELECT image_id, CASE WHEN least(pixel_width, pixel_height, render_width, render_height) < 150 THEN 'decorative_size' WHEN i.category IS NULL THEN 'outside_catalog_category' WHEN d.page IS NOT NULL THEN 'already_captioned' ELSE 'captioned' END AS route FROM i LEFT JOIN d ON i.category = d.category AND i.page = d.page""",
     "joined_spans": rf"""WITH s AS (SELECT *, lag(text) OVER w AS before, lag(x1) OVER w AS e FROM ({I.SPANS}) WHERE text <> '' WINDOW w AS (PARTITION BY line_id ORDER BY place))
 SELECT line_id, string_agg(CASE WHEN before IS NOT NULL AND NOT regexp_matches(before, '\s$') AND NOT regexp_matches(text, '^\s') AND x0 - e >= 0.75 THEN ' ' ELSE '' END || text, '' ORDER BY place) AS text FROM s GROUP BY line_id""",
@@ -219,7 +219,7 @@ SELECT qid, rank, id, citation_label FROM k WHERE n = 1""",
 SELECT reply_id, text, CASE WHEN contains(lower(text), lower({_q(C.REFUSAL.rstrip('.'))})) THEN {_q(C.REFUSAL)} ELSE text END AS answer FROM t""",
     "sources_line": f"""WITH c AS ({I.CHUNKS}), l AS (SELECT qid, rank, CASE WHEN rank % 7 > 0 THEN {_LABEL} ELSE ' ' END AS label FROM c)
 SELECT qid, CASE WHEN count(*) FILTER (trim(label) <> '') > 0 THEN 'Sources: ' || string_agg(trim(label), '; ' ORDER BY rank) FILTER (trim(label) <> '') ELSE '' END AS sources FROM l GROUP BY qid""",
-    "image_captions": f"""WITH i AS ({I.IMAGES}), n AS (SELECT DISTINCT category AS name FROM i WHERE category IS NOT NULL), c AS (SELECT category, count(*) AS n, sha256(string_agg('caption ' || image_id::VARCHAR, '|' ORDER BY page, 'p' || image_id::VARCHAR)) AS s FROM i WHERE image_id % 3 = 0 GROUP BY category)
+    "image_captions": f"""WITH i AS ({I.IMAGES}), n AS (SELECT DISTINCT category AS name FROM i WHERE category IS NOT NULL), c AS (SELECT category, count(*) AS n, sha256(string_agg('caption ' || image_id::VARCHAR, '|' ORDER BY page, 'p' || image_id::VARCHAR)) AS s FROM i GROUP BY category)
 SELECT n.name, c.n, c.s AS captions_sha FROM n LEFT JOIN c ON n.name = c.category""",
     "rerank_overlap": rf"""WITH {_bm25(15)}, w AS (SELECT s.qid, s.doc_id, s.rank AS r, list_distinct({TOKENS.format('b.text')}) AS q, list_distinct({TOKENS.format('d.text')}) AS t FROM sparse s JOIN benchmark b ON b.item_id = s.qid JOIN documents d ON d.doc_id = s.doc_id),
 k AS (SELECT qid, doc_id, r, round(len(list_intersect(q, t))::DOUBLE / greatest(len(q), 1), 6) AS score FROM w), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r) AS rank FROM k)
