@@ -9,22 +9,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
+from quarry.sources.sinks import stored
 
 
 class Bm25Index:
-    """Term statistics of a corpus: how many documents hold each term, and their lengths.
+    """Postings and term statistics of a corpus, as a stored table.
 
-    `docs` has `key` and text; the postings of a query's terms are found by a join on the
-    term, so a search touches only them.
+    `docs` has `key` and text; texts are cut into words once. A search reads the postings of
+    its queries' terms.
     """
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
-        held = docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("tokens"))
-        self.lengths = held.select("doc_id", F.size("tokens").alias("dl"), "tokens")
-        size = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-        self.n, self.avgdl = size["n"], size["avgdl"] or 1.0
-        self.frequencies = held.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        self.frequencies = self.frequencies.withColumn("idf", F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        held = docs.select(F.col(key).alias("doc_id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
+        words = held.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+        rows = stored(words.groupBy("doc_id", "dl", "term").agg(F.count("term").alias("tf")), "postings")
+        size = rows.agg(F.countDistinct("doc_id").alias("n"), F.sum("tf").alias("words")).first()
+        self.n, self.avgdl = size["n"], (size["words"] or 0) / max(size["n"], 1) or 1.0
+        self.postings = rows.filter(F.col("term").isNotNull())
+        frequencies = self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        self.frequencies = stored(frequencies.withColumn("idf", F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
 
     def idf(self) -> DataFrame:
         """(term, df, idf); a negative idf is a quarter of the mean over all terms."""
@@ -35,12 +38,9 @@ class Bm25Index:
         """(qid, doc_id, score, rank) of the k best documents for each query; no score for documents without a term."""
         asked = queries.select(F.col(key).alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
         asked = asked.join(self.idf(), "term")
-        wanted = asked.select("term").distinct()
-        postings = self.lengths.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-        postings = postings.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
         tf = F.col("tf").cast("double")
         part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(float(self.avgdl))))
-        scored = asked.join(postings, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+        scored = asked.join(self.postings, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
         return top_k(scored, k)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.config import Config
 from quarry.operators import chunking, citations, fusion, intent, lexical, models, resolve, vector
 from quarry.sources.readers import table
+from quarry.sources.sinks import stored
 
 
 class Retriever:
@@ -24,7 +25,7 @@ class Retriever:
         c = self.config
         asked = intent.intent(questions, "question")
         variants = asked.select("qid", "is_comparison", F.posexplode(F.concat(F.array("question"), "variations")).alias("variant", "text"))
-        variants = variants.withColumn("vq", F.xxhash64("qid", "variant"))
+        variants = stored(variants.withColumn("vq", F.xxhash64("qid", "variant")), "variants")
         depth = F.when(F.col("is_comparison"), c.comparison_depth).otherwise(c.dense_depth)
         vectors = models.embedded(variants.select("vq", "text"), self.embedder, prefix=self.prefix)
         dense = vector.nearest_each(self.children.select("child_no", "embedding"), vectors, c.comparison_depth, "child_no", query_key="vq")
@@ -46,7 +47,7 @@ class Retriever:
 
     def answer(self, questions: DataFrame) -> DataFrame:
         """(qid, answer, n_parents, context_chars, sources): answers by the offline stand-in, with what they cite."""
-        hits = self.retrieve(questions)
+        hits = stored(self.retrieve(questions), "hits")
         found = resolve.parents(hits.select("qid", "parent_id", "rank"), self.parents)
         context = resolve.context(found)
         chunk = found.withColumn("chunk_type", F.lit("parent")).withColumn("id", F.col("parent_id")).withColumn("concept_group", F.lit(None).cast("string"))
@@ -59,10 +60,10 @@ class Retriever:
 
 
 def build(docs: DataFrame, embedder: models.Embedder, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """Parents and embedded children of documents (doc_id, text)."""
-    parents = chunking.parent_chunks(docs, threshold=config.parent_threshold, size=config.parent_chunk_size, overlap=config.parent_chunk_overlap)
+    """Parents and embedded children of documents (doc_id, text), stored."""
+    parents = stored(chunking.parent_chunks(docs, threshold=config.parent_threshold, size=config.parent_chunk_size, overlap=config.parent_chunk_overlap), "parents")
     children = chunking.child_chunks(parents, config.child_chunk_size, config.child_chunk_overlap)
-    return parents, models.embedded(children, embedder, "text_content")
+    return parents, stored(models.embedded(children, embedder, "text_content"), "children")
 
 
 def _retriever(spark: SparkSession, sf_dir: str) -> tuple[Retriever, DataFrame]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -9,6 +12,23 @@ from pyspark.sql.utils import AnalysisException
 from quarry.operators.fusion import first_occurrence
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a Parquet table in the folder of spark.checkpoint.dir, which all executors share, read back from there.
+
+    What many steps read is made once, and a lost executor does not cost it. Without that setting, as in tests, a local folder is used.
+    """
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        context = spark.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+        folder = context._jsc.sc().getCheckpointDir().get()
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
