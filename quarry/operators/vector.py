@@ -11,6 +11,8 @@ from quarry.operators.lexical import top_k
 
 #: Queries that go to every task at once: with vectors of 1024 doubles 8 MB.
 BLOCK = 1024
+#: Buckets that a query looks at in each of the tables, of 256 with 8 planes.
+PROBES = 32
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -78,18 +80,98 @@ def nearest_each(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     return top_k(out, k)
 
 
+def _normals(planes: int, tables: int, dimension: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(tables, planes, dimension))
+
+
+def _rows(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+
+
 def hashed(corpus: DataFrame, planes: int = 8, tables: int = 8, dimension: int = 64, seed: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(table, bucket, key, vector): each vector's bucket of random hyperplanes in each table, an approximate index."""
-    normals = np.random.default_rng(seed).normal(size=(tables, planes, dimension))
-    buckets = []
-    for t in range(tables):
-        bits = [F.when(dot(F.col(vector), F.lit(normals[t, p].tolist())) > 0, 1 << p).otherwise(0) for p in range(planes)]
-        buckets.append(F.struct(F.lit(t).alias("table"), sum(bits[1:], bits[0]).alias("bucket")))
-    return corpus.select(key, vector, F.explode(F.array(*buckets)).alias("b")).select("b.table", "b.bucket", key, vector)
-
-
-def nearest_hashed(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", **hashing) -> DataFrame:
-    """(qid, doc_id, score, rank) among the rows that share a bucket with each query."""
-    asked = hashed(queries, key=key, vector=vector, **hashing).select("table", "bucket", F.col(key).alias("qid"), F.col(vector).alias("asked"))
-    met = asked.join(index, ["table", "bucket"]).select("qid", F.col(key).alias("doc_id"), F.round(cosine(F.col("asked"), F.col(vector)), 6).alias("score")).distinct()
-    return top_k(met, k)
+    """(key, vector, buckets): each vector's bucket of random hyperplanes in each table, an approximate index."""
+    normals = _normals(planes, tables, dimension, seed)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                signs = np.einsum("tpd,nd->ntp", normals, _rows(b.column(1), b.num_rows)) > 0
+                buckets = signs @ (1 << np.arange(planes, dtype=np.int32))
+                ends = pa.array(np.arange(0, buckets.size + 1, tables, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(buckets.reshape(-1), pa.int32()))], [key, vector, "buckets"])
+
+    rows = corpus.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector)
+    kind = corpus.schema[vector].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{key}` long, `{vector}` {kind}, buckets array<int>")
+
+
+def probed(vectors: np.ndarray, normals: np.ndarray, probes: int) -> np.ndarray:
+    """Boolean [vector, table, bucket]: the `probes` buckets of each table that a vector is nearest to.
+
+    A bucket is as far as the squared distances to the planes between add up to, so the own bucket comes first.
+    """
+    planes = normals.shape[1]
+    side = np.arange(1 << planes)[:, None] >> np.arange(planes) & 1
+    out = np.zeros((len(vectors), len(normals), 1 << planes), bool)
+    for t, own in enumerate(normals):
+        away = vectors @ (own / np.linalg.norm(own, axis=1, keepdims=True)).T
+        # The squares of the planes on whose other side the bucket lies.
+        far = np.where(away > 0, away**2, 0) @ (1 - side).T + np.where(away > 0, 0, away**2) @ side.T
+        np.put_along_axis(out[:, t], np.argsort(far, axis=1, kind="stable")[:, :probes], True, 1)
+    return out
+
+
+def nearest_hashed(index: DataFrame, queries: DataFrame, k: int, probes: int = PROBES, planes: int = 8, tables: int = 8, dimension: int = 64, seed: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(qid, doc_id, score, rank) among the rows of index (from `hashed`) that lie in a probed bucket of some table.
+
+    Queries go to the tasks in blocks as in `nearest_each`; only rows in probed buckets are scored.
+    """
+    spark = index.sparkSession
+    normals = _normals(planes, tables, dimension, seed)
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("qid"), vector).orderBy("qid").toLocalIterator()
+    parts: list[DataFrame] = []
+
+    def add(rows: list) -> None:
+        ids = np.array([r["qid"] for r in rows], dtype=np.int64)
+        matrix = np.array([r[vector] for r in rows], dtype=float)
+        unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        shared = spark.sparkContext.broadcast((ids, unit, probed(unit, normals, probes)))
+
+        def run(batches):
+            qids, unit, wanted = shared.value
+            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(qids)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                flat = _rows(b.column(1), len(own))
+                flat /= np.linalg.norm(flat, axis=1, keepdims=True)
+                buckets = b.column(2).flatten().to_numpy().reshape(len(own), -1)
+                met = np.zeros((len(qids), len(own)), bool)
+                for t in range(buckets.shape[1]):
+                    met |= wanted[:, t][:, buckets[:, t]]
+                for q in np.flatnonzero(met.any(1)).tolist():
+                    at = np.flatnonzero(met[q])
+                    s = np.concatenate([best[q][0], np.round(flat[at] @ unit[q], 6) + 0.0])
+                    d = np.concatenate([best[q][1], own[at]])
+                    order = np.lexsort((d, -s))[:k]
+                    best[q] = s[order], d[order]
+            n = [len(d) for _, d in best]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate([d for _, d in best])), pa.array(np.concatenate([s for s, _ in best]))], ["qid", "doc_id", "score"])
+
+        parts.append(index.select(key, vector, "buckets").mapInArrow(run, "qid long, doc_id long, score double"))
+
+    block: list = []
+    for row in asked:
+        block.append(row)
+        if len(block) == BLOCK:
+            add(block)
+            block = []
+    if block:
+        add(block)
+    if not parts:
+        return top_k(spark.createDataFrame([], "qid long, doc_id long, score double"), k)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return top_k(out, k)

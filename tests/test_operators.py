@@ -14,7 +14,7 @@ from quarry.config import Config, load_config
 from quarry.functions import text as X
 from quarry.operators import chunking, citations, evaluate, fusion, intent, layout, lexical, models, resolve, vector
 from quarry.operators import tables as T
-from quarry.plans import retrieval
+from quarry.plans import catalogue, retrieval
 from quarry.sources import readers, sinks
 from quarry.streaming import ingest
 
@@ -306,3 +306,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert "MRR: 1.0000" in cli.evaluated(spark, index, str(tmp_path / "q.json"))
     with pytest.raises(SystemExit):
         cli.main(["ask"])
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_hashed_recall_against_brute_force(spark, sf):
+    """dense_hashed finds at least 0.9 of the true ten nearest, also when the query's own row does not count."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    true = {(r["qid"], r["doc_id"]) for r in vector.nearest_each(rows, rows.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid"), 10).collect()}
+    found = catalogue.dense_hashed(spark, f"/root/testdata/{sf}").collect()
+    mine = {(r["qid"], r["doc_id"]) for r in found}
+    others = {(q, d) for q, d in true if q != d}
+    print(sf, "recall@10", len(mine & true) / len(true), "without the query's row", len(mine & others) / len(others))
+    assert len(mine & true) >= 0.9 * len(true) and len(mine & others) >= 0.9 * len(others)
+    assert len(found) == len(true)
