@@ -55,6 +55,11 @@ def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A 64-bit hash of doc_id and text: rows that share a doc_id but not their text differ."""
+    return F.xxhash64(doc_key(doc_id), F.col(text))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows and bytes that go to a Python worker at once, which bounds its memory.
 

@@ -19,9 +19,9 @@ grams are removed. The segments of a gram meet in one task; a gram named at more
 positions takes another way: its windows are counted by 64-bit hash, combined before the shuffle.
 
 Null and empty texts are empty bytes. Rows that share a doc_id are separate texts, so equal
-rows lose what they share; a null doc_id is like another. An empty table gives an empty
-result; other columns do not matter. Rows with one doc_id share the windows that are unique in
-any of them, so texts under one id are safe only where ids are unique or the texts are equal.
+rows lose what they share; a null doc_id is like another. What is found goes back by a hash of
+doc_id and text, so texts under one doc_id do not mix. An empty table gives an empty result;
+other columns do not matter.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NULL_ID, blocks, doc_key, minimizers, rolling, span_hashes, texts
+from quarry.llm.common import NULL_ID, blocks, doc_key, minimizers, rolling, row_key, span_hashes, texts
 
 WIDTH, GRAM = 200, 32
 #: Bytes that the multikey quicksort looks at before the blind tries take over.
@@ -330,11 +330,11 @@ def unique_ranges(found: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 def dedup_suffixes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (first byte and byte after the last) and kept (binary).
 
-    The texts cross one shuffle, by doc_id; later steps read it.
+    The texts cross one shuffle, by doc_id and text; later steps read it.
     """
-    rows = docs.select(doc_key().alias("key"), "text")
+    rows = docs.select(doc_key().alias("doc"), row_key().alias("key"), "text")
     flagged = rows.join(repeated_grams(rows, width, gram), "key", "left")
-    both = flagged.join(unique_ranges(segments(flagged, width, gram), width, gram), "key", "left").select("key", "text", "grams", "unique")
+    both = flagged.join(unique_ranges(segments(flagged, width, gram), width, gram), "key", "left").select("doc", "text", "grams", "unique")
 
     def run(batches):
         for b in batches:

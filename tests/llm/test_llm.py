@@ -501,3 +501,12 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == kept
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+
+
+def test_op8_null_and_repeated_ids_match_brute_force(spark):
+    """Different texts under one doc_id keep apart; all rows with a null id are texts under one doc_id too."""
+    rows = [(None if i % 5 == 0 else i % 9, r[1]) for i, r in enumerate(corpus(7, 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, gram in ((200, 32), (40, 12)):
+        found = [(r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))) for r in suffix_dedup.dedup_suffixes(docs, width, gram).collect()]
+        assert key(found) == key(zip((i for i, _ in rows), brute_suffixes([t for _, t in rows], width)))
