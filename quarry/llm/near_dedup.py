@@ -9,6 +9,7 @@ with the similarity's probability. Bands of slots give candidates, which are ver
 similarity; links make classes.
 
 1. Texts with the same words are one: the least doc_id stands for all, before any banding.
+   It is known by a hash of its doc_id and text, so texts under one doc_id do not mix.
 2. In each bucket all are compared with the member that meets others most often, the likely
    original of a family. Members that are thereby in one class need no more comparing, so a
    family of n near copies costs n comparisons and not n squared.
@@ -22,7 +23,8 @@ similarity; links make classes.
 At similarity 0.8 a pair shares one of 32 bands of 4 with probability 1 - 5e-8.
 
 Null text and text without words are alone. A null doc_id is below all others. Repeated rows
-are copies of each other. An empty table gives an empty result; other columns do not matter.
+are copies of each other; different texts under one doc_id are separate. Of a class one row
+stays, one with the least doc_id. An empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, blocks, doc_key, mixed, rolling, texts, written
+from quarry.llm.common import Words, blocks, doc_key, mixed, rolling, row_key, texts, written
 from quarry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -132,11 +134,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(key, digest, bands): digest of each text's words (null for none) and its band hashes."""
+    """(key, row, digest, bands): doc_id and hash of each row, digest of its text's words (null for none) and its band hashes."""
 
     def run(batches):
         for b in batches:
-            keys, values = b.column(0).to_numpy(zero_copy_only=False), texts(b.column(1))
+            values = texts(b.column(2))
             for first, end in blocks(values, _BLOCK):
                 part = values[first:end]
                 words = Words(part)
@@ -144,9 +146,10 @@ def signed(docs: DataFrame) -> DataFrame:
                 found = band_hashes(signatures(owner, h, count.astype(float), len(part))).view(np.int64)
                 digests = [hashlib.blake2b(b" ".join(v.split()), digest_size=16).digest() if n else None for v, n in zip(part, words.count)]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, BANDS, dtype=np.int32)), pa.array(found.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first:end], pa.int64()), pa.array(digests, pa.binary()), bands], ["key", "digest", "bands"])
+                own = [b.column(c).slice(first, end - first) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(digests, pa.binary()), bands], ["key", "row", "digest", "bands"])
 
-    return docs.select(doc_key().alias("key"), "text").mapInArrow(run, "key long, digest binary, bands array<long>")
+    return docs.select(doc_key().alias("key"), row_key().alias("row"), "text").mapInArrow(run, "key long, row long, digest binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
@@ -241,7 +244,7 @@ def compared(families: DataFrame, held: DataFrame, threshold: float) -> DataFram
 def near_links(signs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): links between texts that differ, enough to connect every class.
 
-    signs has key and bands, one row for each different text.
+    signs has key (as by row_key) and bands, one row for each different text.
     """
     bands = signs.select("key", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -250,7 +253,7 @@ def near_links(signs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
     ranked = met.join(degree, "key").groupBy("bucket").agg(F.max(F.struct("degree", F.negative("key").alias("k"))).alias("top"))
     pivots = ranked.select("bucket", F.negative("top.k").alias("pivot"))
     met = written(met.join(pivots, "bucket"), "pivots")
-    held = written(docs.select(doc_key().alias("key"), "text").filter(F.col("text").isNotNull()).join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
+    held = written(docs.select(row_key().alias("key"), "text").filter(F.col("text").isNotNull()).join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
     stars = met.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     links = written(verified(stars, held, threshold), "links")
     # Members of one bucket that are not in one class yet.
@@ -261,15 +264,25 @@ def near_links(signs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
     return links.unionAll(written(compared(written(rest, "families"), held, threshold), "links"))
 
 
+def _grouped(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """signs (from `signed`); digest, copy_of and root of each different text; root, class_id and row of the one that stays of each class."""
+    signs = written(signed(docs), "signs")
+    # Written, as are the tables below: a join then has a shuffle of its own on both sides, which Spark can split where a text has many copies.
+    least = signs.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(F.struct("key", "row")).alias("least"))
+    least = written(least.select("digest", F.col("least.key").alias("copy_of"), F.col("least.row").alias("row")), "copies")
+    different = signs.join(least, ["digest", "row"], "left_semi").dropDuplicates(["digest"])
+    roots = components(near_links(different.select(F.col("row").alias("key"), "bands"), docs, threshold))
+    least = least.join(roots, least["row"] == roots["u"], "left").select("digest", "copy_of", "row", F.coalesce("root", "row").alias("root"))
+    least = written(least, "rooted")
+    tops = least.groupBy("root").agg(F.min(F.struct("copy_of", "row")).alias("top"))
+    tops = written(tops.select("root", F.col("top.copy_of").alias("class_id"), F.col("top.row").alias("row")), "tops")
+    return signs, least.drop("row"), tops
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and copy_of (least doc_id with the same words)."""
-    signs = written(signed(docs), "signs")
-    # Written, as are the classes below: a join then has a shuffle of its own on both sides, which Spark can split where a text has many copies.
-    least = written(signs.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("key").alias("copy_of")), "copies")
-    different = signs.join(least, (signs["digest"] == least["digest"]) & (signs["key"] == least["copy_of"]), "left_semi").dropDuplicates(["digest"])
-    roots = components(near_links(different.select("key", "bands"), docs, threshold))
-    least = least.join(roots, least["copy_of"] == roots["u"], "left").select("digest", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
-    least = written(least, "classes")
+    signs, least, tops = _grouped(docs, threshold)
+    least = written(least.join(tops, "root").select("digest", "copy_of", "class_id"), "classes")
     out = signs.select("key", "digest").join(least, "digest", "left")
     null = F.lit(None).cast("long")
     out = out.select("key", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("copy_of", "key").alias("copy_of"))
@@ -278,14 +291,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, one for each class: that with the least doc_id. Texts without words all stay."""
+    """The rows of docs, one for each class: one with the least doc_id. Texts without words all stay."""
     names = docs.columns
-    found = classes(docs, threshold)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    signs, _, tops = _grouped(docs, threshold)
+    stay = tops.select(F.col("row").alias("stay")).unionAll(signs.filter(F.col("digest").isNull()).select("row")).distinct()
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    mine = F.col(f"c{names.index('doc_id')}")
-    kept = plain.join(stay, mine.eqNullSafe(F.col("kept_id")), "left_semi")
-    text = f"c{names.index('text')}"
+    mine, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    kept = plain.join(stay, row_key(mine, text) == F.col("stay"), "left_semi")
     words = F.expr(f"regexp_count({text}, '[^\\\\x20\\\\x09-\\\\x0D]+')")
     again = F.xxhash64(F.col(text), F.when(F.coalesce(words, F.lit(0)) == 0, F.monotonically_increasing_id()))
-    return kept.withColumn("again", again).dropDuplicates([f"c{names.index('doc_id')}", "again"]).drop("again").toDF(*names)
+    return kept.withColumn("again", again).dropDuplicates([mine, "again"]).drop("again").toDF(*names)

@@ -510,3 +510,32 @@ def test_op8_null_and_repeated_ids_match_brute_force(spark):
     for width, gram in ((200, 32), (40, 12)):
         found = [(r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))) for r in suffix_dedup.dedup_suffixes(docs, width, gram).collect()]
         assert key(found) == key(zip((i for i, _ in rows), brute_suffixes([t for _, t in rows], width)))
+
+
+def test_op6_null_and_repeated_ids(spark):
+    """Near copies of every text are found where different texts share a doc_id, null or not; one row of a class stays."""
+    draw = random.Random(4)
+    rows = [(None if i % 4 == 0 else i % 6, r[1]) for i, r in enumerate(corpus(11, 30))]
+    for n in range(12):
+        base = [f"g{n}x{i}" for i in range(100)]
+        for _ in range(3):
+            own = list(base)
+            own[draw.randrange(100)] = f"e{draw.randrange(10**6)}"
+            rows.append((draw.choice([None, None, 3, 50 + n]), draw.choice([" ", "  "]).join(own)))
+    low = lambda i: common.NULL_ID if i is None else i
+    high = lambda i: None if i == common.NULL_ID else i
+    leaders = classes_of([(k, t) for k, (_, t) in enumerate(rows)])
+    words = [tuple(WORD.findall(t or "")) for _, t in rows]
+    least, same = {}, {}
+    for k, (i, _) in enumerate(rows):
+        least[leaders[k]] = min(least.get(leaders[k], low(i)), low(i))
+        same[words[k] or k] = min(same.get(words[k] or k, low(i)), low(i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in near_dedup.classes(docs).select("doc_id", "class_id", "copy_of").collect()]
+    assert key(found) == key((i, high(least[leaders[k]]), high(same[words[k] or k])) for k, (i, _) in enumerate(rows))
+    kept = [tuple(r) for r in near_dedup.kept_rows(docs).collect()]
+    assert key([i for i, _ in kept]) == key(high(i) for i in least.values())
+    where = collections.defaultdict(list)
+    for k, r in enumerate(rows):
+        where[r].append(leaders[k])
+    assert set(kept) <= set(rows) and len({where[r][0] for r in kept if WORD.search(r[1] or "")}) == len([r for r in kept if WORD.search(r[1] or "")])
