@@ -15,7 +15,8 @@ judged on the input. The first occurrence stays.
 3. Compile and stream. The phrases of confirmed passages go to the documents; each shard, a
    block of documents, compiles its phrases into an Aho-Corasick automaton over word numbers
    and streams its documents through it. Windows around the occurrences go unless the
-   document owns them, as do windows seen earlier in the same text.
+   document owns them, as do windows seen earlier in the same text. Only phrases of windows that
+   lose by their hash are compiled and only their texts streamed, so the hashes decide.
 
 Windows and phrases are compared by 64-bit hashes: for n candidate windows a wrong match is
 expected n**2 / 2**65 times, about 1e-5 for 2e7.
