@@ -4,25 +4,27 @@ A window is WIDTH consecutive words of one text. Every word covered by a window
 also start earlier (in a smaller doc_id, or earlier in the same text) is removed; windows are
 judged on the input. The first occurrence stays.
 
-1. Set copies aside. A text equal to one with a smaller doc_id goes whole; only the first of
-   its copies takes part in what follows.
-2. Confirm. Each window names the least of its GRAM-word phrases by hash, so equal windows
-   name equal phrases and only about one phrase in eight is named. Phrases that two documents
-   name lead to candidate windows, which are grouped by hash to find the least doc_id that
-   holds each. Both counts combine before their shuffle, so a passage in a third of all
-   documents is one row a task. Each document gets back the windows that it owns; its other
-   candidates stand in an earlier document. It shares no further window with another.
-3. Compile and stream. The phrases of confirmed passages go to the documents; each shard, a
-   block of documents, compiles its phrases into an Aho-Corasick automaton over word numbers
-   and streams its documents through it. Windows around the occurrences go unless the
-   document owns them, as do windows seen earlier in the same text. Only phrases of windows that
-   lose by their hash are compiled and only their texts streamed, so the hashes decide.
-
-Windows and phrases are compared by 64-bit hashes: for n candidate windows a wrong match is
+1. Confirm. Each window names the least of its GRAM-word phrases by hash, so equal windows
+   name equal phrases at equal places and only about one phrase in eight is named. A phrase is
+   written in letters, one for each word, taken from the word's hash; phrases named at two
+   places or more, in one text or several, are confirmed. Counts combine before their shuffle.
+2. Compile. The confirmed phrases, whatever documents they come from, are dealt by hash to shards of
+   about SHARD phrases; a task compiles its shard into an Aho-Corasick automaton.
+3. Stream. All documents are streamed, each cut at the phrases that it names, and every piece goes
+   to the one shard that may hold it. Occurrences come back as places in documents. A shard with
+   many pieces is salted: several tasks compile it and share its pieces, so a phrase in a
+   third of all documents is no hot spot.
+4. Remove. Windows that name an occurrence are candidates, no others. They are grouped by hash
+   to find the least doc_id that holds each, combined before the shuffle; a document keeps a candidate
+   that it owns in its first place and loses all others.
+
+Words, phrases and windows are compared by hashes. Letters have 60 // GRAM bits, and phrases that
+only look alike cost time but remove nothing; windows have 64 bits: for n candidates a wrong match is
 expected n**2 / 2**65 times, about 1e-5 for 2e7.
 
 Null and empty texts have no words. A null doc_id is below all others; rows that share a
-doc_id are judged each for itself and do not take words from one another. An empty table
+doc_id, or have none, are judged each for itself and do not take words from one another. Repeated rows and
+ties so keep what is first in them. A text of any length is taken whole, at once. An empty table
 gives an empty result; other columns do not matter.
 """
 
@@ -37,139 +39,195 @@ from pyspark.sql import functions as F
 from quarry.llm.common import NULL_ID, Words, blocks, doc_key, minimizers, mixed, rolling, texts, written
 
 WIDTH, GRAM = 20, 6
+#: Phrases of one automaton and pieces that one task streams through it, about.
+SHARD, PIECES = 1 << 14, 100_000
+#: A shard is salted by its own size where it has this share of all pieces, so at most 10 000 are; the others by the mean.
+_HEAVY = 1e-4
+_TOTAL = -1
+_FIRST_LETTER, _GAP = 0x100, 0x20
 _U = np.uint64
 
 
-def _named(words: Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all windows, all phrase hashes, and the place of the phrase that each window names."""
-    grams = rolling(words.hash, gram)
-    least = minimizers(grams, width - gram + 1)
-    starts = np.flatnonzero(np.arange(len(least)) + width <= words.stop[: len(least)])
-    return starts, grams, least[starts]
+class _Block:
+    """The words of some texts, their windows, and the place of the phrase that each window names."""
 
+    def __init__(self, values: list[bytes], width: int, gram: int) -> None:
+        self.words, self.gram = Words(values), gram
+        least = minimizers(rolling(self.words.hash, gram), width - gram + 1)
+        self.starts = np.flatnonzero(np.arange(len(least)) + width <= self.words.stop[: len(least)])
+        self.at = least[self.starts]
+        self.owner = self.words.text[self.starts]
+        self.windows = rolling(self.words.hash, width)
 
-def _distinct(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
-    return owner[new], values[new]
+    def named(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place in it and letters of each phrase that is named, once for each place."""
+        at = np.unique(self.at)
+        bits = 60 // self.gram
+        letters = self.words.hash >> _U(64 - bits)
+        code = np.zeros(len(at), dtype=_U)
+        for k in range(self.gram):
+            code |= letters[at + k] << _U(bits * k)
+        own = self.words.text[at]
+        return own, at - self.words.first[own], code.view(np.int64)
 
+    def found(self, places: list) -> np.ndarray:
+        """Numbers of the windows whose phrase is at one of their text's places (null: none)."""
+        hit = np.zeros(len(self.words.hash), bool)
+        for d, own in enumerate(places):
+            if own is not None and len(own):
+                hit[self.words.first[d] + own] = True
+        return np.flatnonzero(hit[self.at])
 
-def _longs(values: np.ndarray) -> pa.Array:
-    return pa.array(values.astype(_U).view(np.int64), pa.int64())
+    def named_windows(self, which: np.ndarray) -> np.ndarray:
+        """Hashes of windows by number, different for different texts."""
+        return mixed(self.owner[which].astype(_U) + _U(1)) ^ self.windows[self.starts[which]]
 
 
-class _Block:
-    """The words of some texts, their windows and the phrase that each window names."""
+def _first_of_each(values: np.ndarray) -> np.ndarray:
+    """Whether each value is the first of its equals."""
+    order = np.argsort(values, kind="stable")
+    first = np.ones(len(values), bool)
+    first[order[1:]] = values[order[1:]] != values[order[:-1]]
+    return first
 
-    def __init__(self, values: list[bytes], width: int, gram: int) -> None:
-        self.words = Words(values)
-        self.starts, self.grams, self.at = _named(self.words, width, gram)
-        self.owner = self.words.text[self.starts]
-        self.windows = rolling(self.words.hash, width)
 
-    def flagged(self, flags: list) -> np.ndarray:
-        """Which windows name a phrase that is among their text's flags (null: none)."""
-        sizes = [0 if f is None else len(f) for f in flags]
-        if not sum(sizes):
-            return np.zeros(len(self.starts), bool)
-        wanted = np.concatenate([np.asarray(f, dtype=np.int64) for f in flags if f is not None and len(f)]).view(_U)
-        own = mixed(np.repeat(np.arange(len(flags)), sizes).astype(_U) + _U(1))
-        return np.isin(mixed(self.owner.astype(_U) + _U(1)) ^ self.grams[self.at], own ^ wanted)
+def _longs(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array(c, pa.int64()) for c in columns]
 
 
-def _flat(keys: np.ndarray, owner: np.ndarray, values: np.ndarray, name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys[owner], pa.int64()), _longs(values)], ["key", name])
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc, part (what a document's shuffle is dealt by), version (tells texts under one part apart) and text."""
+    part = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    return docs.select(doc_key().alias("doc"), part.alias("part"), F.hash("text").cast("long").alias("version"), "text")
 
 
-def phrases(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(key, gram): each phrase that each document names, once. rows has key and text."""
+def confirmed(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """(phrase, n): phrases named at two places or more, and one row _TOTAL with the number of all places."""
 
     def run(batches):
         for b in batches:
-            keys, values = b.column(0).to_numpy(zero_copy_only=False), texts(b.column(1))
+            values = texts(b.column(0))
             for first, end in blocks(values):
-                block = _Block(values[first:end], width, gram)
-                yield _flat(keys[first:end], *_distinct(block.owner, block.grams[block.at]), "gram")
+                phrase, n = np.unique(_Block(values[first:end], width, gram).named()[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays(_longs(np.append(phrase, _TOTAL), np.append(n, n.sum())), ["phrase", "n"])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, gram long")
+    named = rows.select("text").mapInArrow(run, "phrase long, n long")
+    return named.groupBy("phrase").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
-def confirmed(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(key, grams): for each document the phrases it names that another names too."""
-    named = phrases(rows, width, gram)
-    shared = named.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    return named.join(shared, "gram").groupBy("key").agg(F.collect_set("gram").alias("grams"))
+def pieces(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """(phrase, part, place): all documents, cut at the phrases that they name. The high half of place is the version."""
+
+    def run(batches):
+        for b in batches:
+            part, version = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            values = texts(b.column(2))
+            for first, end in blocks(values):
+                own, at, phrase = _Block(values[first:end], width, gram).named()
+                place = (version[first:end][own] << 32) | at
+                yield pa.RecordBatch.from_arrays(_longs(phrase, part[first:end][own], place), ["phrase", "part", "place"])
+
+    return rows.select("part", "version", "text").mapInArrow(run, "phrase long, part long, place long")
+
+
+def _text(phrases: np.ndarray, gram: int) -> str:
+    """Phrases as one text, a letter for each word and a gap after each phrase."""
+    bits = 60 // gram
+    shifts = (np.arange(gram) * bits).astype(_U)
+    letters = (phrases.view(_U)[:, None] >> shifts[None, :]) & _U((1 << bits) - 1)
+    out = np.full((len(phrases), gram + 1), _GAP, dtype="<u2")
+    out[:, :gram] = letters + _U(_FIRST_LETTER)
+    return out.tobytes().decode("utf-16-le")
+
+
+def compiled(phrases: list[np.ndarray], gram: int = GRAM) -> ahocorasick.Automaton:
+    """The automaton of some phrases."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    text = _text(np.concatenate(phrases), gram)
+    for k in range(0, len(text), gram + 1):
+        automaton.add_word(text[k : k + gram])
+    automaton.make_automaton()
+    return automaton
+
+
+def streamed(automaton: ahocorasick.Automaton, phrases: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Numbers of the pieces in which the automaton finds a phrase."""
+    ends = np.fromiter((end for end, _ in automaton.iter(_text(phrases, gram))), np.int64)
+    return ends // (gram + 1)
+
+
+def occurrences(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """(part, places): where each document holds a confirmed phrase, found by the shards' automata."""
+    known = written(confirmed(rows, width, gram), "phrases")
+    # One row with two sums; the phrases stay where they are.
+    sums = known.agg(F.count_if(F.col("phrase") >= 0).alias("phrases"), F.max(F.when(F.col("phrase") == _TOTAL, F.col("n"))).alias("pieces"), F.sum(F.when(F.col("phrase") >= 0, F.col("n"))).alias("held")).first()
+    total, held = sums["pieces"] or 0, sums["held"] or 0
+    shards = max(1, -(-(sums["phrases"] or 0) // SHARD))
+    shard = F.pmod(F.xxhash64("phrase"), F.lit(shards)).alias("shard")
+    mean = max(1, -(-total // (shards * PIECES)))
+    known = known.filter(F.col("phrase") >= 0).select(shard, "phrase", "n")
+    sizes = known.groupBy("shard").agg(F.sum("n").alias("held")).filter(F.col("held") >= max(PIECES, _HEAVY * held))
+    heavy = F.broadcast(sizes.select("shard", F.ceil((F.col("held") + (total - held) / shards) / PIECES).alias("own")))
+    salts = F.coalesce("own", F.lit(mean))
+    null = F.lit(None).cast("long")
+    to_compile = known.join(heavy, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "phrase", null.alias("part"), null.alias("place"))
+    to_stream = pieces(rows, width, gram).withColumn("shard", shard).join(heavy, "shard", "left").select("shard", F.pmod(F.xxhash64("part"), salts).alias("salt"), "phrase", "part", "place")
+
+    def run(batches):
+        group, waiting, automaton = None, [], None
+        for b in batches:
+            shard, salt, phrase = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            is_piece = b.column(3).is_valid().to_numpy(zero_copy_only=False)
+            if not len(shard):
+                continue
+            new = (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1]) | (is_piece[1:] != is_piece[:-1])
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(shard)]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                if (shard[x], salt[x]) != group:
+                    group, waiting, automaton = (shard[x], salt[x]), [], None
+                if not is_piece[x]:
+                    waiting.append(phrase[x:y])
+                    continue
+                if waiting:
+                    automaton, waiting = compiled(waiting, gram), []
+                if automaton is not None:
+                    hit = pa.array(x + streamed(automaton, phrase[x:y], gram))
+                    yield pa.RecordBatch.from_arrays([b.column(3).take(hit), b.column(4).take(hit)], ["part", "place"])
+
+    both = to_compile.unionAll(to_stream).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("part").isNotNull())
+    return both.mapInArrow(run, "part long, place long").groupBy("part").agg(F.collect_list("place").alias("places"))
+
+
+def _own_places(version: np.ndarray, places: list) -> list:
+    """Each row's places, those of other texts under the same part left out."""
+    out = []
+    for v, p in zip(version.tolist(), places):
+        if p is not None:
+            p = np.asarray(p, dtype=np.int64)
+            p = p[p >> 32 == v] & 0xFFFFFFFF
+        out.append(p)
+    return out
 
 
 def owned_windows(flagged: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(key, owned): the candidate windows of which each document is the least that holds them.
+    """(owner, owned): the candidate windows of which each document is the least that holds them; those with no doc_id own all theirs.
 
-    flagged has key, text and grams.
+    flagged has doc, version, text and places.
     """
 
     def run(batches):
         for b in batches:
-            keys, values, flags = b.column(0).to_numpy(zero_copy_only=False), texts(b.column(1)), b.column(2).to_pylist()
+            docs, version, values = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), texts(b.column(2))
+            places = _own_places(version, b.column(3).to_pylist())
             for first, end in blocks(values):
                 block = _Block(values[first:end], width, gram)
-                at = block.flagged(flags[first:end])
-                yield _flat(keys[first:end], *_distinct(block.owner[at], block.windows[block.starts[at]]), "window")
-
-    held = flagged.filter(F.col("grams").isNotNull()).select("key", "text", "grams").mapInArrow(run, "key long, window long")
-    first = held.groupBy("window").agg(F.min("key").alias("key"))
-    return first.groupBy("key").agg(F.collect_list("window").alias("owned"))
-
-
-def _located(block: _Block, values: list[bytes], passages: np.ndarray, gram: int) -> np.ndarray:
-    """Word places at which a phrase of `passages` (windows, by number) begins, found by one automaton."""
-    words = block.words
-    hits = np.zeros(len(words.hash), bool)
-    at, owner = block.at[passages], block.owner[passages]
-    if not len(at):
-        return hits
-    new = np.concatenate([[True], at[1:] != at[:-1]])
-    at, owner = at[new], owner[new]
-    numbers: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    streams: dict[int, list[bytes]] = {}
-    for d, p in zip(owner.tolist(), (at - words.first[owner]).tolist()):
-        if d not in streams:
-            streams[d] = values[d].split()
-        automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in streams[d][p : p + gram]]))
-    automaton.make_automaton()
-    for d, text in streams.items():
-        ends = [e for e, _ in automaton.iter(tuple([numbers.get(w, 0) for w in text]))]
-        hits[words.first[d] + np.array(ends, dtype=np.int64) - (gram - 1)] = True
-    return hits
+                which = block.found(places[first:end])
+                which = which[_first_of_each(block.named_windows(which))]
+                yield pa.RecordBatch.from_arrays(_longs(block.windows[block.starts[which]].view(np.int64), docs[first:end][block.owner[which]]), ["window", "doc"])
 
-
-def _again(block: _Block) -> np.ndarray:
-    """Starts of windows that stand earlier in the same text.
-
-    Equal windows name equal phrases at two places, so only such windows are compared.
-    """
-    new = np.concatenate([[True], block.at[1:] != block.at[:-1]]) if len(block.at) else np.zeros(0, bool)
-    own = mixed(block.owner.astype(_U) + _U(1))
-    named = own ^ block.grams[block.at]
-    once = np.sort(named[new])
-    twice = once[1:][once[1:] == once[:-1]]
-    if not len(twice):
-        return np.zeros(0, np.int64)
-    at = np.flatnonzero(np.isin(named, twice))
-    h = own[at] ^ block.windows[block.starts[at]]
-    order = np.argsort(h, kind="stable")
-    return block.starts[at[order[1:][h[order][1:] == h[order][:-1]]]]
-
-
-def copies(rows: DataFrame) -> DataFrame:
-    """(key, copies): hashes of a document's texts (more than one only where rows share a doc_id) that a smaller doc_id holds too."""
-    held = rows.select("key", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    first = held.groupBy("h", "h2").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # Written, so that the join has a shuffle of its own on both sides, which Spark can split where a text has many copies.
-    first = written(first, "copies")
-    return held.join(first, ["h", "h2"]).filter("key <> first").groupBy("key").agg(F.collect_set("h").alias("copies"))
+    held = flagged.filter(F.col("places").isNotNull()).select("doc", "version", "text", "places").mapInArrow(run, "window long, doc long")
+    first = held.groupBy("window").agg(F.min("doc").alias("owner")).filter(F.col("owner") != NULL_ID)
+    return first.groupBy("owner").agg(F.collect_list("window").alias("owned"))
 
 
 def dedup_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -177,34 +235,26 @@ def dedup_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Data
 
     The texts cross one shuffle, by doc_id; all later steps read it.
     """
-    rows = docs.select(doc_key().alias("key"), "text")
-    rows = rows.join(copies(rows), "key", "left")
-    is_copy = F.coalesce(F.array_contains("copies", F.xxhash64("text")), F.lit(False))
-    rows = rows.select("key", "text", is_copy.alias("is_copy"))
-    first = rows.filter(~F.col("is_copy"))
-    flagged = rows.join(confirmed(first, width, gram), "key", "left")
-    owned = owned_windows(flagged.filter(~F.col("is_copy")), width, gram)
-    both = flagged.join(owned, "key", "left").select("key", "text", "is_copy", "grams", "owned")
+    rows = _rows(docs)
+    flagged = rows.join(written(occurrences(rows, width, gram), "places"), "part", "left")
+    both = flagged.join(owned_windows(flagged, width, gram), F.col("part") == F.col("owner"), "left").select("doc", "version", "text", "places", "owned")
 
     def run(batches):
         for b in batches:
-            values, whole, flags, owned = texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
+            docs, version, values = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), texts(b.column(2))
+            places, owned = _own_places(version, b.column(3).to_pylist()), b.column(4).to_pylist()
             for first, end in blocks(values):
-                part, copy = values[first:end], whole[first:end]
+                part = values[first:end]
                 block = _Block(part, width, gram)
                 words = block.words
-                mine = block.flagged([None if c else f for f, c in zip(flags[first:end], copy)])
+                which = block.found(places[first:end])
+                named = block.named_windows(which)
                 held = [np.zeros(0, np.int64), *(np.asarray(o, dtype=np.int64) for o in owned[first:end] if o is not None)]
                 sizes = [0 if o is None else len(o) for o in owned[first:end]]
                 own = mixed(np.repeat(np.arange(len(part)), sizes).astype(_U) + _U(1)) ^ np.concatenate(held).view(_U)
-                at = np.flatnonzero(mine)
-                named = mixed(block.owner[at].astype(_U) + _U(1)) ^ block.windows[block.starts[at]]
-                passages = at[~np.isin(named, own)]
-                hits = _located(block, part, passages, gram)
+                stays = (np.isin(named, own) | (docs[first:end][block.owner[which]] == NULL_ID)) & _first_of_each(named)
+                lost = block.starts[which[~stays]]
                 gone = np.zeros(len(words.hash) + 1, dtype=np.int32)
-                lost = np.concatenate([block.starts[passages[hits[block.at[passages]]]], _again(block)])
-                copied = np.array(copy, dtype=bool)[block.owner] if len(block.owner) else np.zeros(0, bool)
-                lost = np.unique(np.concatenate([lost, block.starts[copied]]))
                 gone[lost] += 1
                 gone[lost + width] -= 1
                 removed = np.cumsum(gone[:-1]) > 0
@@ -227,8 +277,8 @@ def dedup_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Data
                     kept.append(b" ".join(pieces + text[place:]).decode())
                 arrays = [b.column(0).slice(first, end - first), pa.array(words.count, pa.int64()), pa.array(n_lost, pa.int64())]
                 arrays += [pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "n_words", "n_removed", "spans", "kept_text"])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_words", "n_removed", "spans", "kept_text"])
 
-    done = both.mapInArrow(run, "key long, n_words long, n_removed long, spans array<struct<first:long,end:long>>, kept_text string")
-    doc_id = F.when(F.col("key") != NULL_ID, F.col("key")).cast(docs.schema["doc_id"].dataType)
+    done = both.mapInArrow(run, "doc long, n_words long, n_removed long, spans array<struct<first:long,end:long>>, kept_text string")
+    doc_id = F.when(F.col("doc") != NULL_ID, F.col("doc")).cast(docs.schema["doc_id"].dataType)
     return done.select(doc_id.alias("doc_id"), "n_words", "n_removed", "spans", "kept_text")

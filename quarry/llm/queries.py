@@ -65,6 +65,47 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language_id.bucket(4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+OP1_SQL = r"""
+WITH words AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents)
+), windows AS (
+  SELECT doc_id, pos, ws[pos] AS word,
+         CASE WHEN pos + 19 <= len(ws) THEN array_to_string(ws[pos:pos + 19], ' ') END AS k
+  FROM words
+), judged AS (
+  SELECT doc_id, pos, word, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) > 1 AS later FROM windows
+), marked AS (
+  SELECT doc_id, pos, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM judged
+), done AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS lost, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(lost, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
+"""
+
+OP8_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, hex(encode(text)) AS hx FROM documents WHERE text <> ''
+), chunks AS (
+  SELECT doc_id, 256 * c AS base, substr(hx, 512 * c + 1, 512 + 398) AS part, least(256, len(hx) // 2 - 256 * c) AS own
+  FROM (SELECT doc_id, hx, unnest(range(0, (len(hx) + 511) // 512)) AS c FROM texts)
+), strings AS (
+  SELECT doc_id, base + i AS pos, substr(part, 2 * i + 1, 2) AS byte, CASE WHEN 2 * i + 400 <= len(part) THEN md5_number(substr(part, 2 * i + 1, 400)) END AS k
+  FROM (SELECT *, unnest(range(0, own)) AS i FROM chunks)
+), judged AS (
+  SELECT doc_id, pos, byte, k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 AS again FROM strings
+), marked AS (
+  SELECT doc_id, pos, byte, max(again::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) > 0 AS gone FROM judged
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS begins FROM marked
+), done AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS lost, count(*) FILTER (begins) AS spans, string_agg(byte, '' ORDER BY pos) FILTER (NOT gone) AS kept FROM edges GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_bytes, coalesce(lost, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
+"""
+
 OP4_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i AS pos, parts[i] AS line,
@@ -101,4 +142,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op1_phrase_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_suffix_dedup": OP8_SQL}
