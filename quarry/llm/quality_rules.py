@@ -3,17 +3,17 @@
 Every rule looks at counts of one text and votes good (1), bad (-1) or abstains (0). Texts
 with the same votes are alike to the model, so the corpus is counted by vote pattern: at
 most 3**n_rules rows, whatever the number of documents. Expectation-maximisation runs on
-that table and yields for each rule how often it votes each way on good and on bad texts;
-the posterior probability of good, one number for each pattern, replaces all-must-pass.
+that table and estimates, from how the rules agree alone, the share of good texts and how often
+each rule's votes are right on good and on bad ones. The posterior probability of good
+replaces all-must-pass: a text may stay despite the bad vote of a rule that is often wrong.
 
-Null text has no words. Rows are judged each for itself, so nulls elsewhere, ties and
-repeated rows do not matter. An empty table gives an empty result.
+Null and empty texts have no words. Rows are judged each for itself, so nulls elsewhere, ties and
+repeated rows do not matter; a text of any length is counted whole. An empty table gives an
+empty result; other columns do not matter.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -93,68 +93,62 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _vote(good: Column | bool, bad: Column) -> Column:
-    good = F.lit(good) if isinstance(good, bool) else good
+def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
 def rules() -> dict[str, Column]:
-    """Name and vote of each rule over the counts.
+    """Name and vote of each rule over the counts: good, bad, or 0 between the two limits.
 
-    Most rules know one kind of bad text and abstain on all others; the last two can also
-    speak for a text.
+    Rules overlap, as their agreement is all that tells how far each can be believed. Texts of
+    one line have no vote on their lines.
     """
     c = F.col
     words = F.greatest(c("n_words"), F.lit(1))
     chars = F.greatest(c("word_chars"), F.lit(1))
-    letters = c("n_letters") * 100
+    letters, lines = c("n_letters") * 100, c("n_lines")
     return {
-        "symbols": _vote(False, c("n_symbols") * 100 > words * 20),
-        "repeats": _vote(False, c("n_repeat_words") * 100 > words * 40),
-        "dup_lines": _vote(False, c("n_dup_lines") * 10 > c("n_lines") * 6),
-        "word_length": _vote(False, (c("word_chars") < words * 2) | (c("word_chars") > words * 14)),
-        "shouting": _vote(False, c("n_upper") * 100 > chars * 50),
-        "variety": _vote(False, c("n_distinct") * 100 < words * 10),
-        "letters": _vote(letters > chars * 90, letters < chars * 60),
-        "length": _vote(c("n_words") >= 80, c("n_words") < 20),
+        "symbols": _vote(c("n_symbols") * 100 <= words * 5, c("n_symbols") * 100 > words * 20),
+        "density": _vote(c("n_symbols") * 100 <= chars * 2, c("n_symbols") * 100 > chars * 6),
+        "letters": _vote(letters >= chars * 92, letters < chars * 88),
+        "repeats": _vote(c("n_repeat_words") * 100 <= words * 10, c("n_repeat_words") * 100 > words * 30),
+        "variety": _vote(c("n_distinct") * 100 >= words * 40, c("n_distinct") * 100 < words * 20),
+        "dup_lines": F.when(lines < 2, 0).otherwise(_vote(c("n_dup_lines") * 10 <= lines, c("n_dup_lines") * 10 > lines * 3)),
+        "word_length": _vote((c("word_chars") * 2 >= words * 7) & (c("word_chars") * 2 <= words * 13), (c("word_chars") < words * 3) | (c("word_chars") > words * 7)),
+        "shouting": _vote(c("n_upper") * 100 <= chars * 10, c("n_upper") * 100 > chars * 30),
+        "length": _vote(c("n_words") >= 100, c("n_words") < 75),
+        "lines": F.when(lines < 2, 0).otherwise(_vote(c("n_words") >= lines * 10, c("n_words") < lines * 8)),
     }
 
 
-#: Share of a rule's bad and good votes that are held to be right before any text is seen, and
-#: how much that belief weighs against the texts.
-BELIEF, BELIEF_WEIGHT = {-1: 0.9, 1: 0.6}, 0.5
+def log_odds(share: float, accuracy: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log odds of good before any vote, and what a bad and a good vote of each rule add."""
+    on_good, on_bad = accuracy[:, 0], accuracy[:, 1]
+    return float(np.log(share / (1 - share))), np.stack([np.log((1 - on_good) / on_bad), np.log(on_good / (1 - on_bad))], 1)
 
 
-def fit(patterns: np.ndarray, weights: np.ndarray, rounds: int = 100, prior: float = 0.9) -> tuple[float, np.ndarray, np.ndarray]:
-    """(share of good texts, rate[rule, bad or good vote, bad or good text], posterior of each pattern).
+def fit(patterns: np.ndarray, weights: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray, np.ndarray]:
+    """(share of good texts, accuracy[rule, on good or bad texts], posterior of each pattern).
 
-    The share of good texts is given, as rules that abstain on most texts can't tell it. The E-step multiplies the prior odds by how much oftener good texts than bad ones get
-    each vote; an abstention says nothing. The M-step estimates these rates from the
-    posterior, together with the belief that a vote is right as often as BELIEF says: rules
-    that never meet on a text could not be told from noise otherwise.
+    The first posterior of a pattern is the share of good votes in it. The M-step estimates
+    from the posteriors the share of good texts and how often each rule's votes are right on
+    good and on bad texts, one text right and one wrong added to each so that none is certain;
+    the E-step multiplies the odds by each vote's likelihood ratio. An abstention says nothing.
     """
-    patterns = np.asarray(patterns, dtype=int).reshape(len(weights), -1)
-    n_rules = patterns.shape[1]
-    rate, share, total = np.full((n_rules, 2, 2), 0.5), prior, float(weights.sum())
-    size = np.array([total * (1 - share), total * share]) * (1 + BELIEF_WEIGHT)
-    good = np.where((patterns < 0).any(1), 1 - BELIEF[-1], prior)
-    for _ in range(rounds if total else 0):
-        before = good
-        odds = np.full(len(weights), np.log(share / (1 - share)))
-        for r in range(n_rules):
-            for k, v in enumerate((-1, 1)):
-                here = patterns[:, r] == v
-                w = weights[here]
-                right = BELIEF_WEIGHT * w.sum() * BELIEF[v]
-                wrong = BELIEF_WEIGHT * w.sum() - right
-                believed = (right, wrong) if v < 0 else (wrong, right)
-                rate[r, k] = (np.array([(w * (1 - good[here])).sum(), (w * good[here]).sum()]) + believed + 1e-3) / (size + 1e-3)
-                weight = np.log(rate[r, k, 1] / rate[r, k, 0])
-                odds[here] += min(weight, 0) if v < 0 else max(weight, 0)
-        good = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-        if np.abs(good - before).max(initial=0) < 1e-9:
+    patterns = np.asarray(patterns, dtype=int)
+    n_votes = np.abs(patterns).sum(1)
+    good = ((patterns > 0).sum(1) + 0.5) / (n_votes + 1)
+    is_good, is_bad = (patterns > 0).astype(float), (patterns < 0).astype(float)
+    share, accuracy = 0.5, np.full((patterns.shape[1], 2), 0.5)
+    for _ in range(rounds if len(weights) else 0):
+        before, w, v = good, weights * good, weights * (1 - good)
+        share = (w.sum() + 1) / (weights.sum() + 2)
+        accuracy = np.stack([(w @ is_good + 1) / (w @ (is_good + is_bad) + 2), (v @ is_bad + 1) / (v @ (is_good + is_bad) + 2)], 1)
+        prior, add = log_odds(share, accuracy)
+        good = 1 / (1 + np.exp(-np.clip(prior + is_bad @ add[:, 0] + is_good @ add[:, 1], -50, 50)))
+        if np.abs(good - before).max() < 1e-9:
             break
-    return share, rate, good
+    return share, accuracy, good
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -163,16 +157,18 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     Each text is read once: the counts and votes are written to the shared folder.
     """
     counted = add_counts(docs)
-    names = list(rules())
-    code = sum(((v + 1) * 3**i for i, v in enumerate(rules().values())), F.lit(0)).cast("int")
+    own = rules()
+    code = sum(((v + 1) * 3**i for i, v in enumerate(own.values())), F.lit(0)).cast("int")
     voted = written(counted.withColumn("base_failed", base_failed()).withColumn("votes", code), "votes")
     # At most 3 ** n_rules rows, independent of the data's size.
     seen = voted.groupBy("votes").count().orderBy("votes").collect()
     codes = np.array([r["votes"] for r in seen], dtype=int)
-    patterns = np.stack([codes // 3**i % 3 - 1 for i in range(len(names))], 1) if len(codes) else np.zeros((0, len(names)), int)
-    if not len(codes):
-        return voted.withColumn("quality", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
-    good = fit(patterns, np.array([r["count"] for r in seen], dtype=float))[2]
-    posterior = F.create_map(*chain.from_iterable((F.lit(int(c)), F.lit(round(float(p), 12))) for c, p in zip(codes, good)))
-    judged = voted.withColumn("quality", posterior[F.col("votes")])
+    patterns = np.stack([codes // 3**i % 3 - 1 for i in range(len(own))], 1) if len(codes) else np.zeros((0, len(own)), int)
+    share, accuracy, _ = fit(patterns, np.array([r["count"] for r in seen], dtype=float))
+    prior, add = log_odds(share, accuracy)
+    odds = F.lit(prior)
+    for i, (bad, good) in enumerate(add.tolist()):
+        vote = F.floor(F.col("votes") / 3**i) % 3
+        odds = odds + F.when(vote == 0, bad).when(vote == 2, good).otherwise(0.0)
+    judged = voted.withColumn("quality", F.round(1 / (1 + F.exp(-odds)), 9))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

@@ -228,7 +228,7 @@ def test_op2_knapsack_is_exact(items, budget):
 
 
 def test_op3_counts_and_votes(spark):
-    rows = corpus() + [(900, "Wow### is&&& this%%% junk$$$ " * 3 + " ".join(f"u{i}###" for i in range(90)), "en", "s", 0)]
+    rows = corpus() + [(900 + k, "Wow### is&&& this%%% junk$$$ " * 3 + " ".join(f"u{k}x{i}###" for i in range(90)), "en", "s", 0) for k in range(12)]
     found = {}
     for r in quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).collect():
         found[r["doc_id"]] = r
@@ -244,7 +244,61 @@ def test_op3_counts_and_votes(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(covered))
         assert r["base_failed"] == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
         assert not (r["kept"] and r["base_failed"])
-    assert not found[900]["kept"] and found[900]["quality"] < 0.2
+    # Rules are believed by how they agree, so junk is told by several texts of its kind.
+    assert not any(found[900 + k]["kept"] or found[900 + k]["quality"] > 0.2 for k in range(12))
+
+
+def brute_posteriors(votes, rounds=500):
+    """Two-class Dawid-Skene, text by text: votes is a list of dicts of the rules that do not abstain."""
+    names = sorted({n for v in votes for n in v})
+    good = [(sum(x > 0 for x in v.values()) + 0.5) / (len(v) + 1) for v in votes]
+    for _ in range(rounds):
+        share = (sum(good) + 1) / (len(good) + 2)
+        right = {}
+        for n in names:
+            held = [(g, v[n]) for g, v in zip(good, votes) if n in v]
+            right[n] = ((sum(g for g, x in held if x > 0) + 1) / (sum(g for g, _ in held) + 2), (sum(1 - g for g, x in held if x < 0) + 1) / (sum(1 - g for g, _ in held) + 2))
+        new = []
+        for v in votes:
+            a, b = share, 1 - share
+            for n, x in v.items():
+                a *= right[n][0] if x > 0 else 1 - right[n][0]
+                b *= 1 - right[n][1] if x > 0 else right[n][1]
+            new.append(a / (a + b))
+        done = max(abs(x - y) for x, y in zip(good, new)) < 1e-9
+        good = new
+        if done:
+            break
+    return good
+
+
+def test_op3_posterior_matches_brute_force(spark):
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    found = quality_rules.judge(docs).collect()
+    names = list(quality_rules.rules())
+    votes = [{n: x for i, n in enumerate(names) if (x := r["votes"] // 3**i % 3 - 1)} for r in found]
+    expected = brute_posteriors(votes)
+    assert max(abs(r["quality"] - e) for r, e in zip(found, expected)) < 1e-6
+    assert all(r["kept"] == (not r["base_failed"] and e >= 0.5) for r, e in zip(found, expected) if abs(e - 0.5) > 1e-6)
+
+
+def test_op3_is_not_all_must_pass(spark):
+    found = [(r["votes"], r["kept"], r["base_failed"], r["quality"]) for r in quality_rules.judge(common.documents(spark, "/root/testdata/sf0.01")).collect()]
+    n_rules = len(quality_rules.rules())
+    bad = lambda v: sum(v // 3**i % 3 == 0 for i in range(n_rules))
+    assert sum(kept and bad(v) > 0 for v, kept, *_ in found) >= 10
+    assert sum(bad(v) > 1 and q < 0.01 for v, _, failed, q in found if not failed) >= 10
+    # A synthetic corpus with known accuracies: one bad vote of a weak rule does not sink a text, three do.
+    draw = np.random.default_rng(1)
+    truth = draw.random(6000) < 0.8
+    right = draw.random((6000, 6)) < np.array([0.95, 0.9, 0.8, 0.75, 0.75, 0.75])
+    votes = np.where(right == truth[:, None], 1, -1) * (draw.random((6000, 6)) < 0.9)
+    share, accuracy, good = quality_rules.fit(votes, np.ones(6000))
+    assert share == pytest.approx(0.8, abs=0.04)
+    assert accuracy[:, 0] == pytest.approx([0.95, 0.9, 0.8, 0.75, 0.75, 0.75], abs=0.04)
+    assert ((good >= 0.5) == truth).mean() > 0.95
+    by = {tuple(v): g for v, g in zip(votes.tolist(), good)}
+    assert by[(1, 1, 1, -1, 1, 1)] > 0.9 and by[(1, 1, -1, -1, -1, -1)] < by[(1, 1, 1, -1, 1, 1)] and by[(-1, 1, -1, -1, -1, -1)] < 0.1
 
 
 def test_op3_against_labels(spark):
