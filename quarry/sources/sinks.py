@@ -12,19 +12,26 @@ from pyspark.sql.utils import AnalysisException
 from quarry.operators.fusion import first_occurrence
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    """rows as a Parquet table in the folder of spark.checkpoint.dir, which all executors share, read back from there.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set on the context.
 
-    What many steps read is made once, and a lost executor does not cost it. Without that setting, as in tests, a local folder is used.
+    Only where all run in one process, as in tests, a local folder stands in; elsewhere a missing setting is a ValueError.
     """
-    spark = rows.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         folder = context._jsc.sc().getCheckpointDir().get()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a Parquet table in the shared folder, read back from there: made once, lineage cut, and a lost executor does not cost it."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
