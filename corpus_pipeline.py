@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes to the
 shared folder as Parquet and reads again as the next stage's docs. All stages but the last
-return the columns of `documents`.
+return the columns of `documents`, extra ones included, whatever their names.
+
+Documents without a letter, null and empty texts among them, go in the first stage; those that become empty later
+stay. Repeated rows are copies, of which the third stage keeps one; where rows tie, the least
+doc_id stays, a null one before others. Texts of any length go whole through every stage. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,13 +22,13 @@ from quarry.llm.queries import tokenizer_path
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that language identification rejects."""
     small_batches(spark)
-    found = language_id.identify(docs, language_id.train(docs))
-    return found.filter("NOT rejected").select(*docs.columns)
+    return language_id.accepted(docs, language_id.train(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines; n_chars follows, and a document whose lines all go stays, empty."""
-    return line_dedup.with_length(line_dedup.dedup_lines(docs)).select(*docs.columns)
+    fresh = [max(docs.columns, key=len) + end for end in ("_lines", "_dropped")]
+    return line_dedup.with_length(line_dedup.dedup_lines(docs).toDF(*docs.columns, *fresh)).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,14 +6,16 @@ characters, so words are always taken from the UTF-8 bytes of a text.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.sinks import stored as written  # noqa: F401 - every operator's way to write a table
+
 #: Java form of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a doc_id that is null wherever ids are compared.
@@ -29,25 +31,13 @@ _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set (tests) a local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            path = current.get()
-        else:
-            path = tempfile.mkdtemp(prefix="quarry-")
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def trimmed() -> None:
+    """Gives memory that a Python worker no longer needs back to the system; idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with every C library
+        pass
 
 
 def doc_key(column: str = "doc_id") -> Column:

@@ -11,9 +11,10 @@ Null text and text without a letter: `und`, score 0, rejected. Only text, and fo
 lang and doc_id, matter; ties go to the language first in code point order; rows are judged
 each for itself. Without any labelled row every text is `und`.
 
-Training reads at most about `train_rows` whole texts of each language, drawn by a hash of
-doc_id over all rows; this bound is a parameter, so the model's size does not grow with the
-corpus. Scoring reads all texts whole.
+Training reads at most about `train_rows` whole texts of each language, of at most
+`train_chars` characters each, drawn by a hash of doc_id over all rows, and the `train_langs` most
+frequent languages; these bounds are parameters, so neither the model nor what the driver
+collects grows with the corpus. Scoring reads all texts whole, of any length.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import rolling
 
 ORDER = 4
-TRAIN_ROWS = 400
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_LANGS = 400, 100_000, 400
 #: Characters that a text may hold: what is left for one never seen in training.
 ALPHABET = 4096
 #: A text is rejected beyond so many deviations of the calibration rows, for its length, if it
@@ -234,11 +235,11 @@ def bucket(divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Identifier:
+def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, train_langs: int = TRAIN_LANGS) -> Identifier:
     """Fit on about train_rows texts of each language, among rows whose bucket(4) is not 2."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket(4) != 2))
+    usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= train_chars) & (bucket(4) != 2))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(4), "doc_id"), 11).cast("double") * F.lit(2.0**-53)
-    counts = usable.groupBy("lang").count().collect()  # one row for each language
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(train_langs).collect()
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], train_rows / r["count"]).otherwise(share)
@@ -247,8 +248,8 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Identifier:
     return Identifier([(r["lang"], r["text"]) for r in rows])
 
 
-def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
-    """The columns of docs with lang_pred, score, entropy and rejected."""
+def _identified(docs: DataFrame, identifier: Identifier) -> DataFrame:
+    """The columns of docs as c0, c1 and so on, with lang_pred, score, entropy and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(identifier)
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
@@ -272,5 +273,15 @@ def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, "lang_pred", "score", "entropy", "rejected"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    done = plain.mapInArrow(run, f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
-    return done.toDF(*names, "lang_pred", "score", "entropy", "rejected")
+    return plain.mapInArrow(run, f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
+
+
+def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
+    """The columns of docs with lang_pred, score, entropy and rejected."""
+    return _identified(docs, identifier).toDF(*docs.columns, "lang_pred", "score", "entropy", "rejected")
+
+
+def accepted(docs: DataFrame, identifier: Identifier) -> DataFrame:
+    """The rows of docs that are not rejected, with the columns of docs."""
+    n = len(docs.columns)
+    return _identified(docs, identifier).filter("NOT rejected").select(*(f"c{i}" for i in range(n))).toDF(*docs.columns)

@@ -92,15 +92,16 @@ def mux(payload: bytes) -> bytes:
     """payload (a multiple of 192 bytes) as the samples of one 8-bit PCM track."""
     frames = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
     info = element(INFO, element(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(frames) * FRAME_MS)) + element(MUXER, b"quarry") + element(WRITER, b"quarry"))
-    body, cues = info + _TRACK, b""
+    parts, place, cues = [info, _TRACK], len(info) + len(_TRACK), []
     for first in range(0, len(frames), FRAMES * BLOCKS):
         begin = first * FRAME_MS
-        parts = [element(TIMESTAMP, begin)]
+        blocks_ = [element(TIMESTAMP, begin)]
         for i in range(first, min(len(frames), first + FRAMES * BLOCKS), FRAMES):
-            parts.append(block(frames[i : min(i + FRAMES, first + FRAMES * BLOCKS)], (i - first) * FRAME_MS))
-        cues += element(CUE_POINT, element(CUE_TIME, begin) + element(CUE_POSITIONS, element(CUE_TRACK, 1) + element(CUE_CLUSTER, len(body))))
-        body += element(CLUSTER, b"".join(parts))
-    return _HEAD + element(SEGMENT, body + element(CUES, cues))
+            blocks_.append(block(frames[i : min(i + FRAMES, first + FRAMES * BLOCKS)], (i - first) * FRAME_MS))
+        cues.append(element(CUE_POINT, element(CUE_TIME, begin) + element(CUE_POSITIONS, element(CUE_TRACK, 1) + element(CUE_CLUSTER, place))))
+        parts.append(element(CLUSTER, b"".join(blocks_)))
+        place += len(parts[-1])
+    return _HEAD + element(SEGMENT, b"".join([*parts, element(CUES, b"".join(cues))]))
 
 
 def _varint(data: bytes, at: int, keep: bool) -> tuple[int, int]:

@@ -5,7 +5,7 @@ size of the whole table by weight; a target stops at `max_repeats` times its sou
 and the excess is shared again by weight among the others until none is above. A source's
 documents are counted by exact length, each length gives its proportional part of the target,
 copies included, and a bounded-knapsack dynamic programme over the copies that are left closes
-the gap to the word. Which documents of a length are taken once more than the others follows
+the gap, to the word where any choice of them can. Which documents of a length are taken once more than the others follows
 a seeded hash, so reruns agree.
 
 Null text has size 0; null source is a source of its own, the last; a null doc_id is a
@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import WORD, written
 
-#: The dynamic programme works on budgets up to this many words; what is above is filled document by document.
-EXACT_WORDS = 1 << 16
+#: Words of short documents that are given to the dynamic programme besides what is left over.
+SLACK = 4096
 _BUCKETS, _PER_BUCKET = 4096, 64
 
 
@@ -68,32 +68,38 @@ def bounded_knapsack(lengths: list[int], counts: list[int], budget: int) -> list
     return taken
 
 
-def fit_budget(lengths: list[int], counts: list[int], budget: int, seed: int, max_repeats: int = 1, exact: int = EXACT_WORDS) -> list[int]:
+def fit_budget(lengths: list[int], counts: list[int], budget: int, seed: int, max_repeats: int = 1) -> list[int]:
     """Copies to take of the documents of each length, together as near to budget as can be found, not above it.
 
-    Each length first gives its proportional part. What is left is filled with one more of
-    each document at most and, where that does not do (one long document that is above the
-    budget by itself), with as many as max_repeats allows.
+    Long lengths first, each length gives its proportional part and hands what does not come
+    out even on to the next, so that less than one document's length is left at the end. To it
+    come SLACK words of the shortest lengths, one copy each, and the programme fits this rest: with one
+    more of each document at most and, where that does not do (one long document that is
+    above the budget by itself), with as many as max_repeats allows. The rest's size follows
+    the longest document, not the source.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total * max_repeats:
         return [c * max_repeats for c in counts]
+    taken = [c * (max(budget, 0) // total) if total and not n else 0 for n, c in zip(lengths, counts)]
     if budget <= 0:
-        return [0] * len(lengths)
-    taken = [c * budget // total if n else c * (budget // total) for n, c in zip(lengths, counts)]
-    left = budget - sum(n * k for n, k in zip(lengths, taken))
+        return taken
+    used = seen = 0
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        if lengths[i]:
+            seen += lengths[i] * counts[i]
+            taken[i] = min(counts[i] * max_repeats, (budget * seen // total - used) // lengths[i])
+            used += taken[i] * lengths[i]
+    left, slack = budget - used, 0
+    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
+        if slack < SLACK and lengths[i] and taken[i]:
+            taken[i], slack = taken[i] - 1, slack + lengths[i]
+    left += slack
     order = list(range(len(lengths)))
     random.Random(seed).shuffle(order)
     for most in (1, max_repeats):
         room = [min(c * max_repeats - k, c * most) if n else 0 for n, c, k in zip(lengths, counts, taken)]
-        moved = True
-        while left > exact and moved:
-            moved = False
-            for i in order:
-                if left > exact and room[i] and lengths[i] <= left:
-                    taken[i], room[i], left, moved = taken[i] + 1, room[i] - 1, left - lengths[i], True
-        more = bounded_knapsack([lengths[i] for i in order], [room[i] for i in order], min(left, exact))
-        for i, k in zip(order, more):
+        for i, k in zip(order, bounded_knapsack([lengths[i] for i in order], [room[i] for i in order], left)):
             taken[i] += k
             left -= k * lengths[i]
         if not left:

@@ -5,10 +5,12 @@ first taking the rest. Full pieces are sequences of their own. The others are de
 partitions; each is packed best-fit decreasing and gets a lower bound on its number of bins
 from dual feasible functions. Partitions that meet their bound are done, proved best; those
 with a gap exchange documents: they are dealt anew in groups and packed again, and a group's
-new packing replaces the old where it needs fewer bins.
+new packing replaces the old where it needs fewer bins. Rounds go on while one saves a bin and two
+partitions have a gap; what then stays above its bound says so in the column gap.
 
 Null and empty texts are the end id alone. Rows are documents each, repeated rows and null
-ids too. An empty table gives an empty result; columns but doc_id and text do not matter.
+ids too; ties in length go by doc_id. A text of any length is encoded whole. An empty table
+gives an empty result; columns but doc_id and text do not matter.
 
 Tokens: a text is cut at single blanks and newlines between other characters, where no token of this
 byte-level vocabulary can lie across, and the ids of each part are looked up in a bounded
@@ -31,13 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import trimmed, written
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces that a partition packs together, about; its memory and time are bounded by this.
 PART_ROWS = 20_000
-ROUNDS = 2
 #: Parts in each of the two generations of a worker's table, about 100 MB.
 _CACHE = 600_000
 #: White space other than blank and newline; a text with any goes through the tokenizer whole.
@@ -135,22 +136,25 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches):
         own = CachedTokenizer.of(tokenizer)
         gc.disable()  # millions of short-lived strings and lists, none in a cycle
-        for b in batches:
-            ids, rows = [], []
-            keys, values = b.column(0).to_pylist(), ["" if t is None else t for t in b.column(1).to_pylist()]
-            for a in range(0, len(values), 32):
-                for key, data in zip(keys[a : a + 32], own.bytes_of(values[a : a + 32])):
-                    data += end
-                    n = len(data) // 4
-                    at, k, stop = 0, 0, n % capacity or capacity
-                    while at < n:
-                        ids.append(key)
-                        rows.append((k, at, stop - at, zlib.crc32(memoryview(data)[4 * at : 4 * stop])))
-                        at, stop, k = stop, stop + capacity, k + 1
-            columns = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64())))], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        gc.enable()
-        own.old = {}  # an idle worker keeps one generation at most
+        try:
+            for b in batches:
+                ids, rows = [], []
+                keys, values = b.column(0).to_pylist(), ["" if t is None else t for t in b.column(1).to_pylist()]
+                for a in range(0, len(values), 32):
+                    for key, data in zip(keys[a : a + 32], own.bytes_of(values[a : a + 32])):
+                        data += end
+                        n = len(data) // 4
+                        at, k, stop = 0, 0, n % capacity or capacity
+                        while at < n:
+                            ids.append(key)
+                            rows.append((k, at, stop - at, zlib.crc32(memoryview(data)[4 * at : 4 * stop])))
+                            at, stop, k = stop, stop + capacity, k + 1
+                columns = list(zip(*rows)) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64())))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            gc.enable()
+            own.old = {}  # an idle worker keeps one generation at most
+            trimmed()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
@@ -224,10 +228,10 @@ def _again(base: int, capacity: int, names: list[str]):
     return again
 
 
-def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """parts (from `pieces`) with sequence_id and offset."""
+def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
+    """parts (from `pieces`) with sequence_id, offset and gap: bins of the sequence's partition above its certified bound."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    full = parts.filter(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = parts.filter(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"))
     rest = parts.filter(F.col("length") < capacity)
     n_parts = max(1, -(-rest.count() // part_rows))
     kind = parts.schema["doc_id"].dataType.simpleString()
@@ -239,27 +243,26 @@ def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, part_rows: int = PAR
         return _packed(rows, capacity)[names_out]
 
     packed = written(dealt.groupBy("part").applyInPandas(first, out), "packed")
-    done, base = [], n_parts
-    for k in range(rounds):
-        gaps = packed.filter("gap > 0").select("part").distinct().count()
-        done.append(packed.filter("gap <= 0"))
-        open_ = packed.filter("gap > 0")
-        if gaps < 2:
-            done.append(open_)
+    done, base, bins, k = [], n_parts, None, 0
+    while True:
+        # One row with three numbers; bins of a partition are numbered from 0.
+        parts_now = packed.groupBy("part").agg((F.max("bin") + 1).alias("bins"), F.max("gap").alias("gap"))
+        now = parts_now.agg(F.sum("bins").alias("bins"), F.count_if(F.col("gap") > 0).alias("open"), F.sum(F.when(F.col("gap") > 0, F.col("bins"))).alias("left")).first()
+        if bins is not None and now["bins"] >= bins or now["open"] < 2:
+            done.append(packed)
             break
-        groups = max(1, gaps // 3)
+        done.append(packed.filter("gap <= 0"))
+        open_, bins = packed.filter("gap > 0"), now["left"]
+        groups = max(1, now["open"] // 3)
         group = F.pmod(F.xxhash64(F.lit(k), "part"), F.lit(groups))
-
         packed = written(open_.withColumn("group", group).groupBy("group").applyInPandas(_again(base, capacity, names_out), out), "repacked")
-        base += groups
-    else:
-        done.append(packed)
+        base, k = base + groups, k + 1
     for x in done:
         numbered = F.shiftleft(F.col("part"), 28) + F.col("bin")
-        full = full.unionAll(x.select(*names, numbered.alias("sequence_id"), "offset"))
+        full = full.unionAll(x.select(*names, numbered.alias("sequence_id"), "offset", "gap"))
     return full
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, part_rows: int = PART_ROWS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of docs."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and gap of every piece of docs."""
     return pack_pieces(written(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity, part_rows)

@@ -185,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> E
     usable = usable.select("doc_id", F.col("quality").cast("double").alias("quality"))
     drawn = usable.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "quality").limit(train_rows)
     rows = counted(docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id", "left_semi")).join(F.broadcast(drawn), "doc_id")
-    data = rows.orderBy("doc_id").limit(2 * train_rows).toPandas()
+    # Repeated rows can be more than drawn; the hash, not the id, says which of them count.
+    data = rows.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(2 * train_rows).toPandas().sort_values("doc_id", kind="stable", ignore_index=True)
     return Ensemble(data[names].to_numpy(float), data["quality"].to_numpy(float), names)
 
 
