@@ -40,6 +40,18 @@ def trimmed() -> None:
         pass
 
 
+def tidy(run):
+    """run, a function of batches, that gives its memory back when a task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trimmed()
+
+    return tidied
+
+
 def doc_key(column: str = "doc_id") -> Column:
     """doc_id as a long that is never null."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import rolling
+from quarry.llm.common import rolling, tidy
 
 ORDER = 4
 TRAIN_ROWS, TRAIN_CHARS, TRAIN_LANGS = 400, 100_000, 400
@@ -273,7 +273,7 @@ def _identified(docs: DataFrame, identifier: Identifier) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, "lang_pred", "score", "entropy", "rejected"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    return plain.mapInArrow(run, f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
+    return plain.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:

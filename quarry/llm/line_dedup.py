@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NULL_ID, doc_key, written
+from quarry.llm.common import NULL_ID, doc_key, tidy, written
 
 _ENDS = b" \t\n\x0b\x0c\r"
 
@@ -53,7 +53,7 @@ def line_keys(docs: DataFrame, min_chars: int = 20) -> DataFrame:
                 hashes += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.binary())], ["key", "line_hash"])
 
-    return docs.select(doc_key().alias("key"), "text").mapInArrow(run, "key long, line_hash binary")
+    return docs.select(doc_key().alias("key"), "text").mapInArrow(tidy(run), "key long, line_hash binary")
 
 
 def lost_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -122,7 +122,7 @@ def _applied(docs: DataFrame, lost: DataFrame, min_chars: int, digest: bool) ->
             yield pa.RecordBatch.from_arrays(arrays, [x.split(" ")[0] for x in schema_names])
 
     schema_names = [f.name for f in kept_fields] + ["n_lines", "n_dropped"] + ["kept_sha256"] * digest
-    done = joined.mapInArrow(run, schema)
+    done = joined.mapInArrow(tidy(run), schema)
     if digest:
         return done.withColumnRenamed(f"c{at_id}", "doc_id")
     return done.toDF(*names, "n_lines", "n_dropped")

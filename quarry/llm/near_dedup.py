@@ -37,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, blocks, doc_key, mixed, rolling, row_key, texts, written
+from quarry.llm.common import Words, blocks, doc_key, mixed, rolling, row_key, texts, tidy, trimmed, written
 from quarry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Members of a family that are compared in one block.
 FAMILY = 160
+#: Members of families for each partition that compares them, about.
+PART_ROWS = 500
 _COLUMNS = 4096
 SLOTS = BANDS * ROWS
 _U = np.uint64
@@ -149,7 +151,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 own = [b.column(c).slice(first, end - first) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(digests, pa.binary()), bands], ["key", "row", "digest", "bands"])
 
-    return docs.select(doc_key().alias("key"), row_key().alias("row"), "text").mapInArrow(run, "key long, row long, digest binary, bands array<long>")
+    return docs.select(doc_key().alias("key"), row_key().alias("row"), "text").mapInArrow(tidy(run), "key long, row long, digest binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
@@ -173,7 +175,7 @@ def verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
 
     both = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(held.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
 def family_links(keys: np.ndarray, classes: np.ndarray, sides: np.ndarray, values: list[bytes], threshold: float) -> list[tuple[int, int]]:
@@ -236,9 +238,12 @@ def compared(families: DataFrame, held: DataFrame, threshold: float) -> DataFram
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         found = family_links(rows["key"].to_numpy(), rows["class"].to_numpy(), rows["block"].to_numpy(), [t.encode() for t in rows["text"]], threshold)
+        trimmed()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.join(held, "key").groupBy("family", "low", "high").applyInPandas(meet, "a long, b long")
+    # Little data and much work: as many partitions as the work asks for, which Spark does not join by size.
+    met = dealt.join(held, "key").repartition(max(1, -(-families.count() // PART_ROWS)), "family", "low", "high")
+    return met.groupBy("family", "low", "high").applyInPandas(meet, "a long, b long")
 
 
 def near_links(signs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

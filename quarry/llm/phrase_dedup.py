@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NULL_ID, Words, blocks, doc_key, minimizers, mixed, rolling, texts, written
+from quarry.llm.common import NULL_ID, Words, blocks, doc_key, minimizers, mixed, rolling, texts, tidy, written
 
 WIDTH, GRAM = 20, 6
 #: Phrases of one automaton and pieces that one task streams through it, about.
@@ -111,7 +111,7 @@ def confirmed(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFram
                 phrase, n = np.unique(_Block(values[first:end], width, gram).named()[2], return_counts=True)
                 yield pa.RecordBatch.from_arrays(_longs(np.append(phrase, _TOTAL), np.append(n, n.sum())), ["phrase", "n"])
 
-    named = rows.select("text").mapInArrow(run, "phrase long, n long")
+    named = rows.select("text").mapInArrow(tidy(run), "phrase long, n long")
     return named.groupBy("phrase").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
@@ -127,7 +127,7 @@ def pieces(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                 place = (version[first:end][own] << 32) | at
                 yield pa.RecordBatch.from_arrays(_longs(phrase, part[first:end][own], place), ["phrase", "part", "place"])
 
-    return rows.select("part", "version", "text").mapInArrow(run, "phrase long, part long, place long")
+    return rows.select("part", "version", "text").mapInArrow(tidy(run), "phrase long, part long, place long")
 
 
 def _text(phrases: np.ndarray, gram: int) -> str:
@@ -195,7 +195,7 @@ def occurrences(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
                     yield pa.RecordBatch.from_arrays([b.column(3).take(hit), b.column(4).take(hit)], ["part", "place"])
 
     both = to_compile.unionAll(to_stream).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("part").isNotNull())
-    return both.mapInArrow(run, "part long, place long").groupBy("part").agg(F.collect_list("place").alias("places"))
+    return both.mapInArrow(tidy(run), "part long, place long").groupBy("part").agg(F.collect_list("place").alias("places"))
 
 
 def _own_places(version: np.ndarray, places: list) -> list:
@@ -225,7 +225,7 @@ def owned_windows(flagged: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
                 which = which[_first_of_each(block.named_windows(which))]
                 yield pa.RecordBatch.from_arrays(_longs(block.windows[block.starts[which]].view(np.int64), docs[first:end][block.owner[which]]), ["window", "doc"])
 
-    held = flagged.filter(F.col("places").isNotNull()).select("doc", "version", "text", "places").mapInArrow(run, "window long, doc long")
+    held = flagged.filter(F.col("places").isNotNull()).select("doc", "version", "text", "places").mapInArrow(tidy(run), "window long, doc long")
     first = held.groupBy("window").agg(F.min("doc").alias("owner")).filter(F.col("owner") != NULL_ID)
     return first.groupBy("owner").agg(F.collect_list("window").alias("owned"))
 
@@ -279,6 +279,6 @@ def dedup_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Data
                 arrays += [pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_words", "n_removed", "spans", "kept_text"])
 
-    done = both.mapInArrow(run, "doc long, n_words long, n_removed long, spans array<struct<first:long,end:long>>, kept_text string")
+    done = both.mapInArrow(tidy(run), "doc long, n_words long, n_removed long, spans array<struct<first:long,end:long>>, kept_text string")
     doc_id = F.when(F.col("doc") != NULL_ID, F.col("doc")).cast(docs.schema["doc_id"].dataType)
     return done.select(doc_id.alias("doc_id"), "n_words", "n_removed", "spans", "kept_text")

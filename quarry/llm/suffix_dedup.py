@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NULL_ID, blocks, doc_key, minimizers, rolling, row_key, span_hashes, texts
+from quarry.llm.common import NULL_ID, blocks, doc_key, minimizers, rolling, row_key, span_hashes, texts, tidy
 
 WIDTH, GRAM = 200, 32
 #: Bytes that the multikey quicksort looks at before the blind tries take over.
@@ -97,7 +97,7 @@ def grams(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                 arrays = [keys[first:end][t[head]], g[head].view(np.int64), n, h[head], h[head + n - 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["key", "gram", "n", "low", "high"])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, gram long, n long, low long, high long")
+    return rows.select("key", "text").mapInArrow(tidy(run), "key long, gram long, n long, low long, high long")
 
 
 def repeated_grams(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -128,7 +128,7 @@ def segments(flagged: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
                 yield pa.RecordBatch.from_arrays(arrays, ["gram", "anchor", "bytes", "key", "first", "busy"])
 
     found = flagged.filter(F.size("mixed") > 0).select("key", "text", "mixed", "busy")
-    found = found.mapInArrow(run, "gram long, anchor int, bytes binary, key long, first long, busy boolean")
+    found = found.mapInArrow(tidy(run), "gram long, anchor int, bytes binary, key long, first long, busy boolean")
     # busy follows from gram; as an aggregate it keeps both ways below on one shuffle.
     return found.groupBy("gram", "anchor", "bytes").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("first").alias("first"), F.max("busy").alias("busy"))
 
@@ -278,7 +278,7 @@ def counted_windows(found: DataFrame, width: int = WIDTH) -> DataFrame:
                 arrays = [np.full(m, gram), h, np.full(m, n), np.full(m, key), first + np.arange(m)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["gram", "window", "n", "key", "low"])
 
-    rows = found.select("gram", "bytes", "n", "key", "first").mapInArrow(run, "gram long, window long, n long, key long, low long")
+    rows = found.select("gram", "bytes", "n", "key", "first").mapInArrow(tidy(run), "gram long, window long, n long, key long, low long")
     once = rows.groupBy("gram", "window").agg(F.sum("n").alias("n"), F.min("key").alias("key"), F.min("low").alias("low")).filter("n = 1")
     return once.select("key", "low", (F.col("low") + 1).alias("high"))
 
@@ -322,7 +322,7 @@ def unique_ranges(found: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             yield settle(waiting)
 
     met = found.filter("NOT busy").repartition("gram").sortWithinPartitions("gram").select("gram", "anchor", "bytes", "n", "key", "first")
-    ranges = met.mapInArrow(run, "key long, low long, high long")
+    ranges = met.mapInArrow(tidy(run), "key long, low long, high long")
     ranges = ranges.unionAll(counted_windows(found.filter("busy"), width))
     return ranges.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("unique"))
 
@@ -370,6 +370,6 @@ def dedup_suffixes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
                 arrays += [pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    done = both.mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, spans array<struct<first:long,end:long>>, kept binary")
+    done = both.mapInArrow(tidy(run), "key long, n_bytes long, n_removed long, n_spans long, spans array<struct<first:long,end:long>>, kept binary")
     doc_id = F.when(F.col("key") != NULL_ID, F.col("key")).cast(docs.schema["doc_id"].dataType)
     return done.select(doc_id.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", "kept")
