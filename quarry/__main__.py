@@ -2,6 +2,7 @@
 
     python -m quarry build --documents docs.parquet --index index
     python -m quarry ask --index index "a question" ["another"]
+    python -m quarry chat --index index
     python -m quarry evaluate --index index --dataset questions.json
 """
 
@@ -9,66 +10,102 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarry.config import load_config
-from quarry.operators import evaluate, models
+from quarry.config import Config, load_config
+from quarry.operators import evaluate, lexical, models
 from quarry.plans import retrieval
 from quarry.session import session
 from quarry.sources import readers, sinks
 
 
-def build(spark: SparkSession, documents: str, index: str) -> int:
-    """Writes parents and embedded children of the documents (doc_id, text); returns the number of children."""
-    config = load_config()
+def build(spark: SparkSession, documents: str, index: str, config: Config = Config()) -> int:
+    """Writes parents, embedded children and their postings of the documents (doc_id, text); returns the number of children."""
     parents, children = retrieval.build(spark.read.parquet(documents), models.HashingEmbedder(config.embedding_size), config)
-    sinks.write_index(parents, children, index, sinks.postings(children))
-    return spark.read.parquet(f"{index}/children").count()
+    lexicon = lexical.Bm25Index(retrieval.numbered(children), "child_no", "text_content")
+    sinks.write_index(parents, children, index, **lexicon.tables())
+    return sinks.read_index(spark, index, "children").count()
 
 
-def opened(spark: SparkSession, index: str) -> retrieval.Retriever:
-    config = load_config()
-    return retrieval.Retriever(spark.read.parquet(f"{index}/parents"), spark.read.parquet(f"{index}/children"), models.HashingEmbedder(config.embedding_size), config)
+def opened(spark: SparkSession, index: str, config: Config = Config(), sparse: str = "bm25") -> retrieval.Retriever:
+    """A retriever over the stored index; nothing is indexed again."""
+    parents, children, postings, terms, sizes = (sinks.read_index(spark, index, t) for t in ("parents", "children", "postings", "terms", "sizes"))
+    return retrieval.Retriever(parents, children, models.HashingEmbedder(config.embedding_size), config, index=lexical.Bm25Index.opened(postings, terms, sizes), sparse=sparse)
 
 
-def ask(spark: SparkSession, index: str, questions: list[str]) -> list[str]:
+def ask(retriever: retrieval.Retriever, questions: list[str]) -> list[str]:
     """An answer with its sources for each question that is not blank."""
     full = [(i, q.strip()) for i, q in enumerate(questions) if q.strip()]
-    rows = spark.createDataFrame(full, "qid long, question string")
-    found = {r["qid"]: r for r in opened(spark, index).answer(rows).collect()}
-    return ["\n".join(x for x in (found[i]["answer"], found[i]["sources"]) if x) for i, _ in full]
+    if not full:
+        return []
+    rows = retriever.children.sparkSession.createDataFrame(full, "qid long, question string")
+    found = {r["qid"]: r for r in retriever.answer(rows).collect()}
+    return ["\n".join(x for x in (found[i]["answer"] or f"failed: {found[i]['failure']}", found[i]["sources"]) if x) for i, _ in full]
 
 
-def evaluated(spark: SparkSession, index: str, dataset: str) -> str:
-    """MRR and NDCG@5 of the questions by expected parent id, as text."""
+def evaluated(spark: SparkSession, index: str, dataset: str, config: Config = Config(), limit: int | None = None, sparse: str = "bm25") -> str:
+    """The scorecard of a dataset's questions (all, or the first `limit` by text), as text."""
     asked = readers.json_document(spark, dataset, readers.BATCH_SCHEMA).withColumn("qid", F.xxhash64("question"))
-    hits = opened(spark, index).retrieve(asked.select("qid", "question"))
-    expected = asked.select("qid", "expected_parent_ids")
-    relevant = hits.join(expected, "qid").select("qid", "rank", evaluate.id_matches(F.col("parent_id"), F.col("expected_parent_ids")).alias("relevant"))
-    metrics = evaluate.first_match_metrics(relevant, asked.select("qid", (F.coalesce(F.size("expected_parent_ids"), F.lit(0)) > 0).alias("expects")))
-    row = metrics.agg(F.count("*").alias("n"), F.coalesce(F.avg("mrr"), F.lit(0.0)).alias("mrr"), F.coalesce(F.avg("ndcg_at_5"), F.lit(0.0)).alias("ndcg")).first()
-    return f"questions: {row['n']}\nMRR: {row['mrr']:.4f}\nNDCG@5: {row['ndcg']:.4f}"
+    asked = asked if limit is None else asked.orderBy("question").limit(limit)
+    metrics = sinks.stored(opened(spark, index, config, sparse).evaluate(asked), "metrics")
+    return evaluate.scorecard_text(evaluate.scorecard(metrics)).first()["scorecard"]
+
+
+def repl(answer: Callable[[str], str], read: Callable[[str], str] = input, write: Callable[[str], None] = print) -> int:
+    """Answers questions until `exit`, `quit` or the end of the input; returns how many were answered.
+
+    Blank lines are passed over. A question that fails is reported and does not count.
+    """
+    n = 0
+    while True:
+        try:
+            question = read(f"[{n + 1}] > ").strip()
+        except (EOFError, KeyboardInterrupt):
+            break
+        if question.lower() in ("exit", "quit"):
+            break
+        if not question:
+            continue
+        try:
+            write(answer(question))
+        except Exception as e:  # noqa: BLE001 - the next question may do better
+            limited = any(x in str(e).lower() for x in ("429", "quota", "rate limit"))
+            write("The model is busy; wait a little and ask again." if limited else f"failed: {type(e).__name__}: {e}")
+            continue
+        n += 1
+    return n
 
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quarry")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, options in {"build": ("--documents", "--index"), "ask": ("--index",), "evaluate": ("--index", "--dataset")}.items():
+    for name, options in {"build": ("--documents", "--index"), "ask": ("--index",), "chat": ("--index",), "evaluate": ("--index", "--dataset")}.items():
         command = commands.add_parser(name)
+        command.add_argument("--config")
         for option in options:
-            command.add_argument(option, required=True)
+            command.add_argument(option, required=option != "--index")
+        if name != "build":
+            command.add_argument("--sparse", choices=["bm25", "fulltext"], default="bm25")
         if name == "ask":
             command.add_argument("questions", nargs="+")
+        if name == "evaluate":
+            command.add_argument("--limit", type=int)
     given = parser.parse_args(args)
+    config = load_config(given.config)
+    index = given.index or config.index_path
     spark = SparkSession.getActiveSession() or session()
     if given.command == "build":
-        print(f"{build(spark, given.documents, given.index)} children")
+        print(f"{build(spark, given.documents, index, config)} children")
     elif given.command == "ask":
-        print("\n\n".join(ask(spark, given.index, given.questions)))
+        print("\n\n".join(ask(opened(spark, index, config, given.sparse), given.questions)))
+    elif given.command == "chat":
+        retriever = opened(spark, index, config, given.sparse)
+        repl(lambda q: "\n".join(ask(retriever, [q])))
     else:
-        print(evaluated(spark, given.index, given.dataset))
+        print(evaluated(spark, index, given.dataset, config, given.limit, given.sparse))
     return 0
 
 

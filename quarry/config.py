@@ -21,7 +21,6 @@ class Config:
     rrf_keep: int = 15
     rerank_keep: int = 5
     embedding_size: int = 64
-    pass_threshold: float = 0.85
     index_path: str = "index"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import json
 import unicodedata
 
 import pandas as pd
@@ -118,6 +120,35 @@ def repair(c: str | Column) -> Column:
     return F.pandas_udf(run, "string")(c)
 
 
+def plain_text(reply: object) -> str:
+    """The text alone of a reply: a string itself, of a list its parts', of a block what stands under `text`; all else is left out."""
+    if isinstance(reply, str):
+        return reply
+    if isinstance(reply, (list, tuple)):
+        return "".join(map(plain_text, reply))
+    if isinstance(reply, dict):
+        return plain_text(reply.get("text", ""))
+    return ""
+
+
+def nested_text(c: str | Column) -> Column:
+    """plain_text of replies kept as JSON or as Python literals, however deep; other strings stay as they are."""
+
+    def one(value: str) -> str:
+        if value.lstrip()[:1] in ("[", "{"):
+            for read in (json.loads, ast.literal_eval):
+                try:
+                    return plain_text(read(value)).strip()
+                except (ValueError, SyntaxError, MemoryError, RecursionError):
+                    pass
+        return value.strip()
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(c)
+
+
 def response_text(c: Column) -> Column:
     """The plain text of a model's reply: itself, or the text of a JSON list of strings and blocks."""
     blocks = F.from_json(c, "array<string>")

@@ -94,21 +94,34 @@ def split_text(text: str, size: int, overlap: int, separators: list[str], length
     return [t for t in out if t]
 
 
-_TABLE_HEAD = re.compile(r"(\|[^\n]+\|\n\|\s*[-:]+[-|\s:]*\|)")
-_TABLE_RULE = re.compile(r"^\|\s*[-:]+[-|\s:]*\|$")
+def _is_row(line: str) -> bool:
+    line = line.strip()
+    return len(line) > 1 and line[0] == line[-1] == "|"
+
+
+def _is_rule(line: str) -> bool:
+    """Whether a line is the one between a table's header and its rows: cells of dashes and colons."""
+    return _is_row(line) and all(cell and not cell.strip("-:") for cell in map(str.strip, line.strip()[1:-1].split("|")))
+
+
+def table_head(text: str) -> str | None:
+    """Header and rule of the first Markdown table of a text."""
+    lines = text.split("\n")
+    for above, below in zip(lines, lines[1:]):
+        if _is_row(above) and _is_rule(below):
+            return f"{above.strip()}\n{below.strip()}"
+    return None
 
 
 def with_table_heads(parent: str, children: list[str]) -> list[str]:
-    """Children with table rows but no separator line get the parent's first table head before them."""
-    head = _TABLE_HEAD.search(parent)
-    if not head:
-        return children
-    out = []
-    for child in children:
-        lines = [x.strip() for x in child.strip().splitlines()]
-        rows = any(x.startswith("|") and x.endswith("|") for x in lines)
-        out.append(f"{head[1]}\n{child}" if rows and not any(_TABLE_RULE.match(x) for x in lines) else child)
-    return out
+    """Children that hold rows of a table but no rule begin with the head of the parent's first table."""
+    head = table_head(parent)
+
+    def headless(child: str) -> bool:
+        lines = child.split("\n")
+        return any(map(_is_row, lines)) and not any(map(_is_rule, lines))
+
+    return [f"{head}\n{c}" if head and headless(c) else c for c in children]
 
 
 def split_column(rows: DataFrame, key: str, text: str, size: int, overlap: int, separators: list[str], by_words: bool = False) -> DataFrame:
@@ -219,22 +232,25 @@ def table_chunks(tables: DataFrame, max_tokens: int = 400) -> DataFrame:
     return _chunk(rows, id_, F.col("text"), "table", urls=F.array().cast("array<string>"))
 
 
-def notice_context(notices: DataFrame, services: DataFrame) -> DataFrame:
-    """notices (notice_id, text, page_start) with category, service_name and source_urls of the one service that spans the page and whose name is in the text; nulls and [] where none or several do."""
-    s = services.select(F.col("category").alias("s_category"), F.col("name").alias("s_name"), F.col("page_start").alias("s_start"), F.col("page_end").alias("s_end"), F.col("source_urls").alias("s_urls"))
-    met = notices.select("notice_id", "text", "page_start").join(s, F.col("page_start").between(F.col("s_start"), F.col("s_end")) & F.lower("text").contains(F.lower("s_name")))
-    one = met.groupBy("notice_id").agg(F.count("*").alias("n"), F.first("s_category").alias("category"), F.first("s_name").alias("service_name"), F.first("s_urls").alias("source_urls")).filter("n = 1").drop("n")
-    return notices.join(one, "notice_id", "left").withColumn("source_urls", F.coalesce("source_urls", F.array().cast("array<string>")))
+def notice_context(notices: DataFrame, services: DataFrame, document: str = "document") -> DataFrame:
+    """notices (document, notice_id, text, page_start) with category, service_name and source_urls of the one service of the document that spans the page and whose name is in the text; nulls and [] where none or several do.
 
+    The services are spread over their pages, so notices meet those of their page by an equi join; a service spans few pages.
+    """
+    s = services.select(F.col(document).alias("s_document"), F.explode(F.sequence("page_start", "page_end")).alias("s_page"), F.col("category").alias("s_category"), F.col("name").alias("s_name"), F.col("source_urls").alias("s_urls"))
+    met = notices.select(document, "notice_id", "text", "page_start").join(s, (F.col(document) == F.col("s_document")) & (F.col("page_start") == F.col("s_page")) & F.lower("text").contains(F.lower("s_name")))
+    one = met.groupBy(document, "notice_id").agg(F.count("*").alias("n"), F.first("s_category").alias("category"), F.first("s_name").alias("service_name"), F.first("s_urls").alias("source_urls")).filter("n = 1").drop("n")
+    return notices.join(one, [document, "notice_id"], "left").withColumn("source_urls", F.coalesce("source_urls", F.array().cast("array<string>")))
 
-def notices(tables: DataFrame, skipped: DataFrame) -> DataFrame:
-    """(notice_id, text, page_start, page_end) of unrecognised tables without a title, outside the skipped page ranges, that have text."""
+
+def notices(tables: DataFrame, skipped: DataFrame, document: str = "document") -> DataFrame:
+    """(document, notice_id, text, page_start, page_end) of unrecognised tables without a title, outside the document's skipped page ranges, that have text."""
     cells = F.flatten("rows")
     text = F.array_join(F.filter(F.transform(cells, lambda c: F.btrim(F.regexp_replace(c, r"\s+", " "))), lambda c: c != ""), "\n\n")
     plain = tables.filter((F.col("shape") == "unrecognized_table") & F.col("title").rlike(r"^[ |\t\n]*$"))
-    ranges = skipped.select(F.col("page_start").alias("k_start"), F.col("page_end").alias("k_end"))
-    kept = plain.join(ranges, F.col("page_start").between(F.col("k_start"), F.col("k_end")), "left_anti")
-    return kept.select(F.col("table_id").alias("notice_id"), text.alias("text"), "page_start", "page_end").filter("text <> ''")
+    ranges = skipped.select(F.col(document).alias("k_document"), F.col("page_start").alias("k_start"), F.col("page_end").alias("k_end"))
+    kept = plain.join(ranges, (F.col(document) == F.col("k_document")) & F.col("page_start").between(F.col("k_start"), F.col("k_end")), "left_anti")
+    return kept.select(document, F.col("table_id").alias("notice_id"), text.alias("text"), "page_start", "page_end").filter("text <> ''")
 
 
 def notice_chunks(tables: DataFrame, skipped: DataFrame, services: DataFrame) -> DataFrame:
@@ -278,6 +294,28 @@ def verified(chunks: DataFrame) -> DataFrame:
     return kinds.unionByName(rows)
 
 
+def uncovered(categories: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(category): names of categories that no chunk has."""
+    return categories.select(F.col("name").alias("category")).distinct().join(chunks.select("category").distinct(), "category", "left_anti")
+
+
+def as_documents(chunks: DataFrame) -> DataFrame:
+    """(id, page_content, metadata) of chunks: null names are empty, pages whole numbers, links a JSON list."""
+    text = {c: F.coalesce(F.col(c), F.lit("")) for c in ("chunk_type", "category", "service_name", "concept_group")}
+    pages = {c: F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in ("page_start", "page_end")}
+    urls = F.to_json(F.coalesce("source_urls", F.array().cast("array<string>")))
+    metadata = F.struct(F.col("id"), *(v.alias(k) for k, v in (text | pages).items()), urls.alias("source_urls"))
+    return chunks.select("id", F.coalesce("text", F.lit("")).alias("page_content"), metadata.alias("metadata"))
+
+
+def parsing_report(services: DataFrame, document: str = "document") -> DataFrame:
+    """(document, categories, services, concepts, without_links, without_description) of parsed records (category, record_type, description, source_urls)."""
+    return services.groupBy(document).agg(
+        F.countDistinct(F.when(F.col("record_type") == "service", F.col("category"))).alias("categories"),
+        F.count_if(F.col("record_type") == "service").alias("services"), F.count_if(F.col("record_type") == "concept").alias("concepts"),
+        F.count_if(F.coalesce(F.size("source_urls"), F.lit(0)) <= 0).alias("without_links"), F.count_if(F.coalesce(F.btrim("description"), F.lit("")) == "").alias("without_description"))
+
+
 def require_unique(chunks: DataFrame, key: str = "id") -> DataFrame:
     """chunks, or a ValueError that names some ids that occur more than once."""
     again = [r[0] for r in chunks.groupBy(key).count().filter("count > 1").orderBy(key).limit(5).collect()]

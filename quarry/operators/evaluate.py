@@ -60,6 +60,20 @@ def judged(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return replies.withColumn("score", score).withColumn("reason", reason).withColumn("status", F.when(score.isNull(), "unparsed").otherwise("parsed"))
 
 
+def judged_metrics(replies: DataFrame) -> DataFrame:
+    """(qid, the four judged metrics and their <metric>_reason) from (qid, metric, reply); a reply without a score leaves its metric null."""
+    own = METRICS[2:]
+    parsed = judged(replies)
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    return parsed.groupBy("qid").agg(*(pick(m, "score").alias(m) for m in own), *(pick(m, "reason").alias(f"{m}_reason") for m in own))
+
+
+def six_metrics(questions: DataFrame, ranked: DataFrame, replies: DataFrame) -> DataFrame:
+    """questions (qid, expects) with all six metrics and verdict; ranked has qid, rank and relevant."""
+    found = first_match_metrics(ranked, questions)
+    return scored(questions.drop("expects").join(found, "qid").join(judged_metrics(replies), "qid", "left"))
+
+
 def scored(metrics: DataFrame) -> DataFrame:
     """metrics with verdict: PASSED where all six reach the mark, else PARTIAL PASS."""
     least = F.least(*(F.coalesce(F.col(m), F.lit(0.0)) for m in METRICS))

@@ -25,10 +25,11 @@ def merged_variants(hits: DataFrame) -> DataFrame:
 def weighted_rrf(dense: DataFrame, sparse: DataFrame, dense_weight: Column, sparse_weight: Column, constant: int = 60, keep: int = 15) -> DataFrame:
     """(qid, doc_id, dense_rank, sparse_rank, rrf_score, rrf_rank): weights over constant plus rank, summed over both lists.
 
-    Equal scores stay in order of the dense rank, then the sparse rank. The weights may use qid.
+    Equal scores stay in order of the dense rank, then the sparse rank. The weights may use qid, and
+    dense_weight or sparse_weight: the column weight of that list, where it has one.
     """
-    d = dense.select("qid", "doc_id", F.col("rank").alias("dense_rank"))
-    s = sparse.select("qid", "doc_id", F.col("rank").alias("sparse_rank"))
+    side = lambda rows, name: rows.select("qid", "doc_id", F.col("rank").alias(f"{name}_rank"), *([F.col("weight").alias(f"{name}_weight")] if "weight" in rows.columns else []))
+    d, s = side(dense, "dense"), side(sparse, "sparse")
     both = d.join(s, ["qid", "doc_id"], "full")
     part = lambda w, r: F.coalesce(w / (constant + F.col(r)), F.lit(0.0))
     scored = both.withColumn("rrf_score", part(dense_weight, "dense_rank") + part(sparse_weight, "sparse_rank"))

@@ -18,21 +18,22 @@ def overlap(a: str, b: str) -> Column:
     return (c(f"{a}_x0") < c(f"{b}_x1")) & (c(f"{b}_x0") < c(f"{a}_x1")) & (c(f"{a}_y0") < c(f"{b}_y1")) & (c(f"{b}_y0") < c(f"{a}_y1"))
 
 
-def running_matter(lines: DataFrame, page_height: float) -> DataFrame:
-    """lines (line_id, page, text, y0, y1) with is_running: headers and footers.
+def running_matter(lines: DataFrame, page_height: float | Column, document: str = "document") -> DataFrame:
+    """lines (document, line_id, page, text, y0, y1) with is_running: headers and footers. page_height may be a column.
 
     A publication line in the upper 5 % is a header. A footer is a row near the lower edge,
     lines within 3 units, that holds a standalone number and beside it a line of up to 120 characters that is
-    none. Pages are few lines each, so the rows meet by a join on the page.
+    none. Pages are few lines each, so the rows meet by a join on the document's page.
     """
-    top, bottom = page_height * 0.05, page_height - max(page_height * 0.05, 64.0)
+    height = F.lit(page_height) if isinstance(page_height, float) else page_height
+    top, bottom = height * 0.05, height - F.greatest(height * 0.05, F.lit(64.0))
     number = F.col("text").rlike(r"^\d+$")
     low = lines.filter(F.col("y0") >= bottom)
-    numbers = low.filter(number).select(F.col("page").alias("n_page"), F.col("line_id").alias("number_id"), F.col("y0").alias("number_y"))
-    rows = low.join(numbers, (F.col("page") == F.col("n_page")) & (F.abs(F.col("y0") - F.col("number_y")) <= 3))
-    titled = rows.groupBy("number_id").agg(F.max((~number & (F.length("text") <= 120)).cast("int")).alias("titled")).filter("titled = 1").select("number_id")
-    footers = rows.join(titled, "number_id", "left_semi").select(F.col("line_id").alias("footer_id")).distinct()
-    marked = lines.join(footers, lines["line_id"] == footers["footer_id"], "left")
+    numbers = low.filter(number).select(F.col(document).alias("n_document"), F.col("page").alias("n_page"), F.col("line_id").alias("number_id"), F.col("y0").alias("number_y"))
+    rows = low.join(numbers, (F.col(document) == F.col("n_document")) & (F.col("page") == F.col("n_page")) & (F.abs(F.col("y0") - F.col("number_y")) <= 3))
+    titled = rows.groupBy("n_document", "number_id").agg(F.max((~number & (F.length("text") <= 120)).cast("int")).alias("titled")).filter("titled = 1").select("n_document", "number_id")
+    footers = rows.join(titled, ["n_document", "number_id"], "left_semi").select(F.col("n_document").alias("footer_document"), F.col("line_id").alias("footer_id")).distinct()
+    marked = lines.join(footers, (F.col(document) == F.col("footer_document")) & (F.col("line_id") == F.col("footer_id")), "left").drop("footer_document")
     header = (F.col("y1") <= top) & F.lower("text").isin(PUBLICATION_LINES)
     return marked.withColumn("is_running", header | F.col("footer_id").isNotNull()).drop("footer_id")
 
@@ -121,37 +122,50 @@ def nearest_heading(images: DataFrame, headings: DataFrame, document: str = "doc
     return found.filter("kind = 1").select(document, "image_id", "page", "y", "category")
 
 
-def overlapping_links(boxes: DataFrame, links: DataFrame) -> DataFrame:
-    """(owner, source_urls): the different links, in order, whose box on the page overlaps one of the owner's boxes.
+def _same_page(other: DataFrame, document: str) -> tuple[DataFrame, Column]:
+    """other with its document and page renamed, and the condition that they are a row's own."""
+    renamed = other.withColumnRenamed(document, "other_document").withColumnRenamed("page", "other_page")
+    return renamed, (F.col(document) == F.col("other_document")) & (F.col("page") == F.col("other_page"))
 
-    boxes has owner, page and box_x0 .. box_y1; links has page, uri and link_x0 .. link_y1.
+
+def overlapping_links(boxes: DataFrame, links: DataFrame, document: str = "document") -> DataFrame:
+    """(document, owner, source_urls): the different links, in order, whose box on the page overlaps one of the owner's boxes.
+
+    boxes has document, owner, page and box_x0 .. box_y1; links has document, page, uri and link_x0 .. link_y1.
     """
-    met = boxes.join(links.withColumnRenamed("page", "link_page"), (F.col("page") == F.col("link_page")) & overlap("box", "link"))
-    return met.groupBy("owner").agg(F.sort_array(F.collect_set("uri")).alias("source_urls"))
+    other, here = _same_page(links, document)
+    return boxes.join(other, here & overlap("box", "link")).groupBy(document, "owner").agg(F.sort_array(F.collect_set("uri")).alias("source_urls"))
+
+
+def outside_regions(lines: DataFrame, regions: DataFrame, document: str = "document") -> DataFrame:
+    """Lines (document, page, line_x0 .. line_y1) that overlap no table region (document, page, region_x0 .. region_y1)."""
+    other, here = _same_page(regions, document)
+    return lines.join(other, here & overlap("line", "region"), "left_anti")
 
 
-def outside_regions(lines: DataFrame, regions: DataFrame) -> DataFrame:
-    """Lines (page, line_x0 .. line_y1) that overlap no table region (page, region_x0 .. region_y1)."""
-    return lines.join(regions.withColumnRenamed("page", "region_page"), (F.col("page") == F.col("region_page")) & overlap("line", "region"), "left_anti")
+def record_lines(lines: DataFrame, regions: DataFrame, document: str = "document") -> DataFrame:
+    """Lines outside table regions with their white space collapsed, empty ones gone, numbered (line_no) in reading order within the document."""
+    kept = outside_regions(lines, regions, document).withColumn("text", F.btrim(F.regexp_replace("text", r"\s+", " "))).filter("text <> ''")
+    return kept.withColumn("line_no", F.row_number().over(Window.partitionBy(document).orderBy("page", "line_y0", "line_x0", "text")))
 
 
-def image_routes(images: DataFrame, captioned: DataFrame) -> DataFrame:
+def image_routes(images: DataFrame, captioned: DataFrame, document: str = "document") -> DataFrame:
     """images with route: decorative_size, outside_catalog_category, already_captioned or captioned; the first that holds.
 
-    captioned has category and page of what an earlier run has done.
+    captioned has document, category and page of what an earlier run has done.
     """
-    done = captioned.select(F.col("category").alias("done_category"), F.col("page").alias("done_page")).distinct()
-    both = images.join(done, (F.col("category") == F.col("done_category")) & (F.col("page") == F.col("done_page")), "left")
+    done = captioned.select(F.col(document).alias("done_document"), F.col("category").alias("done_category"), F.col("page").alias("done_page")).distinct()
+    both = images.join(done, (F.col(document) == F.col("done_document")) & (F.col("category") == F.col("done_category")) & (F.col("page") == F.col("done_page")), "left")
     small = F.least("pixel_width", "pixel_height", "render_width", "render_height") < MIN_IMAGE_SIDE
     route = F.when(small, "decorative_size").when(F.col("category").isNull(), "outside_catalog_category")
     route = route.when(F.col("done_page").isNotNull(), "already_captioned").otherwise("captioned")
-    return both.withColumn("route", route).drop("done_category", "done_page")
+    return both.withColumn("route", route).drop("done_document", "done_category", "done_page")
 
 
-def with_captions(categories: DataFrame, captions: DataFrame) -> DataFrame:
-    """categories with image_captions: the captions (category, page, image_path, caption) of each, in order of page and path; earlier ones go."""
-    found = captions.groupBy(F.col("category").alias("name")).agg(F.array_sort(F.collect_list(F.struct("page", "image_path", "caption"))).alias("image_captions"))
-    return categories.drop("image_captions").join(found, "name", "left")
+def with_captions(categories: DataFrame, captions: DataFrame, document: str = "document") -> DataFrame:
+    """categories (document, name) with image_captions: the captions (document, category, page, image_path, caption) of each, in order of page and path; earlier ones go."""
+    found = captions.groupBy(document, F.col("category").alias("name")).agg(F.array_sort(F.collect_list(F.struct("page", "image_path", "caption"))).alias("image_captions"))
+    return categories.drop("image_captions").join(found, [document, "name"], "left")
 
 
 def joined_spans(spans: DataFrame, gap: float = 0.75) -> DataFrame:

@@ -29,6 +29,19 @@ class Bm25Index:
         frequencies = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         self.frequencies = stored(frequencies.withColumn("idf", F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
 
+    def tables(self) -> dict[str, DataFrame]:
+        """What `opened` needs to search again without the texts."""
+        spark = self.postings.sparkSession
+        return {"postings": self.postings, "terms": self.frequencies, "sizes": spark.createDataFrame([(self.n, float(self.avgdl))], "n long, avgdl double")}
+
+    @classmethod
+    def opened(cls, postings: DataFrame, terms: DataFrame, sizes: DataFrame) -> Bm25Index:
+        """An index from its stored tables."""
+        own = cls.__new__(cls)
+        size = sizes.first()
+        own.n, own.avgdl, own.postings, own.frequencies = size["n"], size["avgdl"], postings, terms
+        return own
+
     def idf(self) -> DataFrame:
         """(term, df, idf); a negative idf is a quarter of the mean over all terms."""
         mean = self.frequencies.agg(F.avg("idf")).first()[0] or 0.0
@@ -153,16 +166,9 @@ def stem(word: str) -> str:
     return word.lower()
 
 
-def _lexemes(words: pd.Series) -> pd.Series:
-    """Stems of an array of words; a stop word is null, so that places stay."""
-    known: dict[str, str | None] = {}
-
-    def one(word: str) -> str | None:
-        if word not in known:
-            known[word] = None if word in STOP_WORDS else stem(word)
-        return known[word]
-
-    return words.map(lambda ws: None if ws is None else [one(w) for w in ws])
+def _lexeme(words: pd.Series) -> pd.Series:
+    """Stem of each word; null for a stop word."""
+    return words.map(lambda w: None if w in STOP_WORDS else stem(w))
 
 
 def _cover_density(places: pd.Series) -> pd.Series:
@@ -186,26 +192,32 @@ def _cover_density(places: pd.Series) -> pd.Series:
     return places.map(one)
 
 
-def lexemes(words: Column) -> Column:
-    return F.pandas_udf(_lexemes, "array<string>")(words)
+def stems(words: DataFrame) -> DataFrame:
+    """(term, lexeme) of the different terms of words, each stemmed once; stop words are left out."""
+    found = words.select("term").distinct().withColumn("lexeme", F.pandas_udf(_lexeme, "string")("term"))
+    return found.filter(F.col("lexeme").isNotNull())
 
 
 def cover_density(places: str | Column) -> Column:
     return F.pandas_udf(_cover_density, "double")(places)
 
 
-def fulltext_search(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id", any_term: bool = False) -> DataFrame:
+def fulltext_search(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id", any_term: bool = False, text: str = "text") -> DataFrame:
     """(qid, doc_id, score, rank): documents that hold all of a query's stems, by cover density.
 
-    Stop words ask nothing; a query of stop words alone finds nothing. With any_term a document
+    The word `or` cuts a query into alternatives, of which one must be held; the best one's score
+    counts. Stop words ask nothing; a query of stop words alone finds nothing. With any_term a document
     needs one stem only, and its score is divided by the share it lacks.
     """
-    asked = queries.select(F.col(query_key).alias("qid"), F.explode(F.array_distinct(F.filter(lexemes(tokens(F.col("text"))), lambda x: x.isNotNull()))).alias("lexeme"))
-    asked = asked.withColumn("need", F.count("*").over(Window.partitionBy("qid")))
-    held = docs.select(F.col(doc_key).alias("doc_id"), F.posexplode(lexemes(tokens(F.col("text")))).alias("place", "lexeme")).filter(F.col("lexeme").isNotNull())
-    held = held.join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
-    held = held.groupBy("doc_id", "lexeme").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    found = asked.join(held, "lexeme").groupBy("qid", "doc_id", "need").agg(F.count("*").alias("has"), F.collect_list("places").alias("places"))
+    parts = queries.select(F.col(query_key).alias("qid"), F.posexplode(F.split(F.col("text"), r"(?i)(?<!\S)or(?!\S)")).alias("alternative", "part"))
+    words = parts.select("qid", "alternative", F.explode(F.array_distinct(tokens(F.col("part")))).alias("term"))
+    asked = stored(words.join(stems(words), "term").select("qid", "alternative", "lexeme").distinct(), "asked")
+    needs = asked.groupBy("qid", "alternative").agg(F.count("*").alias("need"))
+    asked = asked.join(needs, ["qid", "alternative"])
+    held = docs.select(F.col(doc_key).alias("doc_id"), F.posexplode(tokens(F.col(text))).alias("place", "term"))
+    wanted = stems(held).join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
+    held = held.join(wanted, "term").groupBy("doc_id", "lexeme").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    found = asked.join(held, "lexeme").groupBy("qid", "alternative", "doc_id", "need").agg(F.count("*").alias("has"), F.collect_list("places").alias("places"))
     found = found if any_term else found.filter("has = need")
     scored = found.select("qid", "doc_id", F.round(cover_density("places") * F.col("has") / F.col("need"), 6).alias("score"))
-    return top_k(scored, k)
+    return top_k(scored.groupBy("qid", "doc_id").agg(F.max("score").alias("score")), k)

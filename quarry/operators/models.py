@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens
+from quarry.functions.text import plain_text, tokens
 from quarry.operators.citations import REFUSAL
 
 #: Fixed value: what some embedding models want before a question.
@@ -36,6 +36,10 @@ class Judge(Protocol):
     def reply(self, prompt: str) -> str: ...
 
 
+class Captioner(Protocol):
+    def caption(self, image: bytes) -> object: ...
+
+
 class HashingEmbedder:
     """Stand-in: signed counts of hashed words, scaled to length 1."""
 
@@ -81,6 +85,11 @@ def reranked(candidates: DataFrame, keep: int = 5, score: Column | None = None,
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
 
 
+def passed_through(candidates: DataFrame, keep: int = 5) -> DataFrame:
+    """The first `keep` candidates (qid, rrf_rank) as they stand, with rank: a reranker that changes nothing."""
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rrf_rank"))).filter(F.col("rank") <= keep)
+
+
 def reranked_by(candidates: DataFrame, reranker: Reranker, keep: int = 5, question: str = "question", text: str = "text_content") -> DataFrame:
     @F.pandas_udf("double")
     def run(q: pd.Series, t: pd.Series) -> pd.Series:
@@ -95,6 +104,75 @@ def first_sentence(text: Column, label: Column) -> Column:
     return F.when(F.coalesce(sentence, F.lit("")) == "", F.lit(REFUSAL)).otherwise(F.concat(sentence, F.lit(" ("), label, F.lit(")")))
 
 
+def captioned(images: DataFrame, captioner: Captioner, image: str = "content") -> DataFrame:
+    """images with caption (the plain text of the reply) and failure; an image whose call fails does not stop the others."""
+
+    @F.pandas_udf("struct<caption:string,failure:string>")
+    def run(data: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in data:
+            try:
+                out.append((plain_text(captioner.caption(x)).strip(), None))
+            except Exception as e:  # noqa: BLE001 - whatever a model raises concerns its image alone
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["caption", "failure"])
+
+    return images.withColumn("c", run(F.col(image))).select(*images.columns, "c.caption", "c.failure")
+
+
+#: Headings of the parts of a judge's prompt, and what each metric asks. The wording is this engine's own.
+TASKS = {
+    "context_precision": ("Question", "Contexts", "How much of the contexts helps to answer the question?"),
+    "context_recall": ("Reference answer", "Contexts", "How many of the facts of the reference answer stand in the contexts?"),
+    "faithfulness": ("Answer", "Contexts", "How many of the answer's statements are supported by the contexts?"),
+    "answer_correctness": ("Answer", "Reference answer", "How far does the answer agree with the reference answer?"),
+}
+_FORM = "Reply in two lines:\nSCORE: <a number from 0.00 to 1.00>\nREASON: <one short sentence>"
+#: Contexts that the judge of precision sees.
+PRECISION_CONTEXTS = 3
+
+
+def judge_prompts(rows: DataFrame) -> DataFrame:
+    """(qid, metric, prompt): four prompts for each row (qid, question, contexts, answer, ground_truth_answer)."""
+    few = F.array_join(F.slice("contexts", 1, PRECISION_CONTEXTS), "\n\n")
+    parts = {"Question": F.col("question"), "Answer": F.col("answer"), "Reference answer": F.col("ground_truth_answer"), "Contexts": F.array_join("contexts", "\n\n")}
+
+    def prompt(metric: str) -> Column:
+        first, second, task = TASKS[metric]
+        pieces = [F.lit(f"## {first}\n"), parts[first], F.lit(f"\n\n## {second}\n"), few if metric == "context_precision" else parts[second], F.lit(f"\n\n## Task\nYou judge answers strictly. {task}\n{_FORM}")]
+        if metric == "context_recall":
+            pieces = [F.lit("## Question\n"), parts["Question"], F.lit("\n\n"), *pieces]
+        return F.concat(*(F.coalesce(p, F.lit("")) for p in pieces))
+
+    asked = F.array(*(F.struct(F.lit(m).alias("metric"), prompt(m).alias("prompt")) for m in TASKS))
+    return rows.select("qid", F.explode(asked).alias("p")).select("qid", "p.*")
+
+
+class OverlapJudge:
+    """Stand-in for a judge: the share of the first part's words that the second holds."""
+
+    def reply(self, prompt: str) -> str:
+        parts = [p.split("\n", 1)[-1] for p in ("\n" + prompt).split("\n## ")[1:]]
+        first, second = (set(p.lower().split()) for p in parts[-3:-1])
+        return f"SCORE: {len(first & second) / max(len(first), 1):.2f}\nREASON: shared words"
+
+
+def judge_replies(prompts: DataFrame, judge: Judge) -> DataFrame:
+    """prompts with reply; null where the call fails, which scores nothing."""
+
+    @F.pandas_udf("string")
+    def run(asked: pd.Series) -> pd.Series:
+        out: list = []
+        for p in asked:
+            try:
+                out.append(plain_text(judge.reply(p)))
+            except Exception:  # noqa: BLE001 - whatever a model raises concerns its prompt alone
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return prompts.withColumn("reply", run("prompt"))
+
+
 def generated(rows: DataFrame, generator: Generator, question: str = "question", context: str = "context") -> DataFrame:
     """rows with answer and failure: a question whose call fails has no answer and does not stop the others."""
 
@@ -103,7 +181,7 @@ def generated(rows: DataFrame, generator: Generator, question: str = "question",
         out = []
         for x, y in zip(q, c):
             try:
-                out.append((generator.answer(x, y or ""), None))
+                out.append((plain_text(generator.answer(x, y or "")), None))
             except Exception as e:  # noqa: BLE001 - whatever a model raises concerns its question alone
                 out.append((None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=["answer", "failure"])

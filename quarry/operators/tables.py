@@ -54,12 +54,12 @@ def continued(tables: DataFrame, document: str = "document", order: str = "table
         first["headers"].alias("headers"), F.flatten(F.transform("p", lambda x: x["rows"])).alias("rows"), F.size("p").alias("parts"))
 
 
-def nearest_title(tables: DataFrame, lines: DataFrame) -> DataFrame:
-    """tables (table_id, page, y0, headers) with title: the nearest line above with `compare` in it, else the headers joined by ` | `."""
-    above = lines.filter(F.lower("text").contains("compare")).select(F.col("page").alias("l_page"), F.col("y1").alias("l_y1"), F.col("text").alias("l_text"))
-    met = tables.select("table_id", "page", "y0").join(above, (F.col("page") == F.col("l_page")) & (F.col("l_y1") <= F.col("y0")))
-    best = met.groupBy("table_id").agg(F.min(F.struct((F.col("y0") - F.col("l_y1")).alias("d"), "l_text")).alias("b")).select("table_id", F.col("b.l_text").alias("found"))
-    return tables.join(best, "table_id", "left").withColumn("title", F.coalesce("found", F.array_join("headers", " | "))).drop("found")
+def nearest_title(tables: DataFrame, lines: DataFrame, document: str = "document") -> DataFrame:
+    """tables (document, table_id, page, y0, headers) with title: the nearest line above with `compare` in it, else the headers joined by ` | `."""
+    above = lines.filter(F.lower("text").contains("compare")).select(F.col(document).alias("l_document"), F.col("page").alias("l_page"), F.col("y1").alias("l_y1"), F.col("text").alias("l_text"))
+    met = tables.select(document, "table_id", "page", "y0").join(above, (F.col(document) == F.col("l_document")) & (F.col("page") == F.col("l_page")) & (F.col("l_y1") <= F.col("y0")))
+    best = met.groupBy(document, "table_id").agg(F.min(F.struct((F.col("y0") - F.col("l_y1")).alias("d"), "l_text")).alias("b")).select(document, "table_id", F.col("b.l_text").alias("found"))
+    return tables.join(best, [document, "table_id"], "left").withColumn("title", F.coalesce("found", F.array_join("headers", " | "))).drop("found")
 
 
 def row_groups(rows: DataFrame, budget: int, key: str = "table_id", order: str = "row_no", size: str = "size") -> DataFrame:

@@ -20,8 +20,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays, in doubles."""
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    """Cosine similarity of two arrays, in doubles; 0 where one is all zeros."""
+    size = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; zeros stay."""
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(size > 0, size, 1)
 
 
 def nearest(corpus: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -44,7 +51,7 @@ def nearest_each(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     def add(rows: list) -> None:
         ids = np.array([r["qid"] for r in rows], dtype=np.int64)
         matrix = np.array([r[vector] for r in rows], dtype=float)
-        shared = spark.sparkContext.broadcast((ids, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
+        shared = spark.sparkContext.broadcast((ids, _unit(matrix)))
 
         def run(batches):
             qids, unit = shared.value
@@ -54,7 +61,7 @@ def nearest_each(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_
                     continue
                 own = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
-                scores = np.round(unit @ (flat / np.linalg.norm(flat, axis=1, keepdims=True)).T, 6) + 0.0
+                scores = np.round(unit @ _unit(flat).T, 6) + 0.0
                 s = np.concatenate([best_s, scores], 1)
                 d = np.concatenate([best_d, np.broadcast_to(own, scores.shape)], 1)
                 order = np.lexsort((d, -s), axis=1)[:, :k]

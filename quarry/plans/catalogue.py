@@ -156,7 +156,7 @@ def table_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = I.rows(spark, sf_dir, I.LINES).withColumn("text", F.when(F.col("line_id") % 9 == 0, F.concat(F.lit("Compare "), "text")).otherwise(F.col("text")))
-    found = I.rows(spark, sf_dir, I.IMAGES).select(F.col("image_id").alias("table_id"), "page", F.col("y").alias("y0"), F.array(F.lit("A"), F.col("image_id").cast("string")).alias("headers"))
+    found = I.rows(spark, sf_dir, I.IMAGES).select(F.col("image_id").alias("table_id"), "document", "page", F.col("y").alias("y0"), F.array(F.lit("A"), F.col("image_id").cast("string")).alias("headers"))
     return T.nearest_title(found, lines).select("table_id", "title")
 
 
@@ -186,23 +186,55 @@ def service_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matter_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = I.rows(spark, sf_dir, I.LINES)
     found = lines.filter("size = 18 AND text <> 'Category click'").select("document", F.col("page").alias("page_start"), (F.col("page") + 2).alias("page_end"))
-    return layout.matter_ranges(found, lines.groupBy("document").agg(F.max("page").alias("page_count")).withColumn("page_count", F.col("page_count") - F.col("document") * 10)).select("document", "kind", "page_start", "page_end")
+    return layout.matter_ranges(found, lines.groupBy("document").agg(F.max("page").alias("page_count")).withColumn("page_count", F.col("page_count") + F.col("document") % 2)).select("document", "kind", "page_start", "page_end")
 
 
 def link_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = I.rows(spark, sf_dir, I.LINES).select(F.floor(F.col("line_id") / 20).alias("owner"), "page", F.lit(50.0).alias("box_x0"), F.lit(500.0).alias("box_x1"), F.col("y0").alias("box_y0"), F.col("y1").alias("box_y1"))
-    return layout.overlapping_links(boxes, I.rows(spark, sf_dir, I.LINKS)).select("owner", F.array_join("source_urls", " ").alias("urls"))
+    boxes = I.rows(spark, sf_dir, I.LINES).select(F.floor(F.col("line_id") / 20).alias("owner"), "document", "page", F.lit(50.0).alias("box_x0"), F.lit(500.0).alias("box_x1"), F.col("y0").alias("box_y0"), F.col("y1").alias("box_y1"))
+    return layout.overlapping_links(boxes, I.rows(spark, sf_dir, I.LINKS)).select("document", "owner", F.array_join("source_urls", " ").alias("urls"))
 
 
 def outside_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = I.rows(spark, sf_dir, I.LINES).select("line_id", "page", F.lit(50.0).alias("line_x0"), F.lit(490.0).alias("line_x1"), F.col("y0").alias("line_y0"), F.col("y1").alias("line_y1"))
-    regions = I.rows(spark, sf_dir, I.LINKS).select("page", *(F.col(f"link_{c}").alias(f"region_{c}") for c in ("x0", "x1", "y0", "y1")))
+    lines = I.rows(spark, sf_dir, I.LINES).select("line_id", "document", "page", F.lit(50.0).alias("line_x0"), F.lit(490.0).alias("line_x1"), F.col("y0").alias("line_y0"), F.col("y1").alias("line_y1"))
+    regions = I.rows(spark, sf_dir, I.LINKS).select("document", "page", *(F.col(f"link_{c}").alias(f"region_{c}") for c in ("x0", "x1", "y0", "y1")))
     return layout.outside_regions(lines, regions).select("line_id")
 
 
+def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = I.rows(spark, sf_dir, I.LINES).select("document", "page", F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("  "))).alias("text"), F.lit(50.0).alias("line_x0"), F.lit(490.0).alias("line_x1"), F.col("y0").alias("line_y0"), F.col("y1").alias("line_y1"))
+    regions = I.rows(spark, sf_dir, I.LINKS).select("document", "page", *(F.col(f"link_{c}").alias(f"region_{c}") for c in ("x0", "x1", "y0", "y1")))
+    return layout.record_lines(lines, regions).select("document", "page", "line_no", "text")
+
+
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = I.rows(spark, sf_dir, I.CHUNKS).withColumn("text", F.nullif("answer", F.lit("Nothing is cited here (perhaps)"))).withColumn("source_urls", F.when(F.col("rank") % 3 > 0, F.array(F.lit("u"), F.col("id"))))
+    found = chunking.as_documents(chunks)
+    return found.select("id", "page_content", *(F.col(f"metadata.{c}") for c in ("chunk_type", "category", "service_name", "concept_group", "page_start", "page_end", "source_urls")))
+
+
+def parsing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("page_start") % 4 == 0, "concept").otherwise("service")
+    rows = I.rows(spark, sf_dir, I.SERVICES).withColumn("record_type", kind).withColumn("source_urls", F.when(F.col("page_start") % 3 > 0, F.array("url"))).withColumn("description", F.when(F.col("page_start") % 5 > 0, F.col("description")))
+    return chunking.parsing_report(rows)
+
+
+def uncovered_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = I.rows(spark, sf_dir, I.SERVICES).select(F.col("category").alias("name"))
+    return chunking.uncovered(names, I.rows(spark, sf_dir, I.SERVICES).filter("page_start < 20").select("category"))
+
+
+def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = I.rows(spark, sf_dir, I.TRUTHS).select(F.col("no").alias("qid"), "question", F.array("question_id", F.lit("b"), F.lit("c"), F.lit("d")).alias("contexts"), F.upper("question").alias("answer"), F.col("question_id").alias("ground_truth_answer"))
+    return models.judge_prompts(rows)
+
+
+def rerank_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.passed_through(I.rows(spark, sf_dir, I.VARIANTS).filter("variant = 0").withColumnRenamed("rank", "rrf_rank"), 2).select("qid", "rrf_rank", "rank")
+
+
 def image_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = I.rows(spark, sf_dir, I.IMAGES)
-    return layout.image_routes(images, images.filter("pixel_width > 300").select("category", "page")).select("image_id", "route")
+    return layout.image_routes(images, images.filter("pixel_width > 300").select("document", "category", "page")).select("image_id", "route")
 
 
 def joined_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,10 +248,10 @@ def notice_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Service and notice chunks in one table, notices outside the skipped pages 10 to 20."""
+    """Service and notice chunks in one table, notices outside the skipped pages 10 to 20 of document 0."""
     services = I.rows(spark, sf_dir, I.SERVICES).withColumn("source_urls", F.array("url"))
-    boxes = I.rows(spark, sf_dir, I.NOTICES).select(F.col("notice_id").alias("table_id"), F.lit(" | ").alias("title"), F.lit("unrecognized_table").alias("shape"), F.array(F.array("text")).alias("rows"), "page_start", F.col("page_start").alias("page_end"))
-    skipped = spark.range(1).select(F.lit(10).alias("page_start"), F.lit(20).alias("page_end"))
+    boxes = I.rows(spark, sf_dir, I.NOTICES).select("document", F.col("notice_id").alias("table_id"), F.lit(" | ").alias("title"), F.lit("unrecognized_table").alias("shape"), F.array(F.array("text")).alias("rows"), "page_start", F.col("page_start").alias("page_end"))
+    skipped = spark.range(1).select(F.col("id").alias("document"), F.lit(10).alias("page_start"), F.lit(20).alias("page_end"))
     found = chunking.together(chunking.service_chunks(services), chunking.notice_chunks(boxes, skipped, services))
     return found.select("id", "text", "chunk_type", "category", "service_name", "page_start", "page_end", F.array_join("source_urls", " ").alias("urls"), F.col("kind_no").cast("bigint").alias("kind_no"))
 
@@ -306,10 +338,10 @@ def sources_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = I.rows(spark, sf_dir, I.IMAGES)
-    names = images.filter("category IS NOT NULL").select(F.col("category").alias("name")).distinct()
-    captions = images.select("category", "page", F.concat(F.lit("p"), "image_id").alias("image_path"), F.concat(F.lit("caption "), "image_id").alias("caption"))
+    names = images.filter("category IS NOT NULL").select("document", F.col("category").alias("name")).distinct()
+    captions = images.select("document", "category", "page", F.concat(F.lit("p"), "image_id").alias("image_path"), F.concat(F.lit("caption "), "image_id").alias("caption"))
     found = layout.with_captions(names, captions)
-    return found.select("name", F.size("image_captions").cast("bigint").alias("n"), F.sha2(F.array_join(F.transform("image_captions", lambda c: c["caption"]), "|"), 256).alias("captions_sha"))
+    return found.select("document", "name", F.size("image_captions").cast("bigint").alias("n"), F.sha2(F.array_join(F.transform("image_captions", lambda c: c["caption"]), "|"), 256).alias("captions_sha"))
 
 
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +357,7 @@ def queries() -> dict[str, Query]:
         bm25_topk, bm25_term_stats, dense_topk, dense_topk_batch, dense_hashed, hybrid_rrf, interleave_dedup, multi_query_union, fts_and_match,
         category_scan, category_detect, query_intent, query_variations, clean_text_lines, text_scalars, header_metadata, nfkc_normalize, merge_suspects,
         chunk_parents, chunk_children, parent_resolution, sibling_expansion, table_continuation, table_row_groups, table_titles, asof_heading,
-        running_matter, style_profile, heading_state, service_records, matter_ranges, link_overlap, outside_regions, image_routing, joined_spans,
+        running_matter, style_profile, heading_state, service_records, matter_ranges, link_overlap, outside_regions, record_lines, chunk_documents, parsing_report, uncovered_categories, judge_prompts, rerank_passed, image_routing, joined_spans,
         notice_context, catalog_chunks, verify_chunks, index_audit, gt_match, expected_backfill, service_match, retrieval_metrics, batch_scorecard,
         query_verdicts, judge_parse, citation_labels, citation_extract, event_windows, event_sessions,
         seeded_sample, response_text, sources_line, image_captions, rerank_overlap,

@@ -23,7 +23,7 @@ def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 LINES = """
-SELECT event_id AS line_id, CAST(floor(event_id / 400) AS BIGINT) AS document, CAST(floor(event_id / 40) AS INT) + 1 AS page,
+SELECT event_id AS line_id, CAST(floor(event_id / 400) AS BIGINT) AS document, CAST(floor(event_id % 400 / 40) AS INT) + 1 AS page,
   CASE WHEN event_id % 40 = 0 THEN 'AWS Whitepaper'
        WHEN event_id % 40 = 39 THEN CAST(event_id AS STRING)
        WHEN event_id % 40 = 38 THEN CASE WHEN user_id % 3 = 0 THEN '7' ELSE 'Footer ' || event_type END
@@ -37,14 +37,14 @@ SELECT event_id AS line_id, CAST(floor(event_id / 400) AS BIGINT) AS document, C
 FROM events
 """
 IMAGES = """
-SELECT event_id AS image_id, CAST(floor(event_id / 400) AS BIGINT) AS document, CAST(floor(event_id / 40) AS INT) + 1 AS page,
+SELECT event_id AS image_id, CAST(floor(event_id / 400) AS BIGINT) AS document, CAST(floor(event_id % 400 / 40) AS INT) + 1 AS page,
   CAST(61 + 15 * (event_id % 40) AS DOUBLE) AS y, CAST(100 + event_id % 300 AS INT) AS pixel_width, CAST(140 + user_id % 40 AS INT) AS pixel_height,
   CAST(145 + event_id % 90 AS DOUBLE) AS render_width, CAST(160 AS DOUBLE) AS render_height,
   CASE WHEN user_id % 5 > 0 THEN event_type END AS category
 FROM events
 """
 LINKS = """
-SELECT CAST(floor(event_id / 40) AS INT) + 1 AS page, 'https://example.org/' || CAST(user_id % 50 AS STRING) AS uri,
+SELECT CAST(floor(event_id / 400) AS BIGINT) AS document, CAST(floor(event_id % 400 / 40) AS INT) + 1 AS page, 'https://example.org/' || CAST(user_id % 50 AS STRING) AS uri,
   CAST(480 + event_id % 60 AS DOUBLE) AS link_x0, CAST(500 + event_id % 60 AS DOUBLE) AS link_x1,
   CAST(65 + 15 * (event_id % 40) AS DOUBLE) AS link_y0, CAST(77 + 15 * (event_id % 40) AS DOUBLE) AS link_y1
 FROM events
@@ -58,12 +58,12 @@ SELECT p_partkey AS table_id, CAST(floor(p_partkey / 50) AS BIGINT) AS document,
 FROM part
 """
 SERVICES = """
-SELECT 'Category ' || CAST(s_nationkey AS STRING) AS category, s_name AS name, 'About ' || s_name AS description,
+SELECT CAST(s_suppkey % 2 AS BIGINT) AS document, 'Category ' || CAST(s_nationkey AS STRING) AS category, s_name AS name, 'About ' || s_name AS description,
   CAST(s_suppkey % 50 AS INT) AS page_start, CAST(s_suppkey % 50 + 5 AS INT) AS page_end, 'https://example.org/' || CAST(s_suppkey AS STRING) AS url
 FROM supplier
 """
 NOTICES = """
-SELECT c_custkey AS notice_id, CAST(c_custkey % 60 AS INT) AS page_start,
+SELECT CAST(c_custkey % 3 AS BIGINT) AS document, c_custkey AS notice_id, CAST(c_custkey % 60 AS INT) AS page_start,
   c_name || ' relies on SUPPLIER#' || lpad(CAST(c_custkey % 100 + 1 AS STRING), 9, '0') ||
     CASE WHEN c_custkey % 7 = 0 THEN ' and Supplier#' || lpad(CAST(c_custkey % 60 + 1 AS STRING), 9, '0') ELSE '' END AS text
 FROM customer

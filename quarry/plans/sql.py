@@ -6,6 +6,7 @@ from quarry.functions import text as X
 from quarry.operators import citations as C
 from quarry.operators import evaluate as E
 from quarry.operators import intent as N
+from quarry.operators import models as M
 from quarry.plans import inputs as I
 
 
@@ -107,9 +108,21 @@ _CITED = f"""(svc <> '' AND (contains(seg, svc) OR contains(svc, seg)))
 _CUT = "CASE " + " ".join(f"WHEN instr(t, {_q(m)}) > 1 THEN instr(t, {_q(m)})" for m in E.CUTOFFS) + " ELSE 0 END"
 _NUMBER = r"([0-1]\.\d+|0|1)"
 
+
+
+def _prompt(metric: str) -> str:
+    first, second, task = M.TASKS[metric]
+    parts = {"Question": "question", "Answer": "answer", "Reference answer": "truth", "Contexts": "three" if metric == "context_precision" else "four"}
+    before = "'## Question' || chr(10) || question || repeat(chr(10), 2) || " if metric == "context_recall" else ""
+    tail = " || ".join(_q(x) for x in f"You judge answers strictly. {task}\n{M._FORM}".split("\n")).replace("' || '", "' || chr(10) || '")
+    return f"SELECT qid, {_q(metric)} AS metric, {before}'## {first}' || chr(10) || {parts[first]} || repeat(chr(10), 2) || '## {second}' || chr(10) || {parts[second]} || repeat(chr(10), 2) || '## Task' || chr(10) || {tail} AS prompt FROM p"
+
+
 SQL = {
     "bm25_topk": f"WITH {_bm25(10)} SELECT qid, doc_id, score, rank FROM sparse",
-    "bm25_term_stats": f"WITH {_bm25(10)} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "bm25_term_stats": f"""WITH tok AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents), size AS MATERIALIZED (SELECT count(*) AS n FROM documents),
+raw AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n FROM size) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS w FROM tok GROUP BY term), low AS MATERIALIZED (SELECT 0.25::DOUBLE * avg(w) AS w FROM raw)
+SELECT term, df, round(CASE WHEN raw.w < 0 THEN low.w ELSE raw.w END, 6) AS idf FROM raw, low""",
     "dense_topk": f"WITH {_DENSE.format('q.vec_id = 0')} SELECT doc_id, score FROM dense",
     "dense_topk_batch": f"WITH {_DENSE.format('q.vec_id % 100 = 0')} SELECT qid, doc_id, score, rank FROM dense",
     "hybrid_rrf": f"""{_ARMS}, both_ AS (SELECT coalesce(d.qid, s.qid) AS qid, coalesce(d.doc_id, s.doc_id) AS doc_id, d.rank AS dense_rank, s.rank AS sparse_rank
@@ -158,13 +171,13 @@ f AS (SELECT table_id, row_no, size, n, 1 AS g, size AS used FROM r WHERE n = 1
   UNION ALL SELECT r.table_id, r.row_no, r.size, r.n, CASE WHEN f.used > 0 AND f.used + r.size > 60 THEN f.g + 1 ELSE f.g END, CASE WHEN f.used > 0 AND f.used + r.size > 60 THEN r.size ELSE f.used + r.size END
   FROM f JOIN r ON r.table_id = f.table_id AND r.n = f.n + 1)
 SELECT table_id, row_no, size, g AS group_no FROM f""",
-    "table_titles": f"""WITH l AS (SELECT page, y1, CASE WHEN line_id % 9 = 0 THEN 'Compare ' || text ELSE text END AS text FROM ({I.LINES})), c AS (SELECT * FROM l WHERE contains(lower(text), 'compare')),
-t AS (SELECT image_id AS table_id, page, y AS y0 FROM ({I.IMAGES})), m AS (SELECT table_id, text, row_number() OVER (PARTITION BY table_id ORDER BY y0 - y1, text) AS n FROM t JOIN c ON t.page = c.page AND c.y1 <= t.y0)
+    "table_titles": f"""WITH l AS (SELECT document, page, y1, CASE WHEN line_id % 9 = 0 THEN 'Compare ' || text ELSE text END AS text FROM ({I.LINES})), c AS (SELECT * FROM l WHERE contains(lower(text), 'compare')),
+t AS (SELECT document, image_id AS table_id, page, y AS y0 FROM ({I.IMAGES})), m AS (SELECT table_id, text, row_number() OVER (PARTITION BY table_id ORDER BY y0 - y1, text) AS n FROM t JOIN c ON t.document = c.document AND t.page = c.page AND c.y1 <= t.y0)
 SELECT t.table_id, coalesce(m.text, 'A | ' || t.table_id::VARCHAR) AS title FROM t LEFT JOIN m ON m.table_id = t.table_id AND m.n = 1""",
     "asof_heading": f"""WITH h AS (SELECT document, page * 10000 + y0 AS at, text AS category FROM ({I.LINES}) WHERE size = 12), i AS (SELECT document, image_id, page, page * 10000 + y AS at FROM ({I.IMAGES}))
 SELECT i.image_id, i.page, h.category FROM i ASOF LEFT JOIN h ON i.document = h.document AND i.at >= h.at""",
-    "running_matter": f"""WITH l AS ({I.LINES}), low AS (SELECT *, regexp_full_match(text, '\\d+') AS num FROM l WHERE y0 >= 792 - 64), n AS (SELECT line_id AS number_id, page, y0 FROM low WHERE num),
-r AS (SELECT low.line_id, n.number_id, (NOT low.num AND length(low.text) <= 120) AS ok FROM low JOIN n ON low.page = n.page AND abs(low.y0 - n.y0) <= 3), t AS (SELECT number_id FROM r GROUP BY number_id HAVING bool_or(ok))
+    "running_matter": f"""WITH l AS ({I.LINES}), low AS (SELECT *, regexp_full_match(text, '\\d+') AS num FROM l WHERE y0 >= 792 - 64), n AS (SELECT line_id AS number_id, document, page, y0 FROM low WHERE num),
+r AS (SELECT low.line_id, n.number_id, (NOT low.num AND length(low.text) <= 120) AS ok FROM low JOIN n ON low.document = n.document AND low.page = n.page AND abs(low.y0 - n.y0) <= 3), t AS (SELECT number_id FROM r GROUP BY number_id HAVING bool_or(ok))
 SELECT line_id, ((y1 <= 792 * 0.05 AND lower(text) IN ('overview of amazon web services', 'aws whitepaper')) OR line_id IN (SELECT line_id FROM r WHERE number_id IN (SELECT number_id FROM t))) AS is_running FROM l""",
     "style_profile": f"""WITH c AS (SELECT round_even(size, 1) AS size, count(*) AS n FROM ({I.LINES}) WHERE bold AND length(text) BETWEEN 1 AND 120 GROUP BY ALL), r AS (SELECT * FROM c WHERE n >= 3 AND size >= 10), s AS (SELECT size FROM r ORDER BY n DESC, size LIMIT 1)
 SELECT (SELECT min(size) FROM r WHERE size > (SELECT size FROM s) AND size >= 16) AS category_size, (SELECT size FROM s) AS service_size, 0.35::DOUBLE AS tolerance""",
@@ -172,18 +185,27 @@ SELECT (SELECT min(size) FROM r WHERE size > (SELECT size FROM s) AND size >= 16
     "service_records": f"""WITH {_STATE}, n AS (SELECT *, sum((kind = 'service')::INT) OVER (PARTITION BY document, category_no ORDER BY line_id) AS service_no FROM kinds WHERE kind IN ('service', 'body')),
 g AS (SELECT document, category_no, service_no, any_value(category) AS category, any_value(service) AS name, min(page) AS page_start, max(page) AS page_end, trim(coalesce(string_agg(text, chr(10) ORDER BY line_id) FILTER (kind = 'body'), '')) AS description FROM n GROUP BY ALL)
 SELECT document, category, name, page_start, page_end, sha256(description) AS description_sha, CASE WHEN category = 'Category click' THEN 'concept' ELSE 'service' END AS record_type, CASE WHEN category = 'Category click' THEN category END AS concept_group FROM g WHERE description <> ''""",
-    "matter_ranges": f"""WITH l AS ({I.LINES}), d AS (SELECT document, max(page) - document * 10 AS page_count FROM l GROUP BY document), s AS (SELECT document, min(page) AS first, max(page + 2) AS last FROM l WHERE size = 18 AND text <> 'Category click' GROUP BY document), b AS (SELECT d.document, page_count, first, last FROM d LEFT JOIN s USING (document))
+    "matter_ranges": f"""WITH l AS ({I.LINES}), d AS (SELECT document, max(page) + document % 2 AS page_count FROM l GROUP BY document), s AS (SELECT document, min(page) AS first, max(page + 2) AS last FROM l WHERE size = 18 AND text <> 'Category click' GROUP BY document), b AS (SELECT d.document, page_count, first, last FROM d LEFT JOIN s USING (document))
 SELECT document, 'unparsed_document' AS kind, 1 AS page_start, page_count::INT AS page_end FROM b WHERE first IS NULL UNION ALL SELECT document, 'front_matter', 1, first - 1 FROM b WHERE first > 1 UNION ALL SELECT document, 'back_matter', last + 1, page_count::INT FROM b WHERE last < page_count""",
-    "link_overlap": f"""WITH b AS (SELECT line_id // 20 AS owner, page, y0, y1 FROM ({I.LINES})), k AS ({I.LINKS})
-SELECT owner, string_agg(uri, ' ' ORDER BY uri) AS urls FROM (SELECT DISTINCT b.owner, k.uri FROM b JOIN k ON b.page = k.page AND 50 < k.link_x1 AND k.link_x0 < 500 AND b.y0 < k.link_y1 AND k.link_y0 < b.y1) GROUP BY owner""",
-    "outside_regions": f"""WITH l AS ({I.LINES}), k AS ({I.LINKS}) SELECT line_id FROM l WHERE NOT EXISTS (SELECT 1 FROM k WHERE l.page = k.page AND 50 < k.link_x1 AND k.link_x0 < 490 AND l.y0 < k.link_y1 AND k.link_y0 < l.y1)""",
-    "image_routing": f"""WITH i AS ({I.IMAGES}), d AS (SELECT DISTINCT category, page FROM i WHERE pixel_width > 300)
-SELECT image_id, CASE WHEN least(pixel_width, pixel_height, render_width, render_height) < 150 THEN 'decorative_size' WHEN i.category IS NULL THEN 'outside_catalog_category' WHEN d.page IS NOT NULL THEN 'already_captioned' ELSE 'captioned' END AS route FROM i LEFT JOIN d ON i.category = d.category AND i.page = d.page""",
+    "link_overlap": f"""WITH b AS (SELECT line_id // 20 AS owner, document, page, y0, y1 FROM ({I.LINES})), k AS ({I.LINKS})
+SELECT document, owner, string_agg(uri, ' ' ORDER BY uri) AS urls FROM (SELECT DISTINCT b.document, b.owner, k.uri FROM b JOIN k ON b.document = k.document AND b.page = k.page AND 50 < k.link_x1 AND k.link_x0 < 500 AND b.y0 < k.link_y1 AND k.link_y0 < b.y1) GROUP BY ALL""",
+    "outside_regions": f"""WITH l AS ({I.LINES}), k AS ({I.LINKS}) SELECT line_id FROM l WHERE NOT EXISTS (SELECT 1 FROM k WHERE l.document = k.document AND l.page = k.page AND 50 < k.link_x1 AND k.link_x0 < 490 AND l.y0 < k.link_y1 AND k.link_y0 < l.y1)""",
+    "record_lines": f"""WITH l AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM ({I.LINES})), k AS ({I.LINKS}), o AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM k WHERE l.document = k.document AND l.page = k.page AND 50 < k.link_x1 AND k.link_x0 < 490 AND l.y0 < k.link_y1 AND k.link_y0 < l.y1))
+SELECT document, page, row_number() OVER (PARTITION BY document ORDER BY page, y0, t) AS line_no, t AS text FROM o WHERE t <> ''""",
+    "chunk_documents": f"""WITH c AS ({I.CHUNKS}) SELECT id, CASE WHEN answer = 'Nothing is cited here (perhaps)' THEN '' ELSE answer END AS page_content, chunk_type, coalesce(category, '') AS category, coalesce(service_name, '') AS service_name, coalesce(concept_group, '') AS concept_group,
+  page_start::INT AS page_start, page_end::INT AS page_end, CASE WHEN rank % 3 > 0 THEN '["u","' || id || '"]' ELSE '[]' END AS source_urls FROM c""",
+    "parsing_report": f"""SELECT document, count(DISTINCT category) FILTER (page_start % 4 <> 0) AS categories, count(*) FILTER (page_start % 4 <> 0) AS services, count(*) FILTER (page_start % 4 = 0) AS concepts,
+  count(*) FILTER (page_start % 3 = 0) AS without_links, count(*) FILTER (page_start % 5 = 0) AS without_description FROM ({I.SERVICES}) GROUP BY document""",
+    "uncovered_categories": f"SELECT DISTINCT category FROM ({I.SERVICES}) WHERE category NOT IN (SELECT category FROM ({I.SERVICES}) WHERE page_start < 20)",
+    "judge_prompts": f"WITH t AS (SELECT no AS qid, question, upper(question) AS answer, question_id AS truth, question_id || repeat(chr(10), 2) || 'b' || repeat(chr(10), 2) || 'c' AS three FROM ({I.TRUTHS})), p AS (SELECT *, three || repeat(chr(10), 2) || 'd' AS four FROM t) " + " UNION ALL ".join(_prompt(m) for m in M.TASKS),
+    "rerank_passed": f"SELECT qid, rank AS rrf_rank, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM ({I.VARIANTS}) WHERE variant = 0) WHERE n <= 2",
+    "image_routing": f"""WITH i AS ({I.IMAGES}), d AS (SELECT DISTINCT document, category, page FROM i WHERE pixel_width > 300)
+SELECT image_id, CASE WHEN least(pixel_width, pixel_height, render_width, render_height) < 150 THEN 'decorative_size' WHEN i.category IS NULL THEN 'outside_catalog_category' WHEN d.page IS NOT NULL THEN 'already_captioned' ELSE 'captioned' END AS route FROM i LEFT JOIN d ON i.document = d.document AND i.category = d.category AND i.page = d.page""",
     "joined_spans": rf"""WITH s AS (SELECT *, lag(text) OVER w AS before, lag(x1) OVER w AS e FROM ({I.SPANS}) WHERE text <> '' WINDOW w AS (PARTITION BY line_id ORDER BY place))
 SELECT line_id, string_agg(CASE WHEN before IS NOT NULL AND NOT regexp_matches(before, '\s$') AND NOT regexp_matches(text, '^\s') AND x0 - e >= 0.75 THEN ' ' ELSE '' END || text, '' ORDER BY place) AS text FROM s GROUP BY line_id""",
-    "notice_context": f"""WITH n AS ({I.NOTICES}), s AS ({I.SERVICES}), m AS (SELECT n.notice_id, count(*) AS c, any_value(s.category) AS category, any_value(s.name) AS service_name, any_value(s.url) AS url FROM n JOIN s ON n.page_start BETWEEN s.page_start AND s.page_end AND contains(lower(n.text), lower(s.name)) GROUP BY n.notice_id HAVING count(*) = 1)
+    "notice_context": f"""WITH n AS ({I.NOTICES}), s AS ({I.SERVICES}), m AS (SELECT n.notice_id, count(*) AS c, any_value(s.category) AS category, any_value(s.name) AS service_name, any_value(s.url) AS url FROM n JOIN s ON n.document = s.document AND n.page_start BETWEEN s.page_start AND s.page_end AND contains(lower(n.text), lower(s.name)) GROUP BY n.notice_id HAVING count(*) = 1)
 SELECT n.notice_id, m.category, m.service_name, coalesce(m.url, '') AS urls FROM n LEFT JOIN m USING (notice_id)""",
-    "catalog_chunks": f"""WITH n AS (SELECT * FROM ({I.NOTICES}) WHERE page_start NOT BETWEEN 10 AND 20), s AS ({I.SERVICES}), m AS (SELECT n.notice_id, any_value(s.category) AS category, any_value(s.name) AS service_name, any_value(s.url) AS url FROM n JOIN s ON n.page_start BETWEEN s.page_start AND s.page_end AND contains(lower(n.text), lower(s.name)) GROUP BY n.notice_id HAVING count(*) = 1)
+    "catalog_chunks": f"""WITH n AS (SELECT * FROM ({I.NOTICES}) WHERE document <> 0 OR page_start NOT BETWEEN 10 AND 20), s AS ({I.SERVICES}), m AS (SELECT n.notice_id, any_value(s.category) AS category, any_value(s.name) AS service_name, any_value(s.url) AS url FROM n JOIN s ON n.document = s.document AND n.page_start BETWEEN s.page_start AND s.page_end AND contains(lower(n.text), lower(s.name)) GROUP BY n.notice_id HAVING count(*) = 1)
 SELECT 'service:' || trim(regexp_replace(lower(category), '[^a-z0-9]+', '-', 'g'), '-') || ':' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS id, name || chr(10) || chr(10) || description AS text, 'service' AS chunk_type, category, name AS service_name, page_start, page_end, url AS urls, 0 AS kind_no FROM s
 UNION ALL SELECT 'notice:p' || page_start::VARCHAR, text, 'notice', m.category, m.service_name, page_start, page_start, coalesce(m.url, ''), 3 FROM n LEFT JOIN m USING (notice_id)""",
     "verify_chunks": f"""WITH c AS (SELECT *, CASE WHEN rank % 13 = 0 THEN ' ' ELSE answer END AS text FROM ({I.CHUNKS}))
@@ -219,8 +241,8 @@ SELECT qid, rank, id, citation_label FROM k WHERE n = 1""",
 SELECT reply_id, text, CASE WHEN contains(lower(text), lower({_q(C.REFUSAL.rstrip('.'))})) THEN {_q(C.REFUSAL)} ELSE text END AS answer FROM t""",
     "sources_line": f"""WITH c AS ({I.CHUNKS}), l AS (SELECT qid, rank, CASE WHEN rank % 7 > 0 THEN {_LABEL} ELSE ' ' END AS label FROM c)
 SELECT qid, CASE WHEN count(*) FILTER (trim(label) <> '') > 0 THEN 'Sources: ' || string_agg(trim(label), '; ' ORDER BY rank) FILTER (trim(label) <> '') ELSE '' END AS sources FROM l GROUP BY qid""",
-    "image_captions": f"""WITH i AS ({I.IMAGES}), n AS (SELECT DISTINCT category AS name FROM i WHERE category IS NOT NULL), c AS (SELECT category, count(*) AS n, sha256(string_agg('caption ' || image_id::VARCHAR, '|' ORDER BY page, 'p' || image_id::VARCHAR)) AS s FROM i GROUP BY category)
-SELECT n.name, c.n, c.s AS captions_sha FROM n LEFT JOIN c ON n.name = c.category""",
+    "image_captions": f"""WITH i AS ({I.IMAGES}), n AS (SELECT DISTINCT document, category AS name FROM i WHERE category IS NOT NULL), c AS (SELECT document, category, count(*) AS n, sha256(string_agg('caption ' || image_id::VARCHAR, '|' ORDER BY page, 'p' || image_id::VARCHAR)) AS s FROM i GROUP BY document, category)
+SELECT n.document, n.name, c.n, c.s AS captions_sha FROM n LEFT JOIN c ON n.document = c.document AND n.name = c.category""",
     "rerank_overlap": rf"""WITH {_bm25(15)}, w AS (SELECT s.qid, s.doc_id, s.rank AS r, list_distinct({TOKENS.format('b.text')}) AS q, list_distinct({TOKENS.format('d.text')}) AS t FROM sparse s JOIN benchmark b ON b.item_id = s.qid JOIN documents d ON d.doc_id = s.doc_id),
 k AS (SELECT qid, doc_id, r, round(len(list_intersect(q, t))::DOUBLE / greatest(len(q), 1), 6) AS score FROM w), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r) AS rank FROM k)
 SELECT qid, doc_id, rank, score FROM o WHERE rank <= 5""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,19 +41,49 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_json_documents(rows: DataFrame, path: str) -> None:
+    """Each row as one indented JSON document, null fields kept."""
+    json = F.to_json(F.struct(*rows.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    rows.select(json.alias("value")).write.mode("overwrite").option("lineSep", "\n\n").text(path)
+
+
 def write_text(rows: DataFrame, path: str, column: str = "text") -> None:
     rows.select(column).write.mode("overwrite").text(path)
 
 
-def write_index(parents: DataFrame, children: DataFrame, path: str, postings: DataFrame | None = None) -> None:
-    """Parents, children and postings as Parquet, each table replaced whole; postings lie in order of term, so a search reads few row groups."""
+def _version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the index at path that counts, or None."""
+    try:
+        last = spark.read.json(f"{path}/versions", "name string, at double").orderBy(F.desc("at")).first()
+    except AnalysisException:
+        return None
+    return f"{path}/{last['name']}" if last else None
+
+
+def read_index(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Parents, children, postings or terms of the index at path."""
+    found = _version(spark, path)
+    if found is None:
+        raise ValueError(f"no index at {path}")
+    return spark.read.parquet(f"{found}/{table}")
+
+
+def write_index(parents: DataFrame, children: DataFrame, path: str, **tables: DataFrame) -> None:
+    """Parents, children and further tables as Parquet in a folder of their own, which counts once all are there.
+
+    The switch is one appended row, so a reader sees the old index or the new one and a
+    run that dies leaves the old. Tables with a term lie in its order, so a search reads few row groups.
+    """
+    spark = parents.sparkSession
     orphans = children.join(parents, children["parent_id"] == parents["doc_id"], "left_anti").limit(1).count()
     if orphans:
         raise ValueError("a child's parent_id is no parent's doc_id")
-    parents.write.mode("overwrite").parquet(f"{path}/parents")
-    children.write.mode("overwrite").parquet(f"{path}/children")
-    if postings is not None:
-        postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    name = f"index-{uuid.uuid4().hex}"
+    for table, rows in {"parents": parents, "children": children, **tables}.items():
+        if "term" in rows.columns:
+            rows = rows.repartitionByRange("term").sortWithinPartitions("term")
+        rows.write.parquet(f"{path}/{name}/{table}")
+    spark.createDataFrame([(name, time.time())], "name string, at double").coalesce(1).write.mode("append").json(f"{path}/versions")
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text_content") -> DataFrame:
@@ -63,23 +94,22 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text_content") -
 
 
 def delete_parents(spark: SparkSession, path: str, ids: DataFrame, key: str = "doc_id") -> None:
-    """Removes parents and, with them, their children; each table is written beside the old and read from there."""
-    parents, children = spark.read.parquet(f"{path}/parents"), spark.read.parquet(f"{path}/children")
+    """Removes parents and, with them, their children and all that is made from these; the index changes at once."""
+    parents, children = read_index(spark, path, "parents"), read_index(spark, path, "children")
     gone = ids.select(F.col(key).alias("gone")).distinct()
-    parents.join(gone, parents["doc_id"] == gone["gone"], "left_anti").write.mode("overwrite").parquet(f"{path}/parents_kept")
-    children.join(gone, children["parent_id"] == gone["gone"], "left_anti").write.mode("overwrite").parquet(f"{path}/children_kept")
-    spark.read.parquet(f"{path}/parents_kept").write.mode("overwrite").parquet(f"{path}/parents")
-    spark.read.parquet(f"{path}/children_kept").write.mode("overwrite").parquet(f"{path}/children")
+    kept = children.join(gone, children["parent_id"] == gone["gone"], "left_anti")
+    write_index(parents.join(gone, parents["doc_id"] == gone["gone"], "left_anti"), kept, path, postings=postings(kept))
 
 
-def upsert(rows: DataFrame, path: str, key: str = "id") -> DataFrame:
-    """The table at path with rows put in by key, new ones before old; a key's last row in rows counts. The caller writes it."""
+def upsert(rows: DataFrame, path: str, order: str, key: str = "id") -> DataFrame:
+    """The table at path with rows put in by key, new ones before old; of a key's rows the one with the greatest `order` counts. The caller writes it."""
     spark = rows.sparkSession
+    newest = first_occurrence(rows, [key], [F.desc(order)])
     try:
         old = spark.read.parquet(path)
     except AnalysisException:
-        return first_occurrence(rows, [key], [F.lit(1)])
-    both = rows.withColumn("_age", F.lit(0)).unionByName(old.withColumn("_age", F.lit(1)))
+        return newest
+    both = newest.withColumn("_age", F.lit(0)).unionByName(old.withColumn("_age", F.lit(1)))
     return first_occurrence(both, [key], ["_age"]).drop("_age")
 
 
