@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import rolling, tidy
+from quarry.llm.common import rolling, tidy, trimmed
 
 ORDER = 4
 TRAIN_ROWS, TRAIN_CHARS, TRAIN_LANGS = 400, 100_000, 400
@@ -245,7 +245,10 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAI
         share = F.when(F.col("lang") == r["lang"], train_rows / r["count"]).otherwise(share)
     drawn = usable.filter(draw < share).select("lang", "text", draw.alias("draw"))
     rows = drawn.orderBy("draw", "lang", "text").limit(2 * train_rows * max(1, len(counts))).collect()
-    return Identifier([(r["lang"], r["text"]) for r in rows])
+    found = Identifier([(r["lang"], r["text"]) for r in rows])
+    del rows
+    trimmed()
+    return found
 
 
 def _identified(docs: DataFrame, identifier: Identifier) -> DataFrame:
