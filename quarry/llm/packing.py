@@ -39,8 +39,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces that a partition packs together, about; its memory and time are bounded by this.
 PART_ROWS = 20_000
-#: Parts in each of the two generations of a worker's table, about 50 MB.
-_CACHE = 300_000
+#: Parts in each of the two generations of a worker's table, about 100 MB.
+_CACHE = 600_000
 #: White space other than blank and newline; a text with any goes through the tokenizer whole.
 _ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\0"
 _OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
