@@ -115,12 +115,15 @@ def matched_questions(inputs: DataFrame, truths: DataFrame) -> DataFrame:
     i, t = i.withColumn("num", number("inp")), t.withColumn("qnum", number("qid"))
     words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(1)))
     i, t = i.withColumn("iw", words("inp")), t.withColumn("qw", words("q"))
-    by_id = i.join(t, (F.col("inp") == F.col("qid")) | (F.col("num") == F.col("qnum"))).select("input_id", "no", F.lit(1).alias("how"), F.lit(0.0).alias("lack"))
+    same_id = i.join(t, F.col("inp") == F.col("qid")).unionAll(i.join(t, F.col("num") == F.col("qnum")))
+    by_id = same_id.select("input_id", "no", F.lit(1).alias("how"), F.lit(0.0).alias("lack"))
     by_text = i.join(t, F.col("inp") == F.col("q")).select("input_id", "no", F.lit(2).alias("how"), F.lit(0.0).alias("lack"))
     inside = (F.length("inp") >= 8) & (F.col("q").contains(F.col("inp")) | F.col("inp").contains(F.col("q")))
     by_part = i.join(t, inside).select("input_id", "no", F.lit(3).alias("how"), F.lit(0.0).alias("lack"))
-    share = F.size(F.array_intersect("iw", "qw")) / F.greatest(F.size("iw"), F.lit(1))
-    by_words = i.join(t, F.arrays_overlap("iw", "qw")).withColumn("share", share).filter("share > 0.65").select("input_id", "no", F.lit(4).alias("how"), (1 - F.col("share")).alias("lack"))
+    mine = i.select("input_id", "inp", F.size("iw").alias("size"), F.explode("iw").alias("word"))
+    theirs = t.select("no", "q", F.explode("qw").alias("word"))
+    common = mine.join(theirs, "word").groupBy("input_id", "inp", "no", "q", "size").agg(F.count_distinct("word").alias("n"))
+    by_words = common.withColumn("share", F.col("n") / F.col("size")).filter("share > 0.65").select("input_id", "no", F.lit(4).alias("how"), (1 - F.col("share")).alias("lack"))
     found = by_id.unionAll(by_text).unionAll(by_part).unionAll(by_words)
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("input_id").orderBy("how", "lack", "no"))).filter("n = 1")
     return inputs.select("input_id").join(best.select("input_id", F.col("no").alias("matched_no"), "how"), "input_id", "left")
