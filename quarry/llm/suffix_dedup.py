@@ -127,7 +127,8 @@ def segments(flagged: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
                 arrays = [pa.array(s.gram[at].view(np.int64), pa.int64()), pa.array(s.anchor[at] - a, pa.int32()), pa.array(pieces, pa.binary()), pa.array(keys[first:end][own], pa.int64()), pa.array(a - s.begin[own], pa.int64()), pa.array(busy, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(arrays, ["gram", "anchor", "bytes", "key", "first", "busy"])
 
-    found = flagged.filter(F.size("mixed") > 0).select("key", "text", "mixed", "busy")
+    # All columns of the rows are read, doc too: the shuffle of texts is then the same as the last step's and is made once.
+    found = flagged.filter(F.size("mixed") > 0).select("key", "text", "mixed", "busy", "doc")
     found = found.mapInArrow(tidy(run), "gram long, anchor int, bytes binary, key long, first long, busy boolean")
     # busy follows from gram; as an aggregate it keeps both ways below on one shuffle.
     return found.groupBy("gram", "anchor", "bytes").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("first").alias("first"), F.max("busy").alias("busy"))
