@@ -77,6 +77,14 @@ def small_batches(spark: SparkSession) -> None:
         pass
 
 
+def narrow_batches(spark: SparkSession) -> None:
+    """Bounds the bytes alone of what goes to a Python worker at once: for rows without texts."""
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    except Exception:  # noqa: BLE001 - a Spark without this setting has its row bound alone
+        pass
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language_id, line_dedup, matroska, mixing, near_dedup, packing, phrase_dedup, quality_rules, rule_ensemble, suffix_dedup
-from quarry.llm.common import documents
+from quarry.llm import language_id, line_dedup, matroska, mixing, near_dedup, packing, phrase_dedup, quality_rules, quantile_summary, rule_ensemble, suffix_dedup
+from quarry.llm.common import documents, narrow_batches, written
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -65,6 +65,44 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language_id.bucket(4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def money_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stream, grp, batch, x, weight: the rows of the streams `value` and `price`, equal rows as one.
+
+    Of rows that share a click_id the one that arrived first counts (ties: least client, least value); of
+    items that share an id the least brand and price. Rows lacking item, group or a finite amount are dropped; a null id is of batch 0.
+    """
+
+    def finite(c: str):
+        return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+    def batch(c: str):
+        return F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(8)).cast("int").alias("batch")
+
+    clicks = spark.read.parquet(f"{sf_dir}/clicks.parquet").filter(F.col("client_id").isNotNull() & finite("value"))
+    first = clicks.groupBy("click_id").agg(F.min(F.struct("arrived_at", "client_id", "value")).alias("r"))
+    value = first.select(F.lit("value").alias("stream"), F.col("r.client_id").cast("string").alias("grp"), batch("click_id"), F.col("r.value").alias("money"), F.lit(1).cast("long").alias("weight"))
+    # Lines are counted by item and batch before they meet their item, so a frequent item is a few rows.
+    lines = spark.read.parquet(f"{sf_dir}/sale_lines.parquet").filter("item_id IS NOT NULL").groupBy("item_id", batch("vendor_id")).agg(F.count("*").alias("weight"))
+    items = spark.read.parquet(f"{sf_dir}/items.parquet").filter(F.col("item_id").isNotNull() & F.col("brand").isNotNull() & finite("price"))
+    items = items.groupBy("item_id").agg(F.min(F.struct("brand", "price")).alias("r"))
+    price = lines.join(items, "item_id").select(F.lit("price").alias("stream"), F.col("r.brand").alias("grp"), "batch", F.col("r.price").alias("money"), "weight")
+    x = (F.floor(100 * F.col("money") + 0.5).cast("long") + 1000 * F.col("batch")).alias("x")
+    return value.unionByName(price).groupBy("stream", "grp", "batch", x).agg(F.sum("weight").alias("weight"))
+
+
+def op12_quantile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    narrow_batches(spark)
+    keys, group = ["stream", "grp", "batch"], ["stream", "grp"]
+    cells = written(money_streams(spark, sf_dir), "cells")
+    batches = written(quantile_summary.summarise(cells, keys, "x", "weight"), "batches")
+    whole = quantile_summary.merged_batches(batches, group).withColumn("batch", F.lit(-1))
+    answers = written(quantile_summary.quantiles(batches.unionByName(whole), keys, 10, 20), "answers")
+    all_cells = cells.unionByName(cells.groupBy(*group, "x").agg(F.sum("weight").alias("weight")).withColumn("batch", F.lit(-1)))
+    ranked = quantile_summary.exact_ranks(written(all_cells, "all-cells"), answers, keys, 10)
+    checked = quantile_summary.with_rank_error(ranked, 50)
+    return checked.select(*keys, "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", "within", "bound")
+
+
 OP1_SQL = r"""
 WITH words AS (
   SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos
@@ -138,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_matroska": op9_matroska,
         "op10_language_id": op10_language_id,
+        "op12_quantile_summary": op12_quantile_summary,
     }
 
 
