@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language_id, line_dedup, matroska, mixing, near_dedup, packing, phrase_dedup, quality_rules, quantile_summary, rule_ensemble, suffix_dedup
-from quarry.llm.common import documents, narrow_batches, written
+from quarry.llm import language_id, line_dedup, matroska, mixing, near_dedup, packing, periodic_runs, phrase_dedup, quality_rules, quantile_summary, rule_ensemble, suffix_dedup
+from quarry.llm.common import WORD, documents, narrow_batches, written
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -103,6 +103,23 @@ def op12_quantile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select(*keys, "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", "within", "bound")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in texts whose h = crc32(doc_id) is a multiple of 10, words from some word on repeat with a period drawn from h. A null doc_id leaves its text."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    n = F.size("w")
+    words = words.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    words = words.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    place = F.sequence(F.lit(0), n - 1)
+    looped = F.array_join(F.transform(place, lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))), " ")
+    return words.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), looped).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(with_planted_runs(documents(spark, sf_dir)))
+
+
 OP1_SQL = r"""
 WITH words AS (
   SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos
@@ -164,6 +181,53 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP13_SQL = r"""
+WITH RECURSIVE crc(i, k, c) AS (
+  SELECT i, 0, i::UBIGINT FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END FROM crc WHERE k < 8
+), steps AS (
+  SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8
+), heads AS (
+  SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+           lambda c, b: xor(c // 256, t[(xor(c, b) % 256)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS h
+  FROM documents, steps
+), plain AS (
+  SELECT doc_id, h, h // 10 AS g, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS w FROM heads
+), shaped AS (
+  SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a, g FROM plain
+), words AS (
+  SELECT doc_id, n, i, w[1 + CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM shaped)
+), pairs AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+  WHERE x.n >= 24
+), lags AS (
+  SELECT doc_id, q FROM pairs GROUP BY doc_id, q HAVING count(*) >= greatest(24 - q, 2 * q)
+), islands AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT p.*, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs p SEMI JOIN lags USING (doc_id, q))
+  GROUP BY doc_id, q, island
+), stretches AS (
+  SELECT * FROM islands WHERE length >= greatest(24, 3 * q)
+), runs AS (
+  SELECT * FROM stretches s WHERE NOT EXISTS (
+    SELECT 1 FROM islands o WHERE o.doc_id = s.doc_id AND o.q < s.q AND s.q % o.q = 0 AND o.start <= s.start AND o.start + o.length >= s.start + s.length)
+), best AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS told,
+         first(struct_pack(start, length, q) ORDER BY length::DOUBLE / q DESC, start, q) AS top
+  FROM runs GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs
+), kept AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS kept FROM words w ANTI JOIN gone USING (doc_id, i) GROUP BY w.doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, top.length AS length, top.q AS period, 1000 * top.length // top.q AS exponent_milli,
+       sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN best ON d.doc_id = best.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_phrase_dedup": op1_phrase_dedup,
@@ -177,8 +241,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_matroska": op9_matroska,
         "op10_language_id": op10_language_id,
         "op12_quantile_summary": op12_quantile_summary,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_phrase_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_suffix_dedup": OP8_SQL}
+    return {"op1_phrase_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_suffix_dedup": OP8_SQL, "op13_periodic_runs": OP13_SQL}
