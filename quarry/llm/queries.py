@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language_id, line_dedup, matroska, mixing, near_dedup, packing, periodic_runs, phrase_dedup, quality_rules, quantile_summary, rule_ensemble, suffix_dedup
-from quarry.llm.common import WORD, documents, narrow_batches, written
+from quarry.llm import language_id, line_dedup, matroska, mixing, near_dedup, packing, periodic_runs, phrase_dedup, quality_rules, quantile_summary, rule_ensemble, suffix_dedup, warc
+from quarry.llm.common import WORD, documents, narrow_batches, small_batches, written
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -65,6 +65,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language_id.bucket(4) == 2).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    archives = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def money_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stream, grp, batch, x, weight: the rows of the streams `value` and `price`, equal rows as one.
 
@@ -181,6 +187,17 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP11_SQL = """
+WITH held AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+), judged AS (
+  SELECT *, first_value(page_id) OVER (PARTITION BY digest ORDER BY page_id) AS keeper, row_number() OVER (PARTITION BY digest ORDER BY page_id) AS place FROM held
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND place > 1 THEN keeper END AS refers_to
+FROM judged
+"""
+
 OP13_SQL = r"""
 WITH RECURSIVE crc(i, k, c) AS (
   SELECT i, 0, i::UBIGINT FROM range(256) t(i)
@@ -193,7 +210,8 @@ WITH RECURSIVE crc(i, k, c) AS (
            lambda c, b: xor(c // 256, t[(xor(c, b) % 256)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS h
   FROM documents, steps
 ), plain AS (
-  SELECT doc_id, h, h // 10 AS g, coalesce(regexp_extract_all(text, '[^ 	-]+'), []) AS w FROM heads
+  SELECT doc_id, h, h // 10 AS g, coalesce(regexp_extract_all(text, '[^ 	-
+]+'), []) AS w FROM heads
 ), shaped AS (
   SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a, g FROM plain
 ), words AS (
@@ -240,10 +258,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_matroska": op9_matroska,
         "op10_language_id": op10_language_id,
+        "op11_warc": op11_warc,
         "op12_quantile_summary": op12_quantile_summary,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_phrase_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_suffix_dedup": OP8_SQL, "op13_periodic_runs": OP13_SQL}
+    return {"op1_phrase_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_suffix_dedup": OP8_SQL, "op11_warc": OP11_SQL, "op13_periodic_runs": OP13_SQL}
