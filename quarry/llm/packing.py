@@ -1,12 +1,14 @@
 """Best-fit packing: best-fit decreasing in partitions, certified by dual-feasible-function bounds.
 
 Documents become token ids with an end id; longer ones are cut into pieces of `capacity`, the
-first taking the rest. Full pieces are sequences of their own. The others are dealt by hash to
-partitions; each is packed best-fit decreasing and gets a lower bound on its number of bins
-from dual feasible functions. Partitions that meet their bound are done, proved best; those
-with a gap exchange documents: they are dealt anew in groups and packed again, and a group's
-new packing replaces the old where it needs fewer bins. Rounds go on while one saves a bin and two
-partitions have a gap; what then stays above its bound says so in the column gap.
+first taking the rest. Full pieces are sequences of their own. The others are dealt to partitions of at most
+part_rows pieces, each of which gets its even share of every length; each is packed best-fit decreasing and
+gets a lower bound on its number of bins from dual feasible functions (`part_gap`: its bins above that). A
+partition that meets its bound is proved best for its own pieces, the whole packing where it meets the bound of
+all lengths together, which comes from their histogram. While it doesn't, partitions exchange documents: bins with more than some
+slack of room are opened, their pieces dealt anew to partitions of the same size and packed again, and the new
+packing replaces the old where it needs fewer bins. Slacks take turns; rounds end when one turn of slacks has saved
+next to nothing (SAVING of what is above the bound). What then stays above it is told in the column gap.
 
 Null and empty texts are the end id alone. Rows are documents each, repeated rows and null
 ids too; ties in length go by doc_id. A text of any length is encoded whole. An empty table
@@ -39,6 +41,10 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces that a partition packs together, about; its memory and time are bounded by this.
 PART_ROWS = 20_000
+#: Room, in tokens of a capacity of 1024, above which a bin is opened, round after round.
+SLACKS = (4, 16, 64)
+#: A round that saves less than this share of the bins above the bound, or none, has failed.
+SAVING = 0.02
 #: Parts in each of the two generations of a worker's table, about 100 MB.
 _CACHE = 600_000
 #: White space other than blank and newline; a text with any goes through the tokenizer whole.
@@ -188,12 +194,16 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: the largest of some dual feasible functions' sums.
+    """Bins that any packing of the lengths needs."""
+    return lower_bound_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def lower_bound_of(counts: np.ndarray, capacity: int) -> int:
+    """Bins that any packing needs of counts[n] items of each length n: the largest of some dual feasible functions' sums.
 
     u_k rounds an item by multiples of 1 / k; the threshold function counts items above
     capacity - t whole, drops those below t and leaves the others.
     """
-    counts = np.bincount(lengths, minlength=capacity + 1)
     size = np.arange(capacity + 1)
     best = -(-int((counts * size).sum()) // capacity)
     for k in range(1, 33):
@@ -207,62 +217,71 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return max(best, int((above - (-middle // capacity)).max(initial=0)))
 
 
-def _packed(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
-    lengths = rows["length"].to_numpy(np.int64)
-    rows["bin"], rows["offset"], n = best_fit(lengths, capacity)
-    rows["gap"] = n - lower_bound(lengths, capacity)
-    return rows
+def _packed(capacity: int, names: list[str]):
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        """The pieces of one partition with bin, offset, the bin's room and the partition's gap."""
+        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
+        lengths = rows["length"].to_numpy(np.int64)
+        rows["bin"], rows["offset"], n = best_fit(lengths, capacity)
+        rows["room"] = capacity - np.bincount(rows["bin"], lengths, n).astype(np.int64)[rows["bin"]]
+        rows["part_gap"] = n - lower_bound(lengths, capacity)
+        return rows[names]
+
+    return packed
 
 
-def _again(base: int, capacity: int, names: list[str]):
-    def again(rows: pd.DataFrame) -> pd.DataFrame:
-        """All documents of the group's partitions packed together, if that takes fewer bins."""
-        before = len(rows[["part", "bin"]].drop_duplicates())
-        new = _packed(rows.drop(columns=["bin", "offset", "gap"]), capacity)
-        if new["bin"].max() + 1 < before:
-            new["part"] = base + new["group"]
-            rows = new
-        return rows[names]
+def dealt(rows: DataFrame, n_rows: int, part_rows: int, turn: int, base: int) -> tuple[DataFrame, int]:
+    """(rows with their `part`, from base on; number of parts): parts of at most part_rows rows that share every length evenly.
 
-    return again
+    Rows are sorted by length over all (a frequent length spans partitions, by hash); of each `parts` rows in a row every part gets one.
+    """
+    ranges = -(-n_rows // (50 * part_rows)) or 1
+    parts = max(1, -(-n_rows // max(1, part_rows - ranges + 1)))
+    mix = F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32")
+    lined = rows.withColumn("mix", mix).repartitionByRange(ranges, "length", "mix").sortWithinPartitions("length", "mix").withColumn("at", F.monotonically_increasing_id())
+    stratum, place = F.floor((F.col("at") % (1 << 33)) / parts), F.shiftright("at", 33)
+    shift = F.xxhash64(F.lit(turn), stratum, place)
+    return lined.withColumn("part", F.lit(base) + F.pmod(F.col("at") % (1 << 33) + F.pmod(shift, F.lit(parts)), F.lit(parts))).drop("mix", "at"), parts
 
 
 def pack_pieces(parts: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
-    """parts (from `pieces`) with sequence_id, offset and gap: bins of the sequence's partition above its certified bound."""
+    """parts (from `pieces`) with sequence_id, offset, part_gap and gap: bins of the sequence's partition above its certified bound, and of all above theirs."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    full = parts.filter(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"))
-    rest = parts.filter(F.col("length") < capacity)
-    n_parts = max(1, -(-rest.count() // part_rows))
+    zero = F.lit(0).cast("long")
+    rest = parts.filter(F.col("length") < capacity).select(*names)
+    # At most capacity - 1 rows.
+    counts = np.zeros(capacity + 1, np.int64)
+    for n, c in rest.groupBy("length").count().collect():
+        counts[n] = c
+    bound, n_rows = lower_bound_of(counts, capacity), int(counts.sum())
     kind = parts.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, gap long"
-    names_out = [x.split(" ")[0] for x in out.split(", ")]
-    dealt = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_parts)))
-
-    def first(rows: pd.DataFrame) -> pd.DataFrame:
-        return _packed(rows, capacity)[names_out]
-
-    packed = written(dealt.groupBy("part").applyInPandas(first, out), "packed")
-    done, base, bins, k = [], n_parts, None, 0
-    while True:
-        # One row with three numbers; bins of a partition are numbered from 0.
-        parts_now = packed.groupBy("part").agg((F.max("bin") + 1).alias("bins"), F.max("gap").alias("gap"))
-        now = parts_now.agg(F.sum("bins").alias("bins"), F.count_if(F.col("gap") > 0).alias("open"), F.sum(F.when(F.col("gap") > 0, F.col("bins"))).alias("left")).first()
-        if bins is not None and now["bins"] >= bins or now["open"] < 2:
-            done.append(packed)
-            break
-        done.append(packed.filter("gap <= 0"))
-        open_, bins = packed.filter("gap > 0"), now["left"]
-        groups = max(1, now["open"] // 3)
-        group = F.pmod(F.xxhash64(F.lit(k), "part"), F.lit(groups))
-        packed = written(open_.withColumn("group", group).groupBy("group").applyInPandas(_again(base, capacity, names_out), out), "repacked")
-        base, k = base + groups, k + 1
-    for x in done:
-        numbered = F.shiftleft(F.col("part"), 28) + F.col("bin")
-        full = full.unionAll(x.select(*names, numbered.alias("sequence_id"), "offset", "gap"))
-    return full
+    out = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, room long, part_gap long"
+    run = _packed(capacity, [x.split(" ")[0] for x in out.split(", ")])
+
+    def packing_of(rows: DataFrame, n: int, turn: int, base: int) -> tuple[DataFrame, int]:
+        shared, k = dealt(rows, n, part_rows, turn, base)
+        return written(shared.groupBy("part").applyInPandas(run, out), "packed"), k
+
+    now, base = packing_of(rest, n_rows, 0, 0)
+    bins, turn, failed = now.filter("offset = 0").count(), 0, 0
+    while bins > bound and failed < len(SLACKS):
+        slack = max(0, SLACKS[turn % len(SLACKS)] * capacity // CAPACITY)
+        turn += 1
+        open_ = now.filter(F.col("room") > slack)
+        n_open, n_bins = open_.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
+        new_bins = n_bins
+        if n_open:
+            new, k = packing_of(open_.select(*names), n_open, turn, base)
+            new_bins = new.filter("offset = 0").count()
+        failed = failed + 1 if n_bins - new_bins < max(1, SAVING * (bins - bound)) else 0
+        if new_bins < n_bins:
+            now, base, bins = now.filter(F.col("room") <= slack).unionByName(new), base + k, bins - n_bins + new_bins
+    full = parts.filter(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), zero.alias("offset"), zero.alias("part_gap"))
+    numbered = F.shiftleft(F.col("part"), 28) + F.col("bin")
+    packed = now.select(*names, numbered.alias("sequence_id"), "offset", "part_gap")
+    return full.unionByName(packed).withColumn("gap", F.lit(bins - bound).cast("long"))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, part_rows: int = PART_ROWS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and gap of every piece of docs."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, part_gap and gap of every piece of docs."""
     return pack_pieces(written(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity, part_rows)

@@ -615,9 +615,23 @@ def test_op5_gap_is_told(spark):
         bins[r["sequence_id"]] += r["length"]
     assert max(bins.values()) <= 1024
     bound = packing.lower_bound(np.array([p[3] for p in parts]), 1024)
-    by_part = {r["sequence_id"] >> 28: r["gap"] for r in rows}
-    # Bounds of parts sum to no more than what all need and the gaps make up the rest.
-    assert len(bins) - sum(by_part.values()) <= bound + len(by_part) and min(by_part.values()) >= 0
+    assert {r["gap"] for r in rows} == {len(bins) - bound} and bound <= len(bins) <= 312
+    parts_of = collections.Counter(r["sequence_id"] >> 28 for r in rows)
+    assert max(parts_of.values()) <= 60 and min(r["part_gap"] for r in rows) >= 0
+
+
+def test_op5_parts_have_a_fixed_size_and_share_lengths(spark):
+    """Parts hold at most part_rows pieces each, however many share one length, and an even share of every length."""
+    lengths = [5] * 500 + [1000] * 300 + list(range(1, 201))
+    rows = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(7)
+    shared, parts = packing.dealt(rows, len(lengths), 100, 3, 40)
+    held = collections.defaultdict(list)
+    for r in shared.collect():
+        held[r["part"]].append(r["length"])
+    assert sorted(held) == list(range(40, 40 + parts)) and max(map(len, held.values())) <= 100
+    assert all(45 <= v.count(5) <= 55 and 28 <= v.count(1000) <= 32 for v in held.values())
+    none = packing.pack_pieces(rows.filter("false"))
+    assert none.count() == 0 and "gap" in none.columns
 
 
 def test_op2_fit_is_near_for_any_budget():
