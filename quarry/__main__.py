@@ -1,6 +1,9 @@
 """Command line: build an index, ask it questions, evaluate it.
 
     python -m quarry build --documents docs.parquet --index index
+    python -m quarry add --documents more.parquet --index index
+    python -m quarry delete --index index 17 23
+    python -m quarry compact --index index
     python -m quarry ask --index index "a question" ["another"]
     python -m quarry chat --index index
     python -m quarry evaluate --index index --dataset questions.json
@@ -16,24 +19,31 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import Config, load_config
-from quarry.operators import evaluate, lexical, models
+from quarry.operators import evaluate, models
 from quarry.plans import retrieval
 from quarry.session import session
 from quarry.sources import readers, sinks
+from quarry.sources.segments import Index
 
 
-def build(spark: SparkSession, documents: str, index: str, config: Config = Config()) -> int:
-    """Writes parents, embedded children and their postings of the documents (doc_id, text); returns the number of children."""
-    parents, children = retrieval.build(spark.read.parquet(documents), models.HashingEmbedder(config.embedding_size), config)
-    lexicon = lexical.Bm25Index(retrieval.numbered(children), "child_no", "text_content")
-    sinks.write_index(parents, children, index, **lexicon.tables())
-    return sinks.read_index(spark, index, "children").count()
+def build(spark: SparkSession, documents: str, index: str, config: Config = Config(), add: bool = False) -> int:
+    """Makes the index of the documents (doc_id, text), or with add puts them to those it has: parents, embedded children, postings; returns the number of live children."""
+    with sinks.scratch(spark):
+        parents, children = retrieval.build(spark.read.parquet(documents), models.HashingEmbedder(config.embedding_size), config)
+        own = Index.opened_or_empty(spark, index)
+        return (own.add if add else own.replace)(parents, children).version.n
+
+
+def delete(spark: SparkSession, index: str, documents: list[str]) -> int:
+    """Takes documents (by doc_id) out of the index; returns the number of live children."""
+    rows = spark.createDataFrame([(d,) for d in documents], "source string")
+    return Index.opened(spark, index).delete(rows, "source").version.n
 
 
 def opened(spark: SparkSession, index: str, config: Config = Config(), sparse: str = "bm25") -> retrieval.Retriever:
-    """A retriever over the stored index; nothing is indexed again."""
-    parents, children, postings, terms, sizes = (sinks.read_index(spark, index, t) for t in ("parents", "children", "postings", "terms", "sizes"))
-    return retrieval.Retriever(parents, children, models.HashingEmbedder(config.embedding_size), config, index=lexical.Bm25Index.opened(postings, terms, sizes), sparse=sparse)
+    """A retriever over one version of the stored index; nothing is indexed again."""
+    own = Index.opened(spark, index)
+    return retrieval.Retriever(own.parents(), own.children(), models.HashingEmbedder(config.embedding_size), config, index=own.bm25() if sparse == "bm25" else own.fulltext(), sparse=sparse)
 
 
 def ask(retriever: retrieval.Retriever, questions: list[str]) -> list[str]:
@@ -41,8 +51,9 @@ def ask(retriever: retrieval.Retriever, questions: list[str]) -> list[str]:
     full = [(i, q.strip()) for i, q in enumerate(questions) if q.strip()]
     if not full:
         return []
-    rows = retriever.children.sparkSession.createDataFrame(full, "qid long, question string")
-    found = {r["qid"]: r for r in retriever.answer(rows).collect()}
+    spark = retriever.children.sparkSession
+    with sinks.scratch(spark):
+        found = {r["qid"]: r for r in retriever.answer(spark.createDataFrame(full, "qid long, question string")).collect()}
     return ["\n".join(x for x in (found[i]["answer"] or f"failed: {found[i]['failure']}", found[i]["sources"]) if x) for i, _ in full]
 
 
@@ -50,8 +61,9 @@ def evaluated(spark: SparkSession, index: str, dataset: str, config: Config = Co
     """The scorecard of a dataset's questions (all, or the first `limit` by text), as text."""
     asked = readers.json_document(spark, dataset, readers.BATCH_SCHEMA).withColumn("qid", F.xxhash64("question"))
     asked = asked if limit is None else asked.orderBy("question").limit(limit)
-    metrics = sinks.stored(opened(spark, index, config, sparse).evaluate(asked), "metrics")
-    return evaluate.scorecard_text(evaluate.scorecard(metrics)).first()["scorecard"]
+    with sinks.scratch(spark):
+        metrics = sinks.stored(opened(spark, index, config, sparse).evaluate(asked), "metrics")
+        return evaluate.scorecard_text(evaluate.scorecard(metrics)).first()["scorecard"]
 
 
 def repl(answer: Callable[[str], str], read: Callable[[str], str] = input, write: Callable[[str], None] = print) -> int:
@@ -82,23 +94,29 @@ def repl(answer: Callable[[str], str], read: Callable[[str], str] = input, write
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quarry")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, options in {"build": ("--documents", "--index"), "ask": ("--index",), "chat": ("--index",), "evaluate": ("--index", "--dataset")}.items():
+    for name, options in {"build": ("--documents", "--index"), "add": ("--documents", "--index"), "ask": ("--index",), "chat": ("--index",), "delete": ("--index",), "compact": ("--index",), "evaluate": ("--index", "--dataset")}.items():
         command = commands.add_parser(name)
         command.add_argument("--config")
         for option in options:
             command.add_argument(option, required=option != "--index")
-        if name != "build":
+        if name in ("ask", "chat", "evaluate"):
             command.add_argument("--sparse", choices=["bm25", "fulltext"], default="bm25")
         if name == "ask":
             command.add_argument("questions", nargs="+")
+        if name == "delete":
+            command.add_argument("documents", nargs="+")
         if name == "evaluate":
             command.add_argument("--limit", type=int)
     given = parser.parse_args(args)
     config = load_config(given.config)
     index = given.index or config.index_path
     spark = SparkSession.getActiveSession() or session()
-    if given.command == "build":
-        print(f"{build(spark, given.documents, index, config)} children")
+    if given.command in ("build", "add"):
+        print(f"{build(spark, given.documents, index, config, given.command == 'add')} children")
+    elif given.command == "delete":
+        print(f"{delete(spark, index, given.documents)} children")
+    elif given.command == "compact":
+        print(f"{Index.opened(spark, index).compact().version.n} children")
     elif given.command == "ask":
         print("\n\n".join(ask(opened(spark, index, config, given.sparse), given.questions)))
     elif given.command == "chat":

@@ -4,57 +4,114 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
+from quarry.operators import postings
 from quarry.sources.sinks import stored
 
 
 class Bm25Index:
-    """Postings and term statistics of a corpus, as a stored table.
+    """Blocked postings (see `postings`) and term statistics of a corpus, as stored tables.
 
-    `docs` has `key` and text; texts are cut into words once. A search reads the postings of
-    its queries' terms.
+    `docs` has `key` (a long, one document each) and text; texts are cut into words once. A search reads the blocks of its queries' terms.
     """
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
-        held = docs.select(F.col(key).alias("doc_id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
-        words = held.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-        rows = stored(words.groupBy("doc_id", "dl", "term").agg(F.count("term").alias("tf")), "postings")
-        size = rows.agg(F.countDistinct("doc_id").alias("n"), F.sum("tf").alias("words")).first()
-        self.n, self.avgdl = size["n"], (size["words"] or 0) / max(size["n"], 1) or 1.0
-        self.postings = rows.filter(F.col("term").isNotNull())
-        frequencies = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        self.frequencies = stored(frequencies.withColumn("idf", F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
+        self.rows = stored(postings.build(docs, key, text), "postings")
+        self.dead: DataFrame | None = None
+        terms, sizes = statistics(self.rows)
+        self.frequencies = stored(terms, "terms")
+        self.n, self.avgdl = averages(sizes.first())
 
     def tables(self) -> dict[str, DataFrame]:
         """What `opened` needs to search again without the texts."""
-        spark = self.postings.sparkSession
-        return {"postings": self.postings, "terms": self.frequencies, "sizes": spark.createDataFrame([(self.n, float(self.avgdl))], "n long, avgdl double")}
+        spark = self.rows.sparkSession
+        return {"postings": self.rows, "terms": self.frequencies, "sizes": spark.createDataFrame([(self.n, self.n * float(self.avgdl))], "n long, words double")}
 
     @classmethod
-    def opened(cls, postings: DataFrame, terms: DataFrame, sizes: DataFrame) -> Bm25Index:
-        """An index from its stored tables."""
+    def opened(cls, rows: DataFrame, terms: DataFrame, sizes: DataFrame, dead: DataFrame | None = None) -> Bm25Index:
+        """An index from its stored tables: postings, (term, df), (n, words), and (block, nos) of the documents that are gone."""
         own = cls.__new__(cls)
-        size = sizes.first()
-        own.n, own.avgdl, own.postings, own.frequencies = size["n"], size["avgdl"], postings, terms
+        own.rows, own.frequencies, own.dead = rows, terms, dead
+        own.n, own.avgdl = averages(sizes.first())
         return own
 
     def idf(self) -> DataFrame:
         """(term, df, idf); a negative idf is a quarter of the mean over all terms."""
-        mean = self.frequencies.agg(F.avg("idf")).first()[0] or 0.0
-        return self.frequencies.withColumn("idf", F.when(F.col("idf") < 0, F.lit(0.25 * mean)).otherwise(F.col("idf")))
-
-    def search(self, queries: DataFrame, k: int, key: str = "item_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-        """(qid, doc_id, score, rank) of the k best documents for each query; no score for documents without a term."""
-        asked = queries.select(F.col(key).alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-        asked = asked.join(self.idf(), "term")
-        tf = F.col("tf").cast("double")
-        part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(float(self.avgdl))))
-        scored = asked.join(self.postings, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-        return top_k(scored, k)
+        known = self.frequencies.select("term", "df", (F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+        mean = known.agg(F.avg("idf")).first()[0] or 0.0
+        return known.withColumn("idf", F.when(F.col("idf") < 0, F.lit(0.25 * mean)).otherwise(F.col("idf")))
+
+    def search(self, queries: DataFrame, k: int, key: str = "item_id", text: str = "text", k1: float = 1.5, b: float = 0.75, fill: bool = False) -> DataFrame:
+        """(qid, doc_id, score, rank) of the k best documents for each query; no score for documents without a term.
+
+        Two passes: each query is scored in the block where its terms' greatest weights promise most, whose k-th score is a
+        threshold; then in those other blocks that can reach it. With fill a query with fewer than k such documents gets the least other ids with score 0.
+        """
+        words = queries.select(F.col(key).alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+        asked = stored(words.join(self.idf(), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "asked")
+        avgdl, groups, own_heads = float(self.avgdl), postings.query_groups(asked), postings.heads(self.rows, self.dead)
+
+        def scored(pairs: DataFrame) -> DataFrame:
+            def run(block: postings.Block, right):
+                share = {t: tf * (k1 + 1) / (tf + k1 * (1 - b + b * block.lengths[nos] / avgdl)) for t, (nos, tf, _) in block.terms.items()}
+                for qid, terms in grouped(right, "qid", ("term", "weight")):
+                    total, held = np.zeros(len(block.ids)), np.zeros(len(block.ids), bool)
+                    for t, w in terms:
+                        if t in share:
+                            nos = block.terms[t][0]
+                            total[nos] += w * share[t]
+                            held[nos] = True
+                    total = np.round(total, 6) + 0.0
+                    at = postings.best_of(total, held & block.alive, k)
+                    yield [qid] * len(at), block.ids[at].tolist(), total[at].tolist()
+
+            return postings.cogrouped(self.rows, own_heads, asked.join(pairs, "qid"), groups, ["nos", "tfs"], run, "qid long, doc_id long, score double")
+
+        most = F.col("top_tf") * (k1 + 1) / (F.col("top_tf") + k1 * (1 - b + b * F.col("least_dl") / F.lit(avgdl)))
+        bounds = self.rows.filter("term IS NOT NULL").select("term", "block", most.alias("most")).join(asked, "term")
+        bounds = stored(bounds.groupBy("qid", "block").agg(F.sum(F.greatest(F.col("weight"), F.lit(0.0)) * F.col("most")).alias("bound")), "bounds")
+        best = bounds.groupBy("qid").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
+        first = stored(scored(best), "hits")
+        edge = first.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("edge")).filter(F.col("n") >= k)
+        left = bounds.join(best.withColumnRenamed("block", "best"), "qid").filter("block <> best").join(edge, "qid", "left")
+        # A score is rounded to 6 digits, so it may lie a little above its bound.
+        left = left.filter(F.col("edge").isNull() | (F.col("bound") + 1e-6 >= F.col("edge"))).select("qid", "block")
+        found = top_k(first.unionByName(scored(left)), k)
+        return self._filled(found, queries.select(F.col(key).alias("qid")), own_heads, k) if fill else found
+
+    def _filled(self, found: DataFrame, qids: DataFrame, own_heads: DataFrame, k: int) -> DataFrame:
+        found = stored(found, "found")
+        lacking = qids.distinct().join(found.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").filter(F.coalesce("n", F.lit(0)) < k).select("qid")
+        alive = own_heads.select(F.explode(F.arrays_zip(F.col("ids"), F.sequence(F.lit(0), F.size("ids") - 1).alias("no"))).alias("d"), "nos")
+        # At most k - 1 of the 2 k least ids have a score already.
+        least = alive.filter(~F.array_contains("nos", F.col("d.no"))).select(F.col("d.ids").alias("doc_id")).orderBy("doc_id").limit(2 * k)
+        more = lacking.crossJoin(F.broadcast(least)).join(found.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+        return top_k(found.select("qid", "doc_id", "score").unionByName(more.select("qid", "doc_id", "score")), k)
+
+
+def statistics(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, df) and (n, words) of blocks."""
+    terms = rows.filter("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df"))
+    words = F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)
+    return terms, rows.filter("term IS NULL").agg(F.sum("df").alias("n"), F.sum(words).cast("double").alias("words"))
+
+
+def averages(size) -> tuple[int, float]:
+    """Number of documents and their mean length, from (n, words)."""
+    n, words = size["n"] or 0, size["words"] or 0
+    return n, words / max(n, 1) or 1.0
+
+
+def grouped(table, by: str, columns: tuple[str, ...]):
+    """(value of `by`, rows of columns) of the rows of an Arrow table."""
+    out: dict = {}
+    for q, *row in zip(*(table.column(c).to_pylist() for c in (by, *columns))):
+        out.setdefault(q, []).append(row)
+    return out.items()
 
 
 def top_k(scored: DataFrame, k: int | Column, by: str = "qid", id_: str = "doc_id", score: str = "score") -> DataFrame:
@@ -166,58 +223,112 @@ def stem(word: str) -> str:
     return word.lower()
 
 
-def _lexeme(words: pd.Series) -> pd.Series:
-    """Stem of each word; null for a stop word."""
-    return words.map(lambda w: None if w in STOP_WORDS else stem(w))
+def lexeme(word: str) -> str | None:
+    """The stem of a word; None for a stop word."""
+    return None if word in STOP_WORDS else stem(word)
 
 
-def _cover_density(places: pd.Series) -> pd.Series:
-    """Cover density of the places (sorted lists, one for each term) of a document's query terms.
+def cover_density(lists: list[list[int]]) -> float:
+    """Cover density of the places (a list for each term) of a document's query terms.
 
-    Each shortest stretch that holds all terms adds 1 / (1 + words in it that are no term).
+    Each shortest stretch that holds all terms adds 1 / (1 + words in it that are no term), times a tenth of the number of terms.
     """
-
-    def one(lists) -> float:
-        marked = sorted((p, t) for t, own in enumerate(lists) for p in own)
-        need, last, total, begin = len(lists), {}, 0.0, -1
-        for p, t in marked:
-            last[t] = p
-            if len(last) == need:
-                first = min(last.values())
-                if first > begin:
-                    begin = first
-                    total += 0.1 * need / (1 + max(p - first - (need - 1), 0))
-        return total
-
-    return places.map(one)
+    marked = sorted((p, t) for t, own in enumerate(lists) for p in own)
+    need, last, total, begin = len(lists), {}, 0.0, -1
+    for p, t in marked:
+        last[t] = p
+        if len(last) == need:
+            first = min(last.values())
+            if first > begin:
+                begin = first
+                total += 0.1 * need / (1 + max(p - first - (need - 1), 0))
+    return total
 
 
 def stems(words: DataFrame) -> DataFrame:
     """(term, lexeme) of the different terms of words, each stemmed once; stop words are left out."""
-    found = words.select("term").distinct().withColumn("lexeme", F.pandas_udf(_lexeme, "string")("term"))
+    found = words.select("term").distinct().withColumn("lexeme", F.pandas_udf(lambda s: s.map(lexeme), "string")("term"))
     return found.filter(F.col("lexeme").isNotNull())
 
 
-def cover_density(places: str | Column) -> Column:
-    return F.pandas_udf(_cover_density, "double")(places)
+class FulltextIndex:
+    """Blocked postings of stems with their places, as a stored table; stop words are left out but count as places."""
 
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
+        self.rows, self.dead = stored(postings.build(docs, key, text, lexeme, True), "lexemes"), None
 
-def fulltext_search(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id", any_term: bool = False, text: str = "text") -> DataFrame:
-    """(qid, doc_id, score, rank): documents that hold all of a query's stems, by cover density.
+    @classmethod
+    def opened(cls, rows: DataFrame, dead: DataFrame | None = None) -> FulltextIndex:
+        own = cls.__new__(cls)
+        own.rows, own.dead = rows, dead
+        return own
 
-    The word `or` cuts a query into alternatives, of which one must be held; the best one's score
-    counts. Stop words ask nothing; a query of stop words alone finds nothing. With any_term a document
-    needs one stem only, and its score is divided by the share it lacks.
-    """
-    parts = queries.select(F.col(query_key).alias("qid"), F.posexplode(F.split(F.col("text"), r"(?i)(?<!\S)or(?!\S)")).alias("alternative", "part"))
-    words = parts.select("qid", "alternative", F.explode(F.array_distinct(tokens(F.col("part")))).alias("term"))
-    asked = stored(words.join(stems(words), "term").select("qid", "alternative", "lexeme").distinct(), "asked")
-    needs = asked.groupBy("qid", "alternative").agg(F.count("*").alias("need"))
-    asked = asked.join(needs, ["qid", "alternative"])
-    held = docs.select(F.col(doc_key).alias("doc_id"), F.posexplode(tokens(F.col(text))).alias("place", "term"))
-    wanted = stems(held).join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
-    held = held.join(wanted, "term").groupBy("doc_id", "lexeme").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    found = asked.join(held, "lexeme").groupBy("qid", "alternative", "doc_id", "need").agg(F.count("*").alias("has"), F.collect_list("places").alias("places"))
-    found = found if any_term else found.filter("has = need")
-    scored = found.select("qid", "doc_id", F.round(cover_density("places") * F.col("has") / F.col("need"), 6).alias("score"))
-    return top_k(scored.groupBy("qid", "doc_id").agg(F.max("score").alias("score")), k)
+    def search(self, queries: DataFrame, k: int, key: str = "item_id", text: str = "text", any_term: bool = False) -> DataFrame:
+        """(qid, doc_id, score, rank): documents that hold all of a query's stems, by cover density.
+
+        The word `or` cuts a query into alternatives, of which one must be held; the best one's score
+        counts. Stop words ask nothing; a query of stop words alone finds nothing. With any_term a document
+        needs one stem only, and its score is divided by the share it lacks.
+
+        A block without some stem of an alternative is left out by its rows' terms alone. In the others documents that hold
+        all stems are found from the rarest stem on, by number; places are read only where some were found.
+        """
+        parts = queries.select(F.col(key).alias("qid"), F.posexplode(F.split(F.col(text), r"(?i)(?<!\S)or(?!\S)")).alias("alternative", "part"))
+        words = parts.select("qid", "alternative", F.explode(F.array_distinct(tokens(F.col("part")))).alias("term"))
+        asked = words.join(stems(words), "term").select("qid", "alternative", F.col("lexeme").alias("term")).distinct()
+        asked = stored(asked.join(asked.groupBy("qid", "alternative").agg(F.count("*").alias("need")), ["qid", "alternative"]), "asked")
+        groups, own_heads = postings.query_groups(asked), postings.heads(self.rows, self.dead)
+        held = self.rows.filter("term IS NOT NULL").select("term", "block").join(asked, "term").groupBy("qid", "alternative", "need", "block").agg(F.count("*").alias("has"))
+        pairs = (held if any_term else held.filter("has = need")).select("qid", "alternative", "block")
+
+        def numbers(block: postings.Block, right):
+            for (qid, alternative), terms in keyed(right):
+                lists = sorted((block.terms[t][0] for t, *_ in terms if t in block.terms), key=len)
+                if any_term:
+                    found = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+                else:
+                    found = lists[0]
+                    for other in lists[1:]:
+                        found = found[np.isin(found, other, assume_unique=True)]
+                found = found[block.alive[found]]
+                if len(found):
+                    yield [qid], [alternative], [int(right.column("block")[0].as_py())], [found.tolist()]
+
+        met = stored(postings.cogrouped(self.rows, own_heads, asked.join(pairs, ["qid", "alternative"]), groups, ["nos", "tfs"], numbers, "qid long, alternative int, block long, found array<int>"), "survivors")
+
+        def densities(block: postings.Block, right):
+            starts = {t: np.concatenate([[0], np.cumsum(tf)]) for t, (_, tf, _) in block.terms.items()}
+            scores: dict[int, dict[int, float]] = {}
+            for (qid, _), terms in keyed(right):
+                own = scores.setdefault(qid, {})
+                for no in terms[0][2]:
+                    lists = []
+                    for t, *_ in terms:
+                        if t in block.terms:
+                            nos, _, places = block.terms[t]
+                            at = int(np.searchsorted(nos, no))
+                            if at < len(nos) and nos[at] == no:
+                                lists.append(places[starts[t][at] : starts[t][at + 1]])
+                    score = round(cover_density(lists) * len(lists) / terms[0][1], 6)
+                    own[no] = max(own.get(no, score), score)
+            for qid, own in scores.items():
+                best = sorted(own, key=lambda no: (-own[no], no))[:k]
+                yield [qid] * len(best), block.ids[best].tolist(), [own[no] for no in best]
+
+        wanted = asked.join(met, ["qid", "alternative"])
+        return top_k(postings.cogrouped(self.rows, own_heads, wanted, groups, ["nos", "tfs", "places"], densities, "qid long, doc_id long, score double"), k)
+
+
+def keyed(right):
+    """((qid, alternative), rows of (term, need, found if there)) of the asked rows of a block."""
+    columns = ("alternative", "term", "need", "found") if "found" in right.column_names else ("alternative", "term", "need")
+    out: dict = {}
+    for qid, rows in grouped(right, "qid", columns):
+        for alternative, *row in rows:
+            out.setdefault((qid, alternative), []).append(row)
+    return out.items()
+
+
+def fulltext_search(docs: DataFrame, queries: DataFrame, k: int, doc_key: str = "doc_id", query_key: str = "item_id", any_term: bool = False, text: str = "text") -> DataFrame:
+    """`FulltextIndex.search` over documents that have no index yet; queries have `text`."""
+    return FulltextIndex(docs, doc_key, text).search(queries, k, query_key, any_term=any_term)

@@ -15,11 +15,10 @@ from quarry.sources.sinks import stored
 class Retriever:
     """Searches children of an index, (doc_id, parent_id, category, service_name, text_content, embedding), and gives their parents.
 
-    index is a stored BM25 index of the children by child_no; without it one is made. sparse is `bm25` or
-    `fulltext`. reranker, generator and judge are models; without them the offline stand-ins serve.
+    index is a BM25 or, where sparse is `fulltext` and not `bm25`, a full-text index of the children by child_no; without it one is made. reranker, generator and judge are models; without them the offline stand-ins serve.
     """
 
-    def __init__(self, parents: DataFrame, children: DataFrame, embedder: models.Embedder, config: Config = Config(), query_prefix: str = "", index: lexical.Bm25Index | None = None,
+    def __init__(self, parents: DataFrame, children: DataFrame, embedder: models.Embedder, config: Config = Config(), query_prefix: str = "", index: lexical.Bm25Index | lexical.FulltextIndex | None = None,
                  sparse: str = "bm25", reranker: models.Reranker | None = None, generator: models.Generator | None = None) -> None:
         if sparse not in ("bm25", "fulltext"):
             raise ValueError(f"no such search: {sparse}")
@@ -27,14 +26,12 @@ class Retriever:
         self.sparse, self.reranker, self.generator = sparse, reranker, generator
         # Texts meet the hits only after the ranking; scoring reads ids, tokens and vectors.
         self.children = numbered(children)
-        self.index = index or (lexical.Bm25Index(self.children, "child_no", "text_content") if sparse == "bm25" else None)
+        self.index = index or (lexical.Bm25Index if sparse == "bm25" else lexical.FulltextIndex)(self.children, "child_no", "text_content")
 
     def _sparse(self, variants: DataFrame) -> DataFrame:
         c = self.config
         depth = max(c.sparse_depth, c.comparison_depth)
-        if self.sparse == "bm25":
-            return self.index.search(variants.select("vq", "text"), depth, "vq")
-        return lexical.fulltext_search(self.children, variants.select("vq", "text"), depth, "child_no", "vq", text="text_content")
+        return self.index.search(variants.select("vq", "text"), depth, "vq")
 
     def retrieve(self, questions: DataFrame) -> DataFrame:
         """(qid, question, rank, child_id, parent_id, rrf_score, cross_encoder_score, text_content) of the children kept for each question (qid, question)."""

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
+#: Tables stored within each open `scratch`.
+_SCRATCH: list[list[str]] = []
+
+
+def stored(rows: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """rows as a Parquet table in the shared folder, read back from there: made once, lineage cut, and a lost executor does not cost it."""
     spark = rows.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    (rows.write.option("compression", codec) if codec else rows.write).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored within are deleted at the end: for results that are taken in before it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
@@ -51,56 +69,6 @@ def write_text(rows: DataFrame, path: str, column: str = "text") -> None:
     rows.select(column).write.mode("overwrite").text(path)
 
 
-def _version(spark: SparkSession, path: str) -> str | None:
-    """Folder of the index at path that counts, or None."""
-    try:
-        last = spark.read.json(f"{path}/versions", "name string, at double").orderBy(F.desc("at")).first()
-    except AnalysisException:
-        return None
-    return f"{path}/{last['name']}" if last else None
-
-
-def read_index(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Parents, children, postings or terms of the index at path."""
-    found = _version(spark, path)
-    if found is None:
-        raise ValueError(f"no index at {path}")
-    return spark.read.parquet(f"{found}/{table}")
-
-
-def write_index(parents: DataFrame, children: DataFrame, path: str, **tables: DataFrame) -> None:
-    """Parents, children and further tables as Parquet in a folder of their own, which counts once all are there.
-
-    The switch is one appended row, so a reader sees the old index or the new one and a
-    run that dies leaves the old. Tables with a term lie in its order, so a search reads few row groups.
-    """
-    spark = parents.sparkSession
-    orphans = children.join(parents, children["parent_id"] == parents["doc_id"], "left_anti").limit(1).count()
-    if orphans:
-        raise ValueError("a child's parent_id is no parent's doc_id")
-    name = f"index-{uuid.uuid4().hex}"
-    for table, rows in {"parents": parents, "children": children, **tables}.items():
-        if "term" in rows.columns:
-            rows = rows.repartitionByRange("term").sortWithinPartitions("term")
-        rows.write.parquet(f"{path}/{name}/{table}")
-    spark.createDataFrame([(name, time.time())], "name string, at double").coalesce(1).write.mode("append").json(f"{path}/versions")
-
-
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text_content") -> DataFrame:
-    from quarry.functions.text import tokens
-
-    words = docs.select(F.col(key).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term"))
-    return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-
-
-def delete_parents(spark: SparkSession, path: str, ids: DataFrame, key: str = "doc_id") -> None:
-    """Removes parents and, with them, their children and all that is made from these; the index changes at once."""
-    parents, children = read_index(spark, path, "parents"), read_index(spark, path, "children")
-    gone = ids.select(F.col(key).alias("gone")).distinct()
-    kept = children.join(gone, children["parent_id"] == gone["gone"], "left_anti")
-    write_index(parents.join(gone, parents["doc_id"] == gone["gone"], "left_anti"), kept, path, postings=postings(kept))
-
-
 def upsert(rows: DataFrame, path: str, order: str, key: str = "id") -> DataFrame:
     """The table at path with rows put in by key, new ones before old; of a key's rows the one with the greatest `order` counts. The caller writes it."""
     spark = rows.sparkSession

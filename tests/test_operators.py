@@ -16,6 +16,7 @@ from quarry.operators import chunking, citations, evaluate, fusion, intent, layo
 from quarry.operators import tables as T
 from quarry.plans import catalogue, retrieval
 from quarry.sources import readers, sinks
+from quarry.sources.segments import Index
 from quarry.streaming import ingest
 
 MARKDOWN = """# Title
@@ -306,18 +307,6 @@ def test_sources_and_sinks(spark, tmp_path):
     old.write.parquet(str(tmp_path / "t2"))
     assert {r["id"]: r["text"] for r in sinks.upsert(new, str(tmp_path / "t2"), "at").collect()} == {"a": "new", "b": "y", "c": "z"}
     assert [r["text"] for r in sinks.upsert(new, str(tmp_path / "none"), "at").collect()] == ["new"]
-    parents = spark.createDataFrame([("p", "t"), ("q", "u")], "doc_id string, text_content string")
-    children = spark.createDataFrame([("c1", "p", "t"), ("c2", "q", "u")], "doc_id string, parent_id string, text_content string")
-    sinks.write_index(parents, children, str(tmp_path / "index"), postings=sinks.postings(children))
-    before = sinks.read_index(spark, str(tmp_path / "index"), "children")
-    sinks.delete_parents(spark, str(tmp_path / "index"), parents.filter("doc_id = 'p'"))
-    assert [r["doc_id"] for r in sinks.read_index(spark, str(tmp_path / "index"), "children").collect()] == ["c2"]
-    assert [r["doc_id"] for r in sinks.read_index(spark, str(tmp_path / "index"), "postings").collect()] == ["c2"]
-    assert before.count() == 2  # a reader of the old version is not disturbed
-    with pytest.raises(ValueError):
-        sinks.read_index(spark, str(tmp_path / "nothing"), "children")
-    with pytest.raises(ValueError):
-        sinks.write_index(parents.filter("doc_id = 'p'"), children, str(tmp_path / "bad"))
     (tmp_path / "one.bin").write_bytes(b"abc")
     found = readers.decoded(readers.binary_files(spark, str(tmp_path), "*.bin"), lambda b: [{"n": len(b)}] if b else 1 / 0, "n long")
     assert [(r["n"], r["error"]) for r in found.collect()] == [(3, None)]
@@ -367,11 +356,6 @@ def test_streams(spark, tmp_path):
     q = ingest.windowed(ingest.event_stream(spark, str(tmp_path / "events"))).writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("SELECT sum(n) FROM w").first()[0] == events.count()
-    docs = spark.createDataFrame([(1, MARKDOWN), (1, MARKDOWN), (2, "plain")], "doc_id long, text string")
-    docs.write.parquet(str(tmp_path / "docs"))
-    stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs"))
-    ingest.ingest(stream, str(tmp_path / "index"), str(tmp_path / "check")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "index/parents")).filter("source = 2").count() == 1
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -382,7 +366,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert "Sources: Topic 5" in capsys.readouterr().out
     assert cli.main(["ask", "--index", index, "--sparse", "fulltext", "zebra5 or apple5"]) == 0
     assert "Sources: Topic 5" in capsys.readouterr().out
-    parent = sinks.read_index(spark, index, "parents").filter("category = 'Topic 3'").first()["doc_id"]
+    parent = Index.opened(spark, index).parents().filter("category = 'Topic 3'").first()["doc_id"]
     (tmp_path / "q.json").write_text(json.dumps([{"question": "zebra3 apple3", "expected_parent_ids": [parent]}, {"question": "none"}]))
     card = cli.evaluated(spark, index, str(tmp_path / "q.json"))
     assert "mrr                   : 1.0000" in card and "faithfulness" in card and "verdict" in card
