@@ -308,7 +308,7 @@ class FulltextIndex:
                             nos, _, places = block.terms[t]
                             at = int(np.searchsorted(nos, no))
                             if at < len(nos) and nos[at] == no:
-                                lists.append(places[starts[t][at] : starts[t][at + 1]])
+                                lists.append(places[starts[t][at] : starts[t][at + 1]].tolist())
                     score = round(cover_density(lists) * len(lists) / terms[0][1], 6)
                     own[no] = max(own.get(no, score), score)
             for qid, own in scores.items():

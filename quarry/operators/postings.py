@@ -100,13 +100,23 @@ class Block:
     """What a task sees of a block: its documents and the posting rows of the asked terms."""
 
     def __init__(self, left: pa.Table) -> None:
-        rows = left.to_pydict()
-        at = rows["term"].index(None)
-        self.ids, self.lengths = np.array(rows["ids"][at], np.int64), np.array(rows["tfs"][at], float)
+        left = left.combine_chunks()
+        names = left.column("term").to_pylist()
+
+        def lists(column: str) -> tuple[np.ndarray, np.ndarray]:
+            """Where each row's values begin, and all values."""
+            held = left.column(column).combine_chunks()
+            held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+            return np.concatenate([[0], np.cumsum(pc.list_value_length(held).to_numpy(zero_copy_only=False), dtype=np.int64)]), held.flatten().to_numpy(zero_copy_only=False)
+
+        (at, nos), (at_tf, tfs), (at_id, ids) = lists("nos"), lists("tfs"), lists("ids")
+        at_place, places = lists("places") if "places" in left.column_names else (None, None)
+        head = names.index(None)
+        self.ids, self.lengths = ids[at_id[head] : at_id[head + 1]], tfs[at_tf[head] : at_tf[head + 1]].astype(float)
         self.alive = np.ones(len(self.ids), bool)
-        self.alive[np.array(rows["nos"][at], np.int64)] = False
-        keep = [i for i, t in enumerate(rows["term"]) if t is not None]
-        self.terms = {rows["term"][i]: (np.array(rows["nos"][i], np.int64), np.array(rows["tfs"][i], np.int64), rows["places"][i] if "places" in rows else None) for i in keep}
+        self.alive[nos[at[head] : at[head + 1]]] = False
+        #: Of each term: numbers of its documents, how often they hold it, and where, one after another.
+        self.terms = {t: (nos[at[i] : at[i + 1]], tfs[at_tf[i] : at_tf[i + 1]], None if places is None else places[at_place[i] : at_place[i + 1]]) for i, t in enumerate(names) if t is not None}
 
 
 def best_of(scores: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
