@@ -163,7 +163,7 @@ def staged(pages: DataFrame) -> DataFrame:
     """row, page_id, url, html, digest, size of every page, written once so that row numbers hold."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
-    return written(rows.select("*", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("size")), "pages")
+    return written(rows.select("*", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("size")), "pages", "zstd")
 
 
 def revisits(rows: DataFrame, least: int = LEAST) -> DataFrame:
