@@ -1,9 +1,9 @@
 """Language ID by interpolated Kneser-Ney character models in sorted hash arrays.
 
 Texts are lower-cased, every run of other characters than letters is one blank, and each
-character is predicted from the ORDER - 1 before it. Every language has its own model; for
-scoring, the models lie in arrays sorted by the 64-bit hash of the character sequence, a
-column for each language, with a table of leading bits that says where to look. A text's
+character is predicted from the ORDER - 1 before it. Every language has its own model, in
+arrays sorted by the 64-bit hash of the character sequence, with a table of leading bits
+that says where to look; it holds what the language's texts hold and no more. A text's
 language is the one with the lowest cross-entropy per character; a text that scores worse
 than calibration rows of that language by far is rejected.
 
@@ -12,22 +12,22 @@ lang and doc_id, matter; ties go to the language first in code point order; rows
 each for itself. Without any labelled row every text is `und`.
 
 Training reads at most about `train_rows` whole texts of each language, of at most
-`train_chars` characters each, drawn by a hash of doc_id over all rows, and the `train_langs` most
-frequent languages; these bounds are parameters, so neither the model nor what the driver
-collects grows with the corpus. Scoring reads all texts whole, of any length.
+`train_chars` characters each and `train_total` over all, drawn by a hash of doc_id over all rows; every
+language has one at least. These bounds are parameters, so neither the model nor what the driver
+collects grows with the corpus, but with its number of languages. Scoring reads all texts whole, of any length.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import rolling, tidy, trimmed
+from quarry.llm.common import rolling, tidy, trimmed, written
 
 ORDER = 4
-TRAIN_ROWS, TRAIN_CHARS, TRAIN_LANGS = 400, 100_000, 400
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_TOTAL = 400, 100_000, 40_000_000
 #: Characters that a text may hold: what is left for one never seen in training.
 ALPHABET = 4096
 #: A text is rejected beyond so many deviations of the calibration rows, for its length, if it
@@ -101,76 +101,59 @@ def _counts(codes: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray,
     return grams, shorter[at], shorter[at + 1], count
 
 
-class Model:
-    """Kneser-Ney models of some languages, for scoring many texts at once."""
+class _Language:
+    """The Kneser-Ney model of one language: log-probabilities and log backing-off weights in sorted hash arrays, one of each for every length."""
 
-    def __init__(self, samples: dict[str, list[str]], order: int = ORDER) -> None:
-        self.langs, self.order = sorted(samples), order
-        spans = [symbols(samples[x]) for x in self.langs]
-        grams = [[_counts(codes, lengths, n) for n in range(1, order + 1)] for codes, lengths in spans]
+    def __init__(self, values: list[str], order: int) -> None:
+        codes, lengths = symbols(values)
+        grams = [_counts(codes, lengths, n) for n in range(1, order + 1)]
         self.log: list[_Sorted] = []
         self.weight: list[_Sorted] = []
-        for n in range(1, order + 1 if self.langs else 1):
-            seen = np.unique(np.concatenate([g[n - 1][0] for g in grams]))
-            heads, tails = np.zeros(len(seen), _U), np.zeros(len(seen), _U)
-            for g in grams:
-                at = np.searchsorted(seen, g[n - 1][0])
-                heads[at], tails[at] = g[n - 1][1], g[n - 1][2]
-            contexts = np.unique(heads)
-            values = np.zeros((len(seen), len(self.langs)))
-            weights = np.ones((len(contexts), len(self.langs)))
-            for j, g in enumerate(grams):
-                own, head, _, count = g[n - 1]
-                if n < order:  # continuation counts: how many different characters come before
-                    left = np.unique(g[n][2], return_counts=True)
-                    count = np.zeros(len(own), np.int64)
-                    count[np.searchsorted(own, left[0])] = left[1]
-                    count = np.maximum(count, 1)
-                ones, twos = (count == 1).sum(), (count == 2).sum()
-                discount = ones / (ones + 2 * twos) if ones else 0.5
-                place = np.searchsorted(contexts, head)
-                total = np.bincount(place, count, len(contexts))
-                kinds = np.bincount(place, minlength=len(contexts))
-                has = total > 0
-                weights[has, j] = discount * kinds[has] / total[has]
-                values[np.searchsorted(seen, own), j] = np.maximum(count - discount, 0) / total[place]
-            back = weights[np.searchsorted(contexts, heads)]
-            lower = np.exp(self._lookup(n - 1, tails)) if n > 1 else np.full(values.shape, 1 / ALPHABET)
-            self.log.append(_Sorted(seen, np.log(values + back * lower).astype(np.float32)))
+        for n, (own, heads, tails, count) in enumerate(grams, start=1):
+            if n < order:  # continuation counts: how many different characters come before
+                left = np.unique(grams[n][2], return_counts=True)
+                count = np.zeros(len(own), np.int64)
+                count[np.searchsorted(own, left[0])] = left[1]
+                count = np.maximum(count, 1)
+            ones, twos = (count == 1).sum(), (count == 2).sum()
+            discount = ones / (ones + 2 * twos) if ones else 0.5
+            contexts, place = np.unique(heads, return_inverse=True)
+            total = np.bincount(place, count, len(contexts))
+            weights = discount * np.bincount(place, minlength=len(contexts)) / total
+            lower = np.exp(self._known(n - 1, tails)) if n > 1 else 1 / ALPHABET
+            self.log.append(_Sorted(own, np.log(np.maximum(count - discount, 0) / total[place] + weights[place] * lower).astype(np.float32)))
             self.weight.append(_Sorted(contexts, np.log(weights).astype(np.float32)))
 
-    def _lookup(self, n: int, hashes: np.ndarray) -> np.ndarray:
+    def _known(self, n: int, hashes: np.ndarray) -> np.ndarray:
         """Log-probabilities of n-grams that are known to be in the table."""
         return self.log[n - 1].values[self.log[n - 1].find(hashes)].astype(float)
 
-    def _logs(self, codes: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
-        """Log-probability of the character at each of `ends` given the n - 1 before it."""
-        table = self.log[n - 1]
-        start = ends - n + 1
-        place = table.find(self._hashes(codes, n)[start])
-        out = table.values[place]
+    def logs(self, hashes: dict[int, np.ndarray], ends: np.ndarray, n: int) -> np.ndarray:
+        """Log-probability of the character at each of `ends` given the n - 1 before it; hashes[n] has every n-gram's hash by its start."""
+        table, start = self.log[n - 1], ends - n + 1
+        place = table.find(hashes[n][start])
+        out = table.values[place] if len(table.values) else np.zeros(len(ends), np.float32)
         missing = np.flatnonzero(place < 0)
         if len(missing):
             if n == 1:
                 out[missing] = self.weight[0].values[0] + np.float32(np.log(1 / ALPHABET))
             else:
-                context = self.weight[n - 1].find(self._hashes(codes, n - 1)[start[missing]])
-                weight = np.where((context >= 0)[:, None], self.weight[n - 1].values[context], np.float32(0))
-                out[missing] = weight + self._logs(codes, ends[missing], n - 1)
+                back = self.weight[n - 1]
+                context = back.find(hashes[n - 1][start[missing]])
+                weight = np.where(context >= 0, back.values[context], np.float32(0)) if len(back.values) else np.float32(0)
+                out[missing] = weight + self.logs(hashes, ends[missing], n - 1)
         return out
 
-    def _hashes(self, codes: np.ndarray, n: int) -> np.ndarray:
-        if self._of is not codes:
-            self._of, self._kept = codes, {}
-        if n not in self._kept:
-            self._kept[n] = rolling(codes, n)
-        return self._kept[n]
 
-    _of: np.ndarray | None = None
-    _kept: dict[int, np.ndarray] = {}
+class Model:
+    """Kneser-Ney models of some languages, each with arrays of its own, for scoring many texts at once."""
+
+    def __init__(self, samples: dict[str, list[str]], order: int = ORDER) -> None:
+        self.langs, self.order = sorted(samples), order
+        self.own = [_Language(samples[x], order) for x in self.langs]
 
-    def entropies(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character (texts x languages, nats) and the number of characters scored."""
+    def entropies(self, values: list[str], only: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy per character (texts x languages, nats) and the number of characters scored; with `only`, of that language alone."""
         codes, lengths = symbols(values)
         sums = np.zeros((len(values), len(self.langs)))
         scored = np.maximum(lengths - 1, 0)
@@ -180,14 +163,15 @@ class Model:
         starts = stops - lengths
         index = np.arange(len(codes)) - np.repeat(starts, lengths)
         owner = np.repeat(np.arange(len(values)), lengths)
+        hashes = {n: rolling(codes, n) for n in range(1, self.order + 1)}
         for n in range(2, self.order + 1):
             ends = np.flatnonzero(index == n - 1) if n < self.order else np.flatnonzero(index >= n - 1)
             for a in range(0, len(ends), _SCORE_CHARS):
                 part = ends[a : a + _SCORE_CHARS]
-                logs = self._logs(codes, part, n)
-                for j in range(len(self.langs)):
-                    sums[:, j] -= np.bincount(owner[part], logs[:, j], len(values))
-        self._of, self._kept = None, {}
+                for j, own in enumerate(self.own):
+                    if only is not None and only != j:
+                        continue
+                    sums[:, j] -= np.bincount(owner[part], own.logs(hashes, part, n), len(values))
         return sums / np.maximum(scored, 1)[:, None], scored
 
 
@@ -206,7 +190,7 @@ class Identifier:
         self.mean, self.dev = np.zeros(len(langs)), np.ones(len(langs))
         for j, lang in enumerate(langs):
             own = held.get(lang) or fitted[lang]
-            entropy, n = self.model.entropies(own)
+            entropy, n = self.model.entropies(own, j)
             rows_with = n > 0
             if rows_with.any():
                 e, n = entropy[rows_with, j], n[rows_with]
@@ -235,16 +219,18 @@ def bucket(divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, train_langs: int = TRAIN_LANGS) -> Identifier:
-    """Fit on about train_rows texts of each language, among rows whose bucket(4) is not 2."""
-    usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= train_chars) & (bucket(4) != 2))
+def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, train_total: int = TRAIN_TOTAL) -> Identifier:
+    """Fit on about train_rows texts of each language, among rows whose bucket(4) is not 2, of at most train_total characters over all languages and one text of each."""
+    usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= train_chars) & (bucket(4) != 2)).select("lang", "text", "doc_id")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(4), "doc_id"), 11).cast("double") * F.lit(2.0**-53)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(train_langs).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], train_rows / r["count"]).otherwise(share)
-    drawn = usable.filter(draw < share).select("lang", "text", draw.alias("draw"))
-    rows = drawn.orderBy("draw", "lang", "text").limit(2 * train_rows * max(1, len(counts))).collect()
+    counts = written(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    langs = max(1, counts.count())
+    drawn = usable.join(counts, "lang").withColumn("draw", draw).filter(F.col("draw") < train_rows / F.col("n"))
+    # A language has about train_rows rows here.
+    own = Window.partitionBy("lang").orderBy("draw", "text")
+    before = F.coalesce(F.sum(F.length("text")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = drawn.select("lang", "text", "draw", before.alias("before"), F.row_number().over(own).alias("place")).filter((F.col("before") < train_total // langs) & (F.col("place") <= 2 * train_rows))
+    rows = kept.orderBy("draw", "lang", "text").select("lang", "text").collect()
     found = Identifier([(r["lang"], r["text"]) for r in rows])
     del rows
     trimmed()

@@ -7,6 +7,7 @@ columns with clashing names.
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -524,8 +525,8 @@ def test_op10_model_sums_to_one_and_edges(spark):
     sums = np.zeros(len(model.langs))
     for c in letters:
         codes, lengths = language_id.symbols(["th" + (c if c != " " else " x")])
-        logs = model._logs(codes, np.array([3]), 4)
-        model._of = None
+        hashes = {n: common.rolling(codes, n) for n in range(1, 5)}
+        logs = np.array([[own.logs(hashes, np.array([3]), 4)[0] for own in model.own]])
         sums += np.exp(logs[0])
     assert np.all(sums <= 1.0001) and np.all(sums > 0.7)  # the rest is for letters never seen
     names, score, entropy, rejected = own.predict(["the cat", "", "123 !", "la maison", "世界" * 90])
@@ -682,3 +683,68 @@ def test_op6_null_and_repeated_ids(spark):
     for k, r in enumerate(rows):
         where[r].append(leaders[k])
     assert set(kept) <= set(rows) and len({where[r][0] for r in kept if WORD.search(r[1] or "")}) == len([r for r in kept if WORD.search(r[1] or "")])
+
+
+def plain_kneser_ney(texts, order=4):
+    """Interpolated Kneser-Ney over dictionaries: log-probability of a character after a context."""
+    def chars(t):
+        out = [" "]
+        for c in t.lower():
+            c = c if c.isalpha() else " "
+            if c != " " or out[-1] != " ":
+                out.append(c)
+        return "".join(out)
+
+    spans = [chars(t) for t in texts]
+    counts = [collections.Counter(s[i : i + n] for s in spans for i in range(len(s) - n + 1)) for n in range(1, order + 1)]
+    for n in range(1, order):
+        before = collections.Counter(g[1:] for g in counts[n])
+        counts[n - 1] = {g: max(before.get(g, 0), 1) for g in counts[n - 1]}
+    levels = []
+    for own in counts:
+        ones, twos = sum(c == 1 for c in own.values()), sum(c == 2 for c in own.values())
+        total, kinds = collections.Counter(), collections.Counter()
+        for g, c in own.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        levels.append((own, ones / (ones + 2 * twos) if ones else 0.5, total, kinds))
+
+    def prob(context, c):
+        own, discount, total, kinds = levels[len(context)]
+        lower = prob(context[1:], c) if context else 1 / language_id.ALPHABET
+        if not total[context]:
+            return lower
+        return max(own.get(context + c, 0) - discount, 0) / total[context] + discount * kinds[context] / total[context] * lower
+
+    def entropy(text):
+        s = chars(text)
+        return -sum(math.log(prob(s[max(0, i - order + 1) : i], s[i])) for i in range(1, len(s))) / max(len(s) - 1, 1)
+
+    return entropy
+
+
+def test_op10_agrees_with_kneser_ney_over_dictionaries():
+    draw = random.Random(8)
+    samples = {f"l{k}": ["".join(draw.choice(letters) for _ in range(draw.randint(1, 300))) for _ in range(12)] for k, letters in enumerate(("abcd  e", "abxyz éß.", "qrstuv w1"))}
+    model = language_id.Model(samples)
+    asked = ["abab cd", "x", "", "éé ßb", "never seen: ζω!", "a" * 50, *(t for own in samples.values() for t in own[:3])]
+    found, _ = model.entropies(asked)
+    for j, lang in enumerate(sorted(samples)):
+        own = plain_kneser_ney(samples[lang])
+        for i, t in enumerate(asked):
+            assert abs(found[i, j] - own(t)) < 2e-5 * max(1, found[i, j]), (lang, t)
+
+
+def test_op10_many_languages_within_bounds(spark):
+    """Every one of 500 languages can be predicted; training texts are bounded over all, and no language goes without."""
+    draw = random.Random(3)
+    rows = []
+    for k in range(500):
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(40)]
+        rows += [(k * 10 + i, "".join(draw.choice(letters) for _ in range(60)), f"l{k:03}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = language_id.train(docs, train_total=20_000)
+    usable = {r["lang"] for r in docs.filter(language_id.bucket(4) != 2).select("lang").distinct().collect()}
+    assert set(own.model.langs) == usable and len(usable) > 480
+    found = [r for r in language_id.identify(docs.filter("doc_id % 10 = 0"), own).collect() if r["lang"] in usable]
+    assert sum(r["lang"] == r["lang_pred"] for r in found) > 0.98 * len(found)
