@@ -124,21 +124,25 @@ def with_table_heads(parent: str, children: list[str]) -> list[str]:
     return [f"{head}\n{c}" if head and headless(c) else c for c in children]
 
 
-def split_column(rows: DataFrame, key: str, text: str, size: int, overlap: int, separators: list[str], by_words: bool = False) -> DataFrame:
-    """(key, part, text): the parts of each row's text; by_words measures in runs of non-blanks."""
+def split_rows(rows: DataFrame, text: str, size: int, overlap: int, separators: list[str], by_words: bool = False) -> DataFrame:
+    """rows once for each part of their text, which takes the text's place, with part (from 1) and parts, their number; by_words measures in runs of non-blanks.
+
+    A row's other columns go with each part, so no join brings them together again. A text without parts drops its row.
+    """
     length = (lambda s: len(s.split())) if by_words else len
+    names, at = rows.columns, rows.columns.index(text)
 
     def run(batches):
         for b in batches:
-            keys, parts, texts = [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for i, p in enumerate(split_text(t, size, overlap, separators, length) if t else [], start=1):
-                    keys.append(k)
-                    parts.append(i)
-                    texts.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(parts, pa.int32()), pa.array(texts, pa.string())], [key, "part", "text"])
+            found = [split_text(t, size, overlap, separators, length) if t else [] for t in b.column(at).to_pylist()]
+            place = pa.array([i for i, parts in enumerate(found) for _ in parts], pa.int64())
+            columns = [pa.array([p for parts in found for p in parts], pa.string()) if i == at else c.take(place) for i, c in enumerate(b.columns)]
+            numbers = [n for parts in found for n in range(1, len(parts) + 1)]
+            counts = [len(parts) for parts in found for _ in parts]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), pa.array(counts, pa.int32())], [*names, "part", "parts"])
 
-    return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, part int, text string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, part int, parts int")
 
 
 def parent_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, size: int = PARENT_SIZE, overlap: int = PARENT_OVERLAP) -> DataFrame:
@@ -192,13 +196,15 @@ def child_chunks(parents: DataFrame, size: int = CHILD_SIZE, overlap: int = CHIL
     return found.select("doc_id", "parent_id", "ordinal", "category", "service_name", "header_path", F.lit("child").alias("chunk_type"), text.alias("text_content"))
 
 
-CHUNK_COLUMNS = ["id", "text", "chunk_type", "category", "service_name", "concept_group", "page_start", "page_end", "source_urls"]
+#: A chunk is known by its document and its id; ids repeat across documents. Inputs without a column `document` are of one document, which is null.
+CHUNK_COLUMNS = ["document", "id", "text", "chunk_type", "category", "service_name", "concept_group", "page_start", "page_end", "source_urls"]
 
 
 def _chunk(rows: DataFrame, id_: Column, text: Column, kind: str, category: Column | None = None, service: Column | None = None, group: Column | None = None, urls: Column | None = None) -> DataFrame:
     category, service, group = (F.lit(None).cast("string") if c is None else c for c in (category, service, group))
     urls = F.coalesce(F.col("source_urls"), F.array().cast("array<string>")) if urls is None else urls
-    return rows.select(id_.alias("id"), text.alias("text"), F.lit(kind).alias("chunk_type"), category.alias("category"), service.alias("service_name"), group.alias("concept_group"), F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"), urls.alias("source_urls"))
+    document = F.col("document").cast("string") if "document" in rows.columns else F.lit(None).cast("string")
+    return rows.select(document.alias("document"), id_.alias("id"), text.alias("text"), F.lit(kind).alias("chunk_type"), category.alias("category"), service.alias("service_name"), group.alias("concept_group"), F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"), urls.alias("source_urls"))
 
 
 def _entry_text() -> Column:
@@ -208,12 +214,11 @@ def _entry_text() -> Column:
 def service_chunks(services: DataFrame, max_tokens: int = 400) -> DataFrame:
     """A chunk for each service (category, name, description, page_start, page_end, source_urls), in parts where it has more than max_tokens words."""
     base = F.concat(F.lit("service:"), slug(F.col("category")), F.lit(":"), slug(F.col("name")))
-    rows = services.withColumn("base", base).withColumn("whole", _entry_text())
+    keep = [c for c in ("document", "category", "name", "page_start", "page_end", "source_urls") if c in services.columns]
+    rows = services.select(*keep, base.alias("base"), _entry_text().alias("whole"))
     long = F.regexp_count("whole", F.lit(r"\S+")) > max_tokens
-    parts = split_column(rows.filter(long), "base", "whole", max_tokens, 0, PARENT_SEPARATORS, by_words=True)
-    several = rows.filter(long).join(parts.withColumnRenamed("text", "piece"), "base").withColumn("base", F.concat("base", F.lit(":part-"), "part"))
-    pick = ["base", "whole", "category", "name", "page_start", "page_end", "source_urls"]
-    both = rows.filter(~long).select(*pick).unionByName(several.withColumn("whole", F.col("piece")).select(*pick))
+    several = split_rows(rows.filter(long), "whole", max_tokens, 0, PARENT_SEPARATORS, by_words=True).withColumn("base", F.concat("base", F.lit(":part-"), "part"))
+    both = rows.filter(~long).unionByName(several.drop("part", "parts"))
     return _chunk(both, F.col("base"), F.col("whole"), "service", F.col("category"), F.col("name"))
 
 
@@ -225,10 +230,8 @@ def concept_chunks(concepts: DataFrame) -> DataFrame:
 def table_chunks(tables: DataFrame, max_tokens: int = 400) -> DataFrame:
     """Chunks of the comparison tables (title `Compare AWS .. services`), cut between rows."""
     chosen = tables.filter(F.btrim("title").rlike(r"^Compare AWS .+ services$"))
-    parts = T.table_parts(chosen, max_tokens)
-    counts = parts.groupBy("table_id").agg(F.count("*").alias("n"))
-    rows = parts.join(counts, "table_id").join(chosen.select("table_id", "title", "page_start", "page_end"), "table_id")
-    id_ = F.concat(F.lit("table:"), slug(F.col("title")), F.lit(":p"), F.col("page_start"), F.when(F.col("n") > 1, F.concat(F.lit(":part-"), "part")).otherwise(""))
+    rows = T.table_parts(chosen, max_tokens)
+    id_ = F.concat(F.lit("table:"), slug(F.col("title")), F.lit(":p"), F.col("page_start"), F.when(F.col("parts") > 1, F.concat(F.lit(":part-"), "part")).otherwise(""))
     return _chunk(rows, id_, F.col("text"), "table", urls=F.array().cast("array<string>"))
 
 
@@ -260,7 +263,8 @@ def notice_chunks(tables: DataFrame, skipped: DataFrame, services: DataFrame) ->
 
 def caption_chunks(categories: DataFrame) -> DataFrame:
     """A chunk for each image caption (name, image_captions of page, image_path, caption) of a category."""
-    rows = categories.select("name", F.posexplode("image_captions").alias("n", "c")).select("name", "n", "c.*")
+    own = [c for c in ("document", "name") if c in categories.columns]
+    rows = categories.select(*own, F.posexplode("image_captions").alias("n", "c")).select(*own, "n", "c.*")
     rows = rows.withColumn("page_start", F.col("page")).withColumn("page_end", F.col("page"))
     id_ = F.concat(F.lit("image-caption:"), slug(F.col("name")), F.lit(":p"), "page", F.lit(":part-"), F.col("n") + 1)
     return _chunk(rows, id_, F.btrim("caption"), "image_caption", F.col("name"), urls=F.array().cast("array<string>"))
@@ -277,17 +281,16 @@ def together(*kinds: DataFrame) -> DataFrame:
 
 def children_of(chunks: DataFrame, size: int = CHILD_SIZE, overlap: int = CHILD_OVERLAP) -> DataFrame:
     """Catalog chunks cut into children: a single one keeps its parent's id, several get `:c<n>`; all else is inherited."""
-    parts = split_column(chunks, "id", "text", size, overlap, PARENT_SEPARATORS).withColumnRenamed("text", "piece")
-    counts = parts.groupBy("id").agg(F.count("*").alias("n"))
-    rows = chunks.join(parts.join(counts, "id"), "id").withColumn("parent_id", F.col("id"))
-    return rows.withColumn("id", F.when(F.col("n") == 1, F.col("id")).otherwise(F.concat("id", F.lit(":c"), "part"))).withColumn("text", F.col("piece")).drop("piece", "part", "n")
+    rows = split_rows(chunks.withColumn("parent_id", F.col("id")), "text", size, overlap, PARENT_SEPARATORS)
+    return rows.withColumn("id", F.when(F.col("parts") == 1, F.col("id")).otherwise(F.concat("id", F.lit(":c"), "part"))).drop("part", "parts")
 
 
 def verified(chunks: DataFrame) -> DataFrame:
-    """(check, n): chunks, chunks of each kind, ids that are not unique, empty texts, page ranges that run backwards."""
+    """(check, n): chunks, chunks of each kind, ids that are not unique in their document, empty texts, page ranges that run backwards."""
+    known = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("document", "id") if c in chunks.columns))
     kinds = chunks.groupBy("chunk_type").agg(F.count("*").alias("n")).select(F.concat(F.lit("kind:"), "chunk_type").alias("check"), "n")
     whole = chunks.agg(
-        F.count("*").alias("chunks"), (F.count("*") - F.countDistinct("id")).alias("repeated_ids"),
+        F.count("*").alias("chunks"), (F.count("*") - F.countDistinct(known)).alias("repeated_ids"),
         F.count_if(F.btrim("text") == "").alias("empty_texts"), F.count_if(F.col("page_start") > F.col("page_end")).alias("backward_pages"))
     names = ["chunks", "repeated_ids", "empty_texts", "backward_pages"]
     rows = whole.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).cast("long").alias("n")) for n in names))).alias("r")).select("r.*")
@@ -317,8 +320,9 @@ def parsing_report(services: DataFrame, document: str = "document") -> DataFrame
 
 
 def require_unique(chunks: DataFrame, key: str = "id") -> DataFrame:
-    """chunks, or a ValueError that names some ids that occur more than once."""
-    again = [r[0] for r in chunks.groupBy(key).count().filter("count > 1").orderBy(key).limit(5).collect()]
+    """chunks, or a ValueError that names some ids that occur more than once in a document."""
+    by = [c for c in ("document", key) if c in chunks.columns]
+    again = [r[key] for r in chunks.groupBy(*by).count().filter("count > 1").orderBy(key).limit(5).collect()]
     if again:
         raise ValueError(f"ids are not unique: {again}")
     return chunks

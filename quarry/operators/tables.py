@@ -83,22 +83,22 @@ def row_groups(rows: DataFrame, budget: int, key: str = "table_id", order: str =
 
 
 def table_parts(tables: DataFrame, max_tokens: int) -> DataFrame:
-    """(table_id, part, text): each table's title and Markdown, cut between rows so that a part has at most max_tokens tokens where its rows allow it; the header is repeated."""
-    rows = tables.select("table_id", F.posexplode("rows").alias("row_no", "row"))
-    rows = rows.withColumn("size", token_count(markdown_row(F.col("row"))))
-    head = tables.select("table_id", "title", "headers", (token_count(F.concat_ws("\n\n", "title", markdown("headers", F.array().cast("array<array<string>>"))))).alias("head"))
-    sized = rows.join(head.select("table_id", "head"), "table_id").withColumn("budget", F.lit(max_tokens) - F.col("head"))
-    # The header's share is taken off the budget by counting it with the first row of each group.
-    gathered = sized.groupBy("table_id", "budget").agg(F.array_sort(F.collect_list(F.struct("row_no", "row", "size"))).alias("r"))
-    empty = F.expr("cast(array() as array<struct<g:int,row:array<string>>>)")
-    start = F.struct(F.lit(1).alias("g"), F.lit(0).cast("long").alias("used"), empty.alias("out"))
+    """tables once for each part, with part (from 1), parts and text: title and Markdown, cut between rows so that a part has at most max_tokens tokens where its rows allow it; the header is repeated.
+
+    A table is folded where it lies; nothing is shuffled. A table without rows has no parts.
+    """
+    head = token_count(F.concat_ws("\n\n", "title", markdown("headers", F.array().cast("array<array<string>>"))))
+    sized = F.transform("rows", lambda r: F.struct(r.alias("row"), token_count(markdown_row(r)).cast("long").alias("size")))
+    start = F.struct(F.lit(1).alias("g"), F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<struct<g:int,row:array<string>>>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        over = (acc["used"] > 0) & (acc["used"] + x["size"] > F.col("budget"))
+        # The header's share is off the budget of every part.
+        over = (acc["used"] > 0) & (acc["used"] + x["size"] > F.lit(max_tokens) - F.col("_head"))
         g = (acc["g"] + over.cast("int")).cast("int")
-        used = F.when(over, F.lit(0)).otherwise(acc["used"]).cast("long") + x["size"].cast("long")
+        used = F.when(over, F.lit(0)).otherwise(acc["used"]).cast("long") + x["size"]
         return F.struct(g.alias("g"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(g.alias("g"), x["row"].alias("row")))).alias("out"))
 
-    folded = gathered.select("table_id", F.posexplode(F.aggregate("r", start, step)["out"]).alias("place", "o"))
-    parts = folded.groupBy("table_id", F.col("o.g").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "o.row"))), lambda x: x["row"]).alias("rows"))
-    return parts.join(head, "table_id").select("table_id", "part", F.concat_ws("\n\n", F.btrim("title"), markdown("headers", "rows")).alias("text"))
+    folded = tables.filter(F.size("rows") > 0).withColumn("_head", head).withColumn("_fold", F.aggregate(sized, start, step))
+    parts = F.transform(F.sequence(F.lit(1), F.col("_fold.g")), lambda i: F.transform(F.filter("_fold.out", lambda o: o["g"] == i), lambda o: o["row"]))
+    cut = folded.select(*tables.columns, F.col("_fold.g").alias("parts"), F.posexplode(parts).alias("_at", "_rows"))
+    return cut.select(*tables.columns, (F.col("_at") + 1).alias("part"), "parts", F.concat_ws("\n\n", F.btrim("title"), markdown("headers", "_rows")).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators.lexical import top_k
 
-#: Queries that go to every task at once: with vectors of 1024 doubles 8 MB.
-BLOCK = 1024
+#: Queries that meet a block of the corpus at once, and rows of such a block: with vectors of 1024 doubles 8 MB and 64 MB.
+BLOCK, CORPUS_BLOCK, LEAST_BLOCKS = 1024, 8192, 8
 #: Buckets that a query looks at in each of the tables, of 256 with 8 planes.
 PROBES = 32
 
@@ -37,54 +39,47 @@ def nearest(corpus: DataFrame, query: list[float], k: int, key: str = "vec_id",
     return scored.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def _table_rows(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    held = column.combine_chunks()
+    held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+    return held.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+
+
+def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, equals in order of id."""
+    at = np.arange(len(ids)) if len(ids) <= 4 * k else np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+
+
+def block_join(corpus: DataFrame, queries: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, n_corpus: int, n_queries: int, key: str) -> DataFrame:
+    """run(block of corpus, group of queries) for all pairs of these: a block is shuffled once for each group of queries, a query once for each block.
+
+    The plan is the same whatever the number of queries; nothing goes through the driver.
+    """
+    blocks, groups = max(LEAST_BLOCKS, -(-n_corpus // CORPUS_BLOCK)), max(1, -(-n_queries // BLOCK))
+    left = corpus.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = queries.withColumn("_group", F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    right = right.select(*(F.col(c).alias(c if c not in ("_block", "_group") else f"{c}_q") for c in right.columns))
+
+    empty = pa.schema([(n, {"long": pa.int64(), "double": pa.float64()}[t]) for n, t in (f.split(" ") for f in schema.split(", "))]).empty_table()
+    return left.groupBy("_block", "_group").cogroup(right.groupBy("_block_q", "_group_q")).applyInArrow(lambda l, r: run(l, r) if l.num_rows and r.num_rows else empty, schema)
+
+
 def nearest_each(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "qid") -> DataFrame:
     """(qid, doc_id, score, rank) of the k rows most like each query vector.
 
-    Queries go to the tasks in blocks of BLOCK; each task multiplies them with its batches
-    and keeps k rows a query, so what is shuffled is k rows a query and task.
+    Groups of queries meet blocks of the corpus; each keeps k rows a query, so what is ranked is k rows a query and block.
     """
-    spark = corpus.sparkSession
-    asked = queries.select(F.col(query_key).cast("long").alias("qid"), vector).orderBy("qid").toLocalIterator()
-    parts: list[DataFrame] = []
-    block: list = []
-
-    def add(rows: list) -> None:
-        ids = np.array([r["qid"] for r in rows], dtype=np.int64)
-        matrix = np.array([r[vector] for r in rows], dtype=float)
-        shared = spark.sparkContext.broadcast((ids, _unit(matrix)))
-
-        def run(batches):
-            qids, unit = shared.value
-            best_s, best_d = np.full((len(qids), 0), 0.0), np.zeros((len(qids), 0), np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                own = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
-                scores = np.round(unit @ _unit(flat).T, 6) + 0.0
-                s = np.concatenate([best_s, scores], 1)
-                d = np.concatenate([best_d, np.broadcast_to(own, scores.shape)], 1)
-                order = np.lexsort((d, -s), axis=1)[:, :k]
-                best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(best_d.reshape(-1)), pa.array(best_s.reshape(-1))], ["qid", "doc_id", "score"])
-
-        rows_in = corpus.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector)
-        parts.append(rows_in.mapInArrow(run, "qid long, doc_id long, score double"))
-
-    for row in asked:
-        block.append(row)
-        if len(block) == BLOCK:
-            add(block)
-            block = []
-    if block:
-        add(block)
-    if not parts:
-        return top_k(spark.createDataFrame([], "qid long, doc_id long, score double"), k)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return top_k(out, k)
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(query_key).cast("long").alias("qid"), F.col(vector).alias("asked"))
+    held = corpus.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(vector).alias("held"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, qids = left.column("doc_id").to_numpy(), right.column("qid").to_numpy()
+        scores = np.round(_unit(_table_rows(right.column("asked"), len(qids))) @ _unit(_table_rows(left.column("held"), len(ids))).T, 6) + 0.0
+        at = [best_rows(s, ids, k) for s in scores]
+        return pa.table({"qid": np.repeat(qids, [len(a) for a in at]), "doc_id": ids[np.concatenate(at)], "score": np.concatenate([s[a] for s, a in zip(scores, at)])})
+
+    return top_k(block_join(held, asked, run, "qid long, doc_id long, score double", held.count(), asked.count(), "doc_id"), k)
 
 
 def _normals(planes: int, tables: int, dimension: int, seed: int) -> np.ndarray:
@@ -131,54 +126,26 @@ def probed(vectors: np.ndarray, normals: np.ndarray, probes: int) -> np.ndarray:
 def nearest_hashed(index: DataFrame, queries: DataFrame, k: int, probes: int = PROBES, planes: int = 8, tables: int = 8, dimension: int = 64, seed: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(qid, doc_id, score, rank) among the rows of index (from `hashed`) that lie in a probed bucket of some table.
 
-    Queries go to the tasks in blocks as in `nearest_each`; only rows in probed buckets are scored.
+    Queries meet blocks of the index as in `nearest_each`; only rows in probed buckets are scored. A vector of zeros scores 0.
     """
-    spark = index.sparkSession
     normals = _normals(planes, tables, dimension, seed)
-    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("qid"), vector).orderBy("qid").toLocalIterator()
-    parts: list[DataFrame] = []
-
-    def add(rows: list) -> None:
-        ids = np.array([r["qid"] for r in rows], dtype=np.int64)
-        matrix = np.array([r[vector] for r in rows], dtype=float)
-        unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((ids, unit, probed(unit, normals, probes)))
-
-        def run(batches):
-            qids, unit, wanted = shared.value
-            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(qids)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                flat = _rows(b.column(1), len(own))
-                flat /= np.linalg.norm(flat, axis=1, keepdims=True)
-                buckets = b.column(2).flatten().to_numpy().reshape(len(own), -1)
-                met = np.zeros((len(qids), len(own)), bool)
-                for t in range(buckets.shape[1]):
-                    met |= wanted[:, t][:, buckets[:, t]]
-                for q in np.flatnonzero(met.any(1)).tolist():
-                    at = np.flatnonzero(met[q])
-                    s = np.concatenate([best[q][0], np.round(flat[at] @ unit[q], 6) + 0.0])
-                    d = np.concatenate([best[q][1], own[at]])
-                    order = np.lexsort((d, -s))[:k]
-                    best[q] = s[order], d[order]
-            n = [len(d) for _, d in best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate([d for _, d in best])), pa.array(np.concatenate([s for s, _ in best]))], ["qid", "doc_id", "score"])
-
-        parts.append(index.select(key, vector, "buckets").mapInArrow(run, "qid long, doc_id long, score double"))
-
-    block: list = []
-    for row in asked:
-        block.append(row)
-        if len(block) == BLOCK:
-            add(block)
-            block = []
-    if block:
-        add(block)
-    if not parts:
-        return top_k(spark.createDataFrame([], "qid long, doc_id long, score double"), k)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return top_k(out, k)
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("qid"), F.col(vector).alias("asked"))
+    held = index.select(F.col(key).alias("doc_id"), F.col(vector).alias("held"), "buckets")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, qids = left.column("doc_id").to_numpy(), right.column("qid").to_numpy()
+        unit, rows = _unit(_table_rows(right.column("asked"), len(qids))), _unit(_table_rows(left.column("held"), len(ids)))
+        buckets = _table_rows(left.column("buckets"), len(ids)).astype(np.int64)
+        wanted = probed(unit, normals, probes)
+        met = np.zeros((len(qids), len(ids)), bool)
+        for t in range(buckets.shape[1]):
+            met |= wanted[:, t][:, buckets[:, t]]
+        found = []
+        for q in range(len(qids)):
+            at = np.flatnonzero(met[q])
+            s = np.round(rows[at] @ unit[q], 6) + 0.0
+            best = best_rows(s, ids[at], k) if len(at) else np.zeros(0, np.int64)
+            found.append((np.full(len(best), qids[q]), ids[at[best]], s[best]))
+        return pa.table({n: np.concatenate(c) for n, c in zip(("qid", "doc_id", "score"), zip(*found))})
+
+    return top_k(block_join(held, asked, run, "qid long, doc_id long, score double", held.count(), asked.count(), "doc_id"), k)

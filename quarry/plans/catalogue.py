@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import chunking, citations, evaluate, fusion, intent, layout, lexical, models, resolve, sampling, vector
+from quarry.operators import ann, chunking, citations, evaluate, fusion, intent, layout, lexical, merges, models, resolve, sampling, vector
 from quarry.operators import tables as T
 from quarry.plans import inputs as I
 from quarry.plans import retrieval
@@ -123,6 +124,27 @@ def merge_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.size("runs") > 0).select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.element_at("runs", 1).alias("first_run"))
 
 
+def merge_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text")
+    return merges.splits(merges.runs(docs), merges.vocabulary(docs))
+
+
+def json_text_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merges.json_texts(table(spark, sf_dir, "clicks").select("click_id", "props").distinct(), "props", "click_id", ("ver",))
+
+
+def json_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of letters in the strings of JSON documents made of whole texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("lang", F.struct(F.array("text", "source").alias("parts"), F.col("text").alias("image_path")).alias("body"))).alias("json"))
+    return merges.runs(merges.json_texts(docs, "json", "doc_id")).select("doc_id", "path", "run")
+
+
+def dense_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = ann.VectorIndex.build(vectors, f"{sinks.shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    return index.search(vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding"), 10)
+
+
 def chunk_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.parent_chunks(table(spark, sf_dir, "documents"))
 
@@ -248,12 +270,15 @@ def notice_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Service and notice chunks in one table, notices outside the skipped pages 10 to 20 of document 0."""
+    """Chunks of all kinds of several documents in one table, notices outside the skipped pages 10 to 20 of document 0."""
     services = I.rows(spark, sf_dir, I.SERVICES).withColumn("source_urls", F.array("url"))
     boxes = I.rows(spark, sf_dir, I.NOTICES).select("document", F.col("notice_id").alias("table_id"), F.lit(" | ").alias("title"), F.lit("unrecognized_table").alias("shape"), F.array(F.array("text")).alias("rows"), "page_start", F.col("page_start").alias("page_end"))
     skipped = spark.range(1).select(F.col("id").alias("document"), F.lit(10).alias("page_start"), F.lit(20).alias("page_end"))
-    found = chunking.together(chunking.service_chunks(services), chunking.notice_chunks(boxes, skipped, services))
-    return found.select("id", "text", "chunk_type", "category", "service_name", "page_start", "page_end", F.array_join("source_urls", " ").alias("urls"), F.col("kind_no").cast("bigint").alias("kind_no"))
+    concepts = services.filter("page_start < 10").withColumn("concept_group", F.concat("category", F.lit(" models")))
+    tables = I.rows(spark, sf_dir, I.PAGE_TABLES).select("document", "table_id", F.concat(F.lit("Compare AWS "), "title", F.lit(" services")).alias("title"), "page_start", "page_end", F.array(F.lit("Kind"), F.lit("Brand")).alias("headers"), F.array(F.array("c1", F.lit("x"))).alias("rows"))
+    drawn = services.select("document", F.col("category").alias("name"), F.array(F.struct(F.col("page_start").alias("page"), F.lit("p.png").alias("image_path"), F.concat(F.lit(" "), "description").alias("caption"))).alias("image_captions"))
+    found = chunking.together(chunking.service_chunks(services), chunking.concept_chunks(concepts), chunking.table_chunks(tables), chunking.notice_chunks(boxes, skipped, services), chunking.caption_chunks(drawn))
+    return found.select("document", "id", "text", "chunk_type", "category", "service_name", "concept_group", "page_start", "page_end", F.array_join("source_urls", " ").alias("urls"), F.col("kind_no").cast("bigint").alias("kind_no"))
 
 
 def verify_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +380,7 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = [
         bm25_topk, bm25_term_stats, dense_topk, dense_topk_batch, dense_hashed, hybrid_rrf, interleave_dedup, multi_query_union, fts_and_match,
-        category_scan, category_detect, query_intent, query_variations, clean_text_lines, text_scalars, header_metadata, nfkc_normalize, merge_suspects,
+        category_scan, category_detect, query_intent, query_variations, clean_text_lines, text_scalars, header_metadata, nfkc_normalize, merge_suspects, merge_splits, json_text_paths, json_runs, dense_quantised,
         chunk_parents, chunk_children, parent_resolution, sibling_expansion, table_continuation, table_row_groups, table_titles, asof_heading,
         running_matter, style_profile, heading_state, service_records, matter_ranges, link_overlap, outside_regions, record_lines, chunk_documents, parsing_report, uncovered_categories, judge_prompts, rerank_passed, image_routing, joined_spans,
         notice_context, catalog_chunks, verify_chunks, index_audit, gt_match, expected_backfill, service_match, retrieval_metrics, batch_scorecard,

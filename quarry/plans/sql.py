@@ -151,6 +151,9 @@ c AS (SELECT *, coalesce(h3, h2, 'General') AS category FROM h),
 s AS (SELECT *, CASE WHEN h4 IS NOT NULL THEN CASE WHEN h5 IS NOT NULL THEN h4 || ' > ' || h5 ELSE h4 END ELSE coalesce(h5, category) END AS service_name FROM c)
 SELECT event_id, category, service_name, coalesce(nullif(concat_ws(' > ', CASE WHEN category <> 'General' THEN category END, CASE WHEN service_name <> category THEN service_name END), ''), h2, 'Title', 'General') AS header_path FROM s""",
     "merge_suspects": r"""WITH r AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{12,}')) AS runs FROM documents) SELECT doc_id, len(runs) AS n_runs, runs[1] AS first_run FROM r WHERE len(runs) > 0""",
+    "json_text_paths": "SELECT DISTINCT click_id, t.fullkey AS path, t.atom ->> '$' AS text FROM (SELECT DISTINCT click_id, CASE WHEN json_valid(props) THEN props END AS props FROM clicks) c, json_tree(c.props) t WHERE t.type = 'VARCHAR' AND t.key IS DISTINCT FROM 'ver'",
+    "json_runs": """WITH r AS (SELECT doc_id, list_concat(regexp_extract_all(text, '[A-Za-z0-9]+')) AS w FROM documents), s AS (SELECT doc_id, unnest(w) AS run FROM r)
+SELECT doc_id, '$.body.parts[0]' AS path, run FROM s WHERE regexp_full_match(run, '[a-z]{12,}')""",
     "parent_resolution": f"""WITH c AS ({I.CHILDREN}), p AS ({I.PARENTS}), f AS (SELECT qid, parent_id, min(rank) AS rank FROM c GROUP BY ALL),
 m AS (SELECT f.qid, f.parent_id, f.rank, '--- CONTEXT BLOCK ---' || chr(10) || '[Category: ' || p.category || ']' || chr(10) || '[Service: ' || p.service_name || ']' || chr(10) || trim(p.text_content) || chr(10) || '--- END CONTEXT BLOCK ---' AS b FROM f JOIN p ON f.parent_id = p.doc_id)
 SELECT qid, count(*) AS n_parents, string_agg(b, chr(10) || chr(10) ORDER BY rank, parent_id) AS context FROM m GROUP BY qid""",
@@ -206,8 +209,11 @@ SELECT line_id, string_agg(CASE WHEN before IS NOT NULL AND NOT regexp_matches(b
     "notice_context": f"""WITH n AS ({I.NOTICES}), s AS ({I.SERVICES}), m AS (SELECT n.notice_id, count(*) AS c, any_value(s.category) AS category, any_value(s.name) AS service_name, any_value(s.url) AS url FROM n JOIN s ON n.document = s.document AND n.page_start BETWEEN s.page_start AND s.page_end AND contains(lower(n.text), lower(s.name)) GROUP BY n.notice_id HAVING count(*) = 1)
 SELECT n.notice_id, m.category, m.service_name, coalesce(m.url, '') AS urls FROM n LEFT JOIN m USING (notice_id)""",
     "catalog_chunks": f"""WITH n AS (SELECT * FROM ({I.NOTICES}) WHERE document <> 0 OR page_start NOT BETWEEN 10 AND 20), s AS ({I.SERVICES}), m AS (SELECT n.notice_id, any_value(s.category) AS category, any_value(s.name) AS service_name, any_value(s.url) AS url FROM n JOIN s ON n.document = s.document AND n.page_start BETWEEN s.page_start AND s.page_end AND contains(lower(n.text), lower(s.name)) GROUP BY n.notice_id HAVING count(*) = 1)
-SELECT 'service:' || trim(regexp_replace(lower(category), '[^a-z0-9]+', '-', 'g'), '-') || ':' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS id, name || chr(10) || chr(10) || description AS text, 'service' AS chunk_type, category, name AS service_name, page_start, page_end, url AS urls, 0 AS kind_no FROM s
-UNION ALL SELECT 'notice:p' || page_start::VARCHAR, text, 'notice', m.category, m.service_name, page_start, page_start, coalesce(m.url, ''), 3 FROM n LEFT JOIN m USING (notice_id)""",
+SELECT document::VARCHAR AS document, 'service:' || trim(regexp_replace(lower(category), '[^a-z0-9]+', '-', 'g'), '-') || ':' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS id, name || chr(10) || chr(10) || description AS text, 'service' AS chunk_type, category, name AS service_name, NULL AS concept_group, page_start, page_end, url AS urls, 0 AS kind_no FROM s
+UNION ALL SELECT document::VARCHAR, 'concept:' || trim(regexp_replace(lower(category || ' models'), '[^a-z0-9]+', '-', 'g'), '-') || ':' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), name || chr(10) || chr(10) || description, 'concept', NULL, NULL, category || ' models', page_start, page_end, url, 1 FROM s WHERE page_start < 10
+UNION ALL SELECT document::VARCHAR, 'table:' || trim(regexp_replace(lower('Compare AWS ' || title || ' services'), '[^a-z0-9]+', '-', 'g'), '-') || ':p' || page_start, 'Compare AWS ' || title || ' services' || chr(10) || chr(10) || '| Kind | Brand |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c1 || ' | x |', 'table', NULL, NULL, NULL, page_start, page_end, '', 2 FROM ({I.PAGE_TABLES})
+UNION ALL SELECT n.document::VARCHAR, 'notice:p' || page_start::VARCHAR, text, 'notice', m.category, m.service_name, NULL, page_start, page_start, coalesce(m.url, ''), 3 FROM n LEFT JOIN m USING (notice_id)
+UNION ALL SELECT document::VARCHAR, 'image-caption:' || trim(regexp_replace(lower(category), '[^a-z0-9]+', '-', 'g'), '-') || ':p' || page_start || ':part-1', description, 'image_caption', category, NULL, NULL, page_start, page_start, '', 4 FROM s""",
     "verify_chunks": f"""WITH c AS (SELECT *, CASE WHEN rank % 13 = 0 THEN ' ' ELSE answer END AS text FROM ({I.CHUNKS}))
 SELECT 'kind:' || chunk_type AS check, count(*) AS n FROM c GROUP BY chunk_type UNION ALL SELECT 'chunks', count(*) FROM c UNION ALL SELECT 'repeated_ids', count(*) - count(DISTINCT id) FROM c
 UNION ALL SELECT 'empty_texts', count(*) FILTER (trim(text) = '') FROM c UNION ALL SELECT 'backward_pages', count(*) FILTER (page_start > page_end) FROM c""".replace("AS check", 'AS "check"'),

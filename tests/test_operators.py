@@ -104,6 +104,25 @@ def test_catalog_chunk_ids(spark):
     assert {r["check"]: r["n"] for r in chunking.verified(chunks).collect()}["chunks"] == 5
 
 
+def test_documents_keep_their_chunks_apart(spark):
+    """Two documents with the same long service, concept, table, caption and notice: every id once in each."""
+    services = spark.createDataFrame([(d, "Web", "Amazon X", f"word{d} " * 30, 2, 3, ["u"]) for d in (1, 2)], "document int, category string, name string, description string, page_start int, page_end int, source_urls array<string>")
+    found = chunking.service_chunks(services, 5).collect()
+    assert len(found) == 14 and len({(r["document"], r["id"]) for r in found}) == 14 and len({r["id"] for r in found}) == 7
+    assert all(f"word{r['document']}" in r["text"] or r["text"] == "Amazon X" for r in found)
+    tables = spark.createDataFrame([(d, 1, "Compare AWS compute services", 5, 6, ["A"], [[f"x{d} y z"], ["z w v"]]) for d in (1, 2)], "document int, table_id int, title string, page_start int, page_end int, headers array<string>, rows array<array<string>>")
+    cut = chunking.table_chunks(tables, 13).collect()
+    assert len(cut) == 4 and all((f"x{r['document']}" in r["text"]) == r["id"].endswith("part-1") for r in cut)
+    captions = spark.createDataFrame([(d, "Web", [(7, "p.png", f"drawing {d}")]) for d in (1, 2)], "document int, name string, image_captions array<struct<page:int,image_path:string,caption:string>>")
+    chunks = chunking.together(chunking.service_chunks(services), chunking.table_chunks(tables), chunking.caption_chunks(captions))
+    assert chunking.require_unique(chunks).count() == 6
+    assert {r["check"]: r["n"] for r in chunking.verified(chunks).collect()}["repeated_ids"] == 0
+    children = chunking.children_of(chunks, 60, 0).collect()
+    assert len({(r["document"], r["id"]) for r in children}) == len(children) and {r["document"] for r in children} == {"1", "2"}
+    for r in children:
+        assert r["chunk_type"] != "service" or f"word{r['document']}" in r["text"] or r["text"] == "Amazon X"
+
+
 def test_table_parts_repeat_their_header(spark):
     tables = spark.createDataFrame([(1, "T", ["A"], [[f"w{i} w w w"] for i in range(9)])], "table_id int, title string, headers array<string>, rows array<array<string>>")
     parts = [r["text"] for r in T.table_parts(tables, 24).orderBy("part").collect()]
