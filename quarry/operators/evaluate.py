@@ -102,12 +102,52 @@ def expected_filled(questions: DataFrame, known: DataFrame) -> DataFrame:
     return both.withColumn("expected_parent_ids", F.when(missing, F.coalesce("known_ids", "expected_parent_ids")).otherwise(F.col("expected_parent_ids"))).drop("known_question", "known_ids")
 
 
+#: Letters of a gram that leads from a text to those that hold it, and from how many on an input counts as part of one.
+GRAM = 8
+
+
+def _grams(c: Column, n: Column | int) -> Column:
+    """The different stretches of n letters of c; none where it is shorter."""
+    places = F.sequence(F.lit(1), F.length(c) - n + 1)
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(places, lambda p: F.substring(c, p, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def _contained(i: DataFrame, t: DataFrame) -> DataFrame:
+    """(input_id, no) where one of inp and q holds the other, for inputs of GRAM letters or more; of equal questions the first."""
+    i = i.select("input_id", "inp").filter(F.length("inp") >= GRAM)
+    t = t.groupBy("q").agg(F.min("no").alias("no"))
+    holds = i.withColumn("gram", F.substring("inp", 1, GRAM)).join(t.select("no", "q", F.explode(_grams(F.col("q"), GRAM)).alias("gram")), "gram")
+    # A question's first letters lead to the inputs that hold it; a short one is its own gram.
+    lead = t.withColumn("gram", F.substring("q", 1, GRAM))
+    own = F.array_distinct(F.flatten(F.array(*(_grams(F.col("inp"), n) for n in range(1, GRAM + 1)), F.array(F.lit("")))))
+    held = i.withColumn("gram", F.explode(own)).join(lead, "gram")
+    both = holds.filter(F.col("q").contains(F.col("inp"))).select("input_id", "no").unionAll(held.filter(F.col("inp").contains(F.col("q"))).select("input_id", "no"))
+    return both.distinct()
+
+
+def _sharing(i: DataFrame, t: DataFrame, least: float = 0.65) -> DataFrame:
+    """(input_id, no, iw, qw) of all that share more than `least` of the input's words, and of some that do not: those that share one of its rarest words.
+
+    Of m words more than least * m are shared, so one of the m - floor(least * m) rarest is.
+    """
+    held = t.select("no", "qw", F.explode("qw").alias("word"))
+    known = held.groupBy("word").agg(F.count("*").alias("df"))
+    mine = i.select("input_id", F.explode("iw").alias("word")).join(known, "word", "left")
+    order = Window.partitionBy("input_id").orderBy(F.coalesce("df", F.lit(0)), "word")
+    m = F.count("*").over(Window.partitionBy("input_id"))
+    rarest = mine.withColumn("place", F.row_number().over(order)).withColumn("m", m).filter(F.col("place") <= F.col("m") - F.floor(F.col("m") * least)).filter("df IS NOT NULL")
+    pairs = rarest.select("input_id", "word").join(held.select("no", "word"), "word").select("input_id", "no").distinct()
+    return pairs.join(i.select("input_id", "iw"), "input_id").join(t.select("no", "qw"), "no")
+
+
 def matched_questions(inputs: DataFrame, truths: DataFrame) -> DataFrame:
     """(input_id, matched_no, how) of each input (input_id, input): its question among truths (no, question_id, question), or null.
 
     In turn: the same id (but for zeros after the q), the same text, text within text (from 8 characters on), and
     more than 0.65 of the input's words, most words first; equals go to the first.
-    The questions are a fixed, small ground truth, checked by Spark before it is sent to all tasks.
+
+    Every way is an equi join, whatever the number of questions: text within text through an index of letter grams, words
+    through the rarest words of an input, of which a question that shares enough holds one.
     """
     i = inputs.select("input_id", F.lower(F.btrim("input")).alias("inp")).filter("inp <> ''")
     t = truths.select("no", F.lower(F.btrim("question_id")).alias("qid"), F.lower(F.btrim("question")).alias("q"))
@@ -118,12 +158,9 @@ def matched_questions(inputs: DataFrame, truths: DataFrame) -> DataFrame:
     same_id = i.join(t, F.col("inp") == F.col("qid")).unionAll(i.join(t, F.col("num") == F.col("qnum")))
     by_id = same_id.select("input_id", "no", F.lit(1).alias("how"), F.lit(0.0).alias("lack"))
     by_text = i.join(t, F.col("inp") == F.col("q")).select("input_id", "no", F.lit(2).alias("how"), F.lit(0.0).alias("lack"))
-    inside = (F.length("inp") >= 8) & (F.col("q").contains(F.col("inp")) | F.col("inp").contains(F.col("q")))
-    by_part = i.join(t, inside).select("input_id", "no", F.lit(3).alias("how"), F.lit(0.0).alias("lack"))
-    mine = i.select("input_id", "inp", F.size("iw").alias("size"), F.explode("iw").alias("word"))
-    theirs = t.select("no", "q", F.explode("qw").alias("word"))
-    common = mine.join(theirs, "word").groupBy("input_id", "inp", "no", "q", "size").agg(F.count_distinct("word").alias("n"))
-    by_words = common.withColumn("share", F.col("n") / F.col("size")).filter("share > 0.65").select("input_id", "no", F.lit(4).alias("how"), (1 - F.col("share")).alias("lack"))
+    by_part = _contained(i, t).select("input_id", "no", F.lit(3).alias("how"), F.lit(0.0).alias("lack"))
+    common = _sharing(i, t).withColumn("share", F.size(F.array_intersect("iw", "qw")) / F.size("iw"))
+    by_words = common.filter("share > 0.65").select("input_id", "no", F.lit(4).alias("how"), (1 - F.col("share")).alias("lack"))
     found = by_id.unionAll(by_text).unionAll(by_part).unionAll(by_words)
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("input_id").orderBy("how", "lack", "no"))).filter("n = 1")
     return inputs.select("input_id").join(best.select("input_id", F.col("no").alias("matched_no"), "how"), "input_id", "left")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import scan
+from quarry.sources.sinks import stored
+
 # Lines of the upper margin, categories that hold concepts, least image side.
 PUBLICATION_LINES = ["overview of amazon web services", "aws whitepaper"]
 CONCEPT_GROUPS = ["Deployment models", "Security"]
@@ -75,6 +78,29 @@ def heading_state(lines: DataFrame, category_size: float, service_size: float, d
     return numbered.withColumn("kind", kind)
 
 
+def heading_state_of_long(lines: DataFrame, category_size: float, service_size: float, document: str = "document", order: str = "line_id", partitions: int | None = None) -> DataFrame:
+    """`heading_state` for documents of any length: a document's lines may lie in many tasks. Documents may not be null.
+
+    Categories are counted and carried over pieces; a category's services likewise, by its number.
+    """
+    is_category, is_service = matches_style(category_size), matches_style(service_size)
+    cut = scan.pieces(lines, [document], [order], partitions)
+    numbered = scan.running(cut, [document], [order], {"category_no": is_category.cast("long")}, {"category": F.when(is_category, F.col("text"))})
+    service = F.when((F.col("category_no") > 0) & ~is_category & is_service, F.col("text"))
+    numbered = scan.running(stored(numbered, "numbered"), [document, "category_no"], [order], {}, {"service": service})
+    kind = F.when(is_category, "category").when(F.col("category_no") == 0, "none").when(is_service, "service").when(F.col("service").isNotNull(), "body").otherwise("none")
+    return numbered.withColumn("kind", kind).drop("piece")
+
+
+def nearest_heading_of_long(images: DataFrame, headings: DataFrame, document: str = "document", partitions: int | None = None) -> DataFrame:
+    """`nearest_heading` for documents of any length: headings and images of one may lie in many tasks. Documents may not be null."""
+    rows = headings.select(document, "page", "y", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("image_id"), "category")
+    rows = rows.unionByName(images.select(document, "page", "y", F.lit(1).alias("kind"), F.col("image_id").cast("long"), F.lit(None).cast("string").alias("category")))
+    rows, order = rows.withColumnRenamed("category", "heading"), ["page", "y", "kind", F.coalesce("heading", F.lit(""))]
+    found = scan.running(scan.pieces(rows, [document], order, partitions), [document], order, {}, {"category": F.col("heading")})
+    return found.filter("kind = 1").select(document, "image_id", "page", "y", "category")
+
+
 def service_records(state: DataFrame, document: str = "document", order: str = "line_id") -> DataFrame:
     """(document, category, name, description, page_start, page_end) of the services that have a description."""
     by = Window.partitionBy(document, "category_no").orderBy(order)

@@ -199,6 +199,23 @@ def heading_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.heading_state(I.rows(spark, sf_dir, I.LINES), 18.0, 12.0).select("line_id", "kind", "category", "service")
 
 
+def _one_document(rows: DataFrame) -> DataFrame:
+    """rows of all documents as those of one, page after page."""
+    return rows.withColumn("page", F.col("page") + 10 * F.col("document")).withColumn("document", F.lit(0).cast("long"))
+
+
+def heading_state_one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """heading_state where one document holds every line."""
+    found = layout.heading_state_of_long(_one_document(I.rows(spark, sf_dir, I.LINES)), 18.0, 12.0)
+    return found.select("line_id", "kind", "category", "service")
+
+
+def asof_heading_one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _one_document(I.rows(spark, sf_dir, I.LINES))
+    headings = lines.filter("size = 12").select("document", "page", F.col("y0").alias("y"), F.col("text").alias("category"))
+    return layout.nearest_heading_of_long(_one_document(I.rows(spark, sf_dir, I.IMAGES)), headings).select("image_id", "page", "category")
+
+
 def service_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = layout.heading_state(I.rows(spark, sf_dir, I.LINES), 18.0, 12.0)
     found = layout.concepts_and_services(layout.service_records(state), ["Category click"])
@@ -382,7 +399,7 @@ def queries() -> dict[str, Query]:
         bm25_topk, bm25_term_stats, dense_topk, dense_topk_batch, dense_hashed, hybrid_rrf, interleave_dedup, multi_query_union, fts_and_match,
         category_scan, category_detect, query_intent, query_variations, clean_text_lines, text_scalars, header_metadata, nfkc_normalize, merge_suspects, merge_splits, json_text_paths, json_runs, dense_quantised,
         chunk_parents, chunk_children, parent_resolution, sibling_expansion, table_continuation, table_row_groups, table_titles, asof_heading,
-        running_matter, style_profile, heading_state, service_records, matter_ranges, link_overlap, outside_regions, record_lines, chunk_documents, parsing_report, uncovered_categories, judge_prompts, rerank_passed, image_routing, joined_spans,
+        running_matter, style_profile, heading_state, heading_state_one_document, asof_heading_one_document, service_records, matter_ranges, link_overlap, outside_regions, record_lines, chunk_documents, parsing_report, uncovered_categories, judge_prompts, rerank_passed, image_routing, joined_spans,
         notice_context, catalog_chunks, verify_chunks, index_audit, gt_match, expected_backfill, service_match, retrieval_metrics, batch_scorecard,
         query_verdicts, judge_parse, citation_labels, citation_extract, event_windows, event_sessions,
         seeded_sample, response_text, sources_line, image_captions, rerank_overlap,

@@ -35,6 +35,8 @@ scored AS (SELECT qid, doc_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.
 sparse AS (SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {k})"""
 
 
+_ONE = "SELECT * REPLACE (0::BIGINT AS document, page + 10 * document AS page) FROM ({}) AS one"
+
 _DENSE = """
 dense AS (SELECT * FROM (SELECT q.vec_id AS qid, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
@@ -120,9 +122,9 @@ def _prompt(metric: str) -> str:
 
 SQL = {
     "bm25_topk": f"WITH {_bm25(10)} SELECT qid, doc_id, score, rank FROM sparse",
-    "bm25_term_stats": f"""WITH tok AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents), size AS MATERIALIZED (SELECT count(*) AS n FROM documents),
-raw AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n FROM size) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS w FROM tok GROUP BY term), low AS MATERIALIZED (SELECT 0.25::DOUBLE * avg(w) AS w FROM raw)
-SELECT term, df, round(CASE WHEN raw.w < 0 THEN low.w ELSE raw.w END, 6) AS idf FROM raw, low""",
+    "bm25_term_stats": f"""WITH tok AS (SELECT unnest(list_distinct({TOKENS.format('text')})) AS term FROM documents), held AS (SELECT term, count(*) AS df FROM tok GROUP BY term),
+raw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS w FROM held CROSS JOIN (SELECT count(*) AS n FROM documents))
+SELECT term, df, round(CASE WHEN w < 0 THEN 0.25::DOUBLE * avg(w) OVER () ELSE w END, 6) AS idf FROM raw""",
     "dense_topk": f"WITH {_DENSE.format('q.vec_id = 0')} SELECT doc_id, score FROM dense",
     "dense_topk_batch": f"WITH {_DENSE.format('q.vec_id % 100 = 0')} SELECT qid, doc_id, score, rank FROM dense",
     "hybrid_rrf": f"""{_ARMS}, both_ AS (SELECT coalesce(d.qid, s.qid) AS qid, coalesce(d.doc_id, s.doc_id) AS doc_id, d.rank AS dense_rank, s.rank AS sparse_rank
@@ -184,6 +186,9 @@ r AS (SELECT low.line_id, n.number_id, (NOT low.num AND length(low.text) <= 120)
 SELECT line_id, ((y1 <= 792 * 0.05 AND lower(text) IN ('overview of amazon web services', 'aws whitepaper')) OR line_id IN (SELECT line_id FROM r WHERE number_id IN (SELECT number_id FROM t))) AS is_running FROM l""",
     "style_profile": f"""WITH c AS (SELECT round_even(size, 1) AS size, count(*) AS n FROM ({I.LINES}) WHERE bold AND length(text) BETWEEN 1 AND 120 GROUP BY ALL), r AS (SELECT * FROM c WHERE n >= 3 AND size >= 10), s AS (SELECT size FROM r ORDER BY n DESC, size LIMIT 1)
 SELECT (SELECT min(size) FROM r WHERE size > (SELECT size FROM s) AND size >= 16) AS category_size, (SELECT size FROM s) AS service_size, 0.35::DOUBLE AS tolerance""",
+    "heading_state_one_document": f"WITH {_STATE.replace(I.LINES, _ONE.format(I.LINES))} SELECT line_id, kind, category, service FROM kinds",
+    "asof_heading_one_document": f"""WITH h AS (SELECT document, page * 10000 + y0 AS at, text AS category FROM ({_ONE.format(I.LINES)}) WHERE size = 12), i AS (SELECT document, image_id, page, page * 10000 + y AS at FROM ({_ONE.format(I.IMAGES)}))
+SELECT i.image_id, i.page, h.category FROM i ASOF LEFT JOIN h ON i.document = h.document AND i.at >= h.at""",
     "heading_state": f"WITH {_STATE} SELECT line_id, kind, category, service FROM kinds",
     "service_records": f"""WITH {_STATE}, n AS (SELECT *, sum((kind = 'service')::INT) OVER (PARTITION BY document, category_no ORDER BY line_id) AS service_no FROM kinds WHERE kind IN ('service', 'body')),
 g AS (SELECT document, category_no, service_no, any_value(category) AS category, any_value(service) AS name, min(page) AS page_start, max(page) AS page_end, trim(coalesce(string_agg(text, chr(10) ORDER BY line_id) FILTER (kind = 'body'), '')) AS description FROM n GROUP BY ALL)

@@ -404,3 +404,59 @@ def test_hashed_recall_against_brute_force(spark, sf):
     print(sf, "recall@10", len(mine & true) / len(true), "without the query's row", len(mine & others) / len(others))
     assert len(mine & true) >= 0.9 * len(true) and len(mine & others) >= 0.9 * len(others)
     assert len(found) == len(true)
+
+
+def test_one_document_in_several_tasks(spark):
+    """Folds over one document with all rows agree with windows over it, however it is cut."""
+    from quarry.operators import scan
+    from quarry.plans import inputs
+
+    lines = catalogue._one_document(inputs.rows(spark, "/root/testdata/sf0.001", inputs.LINES))
+    assert scan.pieces(lines, ["document"], ["line_id"], 7).select("piece").distinct().count() == 7
+    columns = ["line_id", "kind", "category", "service", "category_no"]
+    want = sorted(tuple(r) for r in layout.heading_state(lines, 18.0, 12.0).select(*columns).collect())
+    assert sorted(tuple(r) for r in layout.heading_state_of_long(lines, 18.0, 12.0, partitions=7).select(*columns).collect()) == want
+    headings = lines.filter("size = 12").select("document", "page", F.col("y0").alias("y"), F.col("text").alias("category"))
+    images = catalogue._one_document(inputs.rows(spark, "/root/testdata/sf0.001", inputs.IMAGES))
+    want = sorted(map(str, layout.nearest_heading(images, headings).collect()))
+    assert sorted(map(str, layout.nearest_heading_of_long(images, headings, partitions=7).collect())) == want
+
+
+def test_question_match_is_that_of_all_pairs(spark):
+    """Each way against all pairs, and no nested loop whatever Spark may broadcast."""
+    import random
+    import re
+
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(25)] + ["the"] * 6
+    truths = [(i, f"Q{i:02}", " ".join(draw.choice(words) for _ in range(draw.randint(1, 14)))) for i in range(60)] + [(60, "q60", ""), (61, "q61", "the w1"), (62, "q62", "w1")]
+    asked = [(i, draw.choice([lambda: " ".join(draw.choice(words) for _ in range(draw.randint(1, 12))), lambda: draw.choice(truths)[2], lambda: draw.choice(truths)[2][2:30], lambda: "x " + draw.choice(truths)[2] + " y", lambda: f"q{draw.randrange(70)}"])()) for i in range(250)]
+    token = lambda t: set(re.findall(r"\w+", t))
+
+    def best(text):
+        inp = text.lower().strip()
+        found = []
+        for no, qid, q in truths:
+            qid, q = qid.lower(), q.lower().strip()
+            a, b = re.fullmatch(r"q0*(\d+)", inp), re.fullmatch(r"q0*(\d+)", qid)
+            if inp == qid or a and b and a[1] == b[1]:
+                found.append((1, 0.0, no))
+            if inp == q:
+                found.append((2, 0.0, no))
+            if len(inp) >= 8 and (inp in q or q in inp):
+                found.append((3, 0.0, no))
+            share = len(token(inp) & token(q)) / max(len(token(inp)), 1)
+            if share > 0.65:
+                found.append((4, 1 - share, no))
+        how, _, no = min(found, default=(None, None, None)) if inp else (None, None, None)
+        return no, how
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = evaluate.matched_questions(spark.createDataFrame(asked, "input_id int, input string"), spark.createDataFrame(truths, "no int, question_id string, question string"))
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r["input_id"]: (r["matched_no"], r["how"]) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: best(t) for i, t in asked}
+    assert {how for _, how in got.values()} == {None, 1, 2, 3, 4}
