@@ -17,9 +17,10 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from quarry.config import Config, load_config
-from quarry.operators import evaluate, models
+from quarry.operators import evaluate, models, trained
 from quarry.plans import retrieval
 from quarry.session import session
 from quarry.sources import readers, sinks
@@ -29,11 +30,22 @@ from quarry.sources.segments import Index
 def build(spark: SparkSession, documents: str, index: str, config: Config = Config(), add: bool = False) -> int:
     """Makes the index of the documents (doc_id, text), or with add puts them to those it has: parents, embedded children, postings; returns the number of live children."""
     with sinks.scratch(spark):
-        parents, children = retrieval.build(spark.read.parquet(documents), models.HashingEmbedder(config.embedding_size), config)
-        own = Index.opened_or_empty(spark, index)
+        own, docs = Index.opened_or_empty(spark, index), spark.read.parquet(documents)
+        if not add or not own.version.segments:
+            # Trained on what the index is made of; what is added later is embedded alike.
+            trained.train(docs, size=config.embedding_size).save(spark, f"{index}/embedder")
+        parents, children = retrieval.build(docs, embedder(spark, index, config), config)
         return (own.add if add else own.replace)(parents, children).version.n
 
 
+def embedder(spark: SparkSession, index: str, config: Config = Config()) -> models.Embedder:
+    """The index's own trained embedder; hashed words for an index that has none, as one that a stream began."""
+    try:
+        return trained.SvdEmbedder.load(spark, f"{index}/embedder")
+    except AnalysisException:
+        return models.HashingEmbedder(config.embedding_size)
+
+
 def delete(spark: SparkSession, index: str, documents: list[str]) -> int:
     """Takes documents (by doc_id) out of the index; returns the number of live children."""
     rows = spark.createDataFrame([(d,) for d in documents], "source string")
@@ -43,7 +55,7 @@ def delete(spark: SparkSession, index: str, documents: list[str]) -> int:
 def opened(spark: SparkSession, index: str, config: Config = Config(), sparse: str = "bm25") -> retrieval.Retriever:
     """A retriever over one version of the stored index; nothing is indexed again."""
     own = Index.opened(spark, index)
-    return retrieval.Retriever(own.parents(), own.children(), models.HashingEmbedder(config.embedding_size), config, index=own.bm25() if sparse == "bm25" else own.fulltext(), sparse=sparse)
+    return retrieval.Retriever(own.parents(), own.children(), embedder(spark, index, config), config, index=own.bm25() if sparse == "bm25" else own.fulltext(), sparse=sparse)
 
 
 def ask(retriever: retrieval.Retriever, questions: list[str]) -> list[str]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import Config
 from quarry.functions.text import approx_tokens
-from quarry.operators import chunking, citations, evaluate, fusion, intent, lexical, models, resolve, vector
+from quarry.operators import chunking, citations, evaluate, fusion, intent, lexical, models, resolve, trained, vector
 from quarry.sources.readers import table
 from quarry.sources.sinks import stored
 
@@ -71,7 +71,7 @@ class Retriever:
         rows = rows.select("qid", F.transform("retrieved_chunks", lambda x: x["id"]).alias("chunks_used"), "retrieved_chunks", F.transform("t", lambda x: x["text_content"]).alias("contexts"))
         asked = questions.join(resolve.context(found), "qid")
         if self.generator is None:
-            first = chunk.filter("rank = 1").select("qid", models.first_sentence(F.col("text_content"), F.col("label")).alias("answer"), F.lit(None).cast("string").alias("failure"))
+            first = trained.extracted(chunk.join(questions.select("qid", "question"), "qid")).withColumn("failure", F.lit(None).cast("string"))
         else:
             first = models.generated(asked.select("qid", "question", "context"), self.generator).select("qid", "answer", "failure")
         first = stored(first.withColumn("answer", citations.answer_text(F.col("answer"))), "answers")
