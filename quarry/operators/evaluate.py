@@ -102,6 +102,17 @@ def expected_filled(questions: DataFrame, known: DataFrame) -> DataFrame:
     return both.withColumn("expected_parent_ids", F.when(missing, F.coalesce("known_ids", "expected_parent_ids")).otherwise(F.col("expected_parent_ids"))).drop("known_question", "known_ids")
 
 
+def single_card_text(metrics: DataFrame) -> DataFrame:
+    """(qid, card): each question's own scorecard as text, from `six_metrics`: rank of the first hit, scores with their reasons, verdict."""
+    notes = {
+        "mrr": F.when(F.col("first_rank").isNull(), "nothing relevant found").otherwise(F.concat(F.lit("first relevant at rank "), "first_rank")),
+        "ndcg_at_5": F.when(F.col("first_rank") <= 5, "within the first five").otherwise("not within the first five"),
+    } | {m: F.coalesce(f"{m}_reason", F.lit("not judged")) for m in METRICS[2:]}
+    lines = [F.concat(F.rpad(F.lit(m), 22, " "), F.lit(": "), F.when(F.col(m).isNull(), "-").otherwise(F.format_string("%.2f", m)), F.lit(" ("), F.coalesce(notes[m].cast("string"), F.lit("")), F.lit(")")) for m in METRICS]
+    parts = [F.lit("Retrieval"), *lines[:4], F.lit("Generation"), *lines[4:], F.concat(F.lit("verdict: "), "verdict")]
+    return metrics.select("qid", F.concat_ws("\n", F.concat(F.lit("question: "), F.col("question")), *parts).alias("card"))
+
+
 #: Letters of a gram that leads from a text to those that hold it, and from how many on an input counts as part of one.
 GRAM = 8
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import time
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -10,9 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from quarry.functions.text import plain_text, tokens
 from quarry.operators.citations import REFUSAL
+from quarry.sources.sinks import stored
 
 #: Fixed value: what some embedding models want before a question.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
@@ -173,17 +177,56 @@ def judge_replies(prompts: DataFrame, judge: Judge) -> DataFrame:
     return prompts.withColumn("reply", run("prompt"))
 
 
-def generated(rows: DataFrame, generator: Generator, question: str = "question", context: str = "context") -> DataFrame:
-    """rows with answer and failure: a question whose call fails has no answer and does not stop the others."""
+def generated(rows: DataFrame, generator: Generator, question: str = "question", context: str = "context", tries: int = 1, wait: float = 1.0) -> DataFrame:
+    """rows with answer, failure, seconds, attempts and tokens_used: a question whose call fails `tries` times has no answer and does not stop the others.
 
-    @F.pandas_udf("struct<answer:string,failure:string>")
+    Between tries it waits, twice as long each time. tokens_used is about what went in and came out, four letters a token.
+    """
+
+    @F.pandas_udf("struct<answer:string,failure:string,seconds:double,attempts:int,tokens_used:long>")
     def run(q: pd.Series, c: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(q, c):
-            try:
-                out.append((plain_text(generator.answer(x, y or "")), None))
-            except Exception as e:  # noqa: BLE001 - whatever a model raises concerns its question alone
-                out.append((None, f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["answer", "failure"])
-
-    return rows.withColumn("g", run(F.col(question), F.col(context))).select(*rows.columns, "g.answer", "g.failure")
+            began, answer, failure = time.monotonic(), None, None
+            for n in range(1, tries + 1):
+                try:
+                    answer, failure = plain_text(generator.answer(x, y or "")), None
+                    break
+                except Exception as e:  # noqa: BLE001 - whatever a model raises concerns its question alone
+                    failure = f"{type(e).__name__}: {e}"
+                    if n < tries:
+                        time.sleep(wait * 2 ** (n - 1))
+            size = len(x or "") + len(y or "") + len(answer or "")
+            out.append((answer, failure, time.monotonic() - began, n, size // 4))
+        return pd.DataFrame(out, columns=["answer", "failure", "seconds", "attempts", "tokens_used"])
+
+    made = rows.withColumn("g", run(F.col(question), F.col(context)))
+    return made.select(*rows.columns, "g.answer", "g.failure", "g.seconds", "g.attempts", "g.tokens_used")
+
+
+def caption_job(images: DataFrame, captioner: Captioner, path: str, key: str = "image_id", batches: int = 16) -> DataFrame:
+    """Captions the images that path has no caption of yet, batch by batch; (status, n): known before, captioned, failed, left without a caption.
+
+    A batch counts once it is written, so a run that stops is taken up where it stopped. Failures are written beside, with their reason, and tried again by the next run.
+    """
+    spark = images.sparkSession
+
+    def done() -> DataFrame:
+        try:
+            return spark.read.parquet(f"{path}/captions").select(key)
+        except AnalysisException:
+            return images.select(key).limit(0)
+
+    before, failed = done().count(), 0
+    name = uuid.uuid4().hex
+    for n in range(batches):
+        todo = images.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == n).join(done(), key, "left_anti")
+        if not todo.limit(1).count():
+            continue
+        # Written before it is split, so that no image is asked about twice.
+        found = stored(captioned(todo, captioner).select(key, "caption", "failure"), "captioned")
+        found.filter("failure IS NOT NULL").write.mode("append").parquet(f"{path}/failures/run={name}")
+        found.filter("failure IS NULL").select(key, "caption").write.mode("append").parquet(f"{path}/captions")
+        failed += found.filter("failure IS NOT NULL").count()
+    after = done().count()
+    return spark.createDataFrame([("known", before), ("captioned", after - before), ("failed", failed), ("left", images.count() - after)], "status string, n long")

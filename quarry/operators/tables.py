@@ -54,6 +54,27 @@ def continued(tables: DataFrame, document: str = "document", order: str = "table
         first["headers"].alias("headers"), F.flatten(F.transform("p", lambda x: x["rows"])).alias("rows"), F.size("p").alias("parts"))
 
 
+def extracted(found: DataFrame, document: str = "document") -> DataFrame:
+    """found (document, page, headers, rows, error) as tables: with cleaned headers, body rows and shape.
+
+    Where no header was found the first row is the header. Rows of a page that could not be read (error not null) are no tables; `extraction_report` has them.
+    """
+    clean = lambda cells: F.transform(cells, lambda c: F.btrim(F.coalesce(c, F.lit(""))))
+    rows = F.transform(F.coalesce("rows", F.array().cast("array<array<string>>")), clean)
+    held = found.filter("error IS NULL").withColumn("_rows", rows).withColumn("_head", clean(F.coalesce("headers", F.array().cast("array<string>"))))
+    lacks = (F.size("_head") == 0) & (F.size("_rows") > 0)
+    held = held.withColumn("headers", F.when(lacks, F.get("_rows", F.lit(0))).otherwise(F.col("_head")))
+    held = held.withColumn("rows", F.when(lacks, F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(1)))).otherwise(F.col("_rows")))
+    return held.withColumn("rows", body_rows("rows", "headers")).withColumn("shape", shape("headers")).drop("_rows", "_head", "error")
+
+
+def extraction_report(found: DataFrame, document: str = "document") -> DataFrame:
+    """(document, page, headers, reason): pages that could not be read, and tables whose header is not the expected one."""
+    failed = found.filter("error IS NOT NULL").select(document, "page", F.lit(None).cast("array<string>").alias("headers"), F.concat(F.lit("tables not read: "), "error").alias("reason"))
+    other = extracted(found, document).filter("shape = 'unrecognized_table'").select(document, "page", "headers", F.lit("unexpected header").alias("reason"))
+    return failed.unionByName(other)
+
+
 def nearest_title(tables: DataFrame, lines: DataFrame, document: str = "document") -> DataFrame:
     """tables (document, table_id, page, y0, headers) with title: the nearest line above with `compare` in it, else the headers joined by ` | `."""
     above = lines.filter(F.lower("text").contains("compare")).select(F.col(document).alias("l_document"), F.col("page").alias("l_page"), F.col("y1").alias("l_y1"), F.col("text").alias("l_text"))

@@ -172,6 +172,23 @@ def table_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("document", "table_id", "page_start", "page_end", F.col("parts").cast("bigint").alias("parts"), F.size(body).cast("bigint").alias("n_rows"), T.shape("headers").alias("shape"), T.markdown(F.col("headers"), body).alias("markdown"))
 
 
+def _found_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables as a page reader gives them: some without a header, some pages that could not be read."""
+    rows = I.rows(spark, sf_dir, I.PAGE_TABLES)
+    headers = F.when(F.col("table_id") % 4 > 0, F.array(F.concat(F.lit(" "), "h1"), "h2"))
+    return rows.select("document", "table_id", F.col("page_start").alias("page"), headers.alias("headers"), F.array(F.array("h1", "h2"), F.array("c1", "c2"), F.array(F.upper("h1"), "h2"), F.array(F.lit(" "), F.lit(None))).alias("rows"), F.when(F.col("table_id") % 11 == 0, F.lit("broken")).alias("error"))
+
+
+def extract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.extracted(_found_tables(spark, sf_dir))
+    return found.select("table_id", "page", F.array_join("headers", "|").alias("headers"), F.size("rows").cast("bigint").alias("n_rows"), "shape")
+
+
+def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.extraction_report(_found_tables(spark, sf_dir))
+    return found.select("document", "page", F.array_join("headers", "|").alias("headers"), "reason")
+
+
 def table_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.row_groups(I.rows(spark, sf_dir, I.ROWS), 60).select("table_id", "row_no", "size", "group_no")
 
@@ -398,7 +415,7 @@ def queries() -> dict[str, Query]:
     found = [
         bm25_topk, bm25_term_stats, dense_topk, dense_topk_batch, dense_hashed, hybrid_rrf, interleave_dedup, multi_query_union, fts_and_match,
         category_scan, category_detect, query_intent, query_variations, clean_text_lines, text_scalars, header_metadata, nfkc_normalize, merge_suspects, merge_splits, json_text_paths, json_runs, dense_quantised,
-        chunk_parents, chunk_children, parent_resolution, sibling_expansion, table_continuation, table_row_groups, table_titles, asof_heading,
+        chunk_parents, chunk_children, parent_resolution, sibling_expansion, table_continuation, extract_tables, extraction_report, table_row_groups, table_titles, asof_heading,
         running_matter, style_profile, heading_state, heading_state_one_document, asof_heading_one_document, service_records, matter_ranges, link_overlap, outside_regions, record_lines, chunk_documents, parsing_report, uncovered_categories, judge_prompts, rerank_passed, image_routing, joined_spans,
         notice_context, catalog_chunks, verify_chunks, index_audit, gt_match, expected_backfill, service_match, retrieval_metrics, batch_scorecard,
         query_verdicts, judge_parse, citation_labels, citation_extract, event_windows, event_sessions,

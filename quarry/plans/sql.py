@@ -35,6 +35,9 @@ scored AS (SELECT qid, doc_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.
 sparse AS (SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {k})"""
 
 
+_FOUND_TABLES = f"""x AS (SELECT document, table_id, page_start AS page, table_id % 11 = 0 AS failed, trim(h1) || '|' || trim(h2) AS headers, 1 AS n_rows,
+  CASE WHEN lower(trim(h1)) = 'category' AND regexp_replace(lower(trim(h2)), '\\s+', ' ', 'g') = 'aws service' THEN 'category_aws_service' ELSE 'unrecognized_table' END AS shape FROM ({I.PAGE_TABLES}))"""
+
 _ONE = "SELECT * REPLACE (0::BIGINT AS document, page + 10 * document AS page) FROM ({}) AS one"
 
 _DENSE = """
@@ -156,6 +159,8 @@ SELECT event_id, category, service_name, coalesce(nullif(concat_ws(' > ', CASE W
     "json_text_paths": "SELECT DISTINCT click_id, t.fullkey AS path, t.atom ->> '$' AS text FROM (SELECT DISTINCT click_id, CASE WHEN json_valid(props) THEN props END AS props FROM clicks) c, json_tree(c.props) t WHERE t.type = 'VARCHAR' AND t.key IS DISTINCT FROM 'ver'",
     "json_runs": """WITH r AS (SELECT doc_id, list_concat(regexp_extract_all(text, '[A-Za-z0-9]+')) AS w FROM documents), s AS (SELECT doc_id, unnest(w) AS run FROM r)
 SELECT doc_id, '$.body.parts[0]' AS path, run FROM s WHERE regexp_full_match(run, '[a-z]{12,}')""",
+    "extract_tables": f"WITH {_FOUND_TABLES} SELECT table_id, page, headers, n_rows, shape FROM x WHERE NOT failed",
+    "extraction_report": f"WITH {_FOUND_TABLES} SELECT document, page, CASE WHEN NOT failed THEN headers END AS headers, CASE WHEN failed THEN 'tables not read: broken' ELSE 'unexpected header' END AS reason FROM x WHERE failed OR shape = 'unrecognized_table'",
     "parent_resolution": f"""WITH c AS ({I.CHILDREN}), p AS ({I.PARENTS}), f AS (SELECT qid, parent_id, min(rank) AS rank FROM c GROUP BY ALL),
 m AS (SELECT f.qid, f.parent_id, f.rank, '--- CONTEXT BLOCK ---' || chr(10) || '[Category: ' || p.category || ']' || chr(10) || '[Service: ' || p.service_name || ']' || chr(10) || trim(p.text_content) || chr(10) || '--- END CONTEXT BLOCK ---' AS b FROM f JOIN p ON f.parent_id = p.doc_id)
 SELECT qid, count(*) AS n_parents, string_agg(b, chr(10) || chr(10) ORDER BY rank, parent_id) AS context FROM m GROUP BY qid""",

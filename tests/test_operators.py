@@ -460,3 +460,54 @@ def test_question_match_is_that_of_all_pairs(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {i: best(t) for i, t in asked}
     assert {how for _, how in got.values()} == {None, 1, 2, 3, 4}
+
+
+def test_cards_retries_and_fallbacks(spark, tmp_path):
+    metrics = spark.createDataFrame([(1, "q?", 2, 0.5, 0.63, 1.0, None, 0.9, 0.8, "ok", None, "fine", "so", "PARTIAL PASS"), (2, "none", None, 0.0, 0.0, None, None, None, None, None, None, None, None, "PARTIAL PASS")],
+        "qid int, question string, first_rank int, mrr double, ndcg_at_5 double, context_precision double, context_recall double, faithfulness double, answer_correctness double, context_precision_reason string, context_recall_reason string, faithfulness_reason string, answer_correctness_reason string, verdict string")
+    cards = {r["qid"]: r["card"] for r in evaluate.single_card_text(metrics).collect()}
+    assert "mrr                   : 0.50 (first relevant at rank 2)" in cards[1] and "context_recall        : - (not judged)" in cards[1] and cards[1].endswith("verdict: PARTIAL PASS")
+    assert "nothing relevant found" in cards[2]
+
+    folder = str(tmp_path)
+
+    class Flaky:
+        def answer(self, question, context):
+            import os
+
+            mark = os.path.join(folder, question)
+            if question == "bad" or not os.path.exists(mark):
+                open(mark, "w").close()
+                raise RuntimeError("busy")
+            return "done"
+
+    rows = spark.createDataFrame([("good", "c" * 40), ("bad", None)], "question string, context string")
+    found = {r["question"]: r for r in models.generated(rows, Flaky(), tries=3, wait=0.01).collect()}
+    assert (found["good"]["answer"], found["good"]["failure"], found["good"]["attempts"], found["good"]["tokens_used"]) == ("done", None, 2, 12)
+    assert found["bad"]["answer"] is None and found["bad"]["attempts"] == 3 and "busy" in found["bad"]["failure"] and found["bad"]["seconds"] > 0
+
+    asked = spark.createDataFrame([(1, "What quantum services does AWS offer?"), (2, "What storage services does AWS offer?"), (3, "hello")], "qid int, text string")
+    named = intent.asked_category(asked, classify=lambda texts: ["Compute" if "quantum" in t else "no such" for t in texts]).collect()
+    plain = {r["qid"]: r["category"] for r in intent.asked_category(asked).collect()}
+    assert plain[1] is None and plain[3] is None and {r["qid"]: r["category"] for r in named} == plain | {1: "Compute" if "Compute" in intent.CATEGORIES else None}
+
+
+def test_caption_job_is_taken_up(spark, tmp_path):
+    class Eye:
+        def __init__(self, broken):
+            self.broken = broken
+
+        def caption(self, image):
+            if image in self.broken:
+                raise RuntimeError("unreadable")
+            return f"a drawing of {bytes(image).decode()}"
+
+    images = spark.createDataFrame([(i, f"i{i}".encode()) for i in range(20)], "image_id long, content binary")
+    path = str(tmp_path / "captions")
+    first = {r["status"]: r["n"] for r in models.caption_job(images.filter("image_id < 12"), Eye([b"i3", b"i5"]), path, batches=3).collect()}
+    assert first == {"known": 0, "captioned": 10, "failed": 2, "left": 2}
+    again = {r["status"]: r["n"] for r in models.caption_job(images, Eye([b"i5"]), path, batches=3).collect()}
+    assert again == {"known": 10, "captioned": 9, "failed": 1, "left": 1}
+    held = spark.read.parquet(f"{path}/captions").collect()
+    assert len(held) == 19 == len({r["image_id"] for r in held}) and {r["caption"] for r in held if r["image_id"] == 7} == {"a drawing of i7"}
+    assert spark.read.parquet(f"{path}/failures").filter("failure LIKE '%unreadable%'").count() == 3
