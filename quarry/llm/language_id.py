@@ -34,7 +34,7 @@ ALPHABET = 4096
 #: also lies so many nats a character above their median.
 REJECT_AT, REJECT_NATS = 10.0, 1.5
 #: Characters scored at once, and positions looked up at once.
-_BATCH_CHARS, _SCORE_CHARS = 1 << 19, 1 << 17
+_BATCH_CHARS, _SCORE_CHARS = 1 << 19, 1 << 19
 _U = np.uint64
 _letters: list[np.ndarray] = []
 
@@ -168,10 +168,12 @@ class Model:
             ends = np.flatnonzero(index == n - 1) if n < self.order else np.flatnonzero(index >= n - 1)
             for a in range(0, len(ends), _SCORE_CHARS):
                 part = ends[a : a + _SCORE_CHARS]
+                # An n-gram says all that its last character's probability depends on: each is looked up once.
+                _, first, back = np.unique(hashes[n][part - n + 1], return_index=True, return_inverse=True)
                 for j, own in enumerate(self.own):
                     if only is not None and only != j:
                         continue
-                    sums[:, j] -= np.bincount(owner[part], own.logs(hashes, part, n), len(values))
+                    sums[:, j] -= np.bincount(owner[part], own.logs(hashes, part[first], n)[back], len(values))
         return sums / np.maximum(scored, 1)[:, None], scored
 
 
