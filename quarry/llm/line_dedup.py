@@ -13,6 +13,7 @@ Plan: only 16-byte hashes and ids are exploded; two aggregations that combine be
 shuffle find the repeated keys, so a line in every document is no hot spot; the join back
 to (document, hash) rows is a sort-merge join that adaptive execution may split. A text
 crosses one shuffle, to meet the hashes that its document loses.
+A text of any length is cut into all its lines, within one row of one task.
 """
 
 from __future__ import annotations

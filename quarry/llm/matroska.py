@@ -6,6 +6,7 @@ EBML, fixed-size), with unknown-size segments and clusters, and skips elements i
 
 Null and empty bytes are a payload of blanks alone. Each row is handled for itself, so ties,
 repeated rows, empty tables and other columns do not matter.
+A text of any length is one file, muxed and parsed in time and memory in proportion to it.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ Scale: only (source, length) counts reach a group function, so a group's rows ar
 by the distinct lengths of one source. Documents of one length are picked through at most
 4096 hash buckets, of which only the one at the boundary is ranked: a length shared by a
 third of all rows is no hot spot. Nothing is collected but totals.
+A text of any length is counted whole; only its number of words goes on.
 """
 
 from __future__ import annotations

@@ -25,6 +25,7 @@ At similarity 0.8 a pair shares one of 32 bands of 4 with probability 1 - 5e-8.
 Null text and text without words are alone. A null doc_id is below all others. Repeated rows
 are copies of each other; different texts under one doc_id are separate. Of a class one row
 stays, one with the least doc_id. An empty table gives an empty result; other columns do not matter.
+A text of any length gives all its shingles, in memory of a task in proportion to it; a block of a family holds its members' texts.
 """
 
 from __future__ import annotations

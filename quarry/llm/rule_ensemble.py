@@ -10,6 +10,7 @@ is a parameter. Null and empty texts have statistics of 0 and get a score like a
 A label that is null, or a doc_id without a text, is no training row; without both labels in
 training every score is the share of 1 (0.5 without any label). Repeated rows are scored
 each. An empty table gives an empty result; columns but doc_id and text do not matter.
+A text of any length is measured whole.
 """
 
 from __future__ import annotations

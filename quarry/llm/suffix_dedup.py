@@ -22,6 +22,7 @@ Null and empty texts are empty bytes. Rows that share a doc_id are separate text
 rows lose what they share; a null doc_id is like another. What is found goes back by a hash of
 doc_id and text, so texts under one doc_id do not mix. An empty table gives an empty result;
 other columns do not matter.
+A text of any length is cut at its anchors within one task; segments, not texts, meet others.
 """
 
 from __future__ import annotations
