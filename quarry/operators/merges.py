@@ -8,6 +8,8 @@ or more words; a run is suspected where that is likelier than the run as a word.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,8 +94,9 @@ def splits(found: DataFrame, words: DataFrame, protected: DataFrame | None = Non
     known = words.filter((F.col("n") >= LEAST_COUNT) & ((F.length("word") >= SHORTEST) | F.col("word").isin("a", "i")) & (F.length("word") <= LONGEST))
     edges = parts.join(known.select("word", F.log("share").alias("lp")), "word").groupBy("run").agg(F.collect_list(F.struct("i", "j", "word", "lp")).alias("edges"))
     whole = words.select(F.col("word").alias("run"), F.log("share").alias("own"))
-    # A run that the corpus of words lacks is as likely as a word seen once.
-    rarest = words.agg(F.min(F.log("share"))).first()[0] or 0.0
+    total = words.agg(F.sum("n")).first()[0] or 1
     best = held.join(edges, "run").join(whole, "run", "left").withColumn("b", _best("edges", F.length("run")))
-    score = F.round(F.col("b.score") - F.coalesce("own", F.lit(float(rarest))), 6)
+    # A word that the corpus lacks is the less likely the longer it is, tenfold a letter.
+    unseen = F.lit(-math.log(total)) - (F.length("run") - 1) * F.lit(math.log(10))
+    score = F.round(F.col("b.score") - F.coalesce("own", unseen), 6)
     return best.filter("b.score IS NOT NULL").select("run", "n", F.col("b.words").alias("suggested_split"), score.alias("score")).filter("score > 0")

@@ -125,8 +125,10 @@ def merge_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits of texts in which pairs of words lost the blank between them, by the frequencies of the texts as they were."""
     docs = table(spark, sf_dir, "documents").select("text")
-    return merges.splits(merges.runs(docs), merges.vocabulary(docs))
+    merged = docs.withColumn("text", F.regexp_replace("text", r"\b([a-z]{6}) ([a-z]{6})\b", "$1$2"))
+    return merges.splits(merges.runs(merged), merges.vocabulary(docs))
 
 
 def json_text_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
