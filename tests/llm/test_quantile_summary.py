@@ -131,3 +131,21 @@ def test_op12_on_the_tables(spark):
         xs, g = np.sort(clicks.loc[clicks["grp"] == grp, "x"].to_numpy()), g.sort_values("i")
         assert g["exact_x"].tolist() == xs[g["target"] - 1].tolist() and g["n_below"].tolist() == np.searchsorted(xs, g["answer"]).tolist()
     assert set(found.loc[found["stream"] == "price", "batch"]) == set(range(-1, 8))
+
+
+def test_op12_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    """Null ids, groups and amounts, rows twice, amounts that are no numbers, columns named like those made on the way."""
+    clicks = [(i % 30, "2024-01-01 00:00:00", 5 if i % 3 else None, float(i % 30) if i % 7 else None) for i in range(90)] + [(None, None, 5, 1.0)] * 3 + [(900, None, 5, float("nan")), (901, None, 5, float("inf"))]
+    rows = spark.createDataFrame(clicks, "click_id long, arrived_at string, client_id long, value double").selectExpr("click_id", "cast(arrived_at as timestamp_ntz) arrived_at", "client_id", "value", "'x' lane", "1 batch", "2L x", "'y' grp")
+    rows.write.parquet(f"{tmp_path}/clicks.parquet")
+    lines = spark.createDataFrame([(i % 4 if i % 5 else None, i % 3 if i % 11 else None, "z") for i in range(200)], "item_id long, vendor_id long, weight string")
+    lines.write.parquet(f"{tmp_path}/sale_lines.parquet")
+    spark.createDataFrame([(0, "B", 1.5), (0, "B", 1.5), (1, None, 2.0), (2, "B", None), (3, "C", 2.25)], "item_id long, brand string, price double").write.parquet(f"{tmp_path}/items.parquet")
+    found = queries.op12_quantile_summary(spark, str(tmp_path)).toPandas()
+    kept = {}
+    for i, _, client, value in clicks:
+        if client is not None and value is not None and np.isfinite(value):
+            kept.setdefault(i, value)
+    sizes = found[found["batch"] == -1].groupby(["stream", "grp"])["n"].first().to_dict()
+    want = {("value", "5"): len(kept), ("price", "B"): sum(i % 5 > 0 and i % 4 == 0 for i in range(200)), ("price", "C"): sum(i % 5 > 0 and i % 4 == 3 for i in range(200))}
+    assert sizes == {k: n for k, n in want.items() if n >= 20} and len(sizes) >= 2 and found["within"].all()
