@@ -238,11 +238,22 @@ def table_chunks(tables: DataFrame, max_tokens: int = 400) -> DataFrame:
 def notice_context(notices: DataFrame, services: DataFrame, document: str = "document") -> DataFrame:
     """notices (document, notice_id, text, page_start) with category, service_name and source_urls of the one service of the document that spans the page and whose name is in the text; nulls and [] where none or several do.
 
-    The services are spread over their pages, so notices meet those of their page by an equi join; a service spans few pages.
+    Names meet the pieces of a notice's text that are as long as some name by equality, so no notice is held against every service of its page. The services are spread
+    over their pages, as a service spans few; those of one page and name are one row with their number.
     """
-    s = services.select(F.col(document).alias("s_document"), F.explode(F.sequence("page_start", "page_end")).alias("s_page"), F.col("category").alias("s_category"), F.col("name").alias("s_name"), F.col("source_urls").alias("s_urls"))
-    met = notices.select(document, "notice_id", "text", "page_start").join(s, (F.col(document) == F.col("s_document")) & (F.col("page_start") == F.col("s_page")) & F.lower("text").contains(F.lower("s_name")))
-    one = met.groupBy(document, "notice_id").agg(F.count("*").alias("n"), F.first("s_category").alias("category"), F.first("s_name").alias("service_name"), F.first("s_urls").alias("source_urls")).filter("n = 1").drop("n")
+    name = F.lower("name")
+    spanned = services.filter("page_start <= page_end AND name IS NOT NULL").select(F.col(document).alias("s_document"), F.explode(F.sequence("page_start", "page_end")).alias("s_page"), name.alias("s_key"), F.struct("category", F.col("name").alias("service_name"), "source_urls").alias("s"))
+    names = spanned.groupBy("s_document", "s_page", "s_key").agg(F.count("*").alias("n"), F.first("s").alias("s"))
+    # One row: as many lengths as names differ in.
+    lengths = services.agg(F.collect_set(F.length(name)).alias("lengths"))
+    text = notices.select(document, "notice_id", "page_start", F.lower("text").alias("text")).filter("text IS NOT NULL")
+    # A small file gives one task; a notice has many pieces, so the notices are dealt out first.
+    text = text.repartition("notice_id").crossJoin(F.broadcast(lengths))
+    fitting = F.filter("lengths", lambda n: n <= F.length("text"))
+    pieces = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(0), F.length("text") - n), lambda i: F.substring(F.col("text"), i + 1, n))))
+    keys = text.select(document, "notice_id", "page_start", F.explode(F.array_distinct(pieces)).alias("key"))
+    met = keys.join(names, (F.col(document) == F.col("s_document")) & (F.col("page_start") == F.col("s_page")) & (F.col("key") == F.col("s_key")))
+    one = met.groupBy(document, "notice_id").agg(F.sum("n").alias("n"), F.first("s").alias("s")).filter("n = 1").select(document, "notice_id", "s.*")
     return notices.join(one, [document, "notice_id"], "left").withColumn("source_urls", F.coalesce("source_urls", F.array().cast("array<string>")))
 
 
