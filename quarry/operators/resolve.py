@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.sinks import stored
+
 
 def parents(children: DataFrame, parent_table: DataFrame) -> DataFrame:
     """(qid, parent_rank, parent_id, category, service_name, text_content) of each query's found children, each parent once at its best child's place; unknown parents go.
@@ -33,10 +35,12 @@ def with_siblings(found: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     base = lambda c: F.when(F.col(c).contains(":part-"), F.regexp_replace(c, r":part-[^:]*$", ""))
     parts = chunks.filter((F.col("chunk_type") == "service") & F.col("id").contains(":part-")).select(base("id").alias("base"), F.col("id").alias("sibling")).distinct()
-    own = found.join(parts.select(F.col("sibling").alias("id"), F.lit(True).alias("is_part")).distinct(), "id", "left").withColumn("base", F.when(F.col("is_part"), base("id")))
-    selves = own.select("qid", "rank", F.lit(1).alias("is_self"), "id")
-    others = own.filter("base IS NOT NULL").join(parts, "base").filter("sibling <> id").select("qid", "rank", F.lit(0).alias("is_self"), F.col("sibling").alias("id"))
-    rows = selves.unionByName(others)
-    first = F.row_number().over(Window.partitionBy("qid", "id").orderBy("rank", "is_self", "id"))
-    kept = rows.withColumn("n", first).filter("n = 1")
-    return kept.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "is_self", "id")).alias("position"), "id")
+    # Stored, so that the size of the different parts is known and few of them go to the tasks.
+    parts = stored(parts, "parts")
+    own = stored(parts.groupBy("base").agg(F.collect_list("sibling").alias("siblings")), "siblings")
+    # Dealt by query before siblings make more rows of them; all that follows stays within a query.
+    met = found.select("qid", "rank", "id").repartition("qid").join(parts.withColumnRenamed("sibling", "id"), "id", "left").join(own, "base", "left")
+    others = F.transform(F.filter("siblings", lambda s: s != F.col("id")), lambda s: F.struct(F.lit(0).alias("is_self"), s.alias("id")))
+    rows = met.select("qid", "rank", F.explode(F.concat(F.array(F.struct(F.lit(1).alias("is_self"), F.col("id"))), F.coalesce(others, F.array().cast("array<struct<is_self:int,id:string>>")))).alias("c"))
+    kept = rows.groupBy("qid", "c.id").agg(F.min(F.struct("rank", "c.is_self")).alias("first"))
+    return kept.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("first.rank", "first.is_self", "id")).alias("position"), "id")
