@@ -2,7 +2,7 @@
 
 `json_texts` walks JSON of any shape as VARIANT values, one level a round, and gives every string with its JSON path. `splits` looks for runs of
 lower-case letters that are better read as several words: word frequencies are learned from the corpus itself, a run's
-substrings meet the vocabulary in an equi join, and a Viterbi pass over their log probabilities, in one expression, finds the best reading of two
+substrings meet the vocabulary where they are made, a bounded slice of it at a time, so that only substrings that are words ever move, and a Viterbi pass over their log probabilities, in one expression, finds the best reading of two
 or more words; a run is suspected where that is likelier than the run as a word.
 """
 
@@ -20,6 +20,8 @@ from quarry.sources.sinks import stored
 SKIPPED, LEAST = ("source_document", "source_urls", "image_path"), 12
 #: Shortest word of a split but for `a` and `i`, longest, and how often the corpus must hold it.
 SHORTEST, LONGEST, LEAST_COUNT = 2, 24, 3
+#: Words of the vocabulary that go to the tasks at once, and runs of a task, about.
+MOST_WORDS, MOST_RUNS = 500_000, 100_000
 
 
 def json_texts(docs: DataFrame, json: str, key: str, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
@@ -76,7 +78,7 @@ def _best(edges: str, length: Column) -> Column:
     return F.get(F.aggregate(F.sequence(F.lit(1), length), start, step), length)
 
 
-def splits(found: DataFrame, words: DataFrame, protected: DataFrame | None = None) -> DataFrame:
+def splits(found: DataFrame, words: DataFrame, protected: DataFrame | None = None, most_words: int = MOST_WORDS, most_runs: int = MOST_RUNS) -> DataFrame:
     """(run, n, suggested_split, score) of the different runs of found (from `runs`) that read better as several words; n is how often a run stands there.
 
     words: (word, n, share) from `vocabulary`. score is the log of how much likelier the split is. Runs that are words of a
@@ -88,11 +90,24 @@ def splits(found: DataFrame, words: DataFrame, protected: DataFrame | None = Non
         held = held.join(names, "run", "left_anti")
     held = stored(held, "runs")
     size = F.length("run")
-    begins = held.select("run", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
+    spread = max(held.sparkSession.sparkContext.defaultParallelism, -(-held.count() // most_runs))
+    begins = held.select("run").repartition(spread, "run").select("run", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
     ends = begins.select("run", "size", "i", F.explode(F.sequence(F.col("i") + 1, F.least(F.col("size"), F.col("i") + LONGEST))).alias("j")).filter("NOT (i = 0 AND j = size)")
     parts = ends.select("run", "i", "j", F.expr("substring(run, i + 1, j - i)").alias("word"))
     known = words.filter((F.col("n") >= LEAST_COUNT) & ((F.length("word") >= SHORTEST) | F.col("word").isin("a", "i")) & (F.length("word") <= LONGEST))
-    edges = parts.join(known.select("word", F.log("share").alias("lp")), "word").groupBy("run").agg(F.collect_list(F.struct("i", "j", "word", "lp")).alias("edges"))
+    known = known.select("word", F.log("share").alias("lp"))
+    slices = -(-known.count() // most_words) or 1
+
+    def met(n: int) -> DataFrame:
+        own = F.pmod(F.xxhash64("word"), F.lit(slices)) == n
+        return parts.filter(own).join(F.broadcast(known.filter(own)), "word").select("run", F.struct("i", "j", "lp").alias("edge"))
+
+    # Several slices are met one after another, so a task holds one of them at a time.
+    edges = met(0) if slices == 1 else stored(met(0), "edges")
+    for n in range(1, slices):
+        edges = edges.unionByName(stored(met(n), "edges"))
+    edges = edges.groupBy("run").agg(F.collect_list("edge").alias("edges"))
+    edges = edges.withColumn("edges", F.expr("transform(edges, e -> struct(e.i, e.j, substring(run, e.i + 1, e.j - e.i) AS word, e.lp))"))
     whole = words.select(F.col("word").alias("run"), F.log("share").alias("own"))
     total = words.agg(F.sum("n")).first()[0] or 1
     best = held.join(edges, "run").join(whole, "run", "left").withColumn("b", _best("edges", F.length("run")))
