@@ -47,6 +47,10 @@ SLACKS = (4, 16, 64)
 SAVING = 0.02
 #: Parts in each of the two generations of a worker's table, about 100 MB.
 _CACHE = 600_000
+#: Texts that are looked up together.
+_TEXTS = 128
+#: Parts that go through the tokenizer as one text.
+_JOINED = 256
 #: White space other than blank and newline; a text with any goes through the tokenizer whole.
 _ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\0"
 _OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -66,6 +70,10 @@ class CachedTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.old: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Of each id: whether its token begins with a blank.
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
 
     @classmethod
     def of(cls, path: str) -> CachedTokenizer:
@@ -79,6 +87,22 @@ class CachedTokenizer:
         found = self.tokenizer.encode_batch_fast(values, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def encode_parts(self, values: list[str]) -> list[bytes]:
+        """`encode` of parts; those that begin with a blank go many in one text, which is cut again where a token begins with a blank."""
+        found = dict.fromkeys(values, b"")
+        blank = [p for p in found if p[:1] == " "]
+        groups = [blank[a : a + _JOINED] for a in range(0, len(blank), _JOINED)]
+        alone = [p for p in found if p[:1] != " "]
+        for group, data in zip(groups, self.encode(["".join(g) for g in groups])):
+            at = np.flatnonzero(self.begins[np.frombuffer(data, "<u4")])
+            if len(at) == len(group):
+                edges = [*(4 * at).tolist(), len(data)]
+                found.update((p, data[i:j]) for p, i, j in zip(group, edges, edges[1:]))
+            else:
+                alone += group
+        found.update(zip(alone, self.encode(alone)))
+        return [found[p] for p in values]
+
     @staticmethod
     def parts(text: str) -> list[str] | None:
         """The parts of a text; None if white space stands next to white space or at an end, or is of a rarer kind."""
@@ -112,7 +136,7 @@ class CachedTokenizer:
             else:
                 todo.add(p)
         values = list(todo)
-        new.update(zip(values, self.encode(values)))
+        new.update(zip(values, self.encode_parts(values)))
         for p, core, tail in cut:
             new[p] = new[core] + new[tail]
 
@@ -146,8 +170,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             for b in batches:
                 ids, rows = [], []
                 keys, values = b.column(0).to_pylist(), ["" if t is None else t for t in b.column(1).to_pylist()]
-                for a in range(0, len(values), 32):
-                    for key, data in zip(keys[a : a + 32], own.bytes_of(values[a : a + 32])):
+                for a in range(0, len(values), _TEXTS):
+                    for key, data in zip(keys[a : a + _TEXTS], own.bytes_of(values[a : a + _TEXTS])):
                         data += end
                         n = len(data) // 4
                         at, k, stop = 0, 0, n % capacity or capacity

@@ -753,3 +753,14 @@ def test_op10_many_languages_within_bounds(spark):
     assert set(own.model.langs) == usable and len(usable) > 480
     found = [r for r in language_id.identify(docs.filter("doc_id % 10 = 0"), own).collect() if r["lang"] in usable]
     assert sum(r["lang"] == r["lang_pred"] for r in found) > 0.98 * len(found)
+
+
+def test_parts_are_encoded_together(monkeypatch):
+    """op5: new parts go through the tokenizer many in one text, with the ids that each has alone."""
+    own = packing.CachedTokenizer(queries.tokenizer_path())
+    parts = [" a", " foo's", " 'tis", "\nx", "\n", ".", " 12ab", " Ġx", " naïve", " 中文", " <|endoftext|>", "first", " a", " -- ".rstrip(), " ​"] + [f" w{i}q" for i in range(600)]
+    alone = [own.encode([p])[0] for p in parts]
+    sent, encode = [], own.encode
+    monkeypatch.setattr(own, "encode", lambda values: sent.extend(values) or encode(values))
+    assert own.encode_parts(parts) == alone and own.encode_parts([]) == []
+    assert len(sent) < 20
