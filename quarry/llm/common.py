@@ -6,14 +6,13 @@ characters, so words are always taken from the UTF-8 bytes of a text.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.readers import BATCH_BYTES, BATCH_ROWS, small_batches, tidy, trimmed  # noqa: F401 - for every operator
 from quarry.sources.sinks import stored as written  # noqa: F401 - every operator's way to write a table
 
 #: Java form of a word.
@@ -22,8 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = -(2**63)
 #: Bytes of text that the array functions take at once; a longer text is taken alone, whole.
 BLOCK_BYTES = 2 << 20
-#: Rows and bytes of an Arrow batch.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -31,27 +28,6 @@ _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def trimmed() -> None:
-    """Gives memory that a Python worker no longer needs back to the system; idle workers would keep it."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not with every C library
-        pass
-
-
-def tidy(run):
-    """run, a function of batches, that gives its memory back when a task ends."""
-
-    def tidied(batches):
-        try:
-            yield from run(batches)
-        finally:
-            trimmed()
-
-    return tidied
-
-
 def doc_key(column: str = "doc_id") -> Column:
     """doc_id as a long that is never null."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
@@ -62,21 +38,6 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(doc_key(doc_id), F.col(text))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows and bytes that go to a Python worker at once, which bounds its memory.
-
-    Workers stay for later stages and keep what they once needed. A text longer than the
-    bound still goes whole.
-    """
-    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
-        spark.conf.set(rows, str(BATCH_ROWS))
-    try:
-        spark.conf.set(size, str(BATCH_BYTES))
-    except Exception:  # noqa: BLE001 - a Spark without this setting has the row bound alone
-        pass
-
-
 def narrow_batches(spark: SparkSession) -> None:
     """Bounds the bytes alone of what goes to a Python worker at once: for rows without texts."""
     try:

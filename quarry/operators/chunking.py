@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_markdown, header_metadata, slug
 from quarry.operators import tables as T
+from quarry.sources.readers import small_batches, tidy
 
 # Sizes in characters and separators of parents and children.
 PARENT_SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
@@ -142,7 +143,8 @@ def split_rows(rows: DataFrame, text: str, size: int, overlap: int, separators:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), pa.array(counts, pa.int32())], [*names, "part", "parts"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, part int, parts int")
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(tidy(run), f"{schema}, part int, parts int")
 
 
 def parent_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, size: int = PARENT_SIZE, overlap: int = PARENT_OVERLAP) -> DataFrame:
@@ -169,7 +171,8 @@ def parent_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
 
     names = ["source", "ordinal", "h1", "h2", "h3", "h4", "h5", "text_content"]
     cleaned = docs.select(key, clean_markdown(F.col(text)).alias("text"))
-    found = cleaned.mapInArrow(run, f"source {kind}, ordinal int, h1 string, h2 string, h3 string, h4 string, h5 string, text_content string")
+    small_batches(docs.sparkSession)
+    found = cleaned.mapInArrow(tidy(run), f"source {kind}, ordinal int, h1 string, h2 string, h3 string, h4 string, h5 string, text_content string")
     category, service, path = header_metadata(*(F.col(f"h{i}") for i in range(1, 6)))
     id_ = F.sha2(F.concat_ws("|", F.lit("parent"), "source", "ordinal"), 256)
     return found.select("source", "ordinal", id_.alias("doc_id"), category.alias("category"), service.alias("service_name"), path.alias("header_path"), F.lit("parent").alias("chunk_type"), "text_content")
@@ -191,7 +194,8 @@ def child_chunks(parents: DataFrame, size: int = CHILD_SIZE, overlap: int = CHIL
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds)], ["doc_id", "parent_id", "ordinal", "category", "service_name", "header_path", "text"])
 
     found = parents.select("doc_id", "category", "service_name", "header_path", "text_content")
-    found = found.mapInArrow(run, "doc_id string, parent_id string, ordinal int, category string, service_name string, header_path string, text string")
+    small_batches(parents.sparkSession)
+    found = found.mapInArrow(tidy(run), "doc_id string, parent_id string, ordinal int, category string, service_name string, header_path string, text string")
     text = F.concat(F.lit("[Context: "), "header_path", F.lit("]\n\n"), "text")
     return found.select("doc_id", "parent_id", "ordinal", "category", "service_name", "header_path", F.lit("child").alias("chunk_type"), text.alias("text_content"))
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
+from quarry.sources.readers import small_batches, trimmed
 
 #: Documents and characters of a block, about; the least number of blocks, so that a small corpus is built and searched in parallel.
 BLOCK_DOCS, BLOCK_CHARS, LEAST_BLOCKS = 4096, 16 << 20, 8
@@ -46,17 +47,18 @@ def block_rows(table: pa.Table, renamed: Callable[[str], str | None] | None, wit
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    place = np.arange(len(codes), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
     if renamed is not None:
         seen: dict[str, int] = {}
-        map_ = np.array([-1 if t is None else seen.setdefault(t, len(seen)) for t in map(renamed, words.to_pylist())] or [-1], np.int64)
+        map_ = np.array([-1 if t is None else seen.setdefault(t, len(seen)) for t in map(renamed, words.to_pylist())] or [-1], np.int32)
         codes = map_[codes] if len(codes) else codes
         kept = codes >= 0
         codes, doc, place, words = codes[kept], doc[kept], place[kept], pa.array(list(seen), pa.string())
     order = np.argsort(codes, kind="stable")
     code, doc, place = codes[order], doc[order], place[order]
+    del order, codes, coded, lists
     block = table.column("block")[0].as_py()
     if len(code):
         new_term = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
@@ -84,7 +86,15 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", renamed: Cal
     number = F.lit(base_of(segment)) + F.pmod(F.xxhash64(F.col(key)), F.lit(blocks))
     words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
     held = docs.select(number.alias("block"), F.col(key).cast("long").alias("doc_id"), words.alias("tokens"))
-    return held.groupBy("block").applyInArrow(lambda table: block_rows(table, renamed, with_places), SCHEMA)
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return block_rows(table, renamed, with_places)
+        finally:
+            trimmed()  # a block's arrays would stay with the worker
+
+    small_batches(docs.sparkSession)
+    return held.groupBy("block").applyInArrow(run, SCHEMA)
 
 
 def heads(rows: DataFrame, dead: DataFrame | None = None) -> DataFrame:

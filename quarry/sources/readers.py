@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,42 @@ STRUCTURE_SCHEMA = (
 )
 
 
+#: Rows and bytes of an Arrow batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows and bytes that go to a Python worker at once, which bounds its memory; a longer text still goes whole."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    try:
+        spark.conf.set(size, str(BATCH_BYTES))
+    except Exception:  # noqa: BLE001 - a Spark without this setting has the row bound alone
+        pass
+
+
+def trimmed() -> None:
+    """Gives memory that a Python worker no longer needs back to the system; idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with every C library
+        pass
+
+
+def tidy(run):
+    """run, a function of batches, that gives its memory back when a task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trimmed()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
