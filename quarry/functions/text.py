@@ -5,6 +5,8 @@ from __future__ import annotations
 import ast
 import json
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,8 +20,8 @@ MIME_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gi
 # What UTF-8 read as cp1252 leaves behind.
 MOJIBAKE = ["â€", "Ã", "Â", "ï¬"]
 
-#: A word: letters, digits and underscore of any script.
-TOKEN = r"([\p{L}\p{N}_]+)"
+#: A word: letters, digits and underscore of any script; the frequent ones first, as that is where a search looks first.
+TOKEN = r"([a-z0-9_\p{L}\p{N}]+)"
 
 
 def stripped(c: Column) -> Column:
@@ -73,7 +75,11 @@ def without_running_lines(c: Column, titles: list[str] = PAGE_TITLES) -> Column:
         notice = s.rlike(r"(?i)Copyright\s+©\s+\d{4}.*Amazon Web Services") | s.startswith("Copyright ©") | s.startswith("©")
         return ~(s.isin(titles) | notice | s.rlike(r"^\d+$"))
 
-    return F.array_join(F.filter(F.split(c, "\n"), stays), "\n")
+    # Each such line holds a title or the sign, or begins with a digit: a line or a text without these is not looked at closer.
+    telling = lambda x: reduce(or_, (x.contains(t) for t in [*titles, "©"]))
+    suspect = lambda line: telling(line) | line.rlike(r"^\s*\d")
+    kept = F.array_join(F.filter(F.split(c, "\n"), lambda line: ~suspect(line) | stays(line)), "\n")
+    return F.when(telling(c) | c.rlike(r"(?:^|\n)[ \t\x0B\f\r]*\d"), kept).otherwise(c)
 
 
 def clean_page(c: Column) -> Column:
@@ -81,7 +87,9 @@ def clean_page(c: Column) -> Column:
 
 
 def clean_markdown(c: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(c, "</?u>", ""), r"<!--\s*PAGE_\d+\s*-->", "")
+    # A text without a mark's letters goes by without a search for the mark.
+    plain = F.when(c.contains("u>"), F.regexp_replace(c, "</?u>", "")).otherwise(c)
+    plain = F.when(plain.contains("<!--"), F.regexp_replace(plain, r"<!--\s*PAGE_\d+\s*-->", "")).otherwise(plain)
     return without_running_lines(plain, MARKDOWN_TITLES)
 
 

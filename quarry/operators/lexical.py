@@ -53,33 +53,42 @@ class Bm25Index:
         """
         words = queries.select(F.col(key).alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
         asked = stored(words.join(self.idf(), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "asked")
-        avgdl, groups, own_heads = float(self.avgdl), postings.query_groups(asked), postings.heads(self.rows, self.dead)
+        avgdl, groups = float(self.avgdl), postings.query_groups(asked)
+        # Both passes read what is asked for, not the whole index again.
+        own_heads = stored(postings.heads(self.rows, self.dead), "heads")
+        rows = stored(self.rows.filter("term IS NOT NULL").join(asked.select("term").distinct(), "term", "left_semi"), "asked-rows")
 
         def scored(pairs: DataFrame) -> DataFrame:
+            """pairs: (qid, block, edge); documents below a query's edge, if it has one, stay in their block."""
+
             def run(block: postings.Block, right):
                 share = {t: tf * (k1 + 1) / (tf + k1 * (1 - b + b * block.lengths[nos] / avgdl)) for t, (nos, tf, _) in block.terms.items()}
-                for qid, terms in grouped(right, "qid", ("term", "weight")):
-                    total, held = np.zeros(len(block.ids)), np.zeros(len(block.ids), bool)
-                    for t, w in terms:
-                        if t in share:
-                            nos = block.terms[t][0]
-                            total[nos] += w * share[t]
-                            held[nos] = True
-                    total = np.round(total, 6) + 0.0
-                    at = postings.best_of(total, held & block.alive, k)
-                    yield [qid] * len(at), block.ids[at].tolist(), total[at].tolist()
-
-            return postings.cogrouped(self.rows, own_heads, asked.join(pairs, "qid"), groups, ["nos", "tfs"], run, "qid long, doc_id long, score double")
+                for qid, terms in grouped(right, "qid", ("term", "weight", "edge")):
+                    found = [(block.terms[t][0], w * share[t]) for t, w, _ in terms if t in share]
+                    if not found:
+                        continue
+                    nos, edge = np.concatenate([f[0] for f in found]), terms[0][2]
+                    total, held = np.bincount(nos, np.concatenate([f[1] for f in found]), len(block.ids)), np.zeros(len(block.ids), bool)
+                    held[nos] = True
+                    held &= block.alive
+                    if edge is not None:
+                        held &= total >= edge - 1e-6
+                    at = np.flatnonzero(held)
+                    score = np.round(total[at], 6) + 0.0
+                    best = postings.best_of(score, score >= (-np.inf if edge is None else edge), k)
+                    yield [qid] * len(best), block.ids[at[best]].tolist(), score[best].tolist()
+
+            return postings.cogrouped(rows, own_heads, asked.join(pairs, "qid"), groups, ["nos", "tfs"], run, "qid long, doc_id long, score double")
 
         most = F.col("top_tf") * (k1 + 1) / (F.col("top_tf") + k1 * (1 - b + b * F.col("least_dl") / F.lit(avgdl)))
-        bounds = self.rows.filter("term IS NOT NULL").select("term", "block", most.alias("most")).join(asked, "term")
+        bounds = rows.select("term", "block", most.alias("most")).join(asked, "term")
         bounds = stored(bounds.groupBy("qid", "block").agg(F.sum(F.greatest(F.col("weight"), F.lit(0.0)) * F.col("most")).alias("bound")), "bounds")
         best = bounds.groupBy("qid").agg(F.max_by("block", F.struct("bound", "block")).alias("block"))
-        first = stored(scored(best), "hits")
+        first = stored(scored(best.withColumn("edge", F.lit(None).cast("double"))), "hits")
         edge = first.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("edge")).filter(F.col("n") >= k)
         left = bounds.join(best.withColumnRenamed("block", "best"), "qid").filter("block <> best").join(edge, "qid", "left")
         # A score is rounded to 6 digits, so it may lie a little above its bound.
-        left = left.filter(F.col("edge").isNull() | (F.col("bound") + 1e-6 >= F.col("edge"))).select("qid", "block")
+        left = left.filter(F.col("edge").isNull() | (F.col("bound") + 1e-6 >= F.col("edge"))).select("qid", "block", "edge")
         found = top_k(first.unionByName(scored(left)), k)
         return self._filled(found, queries.select(F.col(key).alias("qid")), own_heads, k) if fill else found
 

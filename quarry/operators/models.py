@@ -6,10 +6,12 @@ import hashlib
 import time
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -47,31 +49,44 @@ class Captioner(Protocol):
 class HashingEmbedder:
     """Stand-in: signed counts of hashed words, scaled to length 1."""
 
+    #: Words whose places are kept at once.
+    KNOWN = 1 << 18
+
     def __init__(self, size: int = 64) -> None:
         self.size = size
+        self.known: dict[str, int] = {}
+
+    def place(self, word: str) -> int:
+        """Twice the word's place, and one more where it counts as -1."""
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        if len(self.known) >= self.KNOWN:
+            self.known.clear()
+        at = self.known[word] = 2 * (h % self.size) + (0 if h >> 63 else 1)
+        return at
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.size))
-        for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.size] += 1 if h >> 63 else -1
+        known = self.known
+        places = [[known[w] if w in known else self.place(w) for w in t.lower().split()] for t in texts]
+        at = np.fromiter(chain.from_iterable(places), np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(p) for p in places])
+        out = np.bincount(row * self.size + (at >> 1), 1.0 - 2.0 * (at & 1), len(texts) * self.size).reshape(len(texts), self.size)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
 def embedded(rows: DataFrame, embedder: Embedder, text: str = "text", prefix: str = "", batch: int = 32, into: str = "embedding") -> DataFrame:
     """rows with the text's vector; a null text has none. The model is set up once a task."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in batches:
-            out: list = [None] * len(s)
-            full = [i for i, t in enumerate(s) if t is not None]
-            for a in range(0, len(full), batch):
-                part = full[a : a + batch]
-                for i, v in zip(part, embedder.embed([prefix + s.iloc[i] for i in part])):
-                    out[i] = v.astype(np.float32)
-            yield pd.Series(out)
+            full = [prefix + t for t in s.to_pylist() if t is not None]
+            found = [np.asarray(embedder.embed(full[a : a + batch]), np.float32) for a in range(0, len(full), batch)]
+            values = np.concatenate(found) if found else np.zeros((0, 0), np.float32)
+            held = s.is_valid().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(held * values.shape[1])])
+            # A place without a value marks a list that is null.
+            starts = pa.array(ends, pa.int32(), mask=np.append(~held, False))
+            yield pa.ListArray.from_arrays(starts, pa.array(values.reshape(-1), pa.float32()))
 
     return rows.withColumn(into, run(F.col(text)))
 

@@ -556,3 +556,37 @@ def test_python_workers_get_small_batches(spark):
         spark.conf.unset(size)
         assert make(docs).count() > 0
         assert int(spark.conf.get(rows)) <= 1000 and int(spark.conf.get(size).rstrip("b")) <= 4 << 20
+
+
+def test_embedder_hashes_a_word_once(monkeypatch):
+    calls = []
+    hashed = models.hashlib.blake2b
+    monkeypatch.setattr(models.hashlib, "blake2b", lambda w, **how: calls.append(w) or hashed(w, **how))
+    embedder = models.HashingEmbedder(8)
+    found = embedder.embed(["a B a b", "", "b a"])
+    assert sorted(calls) == [b"a", b"b"] and not found[1].any()
+    monkeypatch.setattr(models.HashingEmbedder, "KNOWN", 1)
+    assert (models.HashingEmbedder(8).embed(["a B a b", "", "b a"]) == found).all()
+
+
+def test_only_documents_at_the_edge_leave_other_blocks(spark, monkeypatch):
+    """The k-th score of a query's first block holds back what cannot be among its k best; results are those of all scores."""
+    passes = []
+    made = lexical.postings.cogrouped
+    monkeypatch.setattr(lexical.postings, "cogrouped", lambda *args: passes.append(made(*args)) or passes[-1])
+    docs = [(i, " ".join(["w"] * (1 + i % 7) + ["x"] * (i % 5) + [f"u{i}"] * 3)) for i in range(400)]
+    index = lexical.Bm25Index(spark.createDataFrame(docs, "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, "w x"), (2, "x u7"), (3, "nothing")], "item_id long, text string")
+    found = [tuple(r) for r in index.search(asked, 5).select("qid", "doc_id", "score", "rank").orderBy("qid", "rank").collect()]
+    everything = [tuple(r) for r in index.search(asked, 400).select("qid", "doc_id", "score", "rank").filter("rank <= 5").orderBy("qid", "rank").collect()]
+    assert found == everything and len(found) == 10
+    edge = {r["qid"]: r["edge"] for r in passes[0].groupBy("qid").agg(F.min("score").alias("edge"), F.count("*").alias("n")).filter("n >= 5").collect()}
+    second = passes[1].collect()
+    assert edge and all(r["score"] >= edge.get(r["qid"], r["score"]) for r in second)
+
+
+def test_running_lines_of_odd_texts(spark):
+    texts = {None: None, "": "", "12": "", " 12 \n\nx": "\nx", "1a\n7": "1a", "<<u>!-- PAGE_3 -->\n4": "", "  AWS Whitepaper \nq": "q", "AWS Whitepaper x": "AWS Whitepaper x",
+             "a ©": "a ©", " © a\nb": "b", "x\rcopyright \t© 2024 z Amazon Web Services": "", "x\n\n\n5\n": "x\n\n\n", "plain\n<u>\n": "plain\n\n"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.clean_markdown(F.col("t")).alias("c")).collect()
+    assert {r["t"]: r["c"] for r in rows} == texts
