@@ -103,7 +103,9 @@ def op12_quantile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = written(quantile_summary.summarise(cells, keys, "x", "weight"), "batches")
     whole = quantile_summary.merged_batches(batches, group).withColumn("batch", F.lit(-1))
     answers = written(quantile_summary.quantiles(batches.unionByName(whole), keys, 10, 20), "answers")
-    all_cells = cells.unionByName(cells.groupBy(*group, "x").agg(F.sum("weight").alias("weight")).withColumn("batch", F.lit(-1)))
+    # Batches without answers, of fewer than 20 rows, need no ranks; the whole has its cells from all batches.
+    asked = cells.join(answers.select(*keys).distinct(), keys, "left_semi").select(*cells.columns)
+    all_cells = asked.unionByName(cells.groupBy(*group, "x").agg(F.sum("weight").alias("weight")).withColumn("batch", F.lit(-1)))
     ranked = quantile_summary.exact_ranks(written(all_cells, "all-cells"), answers, keys, 10)
     checked = quantile_summary.with_rank_error(ranked, 50)
     return checked.select(*keys, "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", "within", "bound")

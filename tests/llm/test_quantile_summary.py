@@ -149,3 +149,15 @@ def test_op12_nulls_repeats_and_clashing_columns(spark, tmp_path):
     sizes = found[found["batch"] == -1].groupby(["stream", "grp"])["n"].first().to_dict()
     want = {("value", "5"): len(kept), ("price", "B"): sum(i % 5 > 0 and i % 4 == 0 for i in range(200)), ("price", "C"): sum(i % 5 > 0 and i % 4 == 3 for i in range(200))}
     assert sizes == {k: n for k, n in want.items() if n >= 20} and len(sizes) >= 2 and found["within"].all()
+
+
+def test_op12_ranks_only_batches_with_answers(spark, monkeypatch):
+    """Cells of batches of fewer than 20 rows stay behind; the whole's groups have all their rows."""
+    tables, made = {}, queries.written
+    monkeypatch.setattr(queries, "written", lambda rows, name, *more: tables.setdefault(name, made(rows, name, *more)))
+    queries.op12_quantile_summary(spark, "/root/testdata/sf0.001")
+    keys = ["stream", "grp", "batch"]
+    n = tables["all-cells"].groupBy(*keys).agg({"weight": "sum"}).toDF(*keys, "n").toPandas()
+    own = tables["cells"].groupBy(*keys).agg({"weight": "sum"}).toDF(*keys, "n").toPandas()
+    assert (own["n"] < 20).any() and n.loc[n["batch"] >= 0, "n"].min() >= 20
+    assert (n["batch"] >= 0).sum() == (own["n"] >= 20).sum() and n.loc[n["batch"] < 0, "n"].sum() == own["n"].sum()
